@@ -118,8 +118,8 @@ def op9_repetition(docs: DataFrame) -> DataFrame:
 _SPACE = "[\\x20\\x09-\\x0D]"
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), x -> x <> '') AS ws FROM d),
-b AS (SELECT r, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+w AS (SELECT r, doc_id, t, [x for x in regexp_split_to_array(t, '{_SPACE}+') if x <> ''] AS ws FROM d),
+b AS (SELECT r, doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM w),
 l AS (SELECT r, x, length(regexp_replace(x, '{_SPACE}', '', 'g')) AS c, count(*) AS k
       FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_replace(x, '{_SPACE}', '', 'g') <> '' GROUP BY r, x),
@@ -127,8 +127,8 @@ lines AS (SELECT r, sum(k)::BIGINT AS n_lines, sum(k - 1)::BIGINT AS n_dup_lines
 p AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 n AS (SELECT unnest([3, {', '.join(map(str, COVERAGE_LIMITS))}]) AS n),
 g AS (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM p, n WHERE i + n - 1 <= len(ws)),
-o AS (SELECT r, i, n, count(*) OVER (PARTITION BY r, n, gram) AS k, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS at FROM g),
-u AS (SELECT DISTINCT r, n, i + j AS i FROM o, (SELECT unnest(range(0, 10)) AS j) WHERE j < n AND k > 1 AND (n = 3 OR at > 1)),
+o AS (SELECT r, i, n, count(*) OVER (PARTITION BY r, n, gram) AS k, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS nth FROM g),
+u AS (SELECT DISTINCT r, n, i + j AS i FROM o, (SELECT unnest(range(0, 10)) AS j) WHERE j < n AND k > 1 AND (n = 3 OR nth > 1)),
 c AS (SELECT r, count(*) FILTER (n = 3) AS n_repeat_words, {', '.join(f'coalesce(sum(length(ws[i])) FILTER (n = {n}), 0)::BIGINT AS dup_chars_{n}' for n in COVERAGE_LIMITS)} FROM u JOIN w USING (r) GROUP BY r),
 a AS (SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
         coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, {', '.join(f'coalesce(dup_chars_{n}, 0) AS dup_chars_{n}' for n in COVERAGE_LIMITS)}
