@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, repetition, secret_scan, sharding
+from corpusloom.llm import decontamination, repetition, secret_scan, sharding, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op3_histogram_sort": _over("documents", sharding.op3_histogram_sort),
+        "op4_warc": _over("pages", warc.op4_warc),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_repetition": _over("documents", repetition.op9_repetition),
         "op10_secrets": _over("documents", secret_scan.op10_secrets),
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": warc.OP4_SQL,
         "op5_decontamination": decontamination.OP5_SQL,
         "op9_repetition": repetition.OP9_SQL,
         "op10_secrets": secret_scan.OP10_SQL,
