@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, repetition, secret_scan, sharding, warc
+from corpusloom.llm import decontamination, packing, repetition, secret_scan, sharding, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op3_histogram_sort": _over("documents", sharding.op3_histogram_sort),
         "op4_warc": _over("pages", warc.op4_warc),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op6_mixture_packing": _over("documents", packing.op6_mixture_packing),
         "op9_repetition": _over("documents", repetition.op9_repetition),
         "op10_secrets": _over("documents", secret_scan.op10_secrets),
     }
