@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, packing, repetition, secret_scan, sharding, warc
+from corpusloom.llm import decontamination, jaccard_join, packing, repetition, secret_scan, sharding, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_jaccard_join": _over("documents", jaccard_join.op2_jaccard_join),
         "op3_histogram_sort": _over("documents", sharding.op3_histogram_sort),
         "op4_warc": _over("pages", warc.op4_warc),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": jaccard_join.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op5_decontamination": decontamination.OP5_SQL,
         "op9_repetition": repetition.OP9_SQL,
