@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, jaccard_join, packing, repetition, secret_scan, sharding, warc
+from corpusloom.llm import decontamination, jaccard_join, language_id, packing, quotation, repetition, secret_scan, sharding, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op4_warc": _over("pages", warc.op4_warc),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op6_mixture_packing": _over("documents", packing.op6_mixture_packing),
+        "op7_byte_cnn": _over("documents", language_id.op7_byte_cnn),
+        "op8_quotation": _over("conversations", quotation.op8_quotation),
         "op9_repetition": _over("documents", repetition.op9_repetition),
         "op10_secrets": _over("documents", secret_scan.op10_secrets),
     }
@@ -33,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard_join": jaccard_join.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op5_decontamination": decontamination.OP5_SQL,
+        "op8_quotation": quotation.OP8_SQL,
         "op9_repetition": repetition.OP9_SQL,
         "op10_secrets": secret_scan.OP10_SQL,
     }
