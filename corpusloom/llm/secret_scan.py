@@ -68,7 +68,7 @@ def _located(text: Column, pattern: str, group: int = 0) -> Column:
     Each match is extracted with the gap before it; starts are running sums of these lengths, taken over
     blocks, so that even hundreds of thousands of matches in one text stay cheap.
     """
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     pick = lambda n: F.regexp_extract_all(text, whole, F.lit(n))
     items = F.zip_with(F.zip_with(pick(1), pick(2), lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), pick(2 + group), lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), v.alias("value")))
 
