@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, jaccard_join, language_id, packing, quotation, repetition, secret_scan, sharding, warc
+from corpusloom.llm import decontamination, jaccard_join, language_id, packing, pitman_yor, quotation, repetition, secret_scan, sharding, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pitman_yor": _over("documents", pitman_yor.op1_pitman_yor),
         "op2_jaccard_join": _over("documents", jaccard_join.op2_jaccard_join),
         "op3_histogram_sort": _over("documents", sharding.op3_histogram_sort),
         "op4_warc": _over("pages", warc.op4_warc),
