@@ -40,7 +40,7 @@ _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(0, 1 << 32, N, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, N, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
-RESULTS = ["class_id", "copy_id", "n_copies", "n_links", "n_linked_docs"]
+RESULTS = ["class_id", "copy_id", "n_copies", "n_links", "n_linked_docs", "component"]
 
 
 def least_matches(threshold: float, n: int, tolerance: float) -> int:
@@ -261,11 +261,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with class_id, copy_id, n_copies, n_links and n_linked_docs.
+    """docs with class_id, copy_id, n_copies, n_links, n_linked_docs and component.
 
     copy_id is the lowest id among documents of equal text and n_copies their number; n_links is the number of
     different texts whose similarity to this one reaches the threshold and n_linked_docs the number of their
-    documents; class_id is the lowest id in the component of links and copies. A null text is the empty one;
+    documents; class_id is the lowest id in the component of links and copies, and component a number of that
+    component which does not rest on ids. A null text is the empty one;
     texts without words link to none. A null id is never the lowest unless a class has no other. Repeated rows
     are copies; an empty table stays empty; columns of docs with the names of results are replaced.
     """
@@ -302,6 +303,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
             "n_copies",
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"),
+            F.coalesce("component", "node").alias("component"),
         ).alias("_links_"),
     )
     out = docs.withColumn("_own_", _node(F.col(f"`{text}`"))).join(result, F.col("_own_") == F.col("_node_"))
@@ -309,7 +311,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
 
 
 def op2_jaccard_join(docs: DataFrame) -> DataFrame:
-    return linked(docs.select("doc_id", "text")).select("doc_id", *RESULTS)
+    return linked(docs.select("doc_id", "text")).select("doc_id", *RESULTS[:-1])
 
 
 OP2_SQL = f"""
