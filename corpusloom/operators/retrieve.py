@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -92,21 +94,18 @@ def deduplicated_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     return ranked(hits, keys, [F.desc("score"), F.col("seq")], "n").where("n = 1").drop("n")
 
 
-_BATCHES = "batch int, place int, entity string, context_chars long"
+_BATCHES = "doc_id long, batch int, place int, entity string, context_chars long"
 
 
 def _grouped(max_entities: int, min_overlap: float | None, max_chars: int):
-    """Batches of one document's entities, given in input order with sentence ids and lengths."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        ids = {e: dict(zip(i, c, strict=True)) for e, i, c in zip(rows["entity"], rows["ids"], rows["chars"], strict=True)}
-        waiting, out, number = list(ids), [], 0
+    """Batches of each document's entities, which come in input order with sentence ids and lengths."""
 
-        def fits(member: str, other: str) -> bool:
-            a, b = ids[member].keys(), ids[other].keys()
-            return min(len(a), len(b)) > 0 and len(a & b) / min(len(a), len(b)) >= min_overlap
+    def overlaps(a: dict, b: dict) -> bool:
+        return min(len(a), len(b)) > 0 and len(a.keys() & b.keys()) / min(len(a), len(b)) >= min_overlap
 
+    def batches_of(entities: list) -> Iterator[tuple[int, int, str, int]]:
+        ids = {e["entity"]: dict(zip(e["ids"], e["chars"], strict=True)) for e in entities}
+        waiting, number = list(ids), 0
         while waiting:
             group = [waiting.pop(0)]
             context = dict(ids[group[0]])
@@ -114,16 +113,20 @@ def _grouped(max_entities: int, min_overlap: float | None, max_chars: int):
                 if len(group) >= max_entities:
                     break
                 wider = {**ids[name], **context}
-                suits = sum(wider.values()) <= max_chars and (min_overlap is None or all(fits(name, m) for m in group))
-                if suits:
+                if sum(wider.values()) <= max_chars and (min_overlap is None or all(overlaps(ids[name], ids[m]) for m in group)):
                     group.append(name)
                     waiting.remove(name)
                     context = wider
                 elif min_overlap is None:
                     break
-            out += [(number, place, name, sum(context.values())) for place, name in enumerate(group)]
+            total = int(sum(context.values()))
+            yield from ((number, place, name, total) for place, name in enumerate(group))
             number += 1
-        return pd.DataFrame(out, columns=["batch", "place", "entity", "context_chars"]).assign(doc_id=rows["doc_id"].iloc[0])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = [(doc, *b) for doc, entities in zip(rows["doc_id"], rows["entities"], strict=True) for b in batches_of(entities)]
+            yield pd.DataFrame(out, columns=["doc_id", "batch", "place", "entity", "context_chars"])
 
     return run
 
@@ -133,9 +136,10 @@ def evidence_batches(evidence: DataFrame, max_entities: int = 3, min_overlap: fl
 
     A batch starts with the first entity left and takes those that overlap with all its members, within the
     limits of entities and characters. Without min_overlap batches are cut in input order. The greedy order is
-    sequential within a document, so documents are the groups.
+    sequential within a document, so one row holds a document's entities.
     """
-    return evidence.groupBy("doc_id").applyInPandas(_grouped(max_entities, min_overlap, max_chars), f"{_BATCHES}, doc_id long")
+    rows = evidence.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "entity", "ids", "chars"))).alias("entities"))
+    return rows.mapInPandas(_grouped(max_entities, min_overlap, max_chars), _BATCHES)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:

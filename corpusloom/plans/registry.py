@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import text_plans
+from corpusloom.plans import evidence_plans, run_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (text_plans,)
+MODULES = (text_plans, run_plans, evidence_plans)
 
 
 def queries() -> dict[str, Query]:

@@ -10,13 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: One number for every line: order and place alone are not unique.
+LINE_ID = "(l_orderkey * 10 + l_linenumber) * 1000000 + (l_partkey * 31 + l_suppkey * 7 + CAST(floor(l_extendedprice) AS BIGINT) * 1009) % 1000000"
+
 #: name -> (driver table, expressions)
 SHAPES: dict[str, tuple[str, dict[str, str]]] = {
     # lines as triplets: order = document, supplier group = run
     "triplets": (
         "lineitem",
         {
-            "triplet_id": "l_orderkey * 10 + l_linenumber",
+            "triplet_id": LINE_ID,
             "run_id": "concat('run-', l_suppkey % 7)",
             "document_id": "l_orderkey",
             "seq": "l_linenumber",
@@ -41,7 +44,7 @@ SHAPES: dict[str, tuple[str, dict[str, str]]] = {
     "hits": (
         "lineitem",
         {
-            "retrieval_id": "l_orderkey * 10 + l_linenumber", "document_id": "l_orderkey", "entity": "concat('part ', l_partkey % 5)", "sentence_index": "CAST(l_linenumber AS INT)",
+            "retrieval_id": LINE_ID, "document_id": "l_orderkey", "entity": "concat('part ', l_partkey % 5)", "sentence_index": "CAST(l_linenumber AS INT)",
             "rank": "CAST(l_quantity AS INT)", "score": "1 - l_discount", "match_type": "CASE WHEN l_returnflag = 'N' THEN 'semantic' ELSE 'direct' END", "alias": "concat('alias ', l_suppkey % 3)",
             "seq": "l_linenumber", "index": "CAST(l_partkey % 6 AS INT)",
         },
