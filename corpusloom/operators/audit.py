@@ -145,8 +145,8 @@ def coverage(plan: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def work_codes(texts: DataFrame, catalogue: DataFrame, pattern: str) -> DataFrame:
-    """Codes in texts, each with its catalogue entry or none."""
-    found = texts.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("code"))
+    """Codes in a document's texts, each once, with its catalogue entry or none."""
+    found = texts.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("code")).distinct()
     return found.join(catalogue, "code", "left")
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import evidence_plans, run_plans, text_plans
+from corpusloom.plans import evidence_plans, norm_plans, run_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (text_plans, run_plans, evidence_plans)
+MODULES = (text_plans, run_plans, evidence_plans, norm_plans)
 
 
 def queries() -> dict[str, Query]:
@@ -22,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_plans.txt_sentences(spark, sf_dir)
+    """Which documents hold evidence of which benchmark items."""
+    return evidence_plans.ret_benchmark_evidence(spark, sf_dir)
