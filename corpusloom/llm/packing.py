@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,8 +38,8 @@ ROUND = 8192
 MAX_QUEUES = 1000
 #: Rows of the table of places that are still broadcast.
 BROADCAST_ROWS = 500_000
-#: Distinct chunks that a worker remembers.
-CACHE = 400_000
+#: Distinct words that a worker remembers.
+CACHE = 600_000
 END_ID = 0
 #: A tokenizer and the same vocabulary as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -48,13 +47,18 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 _REST = "\x00rest"
 
 
+#: White space beside a space, in the commonest forms, and all white space but these.
+_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_RARE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 class Encoder:
-    """Token ids of texts, remembering those of chunks that begin at a single space.
+    """Token ids of texts, remembering those of words, which here begin after a single space.
 
     Where no space stands beside other white space, a byte-level BPE pre-tokenizer always cuts before a space,
-    so the chunks' ids are those of the text; other texts, and those that spell a special token, go to the
-    tokenizer whole. With ranks (the same vocabulary as a tiktoken file) new chunks are encoded several times
-    faster; the ids are the tokenizer's own, which the tests hold them against.
+    so the words' ids, each with its space, are those of the text; other texts, and those that spell a special
+    token, go to the tokenizer whole. With ranks (the same vocabulary as a tiktoken file) new words are encoded
+    several times faster; the ids are the tokenizer's own, which the tests hold them against.
     """
 
     def __init__(self, path: str, ranks: str | None = None) -> None:
@@ -64,46 +68,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" \s|\s ", *special]))
+        self.odd = (*_BESIDE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.rare = re.compile(_RARE)
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
-        self.ordinary = None
+        self.fast = None
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            self.lengths = np.zeros(max(table.values()) + 1, dtype=np.int64)
+            self.lengths[list(table.values())] = [len(token) for token in table]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if self.ordinary is None:
-            return self._whole(chunks)
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(kind, self.ordinary(c)).tobytes() for c in chunks]
+    def _ids(self, text: str) -> bytes:
+        if self.fast is None:
+            return self._whole([text])[0]
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if self.fast is None:
+            self.known.update(zip(words, self._whole([" " + w for w in words]), strict=True))
+            return
+        # words that end in a letter or sign may stand in a row: their ids are cut by their bytes
+        row = [w for w in words if w and not w[-1].isspace()]
+        if row:
+            ids = self.fast.encode_to_numpy(" " + " ".join(row), disallowed_special=())
+            data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in row])) + 1) * width).tolist()
+            self.known.update(zip(row, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        self.known.update({w: self._ids(" " + w) for w in words if not w or w[-1].isspace()})
+
+    def _is_odd(self, text: str) -> bool:
+        return any(x in text for x in self.odd) or self.rare.search(text) is not None
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text, then the end id; a null text has the end id alone."""
         if len(self.known) > CACHE:
             self.known.clear()
-        chunks: list[list[str] | None] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if text and self.odd.search(text):
-                whole.append(i)
-                chunks.append(None)
+        heads: list[bytes] = []
+        bounds = [0]
+        words: list[str] = []
+        for text in texts:
+            if text and self._is_odd(text):
+                heads.append(self._whole([text])[0])
             else:
                 first, *rest = (text or "").split(" ")
-                chunks.append([first, *[" " + x for x in rest]])
-        missing = list({x for parts in chunks if parts for x in parts} - self.known.keys())
-        self.known.update(zip(missing, self._chunks(missing), strict=True))
-        get = self.known.__getitem__
-        out = [b"" if parts is None else b"".join(map(get, parts)) + self.end for parts in chunks]
-        for i in whole:
-            out[i] = self._whole([texts[i]])[0] + self.end
-        return out
+                heads.append(self._ids(first) if first else b"")
+                words += rest
+            bounds.append(len(words))
+        found = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            self._learn(list({words[i] for i in missing}))
+            for i in missing:
+                found[i] = self.known[words[i]]
+        return [b"".join([head, *found[a:b], self.end]) for head, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
 
 
 def _tokenise(path: str, ranks: str | None) -> Callable:
