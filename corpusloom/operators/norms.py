@@ -129,7 +129,12 @@ def segments(clauses_: DataFrame, most: int = 128, overlap: int = 8) -> DataFram
     per = F.greatest(F.floor((F.lit(most) - F.col("n_prefix")) / 2).cast("int"), F.lit(1))
     step = F.greatest(per - overlap, F.lit(1))
     whole = F.col("n_prefix") + F.size("words") <= most
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), step), lambda i: F.concat(F.col("prefix"), F.lit("\n"), F.array_join(F.slice("words", i + 1, per), " ")))
+    # full segments follow one another by step; behind the first that reaches the end, ever shorter ones repeat its tail
+    n = F.size("words")
+    last = F.ceil(F.greatest(n - per, F.lit(0)) / step).cast("int")
+    tail = F.greatest(F.least(F.lit(overlap), n - last * step - 1), F.lit(0))
+    starts = F.concat(F.transform(F.sequence(F.lit(0), last), lambda k: k * step), F.when(tail > 0, F.sequence(n - tail, n - 1)).otherwise(F.expr("cast(array() as array<int>)")))
+    cut = F.transform(starts, lambda i: F.concat(F.col("prefix"), F.lit("\n"), F.array_join(F.slice("words", i + 1, per), " ")))
     out = row.withColumn("pieces", F.when(whole, F.array(F.concat(F.col("prefix"), F.lit("\n"), F.col("raw_text")))).otherwise(cut)).drop("words", "n_prefix")
     return out.select(*clauses_.columns, F.posexplode("pieces").alias("segment_index", "segment")).withColumn("text_hash", F.sha2("segment", 256))
 

@@ -88,9 +88,11 @@ def nrm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 NRM_SEGMENTS = r"""
 WITH c AS (SELECT doc_id, '【规范：' || source || ' ' || lang || ' ' || doc_id || '】' AS p, text, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS w FROM documents),
 s AS (SELECT doc_id, p, text, w, 3 + len(w) <= 128 AS whole FROM c),
-k AS (SELECT doc_id, p, w, unnest(range(0, greatest(len(w), 1), 54)) AS i FROM s WHERE NOT whole)
+m AS (SELECT *, ceil(greatest(len(w) - 62, 0) / 54.0)::INT AS last FROM s WHERE NOT whole),
+k AS (SELECT doc_id, p, w, unnest(list_concat([x * 54 for x in range(0, last + 1)], range(len(w) - greatest(least(8, len(w) - last * 54 - 1), 0), len(w)))) AS i FROM m),
+j AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM k)
 SELECT doc_id AS clause_id, 0 AS segment_index, sha256(p || chr(10) || text) AS text_hash FROM s WHERE whole
-UNION ALL SELECT doc_id, (i // 54)::INT, sha256(p || chr(10) || array_to_string(w[i + 1:i + 62], ' ')) FROM k
+UNION ALL SELECT doc_id, n::INT, sha256(p || chr(10) || array_to_string(w[i + 1:i + 62], ' ')) FROM j
 """
 
 

@@ -24,7 +24,7 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str, selected: DataFrame | None = None, processed: DataFrame | None = None) -> DataFrame:
     """name and text of the files of a folder, of the selected names and without those processed already."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{md,txt,MD,TXT}").text(folder)
+    texts = spark.read.option("pathGlobFilter", "*.{md,txt,MD,TXT}").text(folder, wholetext=True)
     out = texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
     if selected is not None:
         out = out.join(selected, "name", "left_semi")
@@ -36,7 +36,7 @@ def gold_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
 
     A bare array of triplets becomes one row per triplet of the same schema.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
     rows = raw.withColumn("_sound", F.try_parse_json("value").isNotNull())
     broken = rows.where(~F.col("_sound")).select("path", F.lit("malformed JSON").alias("error"))
@@ -56,7 +56,7 @@ def gold_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 def ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Types and relation rules of an ontology file; items may be names or objects with allowed types."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     types = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.entity_types"), "array<string>")).alias("item"))
     rules = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.relation_types"), "array<string>")).alias("item"))
     name = F.when(F.startswith("item", F.lit("{")), F.coalesce(F.get_json_object("item", "$.name"), F.get_json_object("item", "$.type"))).otherwise(F.col("item"))

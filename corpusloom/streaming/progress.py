@@ -52,7 +52,7 @@ def last_events(events: DataFrame, n: int = 200) -> DataFrame:
 
 def arriving_documents(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of cleaned texts: every new file once, by the checkpoint of the query that reads it."""
-    texts = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.{md,txt}").text(folder)
+    texts = spark.readStream.option("pathGlobFilter", "*.{md,txt}").text(folder, wholetext=True)
     cleaned = tx.clean_document(F.col("value"))
     return texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), cleaned["clean_text"].alias("text"))
 
