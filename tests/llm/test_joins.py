@@ -135,7 +135,7 @@ def test_quotations_are_linked_and_removed(spark):
         (None, 0, "user", "> a\nb"),
         (3, None, "user", "> Hello\nz"),
         (4, 0, "user", "ping"),
-        (4, 400, "user", "> ping\n" + "> filler\n" * 3000 + "pong"),
+        (4, 400, "user", "> ping\n>\n" + "> filler\n" * 3000 + "pong"),
     ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): r for r in quotation.linked(messages).collect()}
