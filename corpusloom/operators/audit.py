@@ -32,23 +32,25 @@ def located(blocks: DataFrame, tasks: DataFrame) -> DataFrame:
     """Best anchor of each task in each document: score and status (located, ambiguous, not_located).
 
     tasks (task_id, locators, region) is a small dimension; a block matches on locators in its text, in the
-    task's region or as a heading. Groups are sections; the anchor is a heading first, then more matches.
+    task's region or as a heading. Groups are sections; the anchor is a heading first, then more matches. Two
+    groups of nearly equal score are ambiguous if the first is outside the region or both matched the same.
     """
     usable = blocks.where((F.col("block_type") != "toc_entry") & (F.col("text") != ""))
     text = F.lower(F.col("text"))
     both = usable.join(F.broadcast(tasks), F.exists("locators", lambda x: F.contains(text, F.lower(x))))
     in_region = (F.col("region") == "") | F.contains(F.lower(F.concat_ws(" ", "section", "text")), F.lower(F.col("region")))
     heading = F.col("block_type") == "heading"
-    both = both.withColumns({"matches": F.size(F.filter("locators", lambda x: F.contains(text, F.lower(x)))), "exact": in_region, "heading": heading}).where(F.col("exact") | F.col("heading"))
+    found = F.filter("locators", lambda x: F.contains(text, F.lower(x)))
+    both = both.withColumns({"found": found, "matches": F.size(found), "exact": in_region, "heading": heading}).where(F.col("exact") | F.col("heading"))
     group = F.when(F.size("section") > 0, F.array_join("section", "/")).otherwise(F.concat(F.lit("block:"), F.col("ordinal").cast("string")))
     anchors = ranked(both.withColumn("group", group), ["document_id", "task_id", "group"], [F.desc("heading"), F.desc("matches"), F.col("ordinal")], "n").where("n = 1")
     score = 0.42 + F.when(F.col("exact"), 0.32).otherwise(0.0) + F.when(F.col("heading"), 0.16).otherwise(0.06) + F.least(F.lit(0.08), 0.02 * F.col("matches"))
     scored = anchors.withColumn("score", F.round(F.least(score, F.lit(0.99)), 3))
     w = W.partitionBy("document_id", "task_id").orderBy(F.desc("score"), "ordinal")
-    best = scored.withColumns({"place": F.row_number().over(w), "next_score": F.lead("score").over(w), "n_groups": F.count("*").over(W.partitionBy("document_id", "task_id"))}).where("place = 1")
+    best = scored.withColumns({"place": F.row_number().over(w), "next_score": F.lead("score").over(w), "next_found": F.lead("found").over(w), "n_groups": F.count("*").over(W.partitionBy("document_id", "task_id"))}).where("place = 1")
     every = blocks.select("document_id").distinct().join(F.broadcast(tasks.select("task_id")))
-    out = every.join(best.select("document_id", "task_id", "ordinal", "score", "next_score", "n_groups"), ["document_id", "task_id"], "left")
-    status = F.when(F.col("score").isNull(), "not_located").when(F.coalesce(F.round(F.col("score") - F.col("next_score"), 3) < GAP, F.lit(False)), "ambiguous").otherwise("located")
+    out = every.join(best.select("document_id", "task_id", "ordinal", "score", "next_score", "n_groups", (~F.col("exact") | F.coalesce(F.col("found") == F.col("next_found"), F.lit(False))).alias("close")), ["document_id", "task_id"], "left")
+    status = F.when(F.col("score").isNull(), "not_located").when(F.col("close") & F.coalesce(F.round(F.col("score") - F.col("next_score"), 3) < GAP, F.lit(False)), "ambiguous").otherwise("located")
     return out.select("document_id", "task_id", F.col("ordinal").alias("anchor"), "score", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), status.alias("status"))
 
 
@@ -198,3 +200,51 @@ def step_rows(tables: DataFrame, step: str, hazard: str) -> DataFrame:
     got = rows.select("table_id", "n", F.posexplode(tx.steps(value_at(F.col("row"), column_index(F.col("header"), step)))).alias("k", "step"), value_at(F.col("row"), column_index(F.col("header"), hazard)).alias("hazard"))
     first = ranked(got, ["table_id", "step"], [F.col("n"), F.col("k")], "_n").where("_n = 1")
     return first.withColumn("place", F.row_number().over(W.partitionBy("table_id").orderBy("n", "k"))).select("table_id", "place", "step", "hazard")
+
+
+def toc_region(blocks: DataFrame) -> DataFrame:
+    """Directory entries of each document: anchor, last ordinal and their number."""
+    return blocks.where("block_type = 'toc_entry'").groupBy("document_id").agg(F.min("ordinal").alias("anchor"), F.max("ordinal").alias("last"), F.count("*").alias("n_blocks"))
+
+
+def cover_region(blocks: DataFrame, most: int = 12) -> DataFrame:
+    """The first blocks of each document up to the next heading, most at most."""
+    w = W.partitionBy("document_id").orderBy("ordinal")
+    body = blocks.where("block_type <> 'toc_entry'").withColumn("n", F.row_number().over(w))
+    first = body.where(F.col("n") <= most)
+    stop = first.where((F.col("block_type") == "heading") & (F.col("n") > 1)).groupBy("document_id").agg(F.min("n").alias("stop"))
+    kept = first.join(stop, "document_id", "left").where(F.col("stop").isNull() | (F.col("n") < F.col("stop")))
+    return kept.groupBy("document_id").agg(F.min("ordinal").alias("anchor"), F.max("ordinal").alias("last"), F.count("*").alias("n_blocks"))
+
+
+def appendix_region(blocks: DataFrame, title: str, any_title: str) -> DataFrame:
+    """Blocks from the last block that holds a title (lists of appendices come before) to the next block that starts one."""
+    body = blocks.where("block_type <> 'toc_entry'")
+    start = body.where(F.contains("text", F.lit(title))).groupBy("document_id").agg(F.max("ordinal").alias("anchor"))
+    after = body.where(F.col("text").rlike(any_title)).join(start, "document_id").where("ordinal > anchor").groupBy("document_id").agg(F.min("ordinal").alias("stop"))
+    inside = body.join(start, "document_id").join(after, "document_id", "left").where((F.col("ordinal") >= F.col("anchor")) & (F.col("stop").isNull() | (F.col("ordinal") < F.col("stop"))))
+    return inside.groupBy("document_id", "anchor").agg(F.max("ordinal").alias("last"), F.count("*").alias("n_blocks"))
+
+
+def flat_results(outputs: DataFrame) -> DataFrame:
+    """One row per output (document_id, task_id, kind, summary, candidates), one per candidate where there are any."""
+    rows = outputs.withColumn("total", F.size("candidates")).select("document_id", "task_id", "kind", "summary", "total", F.posexplode_outer("candidates").alias("place", "candidate"))
+    return rows.select("document_id", "task_id", "kind", "summary", F.nullif("total", F.lit(0)).alias("candidate_total"), (F.col("place") + 1).alias("place"), "candidate")
+
+
+#: Kinds of supplied suggestions, and candidates that one may hold.
+SUGGESTION_KINDS = ("missing_jsa_step", "missing_hazard_group", "missing_control_measure")
+MOST_CANDIDATES = 8
+
+
+def advisories(suggestions: DataFrame) -> DataFrame:
+    """suggestions (kind, step, total, returned, candidates) as advisories, or with the rule of the contract they break."""
+    group = F.col("kind") == "missing_hazard_group"
+    n = F.size("candidates")
+    broken = F.when(~F.col("kind").isin(*SUGGESTION_KINDS), "unknown_kind").when(
+        group & F.coalesce((n > MOST_CANDIDATES) | (F.col("returned") != n) | (F.col("total") < F.col("returned")) | (n < 0), F.lit(True)), "invalid_group"
+    )
+    summary = F.when(F.col("kind") == "missing_jsa_step", F.concat(F.lit("step not covered: "), F.coalesce("step", F.lit("-")))).when(
+        group, F.concat(F.coalesce("step", F.lit("-")), F.lit(": "), F.col("total").cast("string"), F.lit(" candidates, "), F.col("returned").cast("string"), F.lit(" shown"))
+    ).otherwise(F.concat(F.lit("control measure: "), F.coalesce("step", F.lit("-"))))
+    return suggestions.withColumns({"broken": broken, "summary": F.when(broken.isNull(), summary)})

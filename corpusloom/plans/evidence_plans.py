@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunks, evaluate, graph, retrieve, triplets
+from corpusloom.operators import chunks, evaluate, graph, profiles, retrieve, triplets
 from corpusloom.plans.shapes import RULES_SQL, cte, rules, shape, table
 from corpusloom.plans.text_plans import DELIMITERS, SENTENCES_SQL
 
@@ -312,6 +312,17 @@ WITH {_ADMIT}, k AS (SELECT DISTINCT concat('supplier ', s_suppkey % 50) AS name
 SELECT triplet_id, head_type, tail_type FROM admitted WHERE status = 'admitted' AND (tail_type <> 'Material' OR tail IN (SELECT name FROM k))
 """
 
+def trp_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplets that each method keeps, by run: methods without a schema check keep all."""
+    kept = profiles.admitted_by_method(triplets.admitted(shape(spark, sf_dir, "triplets"), rules(spark)))
+    return kept.groupBy("method_id", "run_id").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("n_documents"))
+
+
+TRP_PROFILES = f"""
+WITH {_ADMIT}, m AS (SELECT * FROM (VALUES {', '.join(f"('{p[0]}', {p[-1]})" for p in profiles.PROFILES)}) m(method_id, schema_check))
+SELECT method_id, run_id, count(*) AS n, count(DISTINCT document_id) AS n_documents FROM admitted, m WHERE NOT schema_check OR status <> 'rejected' GROUP BY ALL
+"""
+
 # --- scores ---
 
 
@@ -642,7 +653,7 @@ _PAIRS = [
     (ret_direct, RET_DIRECT), (ret_benchmark_evidence, RET_BENCHMARK), (ret_semantic, RET_SEMANTIC), (ret_normalised, RET_NORMALISED), (ret_merged, RET_MERGED), (ret_local_context, RET_LOCAL), (ret_context_text, RET_CONTEXT),
     (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST),
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
-    (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED),
+    (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),
     (evl_linking, EVL_LINKING), (evl_canonical, EVL_CANONICAL), (evl_canonical_entities, EVL_CANONICAL_ENTITIES), (evl_heads, EVL_HEADS), (evl_coverage, EVL_COVERAGE), (evl_blind, EVL_BLIND),
     (grf_names, f"WITH {_NAMES} SELECT * FROM names"), (grf_assertions, f"WITH {_NAMES} SELECT assertion_id, head_type, head_name, relation, tail_type, tail_name, document_id FROM assertions"), (grf_edges, GRF_EDGES),

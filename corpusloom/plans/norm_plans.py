@@ -260,15 +260,67 @@ def aud_located(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUD_LOCATED = f"""
 WITH {BLOCKS_SQL}, s AS (SELECT *, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal) AS section FROM blocks),
 t AS (SELECT * FROM (VALUES {', '.join(f"('{i}', {x})" for i, x, _ in TASKS)}) t(task_id, locators)),
-m AS (SELECT document_id, task_id, ordinal, block_type = 'heading' AS heading, len([x for x in locators if contains(lower(text), lower(x))]) AS k, coalesce(section, 'block:' || ordinal) AS g FROM s, t WHERE block_type <> 'toc_entry' AND text <> ''),
+m AS (SELECT document_id, task_id, ordinal, block_type = 'heading' AS heading, [x for x in locators if contains(lower(text), lower(x))] AS f, len([x for x in locators if contains(lower(text), lower(x))]) AS k, coalesce(section, 'block:' || ordinal) AS g FROM s, t WHERE block_type <> 'toc_entry' AND text <> ''),
 a AS (SELECT * FROM m WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY document_id, task_id, g ORDER BY heading DESC, k DESC, ordinal) = 1),
 c AS (SELECT *, round(least(0.42 + 0.32 + CASE WHEN heading THEN 0.16 ELSE 0.06 END + least(0.08, 0.02 * k), 0.99)::DOUBLE, 3) AS score FROM a),
-b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, count(*) OVER (PARTITION BY document_id, task_id) AS n FROM c WINDOW w AS (PARTITION BY document_id, task_id ORDER BY score DESC, ordinal))
-SELECT d.document_id, d.task_id, b.ordinal::INT AS anchor, score, coalesce(n, 0) AS n_groups, CASE WHEN score IS NULL THEN 'not_located' WHEN coalesce(round(score - nxt, 3) < 0.06, false) THEN 'ambiguous' ELSE 'located' END AS status
+b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, f = lead(f) OVER w AS same, count(*) OVER (PARTITION BY document_id, task_id) AS n FROM c WINDOW w AS (PARTITION BY document_id, task_id ORDER BY score DESC, ordinal))
+SELECT d.document_id, d.task_id, b.ordinal::INT AS anchor, score, coalesce(n, 0) AS n_groups, CASE WHEN score IS NULL THEN 'not_located' WHEN coalesce(same AND round(score - nxt, 3) < 0.06, false) THEN 'ambiguous' ELSE 'located' END AS status
 FROM (SELECT DISTINCT document_id, task_id FROM blocks, t) d LEFT JOIN b ON b.document_id = d.document_id AND b.task_id = d.task_id AND place = 1
 """
 
 
+def aud_special_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory, cover and appendix regions of pages; "Le" plays an appendix title."""
+    b = blocks(spark, sf_dir)
+    parts = {"toc": audit.toc_region(b), "cover": audit.cover_region(b), "appendix": audit.appendix_region(b, "Le", "^(?:Le|The)")}
+    out = None
+    for name, df in parts.items():
+        one = df.select("document_id", F.lit(name).alias("region"), "anchor", "last", "n_blocks")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+AUD_SPECIAL = f"""
+WITH {BLOCKS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS n FROM blocks WHERE block_type <> 'toc_entry'),
+c AS (SELECT *, min(CASE WHEN n > 1 AND n <= 12 AND block_type = 'heading' THEN n END) OVER (PARTITION BY document_id) AS stop FROM b),
+s AS (SELECT document_id, max(ordinal) AS a FROM b WHERE contains(text, 'Le') GROUP BY document_id),
+e AS (SELECT b.document_id, min(ordinal) AS e FROM b JOIN s USING (document_id) WHERE ordinal > a AND regexp_matches(text, '^(?:Le|The)') GROUP BY b.document_id)
+SELECT document_id, 'toc' AS region, min(ordinal)::INT AS anchor, max(ordinal)::INT AS last, count(*) AS n_blocks FROM blocks WHERE block_type = 'toc_entry' GROUP BY document_id
+UNION ALL SELECT document_id, 'cover', min(ordinal)::INT, max(ordinal)::INT, count(*) FROM c WHERE n <= 12 AND (stop IS NULL OR n < stop) GROUP BY document_id
+UNION ALL SELECT b.document_id, 'appendix', a::INT, max(ordinal)::INT, count(*) FROM b JOIN s USING (document_id) LEFT JOIN e USING (document_id) WHERE ordinal >= a AND (e IS NULL OR ordinal < e) GROUP BY b.document_id, a
+"""
+
+
+def aud_flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as outputs, their urgent lines' parts as candidates."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("candidates"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    out = rows.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("task_id"), F.lit("advisories").alias("kind"), F.col("o_orderstatus").alias("summary"), F.coalesce("candidates", F.expr("cast(array() as array<string>)")).alias("candidates"))
+    return audit.flat_results(out)
+
+
+AUD_FLAT = """
+WITH l AS (SELECT DISTINCT l_orderkey, l_partkey::VARCHAR AS c FROM lineitem WHERE l_quantity > 45), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY c) AS k FROM l)
+SELECT o_orderkey AS document_id, o_orderpriority AS task_id, 'advisories' AS kind, o_orderstatus AS summary, t::INT AS candidate_total, k::INT AS place, c AS candidate FROM orders LEFT JOIN n ON l_orderkey = o_orderkey
+"""
+
+
+def aud_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' orders as suggestions, some of them against the contract."""
+    p = table(spark, sf_dir, "part").select(
+        F.element_at(F.array(*[F.lit(k) for k in (*audit.SUGGESTION_KINDS, "other")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("kind"), F.col("p_name").alias("step"), (F.col("p_size") % 12).alias("total"), (F.col("p_size") % 10).alias("returned"),
+        F.array_repeat(F.lit("x"), F.col("p_size") % 10).alias("candidates"),
+    )
+    return audit.advisories(p).groupBy("kind", "broken").agg(F.count("*").alias("n"), F.max("summary").alias("summary"))
+
+
+AUD_ADVISORIES = """
+WITH p AS (SELECT (['missing_jsa_step', 'missing_hazard_group', 'missing_control_measure', 'other'])[p_partkey % 4 + 1] AS kind, p_name, p_size % 12 AS t, p_size % 10 AS r FROM part),
+b AS (SELECT *, CASE WHEN kind = 'other' THEN 'unknown_kind' WHEN kind = 'missing_hazard_group' AND (r > 8 OR t < r) THEN 'invalid_group' END AS broken FROM p)
+SELECT kind, broken, count(*) AS n, max(CASE WHEN broken IS NULL THEN CASE kind WHEN 'missing_jsa_step' THEN 'step not covered: ' || p_name WHEN 'missing_hazard_group' THEN p_name || ': ' || t || ' candidates, ' || r || ' shown' ELSE 'control measure: ' || p_name END END) AS summary FROM b GROUP BY kind, broken
+"""
+
+
 def aud_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks from each page's heading to the next, within the limits of an evidence group."""
     b = blocks(spark, sf_dir)
@@ -462,7 +514,7 @@ UNION ALL SELECT 'unknown_handler', count(*) FROM l WHERE o % 3 <> 0 AND o % 7 =
 _PAIRS = [
     (nrm_clauses, NRM_CLAUSES), (nrm_violations, NRM_VIOLATIONS), (nrm_cycles, NRM_CYCLES), (nrm_applicable, NRM_APPLICABLE), (nrm_coverage, NRM_COVERAGE), (nrm_segments, NRM_SEGMENTS), (nrm_costed_segments, None), (nrm_release, NRM_RELEASE),
     (nrm_clause_search, NRM_SEARCH), (nrm_search_windows, NRM_WINDOWS), (nrm_referenced, NRM_REFERENCED), (aln_scores, ALN_SCORES), (aln_deduplicated, ALN_DEDUPLICATED), (aln_pairs, None), (aln_groups, None), (aln_components, ALN_COMPONENTS), (aln_decisions, ALN_DECISIONS),
-    (aln_known, ALN_KNOWN), (aud_sections, AUD_SECTIONS), (aud_located, AUD_LOCATED), (aud_regions, AUD_REGIONS), (aud_missing_columns, AUD_COLUMNS), (aud_missing_values, AUD_VALUES), (aud_headcounts, AUD_HEADCOUNTS),
+    (aln_known, ALN_KNOWN), (aud_sections, AUD_SECTIONS), (aud_located, AUD_LOCATED), (aud_regions, AUD_REGIONS), (aud_special_regions, AUD_SPECIAL), (aud_flat_results, AUD_FLAT), (aud_advisories, AUD_ADVISORIES), (aud_missing_columns, AUD_COLUMNS), (aud_missing_values, AUD_VALUES), (aud_headcounts, AUD_HEADCOUNTS),
     (aud_missing_labels, AUD_LABELS), (aud_values, AUD_VALUES_SQL), (aud_equipment, AUD_EQUIPMENT), (aud_work_codes, AUD_CODES), (aud_report, AUD_REPORT), (aud_task_evidence, AUD_TASK), (aud_context, AUD_CONTEXT), (aud_steps, AUD_STEPS),
     (src_catalogue, SRC_CATALOGUE), (src_task_library, SRC_LIBRARY),
 ]
