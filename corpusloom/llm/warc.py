@@ -132,7 +132,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in RECORD_TYPE.split(", ")]
     for batch in batches:
         for content in batch["content"]:
-            data = zlib.decompressobj(47).decompress(content) if content[:2] != b"\x1f\x8b" else b"".join(_members(content))
+            data = b"".join(_members(content)) if content[:2] == b"\x1f\x8b" else bytes(content)
             rows, size = [], 0
             for record in parse(data):
                 rows.append(record)
@@ -158,26 +158,31 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_parse_files, RECORD_TYPE)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payloads: bool = True, both_ways: bool = True) -> DataFrame:
     """One row per capture: its response or revisit record with the requests and metadata concurrent to it.
 
     Columns: capture_id, record_type, target_uri, date, refers_to, payload_digest, digest_matches, payload_bytes,
-    payload, requests and metadata (arrays of structs, by record id). Links in either direction count, and more
-    than one may be given. A capture without partners has empty arrays; a partner whose capture is not in the
-    archives has no row. No records give no rows; a record met twice (archives copied) counts once.
+    payload, requests and metadata (arrays of structs, by record id). Records meet under the id of their capture
+    in one exchange, in which payloads of captures take part only if asked for. A request or metadata record may
+    name several captures; with both_ways captures may also name their partners, which takes a second join. A
+    capture without partners has empty arrays; a partner whose capture is not in the archives has no row. No
+    records give no rows; a record met twice (archives copied) counts once.
     """
-    main = records.where(F.col("record_type").isin("response", "revisit"))
-    other = records.where(F.col("record_type").isin("request", "metadata"))
-    part = F.struct("record_type", "record_id", "head", "payload")
-    named = other.select(F.explode("concurrent_to").alias("capture_id"), part.alias("part"))
-    naming = main.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("other_id"))
-    naming = naming.join(other.select(F.col("record_id").alias("other_id"), part.alias("part")), "other_id").select("capture_id", "part")
-    parts = named.unionByName(naming).groupBy("capture_id").agg(F.array_sort(F.collect_set("part")).alias("parts"))
-    of = lambda kind: F.transform(F.filter("parts", lambda p: p["record_type"] == kind), lambda p: F.struct(p["record_id"], p["head"], p["payload"]))
-    out = main.withColumnRenamed("record_id", "capture_id").dropDuplicates(["capture_id"]).join(parts, "capture_id", "left")
-    return out.withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<record_type:string,record_id:string,head:string,payload:binary>>)"))).select(
-        "capture_id", "record_type", "target_uri", "date", "refers_to", "payload_digest", "digest_matches", "payload_bytes", "payload", of("request").alias("requests"), of("metadata").alias("metadata")
-    )
+    is_main = F.col("record_type").isin("response", "revisit")
+    is_part = F.col("record_type").isin("request", "metadata")
+    payload = F.col("payload") if payloads else F.when(is_part, F.col("payload"))
+    fields = ["record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest", "digest_matches", "payload_bytes", "head"]
+    told = records.where(is_main | is_part).withColumn("record", F.struct(*fields, payload.alias("payload")))
+    keyed = told.select(F.explode(F.when(is_main, F.array("record_id")).otherwise(F.col("concurrent_to"))).alias("capture_id"), "record")
+    if both_ways:
+        naming = told.where(is_main).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("part_id"))
+        parts = told.where(is_part).select(F.col("record_id").alias("part_id"), "record")
+        keyed = keyed.unionByName(naming.join(parts, "part_id").select("capture_id", "record"))
+    met = keyed.groupBy("capture_id").agg(F.array_sort(F.collect_set("record")).alias("all"))
+    kind = lambda *names: F.filter("all", lambda r: r["record_type"].isin(*names))
+    parts_of = lambda name: F.transform(kind(name), lambda r: F.struct(r["record_id"].alias("record_id"), r["head"].alias("head"), r["payload"].alias("payload")))
+    out = met.select("capture_id", F.try_element_at(kind("response", "revisit"), F.lit(1)).alias("main"), parts_of("request").alias("requests"), parts_of("metadata").alias("metadata"))
+    return out.where("main is not null").select("capture_id", *[F.col(f"main.{c}") for c in fields if c not in ("record_id", "head")], "main.payload", "requests", "metadata")
 
 
 def op4_warc(pages: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ def op4_warc(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_captures(pages.select("page_id", "url", "html"), path)
-    captures = assemble(read_records(spark, path))
+    captures = assemble(read_records(spark, path), payloads=False, both_ways=False)  # write_captures names captures from the other records
     told = F.regexp_extract(F.element_at("metadata", 1)["payload"].cast("string"), r"pageId: (-?\d+)", 1)
     kind = pages.schema["page_id"].dataType
     sound = F.when(F.coalesce("digest_matches", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("capture_id"))))
