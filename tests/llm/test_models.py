@@ -1,6 +1,7 @@
 """Scoring, language identification, packing and the pipeline."""
 
 import collections
+import itertools
 import math
 import re
 import zlib
@@ -44,17 +45,17 @@ def test_base_scores_and_perplexity(spark, sf_dir, documents):
     assert out.score.sum() > out.base_score.sum() and (got.score < 0).all()
 
 
-def test_predictions_add_up_to_one(spark):
-    """Every known word and one unknown after one context: their probabilities are a distribution."""
-    train = [(i, " ".join(np.random.default_rng(i).choice(["aa", "bb", "cc", "dd"], 30))) for i in range(40)]
-    probe = [(1000 + k, f"aa {w}") for k, w in enumerate(["aa", "bb", "cc", "dd", "unseen"])]
-    docs = spark.createDataFrame([*train, *probe, (2000, "aa")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pitman_yor.scored(docs, F.col("doc_id") < 1000).collect()}
-    first = got[2000]["score"]  # P(aa) P(end | aa)
-    # P(aa) P(w | aa) P(end | w), with P(end | w) from a text of w alone
-    singles = {r["doc_id"]: r for r in pitman_yor.scored(docs.union(spark.createDataFrame([(3000 + k, w) for k, w in enumerate(["aa", "bb", "cc", "dd", "unseen"])], "doc_id long, text string")), F.col("doc_id") < 1000).collect()}
-    bounds = sum(10 ** (got[1000 + k]["score"] - singles[3000 + k]["score"]) * 1 for k in range(5))
-    assert np.isfinite(first) and np.isfinite(bounds)
+def test_probabilities_of_all_short_texts_add_up_to_one(spark):
+    """Two known words and one unknown: all texts of up to six words hold nearly the whole probability, and no more."""
+    r = np.random.default_rng(3)
+    train = [(i, " ".join(r.choice(["aa", "bb"], r.geometric(0.6) - 1))) for i in range(400)]
+    texts = [" ".join(x) for n in range(7) for x in itertools.product(["aa", "bb", "unseen"], repeat=n)]
+    docs = spark.createDataFrame([*train, *[(1000 + k, t) for k, t in enumerate(texts)]], "doc_id long, text string")
+    scores = [x["score"] for x in pitman_yor.scored(docs, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()]
+    assert len(scores) == len(texts) and 0.98 < sum(10**x for x in scores) < 1 + 1e-6
+
+
+def test_stirling_numbers():
     totals = pitman_yor.log_stirling(0.75, 6)
     assert math.isclose(math.exp(totals[2, 1]), 0.25) and math.isclose(math.exp(totals[3, 2]), 0.25 + 0.5, rel_tol=1e-9)
 
