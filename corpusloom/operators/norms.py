@@ -123,19 +123,24 @@ def segments(clauses_: DataFrame, most: int = 128, overlap: int = 8) -> DataFram
 
     A word costs one token and a joint; the prefix's words are taken from every segment's budget.
     """
+    head = F.col("prefix")
+
+    def pieces(words: Column, n_prefix: Column) -> Column:
+        n = F.size(words)
+        per = F.greatest(F.floor((F.lit(most) - n_prefix) / 2).cast("int"), F.lit(1))
+        step = F.greatest(per - overlap, F.lit(1))
+        # full segments follow one another by step; behind the first that reaches the end, ever shorter ones repeat its tail
+        last = F.ceil(F.greatest(n - per, F.lit(0)) / step).cast("int")
+        tail = F.greatest(F.least(F.lit(overlap), n - last * step - 1), F.lit(0))
+        starts = F.concat(F.transform(F.sequence(F.lit(0), last), lambda k: k * step), F.when(tail > 0, F.sequence(n - tail, n - 1)).otherwise(F.expr("cast(array() as array<int>)")))
+        cut = F.transform(starts, lambda i: F.concat(head, F.lit("\n"), F.array_join(F.slice(words, i + 1, per), " ")))
+        return F.when(n_prefix + n <= most, F.array(F.concat(head, F.lit("\n"), F.col("raw_text")))).otherwise(cut)
+
     words = F.filter(F.split("raw_text", r"(?U)\s+"), lambda w: w != "")
     n_prefix = F.size(F.split("prefix", r"(?U)\s+"))
-    row = clauses_.withColumns({"words": words, "n_prefix": n_prefix})
-    per = F.greatest(F.floor((F.lit(most) - F.col("n_prefix")) / 2).cast("int"), F.lit(1))
-    step = F.greatest(per - overlap, F.lit(1))
-    whole = F.col("n_prefix") + F.size("words") <= most
-    # full segments follow one another by step; behind the first that reaches the end, ever shorter ones repeat its tail
-    n = F.size("words")
-    last = F.ceil(F.greatest(n - per, F.lit(0)) / step).cast("int")
-    tail = F.greatest(F.least(F.lit(overlap), n - last * step - 1), F.lit(0))
-    starts = F.concat(F.transform(F.sequence(F.lit(0), last), lambda k: k * step), F.when(tail > 0, F.sequence(n - tail, n - 1)).otherwise(F.expr("cast(array() as array<int>)")))
-    cut = F.transform(starts, lambda i: F.concat(F.col("prefix"), F.lit("\n"), F.array_join(F.slice("words", i + 1, per), " ")))
-    out = row.withColumn("pieces", F.when(whole, F.array(F.concat(F.col("prefix"), F.lit("\n"), F.col("raw_text")))).otherwise(cut)).drop("words", "n_prefix")
+    # both are bound once, as elements of an array: an expression would be computed wherever it is used
+    bound = F.array(F.struct(words.alias("words"), n_prefix.alias("n")))
+    out = clauses_.withColumn("pieces", F.element_at(F.transform(bound, lambda x: pieces(x["words"], x["n"])), 1))
     return out.select(*clauses_.columns, F.posexplode("pieces").alias("segment_index", "segment")).withColumn("text_hash", F.sha2("segment", 256))
 
 
