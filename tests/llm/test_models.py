@@ -55,6 +55,15 @@ def test_probabilities_of_all_short_texts_add_up_to_one(spark):
     assert len(scores) == len(texts) and 0.98 < sum(10**x for x in scores) < 1 + 1e-6
 
 
+def test_scores_do_not_depend_on_the_number_of_parts(spark, sf_dir, monkeypatch):
+    docs, found = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for chars in (1 << 40, 1000):  # 4 parts, and one for every 1000 characters
+        monkeypatch.setattr(pitman_yor, "PART_CHARS", chars)
+        found.append(pitman_yor.scored(docs, F.lit(True)).toPandas().sort_values("doc_id"))
+    few, many = (f.score.values / f.n_tokens.values for f in found)
+    assert abs((few - many).mean()) < 0.002 and np.abs(few - many).max() < 0.1
+
+
 def test_stirling_numbers():
     totals = pitman_yor.log_stirling(0.75, 6)
     assert math.isclose(math.exp(totals[2, 1]), 0.25) and math.isclose(math.exp(totals[3, 2]), 0.25 + 0.5, rel_tol=1e-9)
