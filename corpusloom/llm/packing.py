@@ -1,10 +1,11 @@
 """Mixture-controlled packing.
 
-Every source is a queue of tokens, cut into grains. Deficit round-robin deals grains to sequences: at each step
-every queue earns its target share and the queue that is owed most sends one grain. The dealing order over a
-round of grains is a pattern; it repeats until a queue runs empty, then the others go on with what they are owed
-(a phase). So the sequence and place of any grain follow from its number in its queue by arithmetic, and
-deficits carry over from sequence to sequence and across partitions though no partition waits for another.
+Every source is a queue of tokens, cut into grains. A queue of share p is owed its grain j at the time (j + u) / p,
+where u in (0, 1) is the queue's own and keeps small queues from being owed all at once; grains are dealt to
+sequences in the order of these times. How many grains of any queue come before a time is arithmetic, and so is the
+sequence and place of any grain: no queue is ever a grain from what it is owed by then, however small its share, and
+deficits carry over from sequence to sequence and across partitions though no partition waits for another. When a
+queue runs empty the others go on at the same times, in the proportions of their shares.
 
 Documents are tokenised once and stored in the shared folder with their places among their queue's tokens of the
 same partition; sums by partition and queue give the places in the whole queue.
@@ -16,7 +17,6 @@ import base64
 import os
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from corpusloom.llm.common import written
 SEQUENCE = 1024
 #: Tokens dealt at once; a document is cut at grains, or where it starts or ends.
 GRAIN = 64
-#: Grains in one dealing pattern.
-ROUND = 8192
+#: Numbers of queues by numbers of grains that are compared at once.
+COMPARED = 1 << 20
 #: Queues beyond the largest so many share one.
 MAX_QUEUES = 1000
 #: Rows of the table of places that are still broadcast.
@@ -149,67 +149,47 @@ def _tokenise(path: str, ranks: str | None) -> Callable:
     return run
 
 
-@dataclass
-class _Phase:
-    """One pattern: its first grain among all, each queue's first grain in it and that queue's places in the pattern."""
-
-    start: int
-    first: dict[str, int]
-    places: dict[str, np.ndarray]
-    length: int
-
-
 class Dealing:
-    """Where each grain of each queue goes. tokens: queue -> number of tokens; targets: queue -> share, or by size."""
+    """Where each grain of each queue goes. tokens: queue -> number of tokens; targets: queue -> share, or by size.
+
+    Queues without a target follow when those with one are empty, in the proportions of their sizes.
+    """
 
     def __init__(self, tokens: dict[str, int], targets: dict[str, float] | None = None) -> None:
         self.tokens = {q: n for q, n in sorted(tokens.items()) if n}
-        grains = {q: -(-n // GRAIN) for q, n in self.tokens.items()}
-        done = dict.fromkeys(grains, 0)
-        owed = dict.fromkeys(grains, 0.0)
-        self.phases: list[_Phase] = []
-        start = 0
-        while active := [q for q in grains if done[q] < grains[q]]:
-            left = np.array([grains[q] - done[q] for q in active], dtype=np.int64)
-            share = left / left.sum()
-            if targets is not None and any(targets.get(q, 0) > 0 for q in active):
-                share = np.array([targets.get(q, 0.0) for q in active])
-                share = share / share.sum()
-            credit = np.array([owed[q] for q in active])
-            length = int(min(ROUND, left.sum()))
-            order = np.empty(length, dtype=np.int32)
-            for i in range(length):
-                credit += share
-                order[i] = k = int(np.argmax(credit))
-                credit[k] -= 1
-            places = [np.flatnonzero(order == k) for k in range(len(active))]
-            # the grain at which the first queue runs empty
-            ends = [int((n - 1) // len(p)) * length + int(p[(n - 1) % len(p)]) + 1 if len(p) else None for n, p in zip(left.tolist(), places, strict=True)]
-            end = min(e for e in ends if e is not None)
-            self.phases.append(_Phase(start, {q: done[q] for q in active}, {q: p for q, p in zip(active, places, strict=True) if len(p)}, length))
-            rounds, rest = divmod(end, length)
-            for k, q in enumerate(active):
-                sent = rounds * len(places[k]) + int(np.searchsorted(places[k], rest))
-                owed[q] = owed[q] + float(share[k]) * end - sent
-                done[q] += sent
-            start += end
-        self.starts = {q: np.array([p.first.get(q, grains[q]) for p in self.phases], dtype=np.int64) for q in grains}
+        self.number = {q: k for k, q in enumerate(self.tokens)}
+        self.grains = np.array([-(-n // GRAIN) for n in self.tokens.values()], dtype=np.int64)
+        aimed = np.array([max((targets or {}).get(q, 0.0), 0.0) for q in self.tokens])
+        self.late = aimed == 0
+        self.step = 1 / np.where(self.late, self.grains, aimed)  # times between the grains of a queue
+        by_size = np.empty(len(self.grains), dtype=np.int64)
+        by_size[np.argsort(-self.grains, kind="stable")] = np.arange(len(self.grains))
+        self.first = (0.5 + by_size * 0.6180339887498949) % 1  # spread evenly, also over queues of one size
         self.short: dict[int, list[tuple[int, int]]] = {}
-        for q, n in self.tokens.items():
+        for (q, n), grains in zip(self.tokens.items(), self.grains.tolist(), strict=True):
             if n % GRAIN:
-                w, at = (int(x[0]) for x in divmod(self.grain(q, np.array([grains[q] - 1])), SEQUENCE // GRAIN))
+                w, at = (int(x[0]) for x in divmod(self.grain(q, np.array([grains - 1])), SEQUENCE // GRAIN))
                 self.short.setdefault(w, []).append((at, GRAIN - n % GRAIN))
 
     def grain(self, queue: str, numbers: np.ndarray) -> np.ndarray:
         """Places among all grains of those with the given numbers in their queue."""
-        phase = np.searchsorted(self.starts[queue], numbers, side="right") - 1
+        k = self.number[queue]
+        peers = np.flatnonzero(self.late == self.late[k])
+        first, step, most, ahead = self.first[peers], self.step[peers], self.grains[peers], peers < k
+        start = int(self.grains[~self.late].sum()) if self.late[k] else 0
         out = np.empty(len(numbers), dtype=np.int64)
-        for p in np.unique(phase):
-            # a queue that an earlier pattern passed over has the same first grain in both phases: the last holds it
-            here, at = self.phases[p], phase == p
-            places = here.places[queue]
-            rounds, rest = np.divmod(numbers[at] - here.first[queue], len(places))
-            out[at] = here.start + rounds * here.length + places[rest]
+        width = max(1, COMPARED // len(peers))
+        for a in range(0, len(numbers), width):
+            time = ((numbers[a : a + width] + self.first[k]) * self.step[k])[:, None]
+
+            def before(number: np.ndarray, time: np.ndarray = time) -> np.ndarray:
+                other = (number + first) * step
+                return (other < time) | ((other == time) & ahead)
+
+            n = np.clip(np.ceil(time / step - first).astype(np.int64), 0, most)
+            n -= (n > 0) & ~before(n - 1)  # the quotient may be rounded over a whole number
+            n += (n < most) & before(n)
+            out[a : a + width] = start + n.sum(axis=1)
         return out
 
     def pieces(self, queue: str, place: int, n: int) -> tuple[np.ndarray, ...]:

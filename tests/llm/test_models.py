@@ -164,6 +164,20 @@ def test_dealing_with_targets_and_many_queues():
     assert head["q0"] >= 10 or head == {"q0": 10, "q3": 10}
 
 
+def test_small_sources_are_dealt_at_their_share_to_the_end():
+    """Sources far below one grain in 8192 are spread over the whole corpus, and no large one lags behind."""
+    grains = {"tiny": 3, "small": 60, "a": 1_000_000, "b": 700_000, "c": 300_000, "single1": 1, "single2": 1}
+    for targets in (None, {q: n / 3 for q, n in grains.items() if q != "c"}):
+        plan = packing.Dealing({q: n * packing.GRAIN for q, n in grains.items()}, targets)
+        places = {q: plan.grain(q, np.arange(n)) for q, n in grains.items()}
+        assert (np.sort(np.concatenate(list(places.values()))) == np.arange(sum(grains.values()))).all()
+        dealt = sum(n for q, n in grains.items() if targets is None or q in targets)
+        for q, n in grains.items():
+            if targets is None or q in targets:
+                share = n / dealt
+                assert np.abs(np.arange(n) + 0.5 - (places[q] + 0.5) * share).max() <= 2
+
+
 def test_queues_beyond_the_largest_share_one(spark, monkeypatch):
     monkeypatch.setattr(packing, "MAX_QUEUES", 2)
     texts = {i: f"text number {i} " * (i + 1) for i in range(30)}
