@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
+from corpusloom.operators.ordering import numbered
 
 #: Least characters of a normalised line that is matched apart from its passage.
 LINE_CHARS = 20
 #: Turns that one row of a conversation spans; longer conversations have more rows.
 PART = 256
+#: Messages of one row; larger rows, as of messages without a conversation or turn, are cut.
+PIECE = 4096
 
 QUOTED = r"^(?:[ \t]{0,3}>)+"
 #: Fixed value: lines that announce a quote, in English, German, French and Spanish.
@@ -128,14 +131,29 @@ def _roots(replies: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, thread_part, turn_part and messages, an array of structs in reply order.
+    """One row per conversation: conv_id, thread_part, turn_part, piece and messages, an array of structs in reply order.
 
     A row holds threads that open, and messages written, in the same PART turns; a conversation of fewer turns
-    is one row. Messages without a turn come first.
+    is one row. Messages without a turn come first. Of more than PIECE messages each PIECE are a row, numbered
+    from 0 in their order.
     """
-    m = F.struct("thread", "turn", "role", "reply_to", "depth", "n_quoted", "n_linked", F.col("clean").alias("text"))
+    fields = ["thread", "turn", "role", "reply_to", "depth", "n_quoted", "n_linked", "text"]
     part = lambda c: F.coalesce(F.floor(F.col(c) / PART), F.lit(-1)).cast("long")
-    return linked(messages).groupBy("conv_id", part("thread").alias("thread_part"), part("turn").alias("turn_part")).agg(F.array_sort(F.collect_set(m)).alias("messages"))
+    group = ["conv_id", "thread_part", "turn_part"]
+    rows = linked(messages).withColumnRenamed("clean", "text").withColumn("thread_part", part("thread")).withColumn("turn_part", part("turn")).select(*group, *fields)
+    together = lambda df: df.groupBy(*group, "piece").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("messages"))
+    large = written(rows.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > PIECE), "large")
+    if not large.limit(1).count():
+        return together(rows.withColumn("piece", F.lit(0).cast("long")))
+    of_large = lambda other: F.col("conv_id").eqNullSafe(other["_conv"]) & (F.col("thread_part") == other["_thread"]) & (F.col("turn_part") == other["_turn"])
+    renamed = lambda df, *more: F.broadcast(df.select(F.col("conv_id").alias("_conv"), F.col("thread_part").alias("_thread"), F.col("turn_part").alias("_turn"), *more))
+    keys = renamed(large)
+    ordered = numbered(rows.join(keys, of_large(keys), "left_semi"), [*group, *fields])
+    begins = renamed(ordered.groupBy(*group).agg(F.min("number").alias("_begin")), "_begin")
+    cut = ordered.join(begins, of_large(begins)).withColumn("piece", F.floor((F.col("number") - F.col("_begin")) / PIECE).cast("long"))
+    whole = rows.join(keys, of_large(keys), "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    columns = [*group, *fields, "piece"]
+    return together(whole.select(columns).unionByName(cut.select(columns)))
 
 
 def op8_quotation(messages: DataFrame) -> DataFrame:

@@ -147,3 +147,13 @@ def test_quotations_are_linked_and_removed(spark):
     talks = {(r["conv_id"], r["thread_part"], r["turn_part"]): [m["turn"] for m in r["messages"]] for r in quotation.conversations(messages).collect()}
     assert talks[1, 0, 0] == [0, 1, 3, 2, 4, 5] and talks[4, 0, 1] == [400]
     assert quotation.op8_quotation(messages.limit(0)).count() == 0
+
+
+def test_messages_without_conversation_or_turn_go_out_in_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "PIECE", 3)
+    rows = [*[(None, i % 2, "user", f"text {i}") for i in range(10)], *[(7, None, "user", f"note {i}") for i in range(4)], *[(8, i, "user", f"word {i}") for i in range(3)]]
+    got = quotation.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    held = {(r["conv_id"], r["piece"]): [m["text"] for m in r["messages"]] for r in got}
+    assert len(held) == len(got) == 4 + 2 + 1 and max(map(len, held.values())) == 3
+    assert sum((held[None, k] for k in range(4)), []) == [f"text {i}" for i in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]
+    assert held[7, 0] + held[7, 1] == [f"note {i}" for i in range(4)] and held[8, 0] == [f"word {i}" for i in range(3)]
