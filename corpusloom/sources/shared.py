@@ -12,18 +12,33 @@ _own: str | None = None
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder of our own only where that is unset."""
+    """spark.checkpoint.dir. Where it is unset a local master gets a folder of our own; a cluster has none to give."""
     global _own
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own is None:
         _own = Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri()
     return _own
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def gone_at_exit(spark: SparkSession, where: str) -> None:
+    """The path is removed when the driver ends: results read from it are lazy, so not before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(where)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table that is computed once and outlives executors."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    where = path(spark, name)
+    df.write.parquet(where)
+    gone_at_exit(spark, where)
+    return spark.read.schema(df.schema).parquet(where)
