@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
-    global _own_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if _own_folder is None:
-        _own_folder = Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri()
-    return _own_folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+from corpusloom.sources.shared import path as shared_path
+from corpusloom.sources.shared import stored as written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, kept when executors go."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fold_ascii", "id_remainder", "shared_path", "table", "with_struct", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

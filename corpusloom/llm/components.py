@@ -1,29 +1,7 @@
-"""Connected components of a graph given as edges, by lowest labels and pointer jumping."""
+"""Connected components, as the graph operators find them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from corpusloom.operators.graph_paths import components
 
-from corpusloom.llm.common import written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (the lowest node that can be reached) of all nodes of edges (a, b), both long.
-
-    Every round takes the lowest label among a node and its neighbours, then the label of that label; labels are
-    stored between rounds, and only the number of changes comes to the driver. Rounds grow as the logarithm of
-    a component's width. Without edges there are no nodes.
-    """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
-    labels = written(labels, "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lower = written(lower, "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = written(lower.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("old <> label").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+__all__ = ["components"]
