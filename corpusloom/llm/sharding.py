@@ -1,39 +1,43 @@
 """Sharding by histogram sort, with DataFrame functions only.
 
-Rows are ordered by a 63-bit key: 40 bits from the text's hash, 23 from the row's id. Equal texts thus stand
-together, yet a group of copies of any size can be cut where the shards' bytes ask for it. Each round counts
-the exact bytes below 256 evenly spaced probes inside every key range that still holds an unsettled splitter
-(a grouped sum over all partitions, of which at most 256 rows for each splitter reach the driver), until the
-bytes below some probe are within tolerance of each splitter's target. Then rows are exchanged once, by shard.
+Rows are ordered by a 63-bit key: 40 bits of the text's hash, 23 of the row's id. Equal texts thus stand together,
+yet a group of copies of any size can be cut where the shards' bytes ask for it. Each round counts the exact bytes
+below 256 evenly spaced probes inside every key range that still holds an unsettled splitter (a grouped sum over all
+partitions, of which at most 256 rows for each splitter reach the driver), until the bytes below some probe are
+within tolerance of each splitter's target. Then rows are exchanged once.
+
+A shard goes to tasks in pieces, which are key ranges too: their splitters come from the same counts at a loose
+tolerance. A row's slot is its place in its piece and the rows of the pieces before, so slots follow the key through
+the whole shard, however many pieces it has.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
 
-KEY_BITS, FIRST_BITS, ROUND_BITS = 63, 12, 8
-#: Of the mean shard: how far a splitter may lie from its target.
-TOLERANCE = 0.0005
-#: Rows that one task numbers; a shard of more is numbered in several pieces.
-SLOT_ROWS = 50_000
+KEY_BITS, ID_BITS, FIRST_BITS, ROUND_BITS = 63, 23, 12, 8
+#: Of the mean shard: how far a splitter may lie from its target. Of the mean piece: how far a piece's may.
+TOLERANCE, PIECE_TOLERANCE = 0.0005, 0.25
+#: Rows that one task sorts, and most pieces of a shard: beyond these a piece has more rows and its sort may spill.
+SLOT_ROWS, MOST_PIECES = 50_000, 256
 
 RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
-def splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[int]:
-    """n_shards - 1 keys in order, so that the shards between them hold nearly equal sums of size.
+def splitters(keys: DataFrame, n_ranges: int, slack: list[float] | None = None) -> list[int]:
+    """n_ranges - 1 keys in order, so that the ranges between them hold nearly equal sums of size.
 
-    keys has columns key (0 to 2**63 - 1) and size. A key whose rows outweigh the tolerance cannot be cut;
-    the nearer of its two sides is taken then.
+    keys has columns key (0 to 2**63 - 1) and size; slack says how many bytes each splitter may lie from its target.
+    A key whose rows outweigh the slack cannot be cut; the nearer of its two sides is taken then.
     """
     total = keys.agg(F.sum("size").alias("n")).first()["n"] or 0
-    targets = [total * i / n_shards for i in range(1, n_shards)]
-    slack = total / n_shards * tolerance
+    targets = [total * i / n_ranges for i in range(1, n_ranges)]
+    slack = slack or [total / n_ranges * TOLERANCE] * len(targets)
     found: list[int | None] = [None] * len(targets)
     # open ranges of keys: prefix at the current shift -> bytes below the range
     shift, ranges = KEY_BITS, {0: 0}
@@ -41,13 +45,15 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
         step = min(FIRST_BITS if shift == KEY_BITS else ROUND_BITS, shift)
         inside = keys if shift == KEY_BITS else keys.where(F.shiftright("key", shift).isin(list(ranges)))
         shift -= step
-        counts = {r["probe"]: r["n"] for r in inside.groupBy(F.shiftright("key", shift).alias("probe")).agg(F.sum("size").alias("n")).collect()}
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for r in inside.groupBy(F.shiftright("key", shift).alias("probe")).agg(F.sum("size").alias("n")).collect():
+            counts.setdefault(r["probe"] >> step, []).append((r["probe"], r["n"]))
         probes, below = [], []  # every probe of the open ranges and the exact bytes below it
         for prefix, n in sorted(ranges.items()):
-            for probe in sorted(c for c in counts if c >> step == prefix):
+            for probe, size in sorted(counts.get(prefix, [])):
                 probes.append(probe)
                 below.append(n)
-                n += counts[probe]
+                n += size
             probes.append(prefix + 1 << step)
             below.append(n)
         ranges = {}
@@ -56,54 +62,63 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
                 continue
             at = min(max(bisect_left(below, target), 1), len(below) - 1) if len(below) > 1 else 0
             near = min({max(at - 1, 0), at}, key=lambda k: (abs(below[k] - target), k))
-            if abs(below[near] - target) <= slack or shift == 0 or not total:
+            if abs(below[near] - target) <= slack[i] or shift == 0 or not total:
                 found[i] = min(probes[near] << shift, (1 << KEY_BITS) - 1)
             else:
                 ranges[probes[at - 1]] = below[at - 1]
     return sorted(f for f in found if f is not None)
 
 
-def _shard_of(rows: DataFrame, cuts: list[int]) -> DataFrame:
-    """rows with their shard, found by the first bits of the key and then by the few cuts inside that range.
+def _range_of(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """rows with their range among cuts, found by the first bits of the key and then by the few cuts inside that cell.
 
     The table of first bits has 4096 rows at any size of input, so it is broadcast.
     """
     spark: SparkSession = rows.sparkSession
     shift = KEY_BITS - FIRST_BITS
-    cells = [(cell, bisect_left(cuts, (cell << shift) + 1), [c for c in cuts if c >> shift == cell and c != cell << shift]) for cell in range(1 << FIRST_BITS)]
+    inside: dict[int, list[int]] = {}
+    for c in cuts:
+        if c & (1 << shift) - 1:
+            inside.setdefault(c >> shift, []).append(c)
+    cells = [(cell, bisect_left(cuts, (cell << shift) + 1), inside.get(cell, [])) for cell in range(1 << FIRST_BITS)]
     table = spark.createDataFrame(cells, "cell long, first int, cuts array<long>")
     placed = rows.join(F.broadcast(table), F.shiftright(rows["key"], shift) == table["cell"])
-    return placed.withColumn("shard", F.col("first") + F.size(F.filter("cuts", lambda c: c <= F.col("key")))).drop("cell", "first", "cuts")
+    return placed.withColumn("range", F.col("first") + F.size(F.filter("cuts", lambda c: c <= F.col("key")))).drop("cell", "first", "cuts")
+
+
+def _bits(value: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")
 
 
 def sharded(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
     """docs with size (UTF-8 bytes of the text plus 1), text_crc32, law ("bytes"), shard, slot and grown_shard (null).
 
-    Sums of size differ between shards by the tolerance and the rows that share one key (equal rows). A null
-    text has no bytes, a null id is an id of its own; slots are gapless from 0 within a shard, in the order
-    of keys as long as the shard has one piece; an empty table has no shards. Columns of docs with the names
-    of results are replaced.
+    Sums of size differ between shards by the tolerance and the rows that share one key (equal rows). A null text has
+    no bytes, a null id counts as the empty one; slots are gapless from 0 within a shard, in the order of keys and,
+    among equal keys, of ids and hashes; an empty table has no shards. Columns of docs with the names of results are
+    replaced.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     names = {r.lower() for r in RESULTS}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]).alias("row")
-    key = F.shiftleft(F.shiftrightunsigned(F.xxhash64(t), 24), 23).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(7)), 41))
-    rows = docs.select(row, (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), key.alias("key"), F.xxhash64(t, F.col(f"`{doc_id}`")).alias("tie"))
+    own = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    key = F.shiftleft(_bits(t, 10), ID_BITS).bitwiseOR(F.shiftright(_bits(own, 6), 24 - ID_BITS))
+    rows = docs.select(row, (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), key.alias("key"), own.alias("own"), F.xxhash64(t).alias("tie"))
     keys = written(rows.select("key", "size"), "shard-keys")
-    cuts = splitters(keys, n_shards, tolerance)
-    n_pieces = max(1, -(-keys.count() // (n_shards * SLOT_ROWS)))
-    placed = _shard_of(rows, cuts).withColumn("piece", F.pmod(F.col("tie"), F.lit(n_pieces)))
-    if n_pieces > 1:  # rows of each piece, summed over the pieces before it
-        counted = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))
-        offsets = counted.select("shard", "piece", F.expr("coalesce(sum(n) over (partition by shard order by piece rows between unbounded preceding and 1 preceding), 0)").alias("offset"))
-        placed = placed.join(offsets, ["shard", "piece"])
-    else:
-        placed = placed.withColumn("offset", F.lit(0).cast("long"))
-    slot = F.expr("row_number() over (partition by shard, piece order by key, tie)") - 1 + F.col("offset")
-    out = placed.withColumn("slot", slot.cast("long"))
+    totals = keys.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    n_pieces = min(max(1, -(-totals["n"] // (n_shards * SLOT_ROWS))), MOST_PIECES)
+    mean = (totals["bytes"] or 0) / n_shards
+    slack = [mean * tolerance if i % n_pieces == 0 else mean / n_pieces * PIECE_TOLERANCE for i in range(1, n_shards * n_pieces)]
+    cuts = splitters(keys, n_shards * n_pieces, slack)
+    counted = _range_of(keys, cuts).groupBy("range").agg(F.count("*").alias("n"))  # a row for each piece
+    shard_of = lambda r: F.floor(r / n_pieces).cast("int")
+    before = F.expr("coalesce(sum(n) over (partition by shard order by range rows between unbounded preceding and 1 preceding), 0)")
+    offsets = counted.withColumn("shard", shard_of(F.col("range"))).select("range", before.alias("offset"))
+    placed = _range_of(rows, cuts).withColumn("place", F.expr("row_number() over (partition by range order by key, own, tie)") - 1)
+    out = placed.join(F.broadcast(offsets), "range")  # at most n_shards * MOST_PIECES rows
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in names],
-        "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "size", "text_crc32", F.lit("bytes").alias("law"), shard_of(F.col("range")).alias("shard"), (F.col("place") + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

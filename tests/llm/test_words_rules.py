@@ -1,6 +1,7 @@
 """Quality rules, secrets and sharding: odd inputs and brute force."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -157,8 +158,37 @@ def test_sharding_balances_bytes(spark, odd):
     assert sharding.op3_histogram_sort(odd.limit(0)).count() == 0
 
 
-def test_sharding_in_pieces_has_gapless_slots(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
-    got = sharding.op3_histogram_sort(spark.range(3000).selectExpr("id as doc_id", "concat('t', id % 50) as text")).toPandas()
-    for _, g in got.groupby("shard"):
-        assert sorted(g.slot) == list(range(len(g)))
+def brute_shards(rows, n_shards):
+    """shard and slot of (doc_id, text) rows: sorted by key, each splitter at the first grid probe that is near enough to its target."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    made = sorted(((int(md5(t or "")[:10], 16) << 23) | (int(md5("" if i is None else str(i))[:6], 16) >> 1), "" if i is None else str(i), i, t) for i, t in rows)
+    sizes = [len((t or "").encode()) + 1 for *_, t in made]
+    total, cuts = sum(sizes), []
+    for k in range(1, n_shards):
+        target, bits = total * k / n_shards, 12
+        while True:
+            below = {}
+            for (key, *_), size in zip(made, sizes):
+                below[key >> 63 - bits] = below.get(key >> 63 - bits, 0) + size
+            probes, n = [], 0
+            for cell in sorted(below):
+                probes.append((abs(n - target), cell))
+                n += below[cell]
+            best = min([*probes, (abs(n - target), 1 << bits)])
+            if best[0] <= total / n_shards * sharding.TOLERANCE or bits == 63:
+                cuts.append(best[1] << 63 - bits)
+                break
+            bits = min(bits + 8, 63)
+    shards = [sum(c <= key for c in cuts) for key, *_ in made]
+    return [(i, t, s, k - shards.index(s)) for k, (s, (_, _, i, t)) in enumerate(zip(shards, made))]
+
+
+def test_sharding_equals_brute_force_in_any_number_of_pieces(spark, monkeypatch):
+    """Equal texts of a hot group, equal rows and nulls: slots in key order through the whole shard."""
+    rows = [(i, "copy " * 50 if i % 3 == 0 else None if i % 50 == 1 else f"text {i} " * (i % 40)) for i in range(3000)] + [(7, "again")] * 5 + [(None, "again"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute_shards(rows, 16), key=str)
+    for slot_rows in (50_000, 20, 7):
+        monkeypatch.setattr(sharding, "SLOT_ROWS", slot_rows)
+        got = [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.sharded(docs).collect()]
+        assert sorted(got, key=str) == want
