@@ -5,8 +5,9 @@ Windows have a fixed length; a text is cut into as many as it needs and the mean
 (weighted by bytes) is the text's. For prediction the embedding is folded into the filters: each place of a
 filter becomes a table of 256 rows, so that a convolution is a few table look-ups.
 
-Training takes windows of a bounded sample of the labelled texts (MAX_PER_CLASS texts of each label, picked by
-hash); prediction reads every text whole.
+Training takes windows of a bounded sample of the labelled texts: of each label MAX_PER_CLASS texts at most, and
+MAX_TEXTS in all, picked by hash; a text's windows are cut from anywhere in it before they leave the executors.
+Every label is learnt, however rare, and prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_remainder, with_struct
@@ -24,8 +26,8 @@ from corpusloom.llm.common import id_remainder, with_struct
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 12
-#: Bound of the sample: texts of each label, windows of each text, labels.
-MAX_PER_CLASS, WINDOWS_PER_TEXT, MAX_CLASSES = 400, 3, 500
+#: Bound of the sample: texts of each label, texts of all labels together, windows of each text.
+MAX_PER_CLASS, MAX_TEXTS, WINDOWS_PER_TEXT = 400, 200_000, 3
 EPOCHS, BATCH, RATE = 6, 64, 0.004
 UNKNOWN = "und"
 
@@ -93,20 +95,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 0) -> Network:
-    """Adam over shuffled windows; labels weigh alike, however many texts they have."""
+def train(parts: list[bytes], labels: list[str], seed: int = 0) -> Network:
+    """Adam over shuffled windows of at most WINDOW bytes; labels weigh alike, however many windows they have."""
     names = sorted(set(labels))
     net = Network.fresh(names, seed)
     r = np.random.default_rng(seed)
-    windows, target = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = text.encode("utf-8", "replace")
-        for _ in range(WINDOWS_PER_TEXT):
-            at = int(r.integers(0, max(1, len(data) - WINDOW + 1)))
-            part = data[at : at + int(r.integers(WINDOW // 4, WINDOW + 1))]  # short texts exist: learn from short windows too
-            windows.append(np.frombuffer(part.ljust(WINDOW, b" "), np.uint8))
-            target.append(names.index(label))
-    x, y = np.stack(windows), np.array(target)
+    number = {name: k for k, name in enumerate(names)}
+    x = np.stack([np.frombuffer(part.ljust(WINDOW, b" "), np.uint8) for part in parts])
+    y = np.array([number[label] for label in labels])
     share = np.bincount(y, minlength=len(names))
     odds = (1 / share[y]) / (1 / share[y]).sum()
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
@@ -153,27 +149,27 @@ def apply(net: Network, tables: list[list[np.ndarray]], texts: list) -> tuple[li
 
 
 def sample(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> list:
-    """About MAX_PER_CLASS labelled texts of each of the MAX_CLASSES commonest labels, by the hash of id and text.
+    """Windows (part, label) of the texts of each label with the lowest hashes of id and text, in a fixed order.
 
-    Only the first 100,000 characters of a sampled text come to the driver. Rows repeated without end cannot
-    overflow it: the sample ends at twice its bound.
+    A label has MAX_PER_CLASS texts, or an equal share of MAX_TEXTS where there are very many labels, and one at
+    least. A share of the hash range that holds these is kept first; equal rows count once, and rows beyond the
+    bound are dropped before the exchange. Nothing here depends on how rows are dealt to tasks.
     """
     t = F.col(f"`{text}`")
     usable = docs.where(F.col(f"`{label}`").isNotNull() & t.rlike(r"\p{L}")).select(t.alias("text"), F.col(f"`{label}`").cast("string").alias("label"), F.xxhash64(F.col(f"`{doc_id}`"), t).alias("h"))
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_CLASSES).collect()
+    counts = usable.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()  # the network has an output for each label
     if not counts:
         return []
-    spark = docs.sparkSession
-    # a share of the hash range of each label that holds its bound and some more
-    shares = spark.createDataFrame([(r["label"], int(min(1.0, (MAX_PER_CLASS * 1.2 + 20) / r["count"]) * 2**62)) for r in counts], "label string, most long")
-    near = usable.join(F.broadcast(shares), "label").where(F.shiftrightunsigned("h", 2) < F.col("most"))
-    rows = near.select(F.substring("text", 1, 100_000).alias("text"), "label", "h").limit(2 * MAX_PER_CLASS * len(counts) + 1000).collect()
-    out, taken = [], {}
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
-        taken[r["label"]] = taken.get(r["label"], 0) + 1
-        if taken[r["label"]] <= MAX_PER_CLASS:
-            out.append((r["text"], r["label"]))
-    return out
+    most = max(1, min(MAX_PER_CLASS, MAX_TEXTS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["label"], int(min(1.0, (most * 1.4 + 40) / max(r["n"], 1)) * 2**62)) for r in counts], "label string, most long")
+    near = usable.join(F.broadcast(shares), "label").where(F.shiftrightunsigned("h", 2) <= F.col("most"))
+    data = F.encode("text", "UTF-8")
+    size = F.octet_length("text")
+    drawn = lambda k, n: F.pmod(F.xxhash64("h", F.lit(k)), n.cast("long")).cast("int")
+    cuts = [F.substring(data, drawn(2 * k, F.greatest(size - WINDOW + 1, F.lit(1))) + 1, drawn(2 * k + 1, F.lit(WINDOW - WINDOW // 4 + 1)) + WINDOW // 4) for k in range(WINDOWS_PER_TEXT)]  # short texts exist: short windows too
+    rows = near.select("label", "h", F.array(*cuts).alias("parts")).dropDuplicates(["label", "h"])
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("h"))).where(F.col("n") <= most)
+    return [(bytes(part), r["label"]) for r in sorted(first.collect(), key=lambda r: (r["label"], r["n"])) for part in r["parts"]]
 
 
 def _predict(net: Network | None) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:

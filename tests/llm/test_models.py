@@ -119,6 +119,21 @@ def test_languages_of_odd_rows(spark, odd):
     assert language_id.op7_byte_cnn(odd.limit(0)).count() == 0
 
 
+def test_every_label_is_sampled_within_the_bound_in_a_fixed_order(spark, monkeypatch):
+    """Many labels, one repeated row without end, and words that stand only far inside a long text."""
+    monkeypatch.setattr(language_id, "MAX_PER_CLASS", 4)
+    far = "x " * 150_000
+    rows = [(i, f"text {i} of label {i % 700}", f"l{i % 700}") for i in range(2100)] + [(1, "again and again", "hot")] * 3000 + [(i, f"hot text {i}", "hot") for i in range(2, 60)] + [(5, far + "zq" * 300_000, "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.sample(docs)
+    assert found == language_id.sample(docs.repartition(7))
+    per = collections.Counter(label for _, label in found)
+    assert len(per) == 702 and set(per.values()) <= {3 * k for k in range(1, 5)} and per["hot"] == 12 and per["l3"] == 9
+    assert any(b"zq" in part for part, label in found if label == "far") and all(0 < len(part) <= language_id.WINDOW for part, _ in found)
+    monkeypatch.setattr(language_id, "MAX_TEXTS", 1404)
+    assert max(collections.Counter(label for _, label in language_id.sample(docs)).values()) == 6
+
+
 def ids_of(text):
     return [*Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode(text or "", add_special_tokens=False).ids, 0]
 
