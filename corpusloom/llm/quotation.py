@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
-from corpusloom.operators.ordering import numbered
+from corpusloom.operators.ordering import running
 
 #: Least characters of a normalised line that is matched apart from its passage.
 LINE_CHARS = 20
-#: Turns that one row of a conversation spans; longer conversations have more rows.
-PART = 256
-#: Messages of one row; larger rows, as of messages without a conversation or turn, are cut.
-PIECE = 4096
+#: Bytes of text in one row of a conversation; of more, as of all messages without a conversation, the rows follow one another.
+PIECE = 16 << 20
+#: What a message weighs beside its text.
+MESSAGE = 64
 
 QUOTED = r"^(?:[ \t]{0,3}>)+"
 #: Fixed value: lines that announce a quote, in English, German, French and Spanish.
@@ -52,20 +52,22 @@ def _lines(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """Runs of lines of one level, cut at blank lines; announcements belong to none."""
-    zero = F.struct(F.expr(f"cast(array() as {_PASSAGES})").alias("done"), F.lit(-1).alias("level"), F.lit("").alias("body"))
-
-    def step(s: Column, x: Column) -> Column:
-        blank = (F.trim(x["body"]) == "") | ((x["level"] == 0) & ~x["kept"])
-        goes_on = ~blank & (x["level"] == s["level"])
-        closed = F.when(~goes_on & (s["level"] >= 0), F.array_append(s["done"], F.struct(s["level"].alias("level"), s["body"].alias("body")))).otherwise(s["done"])
-        return F.struct(
-            closed.alias("done"),
-            F.when(blank, F.lit(-1)).otherwise(x["level"]).alias("level"),
-            F.when(blank, F.lit("")).when(goes_on, F.concat(s["body"], F.lit("\n"), x["body"])).otherwise(x["body"]).alias("body"),
+    """Runs of lines of one level, cut at blank lines; announcements belong to none.
+
+    Runs are found by where they begin and end, so that each line is copied once, into its run.
+    """
+    told = F.transform(lines, lambda x: F.struct(F.when((F.trim(x["body"]) == "") | ((x["level"] == 0) & ~x["kept"]), F.lit(-1)).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
+
+    def runs(xs: Column) -> Column:
+        level = lambda i: F.coalesce(F.try_element_at(xs, i.cast("int"))["level"], F.lit(-1))  # noqa: E731  from 1
+        places = F.sequence(F.lit(1), F.size(xs))
+        starts = F.filter(places, lambda i: (level(i) >= 0) & ((i == 1) | (level(F.greatest(i - 1, F.lit(1))) != level(i))))
+        ends = F.filter(places, lambda i: (level(i) >= 0) & (level(i + 1) != level(i)))
+        return F.zip_with(
+            starts, ends, lambda a, b: F.struct(level(a).alias("level"), F.array_join(F.transform(F.slice(xs, a, b - a + 1), lambda x: x["body"]), "\n").alias("body"))
         )
 
-    return F.aggregate(lines, zero, step, lambda s: F.when(s["level"] >= 0, F.array_append(s["done"], F.struct(s["level"].alias("level"), s["body"].alias("body")))).otherwise(s["done"]))
+    return F.coalesce(_let(told, runs), F.expr(f"cast(array() as {_PASSAGES})"))
 
 
 def _plain_passages(text: Column) -> Column:
@@ -131,28 +133,25 @@ def _roots(replies: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, thread_part, turn_part, piece and messages, an array of structs in reply order.
+    """Conversations in reply order: conv_id, piece and messages, an array of structs.
 
-    A row holds threads that open, and messages written, in the same PART turns; a conversation of fewer turns
-    is one row. Messages without a turn come first. Of more than PIECE messages each PIECE are a row, numbered
-    from 0 in their order.
+    Threads follow one another by their first turn, the messages of a thread by turn; those without a turn come
+    first. A conversation is one row, unless its texts weigh more than PIECE bytes: then its rows, numbered by piece
+    from 0, each begin where that many bytes more have gone before, and read one after another they are the
+    conversation. Messages without a conversation are put together in the same way.
     """
     fields = ["thread", "turn", "role", "reply_to", "depth", "n_quoted", "n_linked", "text"]
-    part = lambda c: F.coalesce(F.floor(F.col(c) / PART), F.lit(-1)).cast("long")
-    group = ["conv_id", "thread_part", "turn_part"]
-    rows = linked(messages).withColumnRenamed("clean", "text").withColumn("thread_part", part("thread")).withColumn("turn_part", part("turn")).select(*group, *fields)
-    together = lambda df: df.groupBy(*group, "piece").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("messages"))
-    large = written(rows.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > PIECE), "large")
+    rows = written(linked(messages).withColumnRenamed("clean", "text").select("conv_id", *fields, (F.octet_length("text") + MESSAGE).cast("long").alias("weight")), "messages")
+    together = lambda df: df.groupBy("conv_id", "piece").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("messages"))
+    large = written(rows.groupBy("conv_id").agg(F.sum("weight").alias("_bytes")).where(F.col("_bytes") > PIECE).select(F.col("conv_id").alias("_conv"), F.lit(True).alias("_large")), "large")
     if not large.limit(1).count():
         return together(rows.withColumn("piece", F.lit(0).cast("long")))
-    of_large = lambda other: F.col("conv_id").eqNullSafe(other["_conv"]) & (F.col("thread_part") == other["_thread"]) & (F.col("turn_part") == other["_turn"])
-    renamed = lambda df, *more: F.broadcast(df.select(F.col("conv_id").alias("_conv"), F.col("thread_part").alias("_thread"), F.col("turn_part").alias("_turn"), *more))
-    keys = renamed(large)
-    ordered = numbered(rows.join(keys, of_large(keys), "left_semi"), [*group, *fields])
-    begins = renamed(ordered.groupBy(*group).agg(F.min("number").alias("_begin")), "_begin")
-    cut = ordered.join(begins, of_large(begins)).withColumn("piece", F.floor((F.col("number") - F.col("_begin")) / PIECE).cast("long"))
-    whole = rows.join(keys, of_large(keys), "left_anti").withColumn("piece", F.lit(0).cast("long"))
-    columns = [*group, *fields, "piece"]
+    told = rows.join(large, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    ordered = written(running(told.where("_large").select("conv_id", *fields, "weight"), ["conv_id", *fields], "weight", "before"), "ordered")
+    begins = ordered.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("before").alias("_begin"))
+    cut = ordered.join(begins, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("piece", F.floor((F.col("before") - F.col("_begin")) / PIECE).cast("long"))
+    whole = told.where("_large is null").withColumn("piece", F.lit(0).cast("long"))
+    columns = ["conv_id", *fields, "piece"]
     return together(whole.select(columns).unionByName(cut.select(columns)))
 
 
@@ -160,7 +159,7 @@ def op8_quotation(messages: DataFrame) -> DataFrame:
     told = conversations(messages.select("conv_id", "turn", "role", "text"))
     total = lambda c: F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + m[c])
     return told.select(
-        "conv_id", "thread_part", "turn_part", F.size("messages").cast("long").alias("n_messages"), total("n_quoted").alias("n_quoted"), total("n_linked").alias("n_linked"),
+        "conv_id", "piece", F.size("messages").cast("long").alias("n_messages"), total("n_quoted").alias("n_quoted"), total("n_linked").alias("n_linked"),
         F.array_join(F.transform("messages", lambda m: F.concat_ws(">", m["turn"], m["reply_to"])), ",").alias("turns"),
         F.array_join(F.transform("messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), m["text"])), "\n\n").alias("chat"),
     )
@@ -187,8 +186,9 @@ th AS (SELECT conv_id, turn, min(thread) AS thread FROM t GROUP BY ALL),
 c AS (SELECT r, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (kept), ''), '^(?:[ \\t]*\\n)+|(?:\\n[ \\t]*)+$', '', 'g') AS clean FROM l2 WHERE q GROUP BY r),
 n AS (SELECT r, count(*) FILTER (lv > 0) AS n_quoted FROM p GROUP BY r),
 a AS (SELECT m.conv_id, m.turn, m.role, coalesce(c.clean, t) AS text, coalesce(th.thread, m.turn) AS thread, reply_to, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
-  FROM m LEFT JOIN c USING (r) LEFT JOIN n USING (r) LEFT JOIN b USING (r) LEFT JOIN th ON th.conv_id = m.conv_id AND th.turn = m.turn)
-SELECT conv_id, coalesce(floor(thread / {PART}), -1)::BIGINT AS thread_part, coalesce(floor(turn / {PART}), -1)::BIGINT AS turn_part, count(*) AS n_messages, sum(n_quoted)::BIGINT AS n_quoted, sum(n_linked)::BIGINT AS n_linked,
-  string_agg(concat_ws('>', turn, reply_to), ',' ORDER BY thread, turn, role, text) AS turns, string_agg(coalesce(role, '') || ': ' || text, chr(10) || chr(10) ORDER BY thread, turn, role, text) AS chat
-FROM a GROUP BY ALL
+  FROM m LEFT JOIN c USING (r) LEFT JOIN n USING (r) LEFT JOIN b USING (r) LEFT JOIN th ON th.conv_id = m.conv_id AND th.turn = m.turn),
+z AS (SELECT *, floor(coalesce(sum(strlen(text) + {MESSAGE}) OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PIECE})::BIGINT AS piece FROM a)
+SELECT conv_id, piece, count(*) AS n_messages, sum(n_quoted)::BIGINT AS n_quoted, sum(n_linked)::BIGINT AS n_linked,
+  string_agg(concat_ws('>', turn, reply_to), ',' ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) AS turns, string_agg(coalesce(role, '') || ': ' || text, chr(10) || chr(10) ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) AS chat
+FROM z GROUP BY ALL
 """

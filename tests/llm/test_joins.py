@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, jaccard_join, quotation, warc
 from corpusloom.llm.components import components
@@ -144,16 +145,39 @@ def test_quotations_are_linked_and_removed(spark):
     assert told[1, 1] == (0, 0, 1, 1, 1) and told[1, 3] == (1, 0, 2, 2, 2) and told[1, 4] == (2, 2, 1, 1, 1)
     assert told[1, 5] == (None, 5, 0, 1, 0) and told[None, 0] == (None, 0, 0, 1, 0) and told[3, None] == (None, None, 0, 1, 0) and told[4, 400][:2] == (0, 0)
     assert got[1, 3]["clean"] == "Deep reply." and got[1, 1]["clean"] == "Thanks! I answer here with words." and got[2, 0]["clean"] == "" and got[4, 400]["clean"] == "pong"
-    talks = {(r["conv_id"], r["thread_part"], r["turn_part"]): [m["turn"] for m in r["messages"]] for r in quotation.conversations(messages).collect()}
-    assert talks[1, 0, 0] == [0, 1, 3, 2, 4, 5] and talks[4, 0, 1] == [400]
+    talks = {r["conv_id"]: [m["turn"] for m in r["messages"]] for r in quotation.conversations(messages).collect()}
+    assert talks[1] == [0, 1, 3, 2, 4, 5] and talks[4] == [0, 400]
     assert quotation.op8_quotation(messages.limit(0)).count() == 0
 
 
-def test_messages_without_conversation_or_turn_go_out_in_bounded_rows(spark, monkeypatch):
-    monkeypatch.setattr(quotation, "PIECE", 3)
-    rows = [*[(None, i % 2, "user", f"text {i}") for i in range(10)], *[(7, None, "user", f"note {i}") for i in range(4)], *[(8, i, "user", f"word {i}") for i in range(3)]]
-    got = quotation.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    held = {(r["conv_id"], r["piece"]): [m["text"] for m in r["messages"]] for r in got}
-    assert len(held) == len(got) == 4 + 2 + 1 and max(map(len, held.values())) == 3
-    assert sum((held[None, k] for k in range(4)), []) == [f"text {i}" for i in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]
-    assert held[7, 0] + held[7, 1] == [f"note {i}" for i in range(4)] and held[8, 0] == [f"word {i}" for i in range(3)]
+def test_long_conversations_follow_on_in_bounded_rows(spark, monkeypatch):
+    """With a low bound the rows of a conversation, put together by piece, are its one row under a high bound."""
+    rows = [*[(None, i % 2, "user", f"text {i:02}", "k") for i in range(40)], *[(7, None, "user", f"note {i}", "k") for i in range(4)], *[(8, i, "user", f"turn {i} " * (i % 5), None) for i in range(300)]]
+    rows += [(8, 300 + i, "assistant", f"> turn {i} " + f"turn {i} " * (i % 5 - 1) + f"\nanswer {i}", "k") for i in range(1, 300, 2) if i % 5 > 2]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, thread string")
+    held = {r["conv_id"]: r["messages"] for r in quotation.conversations(messages).collect()}
+    assert len(held) == 3 and {k: len(v) for k, v in held.items()}.keys() == {None, 7, 8} and len(held[None]) == 40
+    assert [m["text"] for m in held[None]][:3] == ["text 00", "text 02", "text 04"] and any(m["depth"] for m in held[8])
+    monkeypatch.setattr(quotation, "PIECE", 500)
+    cut = quotation.conversations(messages).collect()
+    assert len(cut) > 20 and max(sum(len(m["text"]) + quotation.MESSAGE for m in r["messages"]) for r in cut) <= 500 + 100 + quotation.MESSAGE
+    for conv, whole in held.items():
+        assert sum((r["messages"] for r in sorted((r for r in cut if r["conv_id"] == conv), key=lambda r: r["piece"])), []) == whole
+
+
+def test_passages_equal_a_plain_loop(spark):
+    r = random.Random(4)
+    texts = ["\n".join(r.choice(["", "> a", "> b", ">> c", "d", "e", " ", "X wrote:", ">", "> > f"]) for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    lines = quotation._lines(F.col("text"))
+    for row in df.select("i", lines.alias("lines"), quotation._passages(lines).alias("p")).collect():
+        want, level = [], -1
+        for x in row["lines"]:
+            if not x["body"].strip(" ") or (x["level"] == 0 and not x["kept"]):
+                level = -1
+            elif x["level"] == level:
+                want[-1] = (level, want[-1][1] + "\n" + x["body"])
+            else:
+                level = x["level"]
+                want.append((level, x["body"]))
+        assert [(p["level"], p["body"]) for p in row["p"]] == want
