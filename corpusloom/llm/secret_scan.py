@@ -3,7 +3,9 @@
 Three fixed patterns give the base spans. Candidate strings (runs of a character class) add spans where a
 sliding window's Shannon entropy reaches the class's limit. A window moves by one character: one count goes
 up, one goes down, and the sum of count * log2(count) follows, in whole millionths, so that it never drifts.
-Candidates that an allow-list pattern finds are suppressed; base spans never are.
+The allow-list suppresses what it finds in a candidate and what stands within REACH characters of it, so that a
+long run is still searched elsewhere (from left to right: what one match suppresses is not searched for another);
+base spans are never suppressed.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from corpusloom.llm.common import with_struct
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: kind -> pattern, pattern of texts worth a look, group whose length counts (0: all), least length.
-BASE_KINDS = {"assign": (ASSIGN, ASSIGN, 2, 6), "access": (ACCESS, r"AKIA[A-Z0-9]{16}", 0, 20), "hex": (HEX, r"[0-9a-f]{24}", 0, 24)}
+#: kind -> pattern, group whose length counts (0: all), least length; and a pattern that finds its long matches only.
+BASE_KINDS = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 20), "hex": (HEX, 0, 24)}
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+"}
 
 
 @dataclass(frozen=True)
@@ -38,15 +41,19 @@ ENTROPY_CLASSES = (
     EntropyClass("hex_entropy", "0123456789abcdefABCDEF", 16, 3.0),
     EntropyClass("base64_entropy", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.8),
 )
-#: Candidates in which one of these is found are no secrets: UUIDs, placeholders, counting rows, paths of words.
+#: What is no secret inside a candidate: UUIDs, placeholders, counting rows; and candidates that are paths of words.
 ALLOW_LIST = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i)example|placeholder|your[_-]|xxxx|0123456789|1234567890|abcdefgh",
-    r"^[/_-]?([A-Za-z]+[0-9]{0,2}[/_-])+[A-Za-z]+[0-9]{0,4}$",
 )
+ALLOW_WHOLE = (r"^[/_-]?([A-Za-z]+[0-9]{0,2}[/_-])+[A-Za-z]+[0-9]{0,4}$",)
+#: Characters on either side of an allowed part that are suppressed with it.
+REACH = 64
+ALLOWED = rf"(?s).{{0,{REACH}}}(?:{'|'.join(ALLOW_LIST)}).{{0,{REACH}}}"
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _BLOCK = 256
+_MARK, _OTHER = "\x01", "\x02"
 
 
 def _let(value: Column, body) -> Column:
@@ -62,48 +69,55 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _located(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost non-overlapping matches as structs of start, length, hit and value, in code points.
-
-    Each match is extracted with the gap before it; starts are running sums of these lengths, taken over
-    blocks, so that even hundreds of thousands of matches in one text stay cheap.
-    """
-    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
-    pick = lambda n: F.regexp_extract_all(text, whole, F.lit(n))
-    items = F.zip_with(F.zip_with(pick(1), pick(2), lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), pick(2 + group), lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), v.alias("value")))
+def _sums_before(lengths: Column) -> Column:
+    """For each length the sum of those before it, over blocks, so that even very many in one text stay cheap."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
 
-    def of_items(xs: Column) -> Column:
-        lengths = F.transform(xs, lambda x: x["gap"] + F.length(x["hit"]))
-        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int"))
+    def of_sums(sums: Column) -> Column:
+        before = F.transform(blocks, lambda b: _total(F.slice(sums, 1, b)))
+        at = lambda i: F.floor(i / _BLOCK).cast("int")
+        return _let(before, lambda bs: F.transform(lengths, lambda _, i: F.element_at(bs, at(i) + 1) + _total(F.slice(lengths, at(i) * _BLOCK + 1, i % _BLOCK))))
 
-        def of_lengths(ls: Column) -> Column:
-            sums = F.transform(blocks, lambda b: _total(F.slice(ls, b * _BLOCK + 1, _BLOCK)))
+    return _let(F.transform(blocks, lambda b: _total(F.slice(lengths, b * _BLOCK + 1, _BLOCK))), of_sums)
 
-            def of_sums(ss: Column) -> Column:
-                before = F.transform(blocks, lambda b: _total(F.slice(ss, 1, b)))
-                return _let(
-                    before,
-                    lambda bs: F.transform(
-                        xs,
-                        lambda x, i: F.struct(
-                            (F.element_at(bs, F.floor(i / _BLOCK).cast("int") + 1) + _total(F.slice(ls, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), i % _BLOCK)) + x["gap"]).alias("start"),
-                            x["hit"].alias("hit"),
-                            x["value"].alias("value"),
-                        ),
-                    ),
-                )
 
-            return _let(sums, of_sums)
+def _located(text: Column, pattern: str, group: int = 0) -> Column:
+    """All leftmost non-overlapping matches as structs of start, hit and value, in code points; null without any.
 
-        return _let(lengths, of_lengths)
+    One replacement puts marks around every match, and one split at the marks gives gaps, hits and values in turn.
+    """
+    unmarked = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
+    parts = F.split(F.regexp_replace(unmarked, pattern, f"{_MARK}$0{_MARK}${group}{_MARK}"), _MARK, -1)
+
+    def of_parts(ps: Column) -> Column:
+        part = lambda i, k: F.element_at(ps, 3 * i + k + 1)
+        numbers = F.sequence(F.lit(0), ((F.size(ps) - 1) / 3).cast("int") - 1)
+        lengths = F.transform(numbers, lambda i: F.length(part(i, 0)) + F.length(part(i, 1)))
+        of_lengths = lambda ls: F.zip_with(
+            numbers, _sums_before(ls), lambda i, n: F.struct((n + F.length(part(i, 0))).alias("start"), part(i, 1).alias("hit"), part(i, 2).alias("value"))
+        )
+        return F.when(F.size(ps) > 1, _let(lengths, of_lengths))
 
-    return _let(items, lambda xs: F.when(F.size(xs) > 0, of_items(xs)))
+    return _let(parts, of_parts)
 
 
-def _base(text: Column, number: int, pattern: str, worth: str, group: int, least: int) -> Column:
+def _base(text: Column, number: int, kind: str) -> Column:
+    pattern, group, least = BASE_KINDS[kind]
+    pattern = LONG.get(kind, pattern)
     found = F.filter(_located(text, pattern, group), lambda x: F.length(x["value"]) >= least)
     spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end")))
-    return F.coalesce(F.when(text.rlike(worth), spans), _none())
+    return F.coalesce(F.when(text.rlike(pattern), spans), _none())
+
+
+def _open_parts(hit: Column) -> Column:
+    """What the allow-list leaves of a candidate, as structs of start and part."""
+
+    def cut(ps: Column) -> Column:
+        of_lengths = lambda ls: F.zip_with(ps, _sums_before(ls), lambda p, n: F.struct(n.alias("start"), p.alias("part")))
+        return F.filter(_let(F.transform(ps, F.length), of_lengths), lambda _, i: i % 2 == 0)
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), hit.alias("part")))
+    return F.when(_any([hit.rlike(p) for p in ALLOW_LIST]), _let(F.split(F.regexp_replace(hit, ALLOWED, f"{_MARK}$0{_MARK}"), _MARK, -1), cut)).otherwise(whole)
 
 
 def _windows(hit: Column, c: EntropyClass) -> Column:
@@ -147,12 +161,13 @@ def _entropy(text: Column, number: int, c: EntropyClass) -> Column:
     inside = "[" + c.chars.replace("-", "\\-") + "]"
     # a run that is long enough and, looking ahead, holds a digit and a letter
     run = rf"(?<!{inside})(?={inside}*?[0-9])(?={inside}*?[A-Za-z]){inside}{{{c.window},}}+"
-    allowed = lambda x: F.lit(False) if not ALLOW_LIST else _any([x.rlike(p) for p in ALLOW_LIST])
-    found = F.filter(_located(text, run), lambda x: ~allowed(x["hit"]))
-    spans = F.flatten(
-        F.transform(found, lambda x: F.transform(_windows(x["hit"], c), lambda w: F.struct((x["start"] + w["start"]).alias("start"), F.lit(number).alias("kind"), (x["start"] + w["end"]).alias("end"))))
+    found = F.filter(_located(text, run), lambda x: ~_any([x["hit"].rlike(p) for p in ALLOW_WHOLE]))
+    found = F.flatten(F.transform(found, lambda x: F.transform(_open_parts(x["hit"]), lambda p: F.struct((x["start"] + p["start"]).alias("start"), p["part"].alias("part")))))
+    scanned_parts = F.transform(
+        F.filter(found, lambda x: F.length(x["part"]) >= c.window),
+        lambda x: F.transform(_windows(x["part"], c), lambda w: F.struct((x["start"] + w["start"]).alias("start"), F.lit(number).alias("kind"), (x["start"] + w["end"]).alias("end"))),
     )
-    return F.coalesce(F.when(text.rlike(run), spans), _none())
+    return F.coalesce(F.when(text.rlike(run), F.flatten(scanned_parts)), _none())
 
 
 def _any(tests: list[Column]) -> Column:
@@ -168,7 +183,7 @@ KINDS = [*BASE_KINDS, *(c.kind for c in ENTROPY_CLASSES)]
 def _scan(text: Column) -> Column:
     """Struct of base and added: arrays of (start, number of the kind, end), sorted."""
     text = F.coalesce(text, F.lit(""))
-    base = F.array_sort(F.concat(*[_base(text, n, *BASE_KINDS[k]) for n, k in enumerate(BASE_KINDS)]))
+    base = F.array_sort(F.concat(*[_base(text, n, k) for n, k in enumerate(BASE_KINDS)]))
     more = F.array_sort(F.concat(*[_entropy(text, len(BASE_KINDS) + n, c) for n, c in enumerate(ENTROPY_CLASSES)]))
     return _let(
         F.struct(base.alias("base"), more.alias("more")),
@@ -222,7 +237,7 @@ def op10_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _sql_base(n: int, kind: str) -> str:
-    pattern, _, group, least = BASE_KINDS[kind]
+    pattern, group, least = BASE_KINDS[kind]
     quoted = ("(?s)(.*?)(" + pattern + ")").replace("'", "''")
     return f"""
 b{n} AS (SELECT r, unnest(list_zip(regexp_extract_all(t, '{quoted}', 1), regexp_extract_all(t, '{quoted}', 2), regexp_extract_all(t, '{quoted}', {2 + group}))) AS x,
@@ -233,14 +248,17 @@ k{n} AS (SELECT r, kind, s, s + length(hit) AS e FROM s{n} WHERE length(v) >= {l
 
 def _sql_entropy(n: int, c: EntropyClass) -> str:
     run = "[" + c.chars.replace("-", "\\-") + "]+"
-    bar = " OR ".join(f"regexp_matches(hit, '{p}')" for p in ALLOW_LIST)
+    bar = " OR ".join(f"regexp_matches(hit, '{p}')" for p in ALLOW_WHOLE)
+    cut = f"string_split(regexp_replace(hit, '{ALLOWED}', chr(1) || '\\0' || chr(1), 'g'), chr(1))"
     limit = math.floor((math.log2(c.window) - c.bits) * c.window * 1e6)
     return f"""
 c{n} AS (SELECT r, unnest(list_zip(regexp_extract_all(t, '(?s)(.*?)({run})', 1), regexp_extract_all(t, '(?s)(.*?)({run})', 2))) AS x,
   unnest(range(1, len(regexp_extract_all(t, '(?s)(.*?)({run})', 1)) + 1)) AS i FROM d),
 h{n} AS (SELECT r, i, (sum(length(x[1]) + length(x[2])) OVER (PARTITION BY r ORDER BY i) - length(x[2]))::BIGINT AS s, x[2] AS hit FROM c{n}),
 q{n} AS (SELECT * FROM h{n} WHERE length(hit) >= {c.window} AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({bar})),
-w{n} AS (SELECT r, i, s + p AS a, hit[p + 1:p + {c.window}] AS y FROM (SELECT *, unnest(range(0, length(hit) - {c.window} + 1)) AS p FROM q{n})),
+o{n} AS (SELECT r, i, s, unnest({cut}) AS part, unnest(range(0, len({cut}))) AS j FROM q{n}),
+v{n} AS (SELECT r, i * 1000000 + j AS i, j, (s + sum(length(part)) OVER (PARTITION BY r, i ORDER BY j) - length(part))::BIGINT AS s, part AS hit FROM o{n}),
+w{n} AS (SELECT r, i, s + p AS a, hit[p + 1:p + {c.window}] AS y FROM (SELECT *, unnest(range(0, length(hit) - {c.window} + 1)) AS p FROM v{n} WHERE j % 2 = 0 AND length(hit) >= {c.window})),
 y{n} AS (SELECT r, i, a, ch, count(*) AS k FROM (SELECT r, i, a, unnest(string_split(y, '')) AS ch FROM w{n}) GROUP BY ALL),
 z{n} AS (SELECT r, i, a FROM y{n} GROUP BY r, i, a HAVING sum(round(k * log2(k) * 1e6)) <= {limit}),
 g{n} AS (SELECT r, i, a, sum(new) OVER (PARTITION BY r, i ORDER BY a) AS g FROM (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY r, i ORDER BY a) <= {c.window} THEN 0 ELSE 1 END AS new FROM z{n})),
