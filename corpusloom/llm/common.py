@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import gone_at_exit
 from corpusloom.sources.shared import path as shared_path
 from corpusloom.sources.shared import stored as written
 
-__all__ = ["fold_ascii", "id_remainder", "shared_path", "table", "with_struct", "written"]
+__all__ = ["fold_ascii", "gone_at_exit", "id_remainder", "shared_path", "table", "with_struct", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

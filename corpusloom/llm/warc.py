@@ -2,9 +2,11 @@
 
 write_captures() turns each page into a request, a response (or a revisit of an equal payload) and a metadata
 record. Spark's text writer stores them, a WARC record being one row that ends with the two line ends that close
-every record; files are cut by a number of records. read_records() parses archives by Content-Length and checks
+every record; pages of like size are written together, so that a number of records bounds the bytes of a file.
+read_records() parses archives record by record by their Content-Length, without unpacking a file whole, and checks
 every payload's digest. assemble() joins the records of a transaction through WARC-Concurrent-To, whichever
-side names the other, and emits one nested row per capture.
+side names the other, and emits one nested row per capture; resolved() gives revisits the payload's facts of the
+response that they refer to.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shared_path
+from corpusloom.llm.common import gone_at_exit, shared_path, written
 
 CRLF = "\r\n"
 #: Fixed values of WARC 1.1 (ISO 28500:2017).
@@ -27,8 +29,10 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-#: Records in one archive file: three for each capture.
-FILE_RECORDS = 12_000
+#: Most bytes of payload in one archive, and the classes of payload sizes whose pages are written together.
+FILE_BYTES, SIZE_CLASSES = 64 << 20, (16 << 10, 256 << 10, 4 << 20, 1 << 31)
+#: Rows of the table of repeated payloads that are still broadcast.
+BROADCAST_ROWS = 500_000
 
 RECORD_TYPE = (
     "record_id string, record_type string, target_uri string, date string, concurrent_to array<string>, refers_to string, "
@@ -55,22 +59,35 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, payload_digest, row_id and original: the row it revisits, or null.
 
     Of equal payloads of at least least_bytes the row with the smallest (page_id, url) is the original; null ids
-    come first. Only digests that stand more than once are joined, so a payload that most pages share costs
-    one row on the right side, and Spark may split the left.
+    come last. Only digests that stand more than once are joined, so a payload that most pages share costs one row
+    on the right side; that side is broadcast where it is small, and else Spark may split the left.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         "page_id", "url", payload.alias("payload"), digest(payload).alias("payload_digest"), F.monotonically_increasing_id().alias("place")
-    ).withColumn("row_id", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lower(F.col("payload_digest")), F.col("place").cast("string")))
-    rank = F.struct(F.col("page_id").isNotNull(), F.col("page_id"), F.coalesce("url", F.lit("")), F.col("row_id"))
+    ).withColumn("row_id", F.concat_ws("-", F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit("")), F.lower(F.col("payload_digest")), F.col("place").cast("string")))
+    rank = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.coalesce("url", F.lit("")), F.col("row_id"))
     first = rows.where(F.octet_length("payload") >= least_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("d", F.col("m.row_id").alias("first_id"))
+    first = written(first.select("d", F.col("m.row_id").alias("first_id")), "repeated")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
     joined = rows.join(first, rows["payload_digest"] == first["d"], "left")
     return joined.withColumn("original", F.when(F.col("first_id") != F.col("row_id"), F.col("first_id"))).drop("d", "first_id", "place")
 
 
 def write_captures(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes three records for each row of with_originals() to gzipped archives under path."""
+    """Writes three records for each page (page_id, url, html) to gzipped archives under path.
+
+    Equal payloads are of one size, so each class of sizes is written by itself; its largest payload says how many
+    captures a file may have.
+    """
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    class_of = F.size(F.filter(F.array(*[F.lit(c) for c in SIZE_CLASSES]), lambda c: c < size))
+    for (k,) in sorted(tuple(r) for r in pages.select(class_of.alias("k")).distinct().collect()):  # at most len(SIZE_CLASSES) rows
+        _write_class(pages.where(class_of == k), f"{path}/size-{k}", least_bytes, max(1, FILE_BYTES // SIZE_CLASSES[k]))
+
+
+def _write_class(pages: DataFrame, path: str, least_bytes: int, captures: int) -> None:
     rows = with_originals(pages, least_bytes)
     # A URI or id must not break out of its header line.
     uri = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "")
@@ -86,30 +103,78 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         "application/http; msgtype=response", http,
     )
     request = _record("request", rid("request"), uri, [("WARC-Concurrent-To", back)], "application/http; msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{CRLF * 2}")))
-    fields = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
+    fields = F.coalesce(F.concat(F.lit("pageId: "), F.url_encode(F.col("page_id").cast("string")), F.lit(CRLF)), F.lit(""))
     metadata = _record("metadata", rid("metadata"), uri, [("WARC-Concurrent-To", back)], "application/warc-fields", fields)
     records = rows.select(F.explode(F.array(request, F.when(F.col("original").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
 
 
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)")
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive; what stands between records is skipped."""
-    at = data.find(b"WARC/1.")
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+class _Reader:
+    """The bytes of a file as they are unpacked: archives often have a gzip member for each record."""
+
+    PIECE = 1 << 20
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.at, self.ready = content, 0, bytearray()
+        self.zipped = content[:2] == b"\x1f\x8b"
+        self.unzip = zlib.decompressobj(31)
+
+    def more(self) -> bool:
+        """Unpacks a piece; False at the end."""
+        if self.at >= len(self.content) and not self.unzip.unconsumed_tail:
+            return False
+        if not self.zipped:
+            self.ready += self.content[self.at : self.at + self.PIECE]
+            self.at += self.PIECE
+            return True
+        data = self.unzip.unconsumed_tail
+        if not data:
+            data = self.content[self.at : self.at + self.PIECE]
+            self.at += len(data)
+        self.ready += self.unzip.decompress(data, self.PIECE)
+        if self.unzip.eof:
+            self.at -= len(self.unzip.unused_data)
+            if self.content[self.at : self.at + 2] != b"\x1f\x8b":
+                self.at = len(self.content)
+            self.unzip = zlib.decompressobj(31)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before the next mark, which go with it; None if there is no other."""
+        searched = 0
+        while (found := self.ready.find(mark, searched)) < 0:
+            searched = max(0, len(self.ready) - len(mark) + 1)
+            if not self.more():
+                return None
+        out = bytes(self.ready[:found])
+        del self.ready[: found + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.ready) < n and self.more():
+            pass
+        out = bytes(self.ready[:n])
+        del self.ready[:n]
+        return out
+
+
+def parse(content: bytes) -> Iterator[dict]:
+    """The records of one archive, gzipped or plain; what stands between records is skipped."""
+    reader = _Reader(content)
+    while reader.until(b"WARC/1.") is not None:
+        head_lines = reader.until(b"\r\n\r\n")
+        if head_lines is None:
             return
         headers: dict[str, list[str]] = {}
-        for name, value in _HEADER.findall(data, data.find(b"\r\n", at), end):
-            headers.setdefault(name.decode().strip().lower(), []).append(value.decode("utf-8", "replace").strip())
+        for name, value in _HEADER.findall(head_lines, max(head_lines.find(b"\r\n"), 0)):
+            headers.setdefault(name.decode("utf-8", "replace").strip().lower(), []).append(value.decode("utf-8", "replace").strip())
         one = lambda name: headers.get(name, [None])[0]  # noqa: B023, E731
         bare = lambda value: None if value is None else value.strip("<>")
-        start = end + 4
-        stop = start + int(one("content-length") or 0)
-        block = data[start:stop]
+        length = one("content-length") or ""
+        block = reader.take(int(length) if length.isdigit() else 0)
         kind, head, payload, size = one("warc-type"), "", block, None
         if (one("content-type") or "").startswith("application/http"):
             top, _, payload = block.partition(b"\r\n\r\n")
@@ -125,16 +190,14 @@ def parse(data: bytes) -> Iterator[dict]:
             "payload_digest": told, "digest_matches": None if told is None or kind == "revisit" else told == own,
             "payload_bytes": size if kind == "revisit" else len(payload), "head": head, "payload": payload,
         }
-        at = data.find(b"WARC/1.", stop)
 
 
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in RECORD_TYPE.split(", ")]
     for batch in batches:
         for content in batch["content"]:
-            data = b"".join(_members(content)) if content[:2] == b"\x1f\x8b" else bytes(content)
             rows, size = [], 0
-            for record in parse(data):
+            for record in parse(bytes(content)):
                 rows.append(record)
                 size += len(record["payload"])
                 if size > 8 << 20 or len(rows) >= 5000:
@@ -144,14 +207,6 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=names)
 
 
-def _members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of a file: archives often have one for each record."""
-    while content[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        yield z.decompress(content) + z.flush()
-        content = z.unused_data
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives under path (gzipped or plain), payloads whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
@@ -185,25 +240,51 @@ def assemble(records: DataFrame, payloads: bool = True, both_ways: bool = True)
     return out.where("main is not null").select("capture_id", *[F.col(f"main.{c}") for c in fields if c not in ("record_id", "head")], "main.payload", "requests", "metadata")
 
 
+def resolved(captures: DataFrame) -> DataFrame:
+    """captures with the size and digest of each payload, a revisit's those of the response that it refers to.
+
+    digest_matches tells whether the digest stated by the record is that of the payload; it is false where a
+    revisit's response is missing, was no match itself or has another digest. No payload takes part in the join.
+    """
+    responses = captures.where("record_type = 'response'").select(F.col("capture_id").alias("_of"), F.struct("payload_bytes", "payload_digest", "digest_matches").alias("_response"))
+    wanted = captures.where("record_type = 'revisit'").select(F.col("refers_to").alias("_of")).distinct()
+    told = captures.join(responses.join(wanted, "_of", "left_semi"), F.col("refers_to") == F.col("_of"), "left")
+    revisit = F.col("record_type") == "revisit"
+    same = F.coalesce(F.col("_response.digest_matches") & (F.col("_response.payload_digest") == F.col("payload_digest")), F.lit(False))
+    return told.withColumns(
+        {
+            "payload_bytes": F.when(revisit, F.coalesce("_response.payload_bytes", "payload_bytes")).otherwise(F.col("payload_bytes")),
+            "digest_matches": F.when(revisit, same).otherwise(F.col("digest_matches")),
+        }
+    ).drop("_of", "_response")
+
+
 def op4_warc(pages: DataFrame) -> DataFrame:
-    """Writes all pages, reads the archives back and assembles the captures.
+    """Writes all pages, reads the archives back and assembles the captures, payloads included.
 
-    The page id comes from the metadata record; the one revisited stands in the id that WARC-Refers-To names. A
-    null page id stays null. A payload whose digest does not match what its header says raises.
+    The page id comes from the metadata record; the one revisited stands in the id that WARC-Refers-To names. A null
+    page id stays null. Ids of any type are written encoded, so that none breaks out of its line.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
-    write_captures(pages.select("page_id", "url", "html"), path)
-    captures = assemble(read_records(spark, path), payloads=False, both_ways=False)  # write_captures names captures from the other records
-    told = F.regexp_extract(F.element_at("metadata", 1)["payload"].cast("string"), r"pageId: (-?\d+)", 1)
+    pages = pages.select("page_id", "url", "html")
+    write_captures(pages, path)
+    gone_at_exit(spark, path)
+    if not pages.limit(1).count():
+        return pages.limit(0).selectExpr("page_id", "0L payload_bytes", "'' payload_digest", "'' record_type", "page_id refers_to", "true digest_matches", "0 n_requests")
+    whole = assemble(read_records(spark, path), both_ways=False)  # write_captures names captures from the other records
+    # the nested rows are stored without the payloads' bytes, whose lengths and digests the parser has taken
+    facts = whole.withColumn("held_bytes", F.octet_length("payload")).drop("payload", "target_uri", "date")
+    captures = resolved(written(facts, "captures"))
+    told = F.regexp_extract(F.element_at("metadata", 1)["payload"].cast("string"), r"pageId: ([^\r\n]*)", 1)
     kind = pages.schema["page_id"].dataType
-    sound = F.when(F.coalesce("digest_matches", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("capture_id"))))
     return captures.select(
-        F.when(told != "", told).cast(kind).alias("page_id"),
-        F.col("payload_bytes"),
-        sound.alias("payload_digest"),
+        F.when(told != "", F.url_decode(told)).cast(kind).alias("page_id"),
+        F.when(F.col("record_type") == "response", F.col("held_bytes").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        "payload_digest",
         "record_type",
-        F.when(F.col("refers_to").isNotNull(), F.regexp_extract("refers_to", r"^urn:capture:response:(-?\d+)-", 1)).cast(kind).alias("refers_to"),
+        F.url_decode(F.nullif(F.regexp_extract("refers_to", r"^urn:capture:response:(.*)-[a-z2-7]{32}-\d+$", 1), F.lit(""))).cast(kind).alias("refers_to"),
+        "digest_matches",
         F.size("requests").alias("n_requests"),
     )
 
@@ -213,7 +294,7 @@ def _base32_sql(code: str) -> str:
 
 
 OP4_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, first_value(page_id) OVER w AS f, row_number() OVER w AS k FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, coalesce(url, '')))
 SELECT page_id, strlen(h) AS payload_bytes, {_base32_sql('sha1(h)')} AS payload_digest,
-  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to, 1 AS n_requests FROM p
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to, true AS digest_matches, 1 AS n_requests FROM p
 """

@@ -1,6 +1,7 @@
 """Decontamination, Jaccard join, archives and quotations."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -110,6 +111,46 @@ def test_warc_round_trip_of_odd_pages(spark):
     assert warc.op4_warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_null_repeated_and_text_ids_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    pages = [(None, "a", "same"), (7, "b", "same"), (9, "c", "same"), (7, "b", "same"), (None, "d", None), (4, "e", ""), (None, "f", "only"), (None, "f", "only"), (-3, "g", "own" * 9000), (8, "h", "own" * 9000)]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_matches", "n_requests"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({warc.OP4_SQL})").fetchall()
+    got = warc.op4_warc(spark.createDataFrame(pages, "page_id long, url string, html string")).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    texts = warc.op4_warc(spark.createDataFrame([(f"id {p}-<x>\r\n" if p is not None else None, u, h) for p, u, h in pages], "page_id string, url string, html string")).collect()
+    assert len(texts) == 10
+    assert {r["page_id"] for r in texts} == {None, *(f"id {p}-<x>\r\n" for p in (7, 9, 4, -3, 8))} and {r["refers_to"] for r in texts} == {None, *(f"id {p}-<x>\r\n" for p in (7, 4, -3))}
+
+
+def test_warc_files_are_cut_by_bytes_and_members_are_streamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    pages = [(i, "u", ("abcdefgh" * 40_000 if i % 4 == 0 else f"small {i} ") + str(i)) for i in range(40)]
+    path = f"{tmp_path}/w"
+    warc.write_captures(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    files = [f for f in (tmp_path / "w").rglob("*.gz")]
+    assert len(files) > 10 and max(len(gzip.decompress(f.read_bytes())) for f in files) < 1 << 20
+    got = warc.assemble(warc.read_records(spark, path)).collect()
+    assert sorted(bytes(r["payload"]).decode() for r in got) == sorted(h for _, _, h in pages) and all(r["digest_matches"] for r in got)
+    monkeypatch.setattr(warc._Reader, "PIECE", 7)
+    plain = [gzip.decompress(f.read_bytes()) for f in sorted(files, key=lambda f: f.stat().st_size)[:3]]
+    whole = b"".join(map(gzip.compress, plain))
+    few = list(warc.parse(whole))
+    monkeypatch.setattr(warc._Reader, "PIECE", 1 << 20)
+    assert few == list(warc.parse(whole)) == list(warc.parse(b"".join(plain))) and len(few) >= 9
+
+
+def test_revisits_of_missing_or_other_responses_do_not_match(spark):
+    schema = "capture_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, digest_matches boolean"
+    rows = [("r1", "response", None, 5, "A", True), ("v1", "revisit", "r1", 9, "A", None), ("v2", "revisit", "r1", 5, "B", None), ("v3", "revisit", "gone", 5, "A", None)]
+    got = {r["capture_id"]: (r["payload_bytes"], r["digest_matches"]) for r in warc.resolved(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"r1": (5, True), "v1": (5, True), "v2": (5, False), "v3": (5, False)}
+
+
 def test_warc_links_in_both_directions(spark, tmp_path):
     lines = lambda *x: "\r\n".join(x) + "\r\n\r\n"
     http = "HTTP/1.1 200 OK\r\n\r\nbody"
