@@ -30,8 +30,12 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 30, 5
 #: MinHash values compared at a time, and the posterior probability below which a pair goes.
 STEP, TOLERANCE = 30, 1e-6
-#: Texts in one block; a task sees at most two blocks at once.
-BLOCK = 512
+#: Texts in one block, and about the most bytes of them; a task sees at most two blocks at once.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Texts that are signed at a time, and about the most characters of them.
+SIGNED, SIGNED_CHARS = 128, 4 << 20
+#: A class that holds more than one in so many documents meets its documents by broadcast: there are fewer such classes.
+HOT_CLASSES = 2000
 #: Rows of slim tables that are still broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -86,8 +90,12 @@ def _band_keys(values: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 128):
-            piece = batch.slice(a, 128)
+        chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            most = SIGNED_CHARS + (chars[a - 1] if a else 0)
+            piece = batch.slice(a, max(1, min(SIGNED, int(np.searchsorted(chars, most, side="right")) - a)))
+            a += piece.num_rows
             sets = shingle_sets(piece.column(1).to_pylist())
             full = [i for i, s in enumerate(sets) if len(s)]
             if full:
@@ -180,10 +188,15 @@ def _signature_rows(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u2").reshape(t.num_rows, N)
 
 
+def _taken(values: pa.Array, places: np.ndarray) -> pa.Array:
+    out = values.take(pa.array(places))
+    return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
+
+
 def _prune(least: list[int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in _whole_groups(batches, ["bucket", "x", "y"]):
-            sig, node = _signature_rows(t), t["node"].to_numpy()
+            sig, node = _signature_rows(t), t["node"].combine_chunks()
             cross, side = t["x"].to_numpy() != t["y"].to_numpy(), t["block"].to_numpy() == t["x"].to_numpy()
             roots = _Roots(t.num_rows)
             for i, j in _pairs(group, cross, side):
@@ -191,7 +204,7 @@ def _prune(least: list[int]) -> Callable:
                 if apart.any():
                     roots.join(*_survivors(sig, i[apart], j[apart], least))
             linked = np.flatnonzero(roots.label != np.arange(t.num_rows))
-            yield pa.record_batch([pa.array(node[linked]), pa.array(node[roots.label[linked]])], names=["a", "b"])
+            yield pa.record_batch([_taken(node, linked), _taken(node, roots.label[linked])], names=["a", "b"])
 
     return run
 
@@ -218,7 +231,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(least: list[int], threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in _whole_groups(batches, ["cluster", "x", "y"]):
-            sig, node, copies = _signature_rows(t), t["node"].to_numpy(), t["n_copies"].to_numpy()
+            sig, node, copies = _signature_rows(t), t["node"].combine_chunks(), t["n_copies"].to_numpy()
             x, block = t["x"].to_numpy(), t["block"].to_numpy()
             cross, side = x != t["y"].to_numpy(), block == x
             n_links, n_docs = np.zeros(t.num_rows, dtype=np.int64), np.zeros(t.num_rows, dtype=np.int64)
@@ -238,22 +251,22 @@ def _verify(least: list[int], threshold: float) -> Callable:
                     np.add.at(n_docs, j, copies[i])
                     roots.join(i, j)
             got = np.flatnonzero(n_links)
-            yield pa.record_batch([pa.array(node[got]), pa.array(node[roots.label[got]]), pa.array(n_links[got]), pa.array(n_docs[got])], names=["node", "root", "n_links", "n_linked_docs"])
+            yield pa.record_batch([_taken(node, got), _taken(node, roots.label[got]), pa.array(n_links[got]), pa.array(n_docs[got])], names=["node", "root", "n_links", "n_linked_docs"])
 
     return run
 
 
-def _dealt(members: DataFrame, key: str, size: str) -> DataFrame:
+def _dealt(members: DataFrame, key: str, n_blocks: Column) -> DataFrame:
     """members with their block and once for every pair of blocks (x <= y) that their block is in."""
-    n = F.ceil(F.col(size) / BLOCK).cast("int")
-    out = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    out = out.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", size)
+    out = members.withColumn("_n", n_blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_n")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    out = out.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", "_n")
     return out.repartition(F.col(key), F.col("x"), F.col("y")).sortWithinPartitions(key, "x", "y", "node")
 
 
 def _node(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """What tells texts apart: 128 bits, so that no two of even 10**12 texts meet by chance."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -265,16 +278,16 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
 
     copy_id is the lowest id among documents of equal text and n_copies their number; n_links is the number of
     different texts whose similarity to this one reaches the threshold and n_linked_docs the number of their
-    documents; class_id is the lowest id in the component of links and copies, and component a number of that
-    component which does not rest on ids. A null text is the empty one;
+    documents; class_id is the lowest id in the component of links and copies, and component a key of that component
+    which does not rest on ids. A null text is the empty one;
     texts without words link to none. A null id is never the lowest unless a class has no other. Repeated rows
     are copies; an empty table stays empty; columns of docs with the names of results are replaced.
     """
     least = [least_matches(threshold, n, tolerance) for n in range(STEP, N + 1, STEP)]
     ids = F.col(f"`{doc_id}`")
     slim = docs.select(_node(F.col(f"`{text}`")).alias("node"), ids.alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    classes = written(slim.groupBy("node").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies")), "classes")
-    signed = written(slim.select("node", "text").mapInArrow(_sign, "node long, sig binary, bands array<long>").dropDuplicates(["node"]), "signatures")
+    classes = written(slim.groupBy("node").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.max(F.octet_length("text")).cast("long").alias("bytes")), "classes")
+    signed = written(slim.select("node", "text").mapInArrow(_sign, "node binary, sig binary, bands array<long>").dropDuplicates(["node"]), "signatures")
 
     banded = signed.select("node", F.explode("bands").alias("bucket"))
     # buckets of equal members hold the same pairs: one of them is enough
@@ -282,14 +295,15 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
     buckets = written(buckets.groupBy("n", "p", "q").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
     members = banded.join(_small(buckets), "bucket")
     candidates = members.join(signed.select("node", "sig"), "node")
-    survivors = _dealt(candidates, "bucket", "n").mapInArrow(_prune(least), "a long, b long")
+    survivors = _dealt(candidates, "bucket", F.ceil(F.col("n") / BLOCK)).drop("n").mapInArrow(_prune(least), "a binary, b binary")
     clusters = components(survivors)
 
-    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component").withColumnRenamed("component", "cluster")
-    wanted = written(sized.join(classes, "node"), "clusters")
+    known = clusters.join(classes, "node")
+    sizes = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("n"))
+    wanted = written(known.join(sizes, "component").withColumnRenamed("component", "cluster").drop("bytes"), "clusters")
     chosen = slim.withColumnRenamed("node", "own").join(_small(wanted), (F.col("id").eqNullSafe(F.col("copy_id"))) & (F.col("own") == F.col("node")))
     texts = chosen.drop("own", "id", "copy_id").dropDuplicates(["node"]).join(signed.select("node", "sig"), "node")
-    found = _dealt(texts, "cluster", "n").mapInArrow(_verify(least, threshold), "node long, root long, n_links long, n_linked_docs long")
+    found = _dealt(texts, "cluster", F.col("n")).drop("n").mapInArrow(_verify(least, threshold), "node binary, root binary, n_links long, n_linked_docs long")
     found = written(found, "links")
     counted = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("n_linked_docs"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -297,6 +311,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
     lowest = joined.where("component is not null").groupBy("component").agg(F.min("copy_id").alias("class_id"))
     result = joined.join(lowest, "component", "left").select(
         F.col("node").alias("_node_"),
+        "n_copies",
         F.struct(
             F.when(F.col("component").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"),
             "copy_id",
@@ -306,8 +321,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
             F.coalesce("component", "node").alias("component"),
         ).alias("_links_"),
     )
-    out = docs.withColumn("_own_", _node(F.col(f"`{text}`"))).join(result, F.col("_own_") == F.col("_node_"))
-    return with_struct(out, F.col("_links_"), RESULTS, docs.columns)
+    result = written(result, "results")
+    bound = (result.agg(F.sum("n_copies").alias("n")).first()["n"] or 0) / HOT_CLASSES
+    hot = result.where(F.col("n_copies") > bound).select(F.col("_node_").alias("_hot_"), F.col("_links_").alias("_known_"))  # fewer than HOT_CLASSES rows
+    own = docs.withColumn("_own_", _node(F.col(f"`{text}`"))).join(F.broadcast(hot), F.col("_own_") == F.col("_hot_"), "left")
+    # a document that has its answer goes anywhere: its key is no text's
+    own = own.withColumn("_key_", F.when(F.col("_hot_").isNull(), F.col("_own_")).otherwise(F.unhex(F.hex(F.monotonically_increasing_id()))))
+    out = own.join(result.where(F.col("n_copies") <= bound).drop("n_copies"), F.col("_key_") == F.col("_node_"), "left")
+    return with_struct(out, F.coalesce("_known_", "_links_"), RESULTS, docs.columns)
 
 
 def op2_jaccard_join(docs: DataFrame) -> DataFrame:

@@ -84,6 +84,32 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
         assert row["n_linked_docs"] == sum(len(ids[t]) for t in links[text])
 
 
+def test_a_cluster_of_five_thousand_is_dealt_in_block_pairs(spark):
+    """Near copies, all linked with all, and one text of which a third of the rows are copies."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base, f"z{i}"]) for i in range(5000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, "one hot text of some words " * 3) for i in range(3000)] + [(9000, "alone " * 7)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.linked(docs).drop("text").collect()
+    assert len(got) == 8001
+    near = [x for x in got if x["doc_id"] < 5000]
+    assert {(x["n_links"], x["n_linked_docs"], x["class_id"], x["n_copies"]) for x in near} == {(4999, 4999, 0, 1)}
+    assert {(x["class_id"], x["copy_id"], x["n_copies"], x["n_links"]) for x in got if 5000 <= x["doc_id"] < 9000} == {(5000, 5000, 3000, 0)}
+    members = docs.where("doc_id < 5000").select(F.unhex(F.md5("text")).alias("node"), F.lit(1).alias("cluster"))
+    dealt = jaccard_join._dealt(members, "cluster", F.lit(-(-5000 // jaccard_join.BLOCK)))
+    assert dealt.count() == 5000 * 10 and dealt.groupBy("x", "y").count().agg(F.max("count")).first()[0] <= 2.3 * jaccard_join.BLOCK
+
+
+def test_blocks_and_batches_of_long_texts_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard_join, "SIGNED_CHARS", 5_000)
+    rows = [(i, " ".join([*(f"w{j}" for j in range(1500)), f"z{i}"])) for i in range(30)] + [(99, None)]
+    got = jaccard_join.op2_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["n_links"], x["class_id"]) for x in got if x["doc_id"] < 99} == {(29, 0)} and len(got) == 31
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.op2_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
