@@ -8,7 +8,9 @@ deficits carry over from sequence to sequence and across partitions though no pa
 queue runs empty the others go on at the same times, in the proportions of their shares.
 
 Documents are tokenised once and stored in the shared folder with their places among their queue's tokens of the
-same partition; sums by partition and queue give the places in the whole queue.
+same partition; sums by partition and queue give the places in the whole queue. Up to FEW queues, each task finds
+the places of its grains by arithmetic; of more, all grains are sorted by time over all tasks and numbered, which
+gives the same places without any table of queues in one process.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
+from corpusloom.operators.ordering import numbered
 
 SEQUENCE = 1024
 #: Tokens dealt at once; a document is cut at grains, or where it starts or ends.
 GRAIN = 64
 #: Numbers of queues by numbers of grains that are compared at once.
 COMPARED = 1 << 20
-#: Queues beyond the largest so many share one.
-MAX_QUEUES = 1000
+#: Queues whose totals go to every task; more are dealt by sorting.
+FEW = 1000
+#: Grains of one queue that a task lists at once.
+LISTED = 1 << 12
+GOLDEN = 0.6180339887498949
 #: Rows of the table of places that are still broadcast.
 BROADCAST_ROWS = 500_000
 #: Distinct words that a worker remembers.
@@ -44,9 +50,6 @@ END_ID = 0
 #: A tokenizer and the same vocabulary as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
-_REST = "\x00rest"
-
-
 #: White space beside a space, in the commonest forms, and all white space but these.
 _BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _RARE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -164,7 +167,7 @@ class Dealing:
         self.step = 1 / np.where(self.late, self.grains, aimed)  # times between the grains of a queue
         by_size = np.empty(len(self.grains), dtype=np.int64)
         by_size[np.argsort(-self.grains, kind="stable")] = np.arange(len(self.grains))
-        self.first = (0.5 + by_size * 0.6180339887498949) % 1  # spread evenly, also over queues of one size
+        self.first = (0.5 + by_size * GOLDEN) % 1  # spread evenly, also over queues of one size
         self.short: dict[int, list[tuple[int, int]]] = {}
         for (q, n), grains in zip(self.tokens.items(), self.grains.tolist(), strict=True):
             if n % GRAIN:
@@ -192,33 +195,41 @@ class Dealing:
             out[a : a + width] = start + n.sum(axis=1)
         return out
 
-    def pieces(self, queue: str, place: int, n: int) -> tuple[np.ndarray, ...]:
-        """start, length, sequence and offset of the pieces of n tokens that begin at a place of the queue."""
-        first, last = place // GRAIN, (place + n - 1) // GRAIN
-        numbers = np.arange(first, last + 1)
-        sequence, at = np.divmod(self.grain(queue, numbers), SEQUENCE // GRAIN)
-        start = np.maximum(numbers * GRAIN, place)
-        offset = at * GRAIN + start - numbers * GRAIN
+    def grains_of(self, queue: str, place: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the grains that hold n tokens from a place of the queue."""
+        sequence, at = np.divmod(self.grain(queue, np.arange(place // GRAIN, (place + n - 1) // GRAIN + 1)), SEQUENCE // GRAIN)
+        offset = at * GRAIN
         for w in self.short.keys() & set(sequence.tolist()):
             for behind, missing in self.short[w]:
                 offset[(sequence == w) & (at > behind)] -= missing
-        end = np.append(start[1:], place + n)
-        fresh = np.ones(len(numbers), dtype=bool)
-        fresh[1:] = (sequence[1:] != sequence[:-1]) | (offset[1:] != offset[:-1] + end[:-1] - start[:-1])
-        heads = np.flatnonzero(fresh)
-        stop = np.append(start[heads[1:]], place + n)
-        return start[heads] - place, stop - start[heads], sequence[heads], offset[heads]
+        return sequence, offset
+
+
+def pieces(place: int, n: int, sequence: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, length, sequence and offset of the pieces of n tokens from a place of their queue, given their grains'."""
+    numbers = np.arange(place // GRAIN, (place + n - 1) // GRAIN + 1)
+    start = np.maximum(numbers * GRAIN, place)
+    offset = offset + start - numbers * GRAIN
+    end = np.append(start[1:], place + n)
+    fresh = np.ones(len(numbers), dtype=bool)
+    fresh[1:] = (sequence[1:] != sequence[:-1]) | (offset[1:] != offset[:-1] + end[:-1] - start[:-1])
+    heads = np.flatnonzero(fresh)
+    stop = np.append(start[heads[1:]], place + n)
+    return start[heads] - place, stop - start[heads], sequence[heads], offset[heads]
+
 
+def _cut(dealing: Broadcast | None, itemsize: int) -> Callable:
+    """Cuts documents into pieces: by arithmetic, or by their grains' sequences and offsets, which come with them then."""
 
-def _cut(dealing: Broadcast, itemsize: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan: Dealing = dealing.value
+        plan: Dealing | None = dealing.value if dealing else None
         for batch in batches:
             queues, places, counts, ids = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
             for a in range(0, len(ids), 1000):
                 rows, found, parts = [], [], []
                 for i in range(a, min(a + 1000, len(ids))):
-                    cut = plan.pieces(queues[i], places[i], counts[i])
+                    told = plan.grains_of(queues[i], places[i], counts[i]) if plan else tuple(batch.column(k)[i].values.to_numpy() for k in (5, 6))
+                    cut = pieces(places[i], counts[i], *told)
                     values = np.frombuffer(ids[i], dtype=f"<u{itemsize}").astype("<u4").tobytes()
                     parts += [values[4 * s : 4 * (s + n)] for s, n in zip(cut[0].tolist(), cut[1].tolist(), strict=True)]
                     rows += [i] * len(cut[0])
@@ -233,6 +244,26 @@ def _cut(dealing: Broadcast, itemsize: int) -> Callable:
     return run
 
 
+def _sorted_grains(totals: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """queue, number, sequence and at (its offset there) of every grain, by one sort of all grains by their times.
+
+    totals has queue and n. The times are those of Dealing, by the same operations on the same numbers.
+    """
+    spark = totals.sparkSession
+    queues = numbered(totals.where("n > 0").withColumns({"grains": F.ceil(F.col("n") / GRAIN)}).withColumn("by_size", -F.col("grains")), ["by_size", "queue"], "number")
+    aims = spark.createDataFrame([(q, max(float(x), 0.0)) for q, x in (targets or {"": 0.0}).items()], "queue string, aimed double")
+    told = queues.join(aims, "queue", "left").withColumn("aimed", F.coalesce("aimed", F.lit(0.0)))
+    told = told.withColumn("late", F.col("aimed") == 0).withColumn("step", 1 / F.when(F.col("late"), F.col("grains").cast("double")).otherwise(F.col("aimed")))
+    told = told.withColumn("first", (F.lit(0.5) + (F.col("number") - 1) * F.lit(GOLDEN)) % 1)
+    blocks = told.select("queue", "n", "grains", "late", "step", "first", F.explode(F.sequence(F.lit(0), F.floor((F.col("grains") - 1) / LISTED))).alias("block")).repartition("queue", "block")
+    each = F.explode(F.sequence(F.col("block") * LISTED, F.least(F.col("block") * LISTED + LISTED, F.col("grains")) - 1)).alias("number")
+    grains = blocks.select("queue", "n", "late", "step", "first", each)
+    timed = grains.select("queue", "number", "late", ((F.col("number") + F.col("first")) * F.col("step")).alias("time"), F.least(F.lit(GRAIN), F.col("n") - F.col("number") * GRAIN).alias("length"))
+    placed = numbered(timed, ["late", "time", "queue"], "place").withColumn("sequence", F.floor((F.col("place") - 1) / (SEQUENCE // GRAIN)))
+    before = F.sum("length").over(W.partitionBy("sequence").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    return placed.select("queue", "number", "sequence", F.coalesce(before, F.lit(0)).alias("at"))
+
+
 def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """Pieces of documents in sequences: doc_id, queue, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
@@ -247,22 +278,23 @@ def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("queue"))
     tokens = written(rows.mapInArrow(_tokenise(path, ranks), f"doc_id {kind}, queue string, part int, place long, doc_tokens long, ids binary"), "tokens")
-    sums = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
-    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue")
-    largest = {r["queue"]: r["n"] for r in totals.limit(MAX_QUEUES).collect()}  # at most MAX_QUEUES rows
-    lane = F.col("queue")
-    rest = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rest -= sum(largest.values())
-    if rest:
-        lane = F.when(F.col("queue").isin(list(largest)), F.col("queue")).otherwise(F.lit(_REST))
-        largest[_REST] = rest
-    before = F.sum("n").over(W.partitionBy("lane").orderBy("queue", "part").rowsBetween(W.unboundedPreceding, -1))
-    places = sums.withColumn("lane", lane).select("queue", "part", "lane", F.coalesce(before, F.lit(0)).alias("before"))
+    sums = written(tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "sums")
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    sizes = {r["queue"]: r["n"] for r in totals.limit(FEW + 1).collect()}
+    before = F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    places = sums.select("queue", "part", F.coalesce(before, F.lit(0)).alias("before"))
     if sums.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    placed = tokens.join(places, ["queue", "part"]).select("doc_id", F.col("lane").alias("queue"), (F.col("place") + F.col("before")).alias("place"), "doc_tokens", "ids")
-    dealing = spark.sparkContext.broadcast(Dealing(largest, targets))
-    return placed.mapInArrow(_cut(dealing, itemsize), f"doc_id {kind}, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    placed = tokens.join(places, ["queue", "part"]).select("doc_id", "queue", (F.col("place") + F.col("before")).alias("place"), "doc_tokens", "ids")
+    out = f"doc_id {kind}, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    if len(sizes) <= FEW:
+        return placed.mapInArrow(_cut(spark.sparkContext.broadcast(Dealing(sizes, targets)), itemsize), out)
+    grains = written(_sorted_grains(totals, targets), "grains")
+    last = F.floor((F.col("place") + F.col("doc_tokens") - 1) / GRAIN)
+    asked = placed.select("queue", "place", F.explode(F.sequence(F.floor(F.col("place") / GRAIN), last)).alias("number"))
+    answers = asked.join(grains, ["queue", "number"]).groupBy("queue", "place").agg(F.array_sort(F.collect_list(F.struct("number", "sequence", "at"))).alias("g"))
+    answers = answers.select("queue", "place", F.col("g.sequence").alias("sequences"), F.col("g.at").alias("offsets"))
+    return placed.join(answers, ["queue", "place"]).select("doc_id", "queue", "place", "doc_tokens", "ids", "sequences", "offsets").mapInArrow(_cut(None, itemsize), out)
 
 
 def op6_mixture_packing(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scoring, language identification, packing and the pipeline."""
 
 import collections
+import functools
 import itertools
 import math
 import re
@@ -134,8 +135,13 @@ def test_every_label_is_sampled_within_the_bound_in_a_fixed_order(spark, monkeyp
     assert max(collections.Counter(label for _, label in language_id.sample(docs)).values()) == 6
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+
 def ids_of(text):
-    return [*Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode(text or "", add_special_tokens=False).ids, 0]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check_packing(pieces, texts):
@@ -193,13 +199,27 @@ def test_small_sources_are_dealt_at_their_share_to_the_end():
                 assert np.abs(np.arange(n) + 0.5 - (places[q] + 0.5) * share).max() <= 2
 
 
-def test_queues_beyond_the_largest_share_one(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
-    texts = {i: f"text number {i} " * (i + 1) for i in range(30)}
-    docs = spark.createDataFrame([(i, t, f"s{i % 6}") for i, t in texts.items()], "doc_id long, text string, source string")
-    got = packing.op6_mixture_packing(docs).toPandas()
-    assert got.queue.nunique() == 3
-    check_packing(got, texts)
+def test_very_many_sources_are_dealt_by_sorting_as_by_arithmetic(spark, monkeypatch):
+    """2000 sources with targets for most of them: both ways give the same rows, and every source keeps its share in every window."""
+    r = np.random.default_rng(5)
+    texts = {i: " ".join(["word"] * int(n)) for i, n in enumerate(np.append(r.geometric(1 / 60, 4000), [60_000, 9000, 5]))}
+    docs = spark.createDataFrame([(i, t, f"s{i % 2000}" if i < 4000 else "big") for i, t in texts.items()], "doc_id long, text string, source string")
+    sizes = docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).toPandas().set_index("source").n
+    sizes = {q: n + (4000 + 3 if q == "big" else 2) for q, n in sizes.items()}  # about: the end tokens too
+    targets = {q: float(-(-n // packing.GRAIN)) for q, n in sizes.items() if not q.endswith("7")}
+    for aims in (None, targets):
+        monkeypatch.setattr(packing, "FEW", 10_000)
+        few = packing.packed(docs, targets=aims).toPandas()
+        monkeypatch.setattr(packing, "FEW", 5)
+        many = packing.packed(docs.repartition(3), targets=aims)
+        assert len(few) == many.count()
+        # places within a queue follow the partitions, so pieces are compared by what they hold of each queue
+        key = lambda f: sorted(f.groupby(["sequence_id", "queue"]).length.sum().reset_index().itertuples(index=False))
+        assert key(few) == key(many.toPandas())
+    check_packing(few.assign(ids_crc32=few.ids.map(zlib.crc32)), texts)
+    plan, dealt = packing.Dealing({q: int(x) * packing.GRAIN for q, x in targets.items()}, targets), sum(targets.values())
+    for q, n in targets.items():  # every grain is within two of where its share owes it
+        assert np.abs(np.arange(n) + 0.5 - (plan.grain(q, np.arange(int(n))) + 0.5) * n / dealt).max() <= 2
 
 
 def test_chunked_encoding_equals_the_tokenizer(documents):
