@@ -30,8 +30,17 @@ CITATION = r"《[^》]{2,80}》(?:[ \t]*[（(]?[ \t]*(?:" + CITATION_CODE + r")[
 #: Placeholders in table cells.
 PLACEHOLDER = r"^(?:—|-|/|无|暂无|待填|待补|示例|\s*)$"
 DATE = r"(20\d{2})[年\-/.](\d{1,2})[月\-/.](\d{1,2})"
-STEP_ARROWS = r"→|->|⇒|=>|➔"
-STEP_LABEL = r"(?U)^\s*(?:施工顺序|施工流程|工艺流程|作业步骤|工序)\s*[：:]\s*"
+#: Fixed value: what a match key leaves out.
+KEY_PUNCTUATION = r"[\s\u3000，,。；;：:（）()【】\[\]《》<>‘’'\"、·—-]+"
+#: Arrows between steps, labels before a chain of steps, and what no step is.
+STEP_ARROWS = r"\s*(?:→|->|—>|⇒|＞)\s*"
+STEP_LABEL = r"^(?:施工顺序安排|施工顺序|施工步骤|作业步骤)\s*[：:]\s*"
+STEP_EXCLUDED = ("风险作业目录", "目录编号", "作业编号", "不涉及风险作业")
+STEP_CODE = r"(?i)\bCN-[A-Z0-9-]+\b"
+STEP_TITLE = r"(?:施工顺序|施工步骤|作业步骤)[：:]*$"
+MOST_STEP = 120
+#: Characters of a sheet's cell, and what ends a cut one.
+MOST_CELL, CUT_NOTICE = 32_767, "[导出内容已截断，请在页面查看完整证据]"
 
 
 def strip(text: Column) -> Column:
@@ -147,10 +156,10 @@ def entity_name(text: Column, normalise: bool = True) -> Column:
     return F.translate(collapsed(value), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def match_key(text: Column, punctuation: str = r"，。；：、,.;:\-_/（）()《》“”\"'", normalise: bool = True) -> Column:
+def match_key(text: Column, normalise: bool = True) -> Column:
     """NFKC, without white space and punctuation, in lower case."""
     value = nfkc(text) if normalise else text
-    return F.lower(F.regexp_replace(value, rf"(?U)[\s{punctuation}]", ""))
+    return F.lower(F.regexp_replace(value, f"(?U){KEY_PUNCTUATION}", ""))
 
 
 def alignment_key(name: Column) -> Column:
@@ -199,17 +208,19 @@ def is_chronological(start: Column, end: Column) -> Column:
 
 
 def steps(text: Column) -> Column:
-    """A chain of steps cut at arrows, without its label; blank steps and placeholders go."""
-    parts = F.transform(F.split(F.regexp_replace(text, STEP_LABEL, ""), STEP_ARROWS), strip)
-    return F.filter(parts, lambda p: is_meaningful(p) & (F.length(p) <= 80))
+    """A chain of steps cut at arrows, without its label; what is blank, too long, a title, a code or an excluded term goes."""
+    parts = F.transform(F.split(F.regexp_replace(collapsed(text), STEP_LABEL, ""), STEP_ARROWS), collapsed)
+    excluded = lambda p: F.exists(F.array(*[F.lit(t) for t in STEP_EXCLUDED]), lambda t: F.contains(p, t))
+    return F.filter(parts, lambda p: (p != "") & (F.length(p) <= MOST_STEP) & ~excluded(p) & ~p.rlike(STEP_CODE) & ~p.rlike(STEP_TITLE))
 
 
 def is_meaningful(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False)) & ~strip(value).rlike(PLACEHOLDER)
 
 
-def short_cell(text: Column, most: int = 32_000, notice: str = "…") -> Column:
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(notice))).otherwise(text)
+def short_cell(text: Column, most: int = MOST_CELL, notice: str = CUT_NOTICE) -> Column:
+    """A text that a sheet's cell can hold: a longer one is cut so that it and the notice fill the cell."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - len(notice))), F.lit(notice))).otherwise(text)
 
 
 def cell(value: Column, kind: str) -> Column:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.retrieve import ranked
+from corpusloom.operators.sizes import small
 
-#: Limits of an evidence group, scores and the gap under which two groups are ambiguous.
+#: Fixed values, limits of an evidence group, and the gap under which two groups are ambiguous.
 MOST_BLOCKS, MOST_CHARS, GAP = 50, 6000, 0.06
+#: Fixed value: a positive number of persons.
 HEADCOUNT = r"^\s*([1-9]\d*)\s*(?:人|名|位)?\s*$"
+#: Words of rows that are notes.
 NOTES = ("说明", "注：", "签字", "盖章", "日期", "示例")
+#: Entries that every directory has.
 FIXED_ENTRIES = ("目录", "第一章", "第二章", "第三章", "第四章", "第五章", "附录A", "附录B", "附录C", "附录D", "附录E")
 
 
@@ -28,27 +32,43 @@ def sections(blocks: DataFrame, deepest: int = 6) -> DataFrame:
     return out.withColumn("section", F.array_compact(F.array(*live))).drop(*[f"h{k}" for k in range(1, deepest + 1)])
 
 
-def located(blocks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Best anchor of each task in each document: score and status (located, ambiguous, not_located).
+#: Locators too weak to stand in plain text, shares of a group's score and its ceiling.
+WEAK = ("施工方案", "工序", "控制措施", "→")
+BASE, IN_REGION, HEADING, OTHER, MATCH, MOST_MATCH, CEILING = 0.42, 0.32, 0.16, 0.06, 0.02, 0.08, 0.99
+#: Blocks that hold no content of their own.
+NO_CONTENT = ("toc_entry", "header", "footer")
 
-    tasks (task_id, locators, region) is a small dimension; a block matches on locators in its text, in the
-    task's region or as a heading. Groups are sections; the anchor is a heading first, then more matches. Two
-    groups of nearly equal score are ambiguous if the first is outside the region or both matched the same.
+
+def located(blocks: DataFrame, tasks: DataFrame, weak: tuple[str, ...] = WEAK) -> DataFrame:
+    """Best group of each task in each document: its anchor, score and status (located, ambiguous, not_located).
+
+    tasks has task_id, locators and regions (none: anywhere). Texts, sections, locators and regions are compared by
+    their match keys. A block with locators counts in one of the task's regions or as a heading, and a heading in a
+    region counts without any; weak locators alone count in headings and tables only. Blocks of one section are a
+    group, whose locators are those of all its blocks; its anchor is a heading first, then the block with most
+    locators. Two groups of nearly equal score are ambiguous if the first lies outside the regions or both have the
+    same locators. Blocks without content, of digits or of page heads and feet do not count.
     """
-    usable = blocks.where((F.col("block_type") != "toc_entry") & (F.col("text") != ""))
-    text = F.lower(F.col("text"))
-    both = usable.join(F.broadcast(tasks), F.exists("locators", lambda x: F.contains(text, F.lower(x))))
-    in_region = (F.col("region") == "") | F.contains(F.lower(F.concat_ws(" ", "section", "text")), F.lower(F.col("region")))
-    heading = F.col("block_type") == "heading"
-    found = F.filter("locators", lambda x: F.contains(text, F.lower(x)))
-    both = both.withColumns({"found": found, "matches": F.size(found), "exact": in_region, "heading": heading}).where(F.col("exact") | F.col("heading"))
+    keyed = blocks.where(~F.col("block_type").isin(*NO_CONTENT)).withColumns({"key": tx.match_key(F.col("text")), "place": tx.match_key(F.concat_ws(" ", F.concat_ws(" ", "section"), "text"))})
+    usable = keyed.where((F.col("key") != "") & ~F.col("key").rlike(r"^\d+$"))
+    each = lambda column, name: tasks.select("task_id", F.posexplode_outer(column).alias("n", name))
+    locators = each("locators", "term").where("term is not null").withColumn("k", tx.match_key(F.col("term"))).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("n", "term", "k"))).alias("terms"))
+    regions = each("regions", "term").where("term is not null").withColumn("k", tx.match_key(F.col("term"))).groupBy("task_id").agg(F.collect_list("k").alias("region_keys"))
+    told = tasks.select("task_id").join(locators, "task_id", "left").join(regions, "task_id", "left")
+    heading, table = F.col("block_type") == "heading", F.col("block_type") == "table"
+    exact = F.col("region_keys").isNull() | F.exists("region_keys", lambda k: F.contains(F.col("place"), k))
+    found = F.transform(F.filter(F.coalesce("terms", F.expr("cast(array() as array<struct<n:int,term:string,k:string>>)")), lambda t: F.contains(F.col("key"), t["k"])), lambda t: t["term"])
+    both = usable.join(small(told)).withColumns({"exact": exact, "found": found}).withColumn("matches", F.size("found"))
+    strong = F.size(F.array_except("found", F.array(*[F.lit(w) for w in weak]))) > 0
+    both = both.where(((F.col("matches") > 0) & (F.col("exact") | heading) | (heading & F.col("exact"))) & (strong | heading | table))
     group = F.when(F.size("section") > 0, F.array_join("section", "/")).otherwise(F.concat(F.lit("block:"), F.col("ordinal").cast("string")))
-    anchors = ranked(both.withColumn("group", group), ["document_id", "task_id", "group"], [F.desc("heading"), F.desc("matches"), F.col("ordinal")], "n").where("n = 1")
-    score = 0.42 + F.when(F.col("exact"), 0.32).otherwise(0.0) + F.when(F.col("heading"), 0.16).otherwise(0.06) + F.least(F.lit(0.08), 0.02 * F.col("matches"))
-    scored = anchors.withColumn("score", F.round(F.least(score, F.lit(0.99)), 3))
+    first = F.min(F.struct((~heading).alias("plain"), (-F.col("matches")).alias("fewer"), "ordinal", "exact"))
+    groups_ = both.groupBy("document_id", "task_id", group.alias("group")).agg(first.alias("a"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("found"))
+    score = BASE + F.when(F.col("a.exact"), IN_REGION).otherwise(0.0) + F.when(F.col("a.plain"), OTHER).otherwise(HEADING) + F.least(F.lit(MOST_MATCH), MATCH * F.size("found"))
+    scored = groups_.select("document_id", "task_id", "found", F.col("a.ordinal").alias("ordinal"), F.col("a.exact").alias("exact"), F.round(F.least(score, F.lit(CEILING)), 3).alias("score"))
     w = W.partitionBy("document_id", "task_id").orderBy(F.desc("score"), "ordinal")
     best = scored.withColumns({"place": F.row_number().over(w), "next_score": F.lead("score").over(w), "next_found": F.lead("found").over(w), "n_groups": F.count("*").over(W.partitionBy("document_id", "task_id"))}).where("place = 1")
-    every = blocks.select("document_id").distinct().join(F.broadcast(tasks.select("task_id")))
+    every = blocks.select("document_id").distinct().join(small(tasks.select("task_id")))
     out = every.join(best.select("document_id", "task_id", "ordinal", "score", "next_score", "n_groups", (~F.col("exact") | F.coalesce(F.col("found") == F.col("next_found"), F.lit(False))).alias("close")), ["document_id", "task_id"], "left")
     status = F.when(F.col("score").isNull(), "not_located").when(F.col("close") & F.coalesce(F.round(F.col("score") - F.col("next_score"), 3) < GAP, F.lit(False)), "ambiguous").otherwise("located")
     return out.select("document_id", "task_id", F.col("ordinal").alias("anchor"), "score", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), status.alias("status"))
@@ -64,7 +84,9 @@ def region_rows(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     inside = ends.join(blocks, "document_id").where((F.col("ordinal") >= F.col("anchor")) & (F.col("end").isNull() | (F.col("ordinal") < F.col("end"))))
     w = W.partitionBy("document_id", "task_id", "anchor").orderBy("ordinal")
     out = inside.withColumns({"n": F.row_number().over(w), "so_far": F.sum(F.length("text")).over(w.rowsBetween(W.unboundedPreceding, 0))})
-    return out.where((F.col("n") <= MOST_BLOCKS) & (F.col("so_far") <= MOST_CHARS)).select("document_id", "task_id", "anchor", "ordinal", "n", "so_far")
+    kept = (F.col("n") <= MOST_BLOCKS) & (F.col("so_far") <= MOST_CHARS)
+    out = out.withColumns({"kept": kept, "truncated": F.max(~kept).over(W.partitionBy("document_id", "task_id", "anchor"))})
+    return out.where("kept").select("document_id", "task_id", "anchor", "ordinal", "n", "so_far", "truncated")
 
 
 def column_index(header: Column, field: Column | str) -> Column:
@@ -111,17 +133,43 @@ def missing_fixed_entries(text: Column) -> Column:
     return missing_labels(text, FIXED_ENTRIES)
 
 
+#: Endings that say nothing, by the kind of a value.
+ENDINGS = {"project_name": ("施工作业方案", "施工方案", "施工"), "location": ("平台", "井场", "站场"), "organization": ("，", ",", "。")}
+
+
+def plain_value(value: Column) -> Column:
+    """A value without white space, colons of one kind."""
+    return F.replace(F.regexp_replace(value, r"(?U)\s+", ""), F.lit("："), F.lit(":"))
+
+
+def value_of_kind(value: Column, kind: Column) -> Column:
+    """plain_value() without the endings of its kind, each cut once in their order."""
+    out = plain_value(value)
+    for name, endings in ENDINGS.items():
+        for e in endings:
+            out = F.when((kind == name) & F.endswith(out, F.lit(e)), F.left(out, F.length(out) - len(e))).otherwise(out)
+    return out
+
+
 def labelled_values(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct values of labels: "label: value" in a text, or the block that follows a heading with the label."""
-    compact = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    pairs = F.regexp_extract_all("text", F.lit(r"([^\n:：|；;]{1,40})\s*[:：]\s*([^\n|；;]{2,80})"), F.lit(0))
-    told = blocks.select("document_id", "ordinal", F.explode(pairs).alias("pair"))
-    told = told.select("document_id", "ordinal", F.lower(tx.strip(F.regexp_extract("pair", r"^([^:：]+?)\s*[:：]", 1))).alias("label"), compact(F.regexp_extract("pair", r"[:：]\s*(.*)$", 1)).alias("value"))
-    told = told.join(F.broadcast(labels), "label").select("document_id", "label", "value", "ordinal")
+    """Distinct document_id, label, value and ordinal of labels (label, kind) in four places.
+
+    These are: "label: value" in a text; the texts of a section whose heading holds the label; the next text after
+    such a heading, if no other heading comes first; the cell beside one that holds the label. blocks have
+    document_id, ordinal, block_type, text, section (array) and rows (arrays of cells, or null).
+    """
+    labels = small(labels.select("label", "kind", plain_value(F.col("label")).alias("_label")))
+    quoted = F.concat(F.lit(r"\Q"), F.col("label"), F.lit(r"\E\s*[：:]\s*([^\n|；;]{2,80})"))
+    told = blocks.join(labels, F.contains("text", F.col("label"))).select("document_id", "label", "kind", F.call_function("regexp_extract", F.col("text"), quoted, F.lit(1)).alias("value"), "ordinal")
+    heading = F.col("block_type") == "heading"
+    under = blocks.where(~heading).join(labels, F.exists("section", lambda s: F.contains(plain_value(s), F.col("_label")))).select("document_id", "label", "kind", F.col("text").alias("value"), "ordinal")
     w = W.partitionBy("document_id").orderBy("ordinal")
-    following = blocks.withColumns({"next_type": F.lead("block_type").over(w), "next_text": F.lead("text").over(w)}).where("block_type = 'heading' and next_type <> 'heading'")
-    below = following.join(F.broadcast(labels), F.contains(F.lower("text"), F.col("label"))).select("document_id", "label", compact(F.col("next_text")).alias("value"), (F.col("ordinal") + 1).alias("ordinal"))
-    return told.union(below).where("value <> ''").distinct()
+    lead = blocks.where(heading | F.col("text").rlike(r"(?U)\S")).withColumns({"_type": F.lead("block_type").over(w), "_text": F.lead("text").over(w), "_at": F.lead("ordinal").over(w)})
+    below = lead.where(heading & (F.col("_type") != "heading")).join(labels, F.contains(plain_value(F.col("text")), F.col("label"))).select("document_id", "label", "kind", F.col("_text").alias("value"), F.col("_at").alias("ordinal"))
+    cells = blocks.where("rows is not null").select("document_id", "ordinal", F.explode("rows").alias("row")).select("document_id", "ordinal", "row", F.posexplode("row").alias("i", "cell")).where(F.col("i") + 1 < F.size("row"))
+    beside = cells.join(labels, F.contains(plain_value(F.col("cell")), F.col("_label"))).select("document_id", "label", "kind", F.get("row", F.col("i") + 1).alias("value"), "ordinal")
+    every = told.union(under).union(below).union(beside).withColumn("value", value_of_kind(F.col("value"), F.col("kind")))
+    return every.where("value <> ''").select("document_id", "label", "value", "ordinal").distinct()
 
 
 def conflicts(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,43 +179,94 @@ def conflicts(values: DataFrame, keys: list[str]) -> DataFrame:
     return per.join(n, keys)
 
 
+def item_key(name: Column) -> Column:
+    """An item's name without white space, brackets and commas, and without a last word that says nothing."""
+    return F.regexp_replace(F.regexp_replace(name, r"[\s（）()【】\[\]、,，]", ""), "(?:工器具|等)$", "")
+
+
 def coverage(plan: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Planned items (keys, name, quantity) against present ones: covered, missing or quantity_mismatch.
 
-    Names are compared without spaces and brackets; a name that holds another covers it. Items are compared
-    within their keys only.
+    A name that holds another covers it. A planned name with members in brackets is also covered by present items
+    that hold every member. Items are compared within their keys only; quantities where one item alone matches.
     """
-    key = lambda c: F.regexp_replace(F.regexp_replace(c, r"[\s（）()【】\[\]、,，]", ""), "(?:工器具|等)$", "")
-    a = plan.select(*keys, "name", "quantity", key(F.col("name")).alias("norm"))
-    b = present.select(*keys, F.col("quantity").alias("_quantity"), key(F.col("name")).alias("_norm"))
+    a = plan.select(*keys, "name", "quantity", item_key(F.col("name")).alias("norm"))
+    b = present.select(*keys, F.col("quantity").alias("_quantity"), item_key(F.col("name")).alias("_norm"))
     both = a.join(b, keys, "left").withColumn("hit", F.coalesce(F.contains("norm", F.col("_norm")) | F.contains("_norm", F.col("norm")), F.lit(False)))
     out = both.groupBy(*keys, "name", "quantity").agg(F.count_if("hit").alias("n_matches"), F.max(F.when(F.col("hit"), F.col("_quantity"))).alias("_q"))
-    status = F.when(F.col("n_matches") == 0, "missing").when((F.col("n_matches") == 1) & (F.col("_q") != F.col("quantity")), "quantity_mismatch").otherwise("covered")
+    inside = F.flatten(F.transform(F.regexp_extract_all("name", F.lit(r"[（(]([^）)]+)[）)]"), F.lit(1)), lambda x: F.split(x, "[、，,]")))
+    members = a.select(*keys, "name", F.explode(F.filter(inside, lambda m: (m != "") & (m != "等"))).alias("member")).distinct().withColumn("_member", item_key(F.col("member")))
+    held = members.join(b, keys, "left").groupBy(*keys, "name", "member").agg(F.max(F.coalesce(F.contains("_norm", F.col("_member")), F.lit(False))).alias("held"))
+    split = held.groupBy(*keys, "name").agg(F.min("held").alias("members_held"))
+    out = out.join(split, [*keys, "name"], "left")
+    status = (
+        F.when((F.col("n_matches") == 0) & F.coalesce("members_held", F.lit(False)), "covered")
+        .when(F.col("n_matches") == 0, "missing")
+        .when((F.col("n_matches") == 1) & (F.col("_q") != F.col("quantity")), "quantity_mismatch")
+        .otherwise("covered")
+    )
     return out.select(*keys, "name", "quantity", "n_matches", status.alias("status"))
 
 
 def work_codes(texts: DataFrame, catalogue: DataFrame, pattern: str) -> DataFrame:
-    """Codes in a document's texts, each once, with its catalogue entry or none."""
-    found = texts.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("code")).distinct()
-    return found.join(catalogue, "code", "left")
+    """Codes in a document's texts (document_id, ordinal, text), in capitals, each once: the first place and the catalogue's entry or none."""
+    found = texts.select("document_id", "ordinal", F.explode(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.upper)).alias("code"))
+    return found.groupBy("document_id", "code").agg(F.min("ordinal").alias("ordinal")).join(catalogue, "code", "left")
 
 
 def code_decision(codes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per document: no code and an explicit "not involved" is no issue; a code the catalogue lacks needs a look."""
+    """Result of each document (document_id, not_involved, confirmed).
+
+    No code is an issue unless the text says that none is involved; a code that the catalogue lacks needs a review
+    until it is confirmed.
+    """
     c = codes.groupBy("document_id").agg(F.count("*").alias("n_codes"), F.count_if(F.col("work_type").isNull()).alias("n_unknown"))
     out = documents.join(c, "document_id", "left").fillna(0, ["n_codes", "n_unknown"])
-    none = (F.col("n_codes") == 0) & F.col("not_involved")
-    return out.withColumn("result", F.when(none | ((F.col("n_codes") > 0) & (F.col("n_unknown") == 0)), "no_issue").otherwise("manual"))
+    result = (
+        F.when((F.col("n_codes") == 0) & F.col("not_involved"), "no_issue").when(F.col("n_codes") == 0, "issue_found").when((F.col("n_unknown") > 0) & ~F.col("confirmed"), "manual_review").otherwise("no_issue")
+    )
+    return out.withColumn("result", result)
+
 
+def field_results(evidence: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Results of tasks (document_id, task_id, required) by the rule of required fields, from evidence (document_id, task_id, text).
 
-def dispatched(tasks: DataFrame, results: DataFrame) -> DataFrame:
-    """Results of tasks by rule, or the default of their route: offline and later tasks stay pending."""
-    out = tasks.join(results, ["document_id", "task_id"], "left")
-    execution = F.when(F.col("result").isNotNull(), "completed").when(F.col("route") == "offline", "offline").otherwise("pending")
-    return out.withColumn("execution_status", execution)
+    A field names alternatives between "或" or "/". A task without evidence or with a field of which no alternative
+    stands in the evidence is an issue, with the missing fields; one with all fields is left to a reviewer.
+    """
+    text = evidence.groupBy("document_id", "task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("_text"))
+    both = tasks.join(text, ["document_id", "task_id"], "left").withColumn("_text", F.replace(F.coalesce("_text", F.lit("")), F.lit(" "), F.lit("")))
+    parts = lambda f: F.filter(F.split(F.replace(f, F.lit("专业"), F.lit("")), "或|/"), lambda p: p != "")
+    missing = F.filter("required", lambda f: (F.size(parts(f)) > 0) & ~F.exists(parts(f), lambda p: F.contains(F.col("_text"), p)))
+    out = both.withColumn("missing", missing)
+    result = F.when(~F.col("_text").rlike(r"(?U)\S") | (F.size("missing") > 0), "issue_found").otherwise("manual_review")
+    return out.select("document_id", "task_id", "missing", result.alias("result"))
+
+
+def dispatched(tasks: DataFrame, rules: dict[str, DataFrame], selected: DataFrame | None = None) -> DataFrame:
+    """tasks (document_id, task_id, route, handler) with result and execution_status.
+
+    A deterministic task takes its result from the rule of its handler (document_id, task_id, result), and fails if
+    no such rule is registered; offline and later tasks keep the status of their route. With selected (task_id) all
+    other tasks stay pending.
+    """
+    given = None
+    for name, rows in rules.items():
+        one = rows.select("document_id", "task_id", "result", F.lit(name).alias("handler"))
+        given = one if given is None else given.unionByName(one)
+    out = tasks.join(given, ["document_id", "task_id", "handler"], "left")
+    if selected is not None:
+        out = out.join(selected.withColumn("_in", F.lit(True)), "task_id", "left")
+    chosen = F.lit(True) if selected is None else F.coalesce("_in", F.lit(False))
+    runs_ = chosen & (F.col("route") == "deterministic")
+    out = out.withColumn("result", F.when(runs_, F.col("result")))
+    status = (
+        F.when(runs_ & ~F.col("handler").isin(*rules), "failed").when(runs_ & F.col("result").isNotNull(), "completed").when(F.col("route") == "offline", "offline").otherwise("pending")
+    )
+    return out.withColumn("execution_status", status).select(*tasks.columns, "result", "execution_status")
 
 
-def violations(results: DataFrame, statuses: tuple[str, ...] = ("completed", "pending", "offline"), outcomes: tuple[str, ...] = ("issue", "manual", "no_issue")) -> DataFrame:
+def violations(results: DataFrame, statuses: tuple[str, ...] = ("completed", "pending", "offline", "failed"), outcomes: tuple[str, ...] = ("issue_found", "manual_review", "no_issue")) -> DataFrame:
     """Results outside the domains, or completed without a result."""
     bad = ~F.col("execution_status").isin(*statuses) | (F.col("result").isNotNull() & ~F.col("result").isin(*outcomes)) | ((F.col("execution_status") == "completed") & F.col("result").isNull())
     return results.where(bad)
@@ -191,7 +290,7 @@ def confirmed_against_detected(context: DataFrame) -> DataFrame:
 
 def snapshot(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every task of the library for every run, pending; the library is a small dimension."""
-    return runs.join(F.broadcast(tasks)).withColumn("status", F.lit("pending"))
+    return runs.join(small(tasks)).withColumn("status", F.lit("pending"))
 
 
 def step_rows(tables: DataFrame, step: str, hazard: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators.graph_paths import reaches_itself
 from corpusloom.operators.retrieve import ranked
+from corpusloom.operators.sizes import small
 
 #: What starts a clause, and headings.
 CLAUSE_HEADS = (r"^(第[一二三四五六七八九十百千万零〇0-9]+条)(.*)$", r"^(\d+(?:\.\d+){1,3})((?:\s+.*)?)$")
@@ -99,7 +100,7 @@ def applicable_versions(versions: DataFrame, years: DataFrame, families: DataFra
     if scope is not None:
         versions = versions.join(scope, "version_id", "left_semi")
     held = (F.col("effective_year") <= F.col("year")) & (F.col("invalid_year").isNull() | (F.col("invalid_year") >= F.col("year")))
-    out = versions.where("metadata_confirmed").join(F.broadcast(years), held)
+    out = versions.where("metadata_confirmed").join(small(years), held)
     return out.withColumn("conflict", F.count("*").over(W.partitionBy("year", "family_id")) > 1)
 
 

@@ -112,7 +112,7 @@ def txt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TXT_KEYS = r"""
 SELECT DISTINCT word, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS entity_key, replace(lower(word), 'ß', 'ss') AS lookup,
-  lower(regexp_replace(word, '[\s，。；：、,.;:\-_/（）()《》“”"'']', '', 'g')) AS match, regexp_replace(lower(word), '[\s\-_（）()\[\]【】《》“”"'']', '', 'g') AS alignment
+  lower(regexp_replace(word, '[\s\x{3000}，,。；;：:（）()【】\[\]《》<>‘’''"、·—-]+', '', 'g')) AS match, regexp_replace(lower(word), '[\s\-_（）()\[\]【】《》“”"'']', '', 'g') AS alignment
 FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents)
 """
 
@@ -166,17 +166,29 @@ UNION ALL SELECT o_orderkey, NULL, 0, NULL, NULL FROM d WHERE year(a) < 2000
 """
 
 
+def txt_match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in marks of all kinds: what the key leaves out, and what (full stop, slash, underscore) it keeps."""
+    name = F.expr("concat('【', p_name, '】—', p_brand, '<', p_size, '>·[x]_a/b.c-', p_type)")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.match_key(name).alias("key"))
+
+
+TXT_MATCH_KEYS = "SELECT p_partkey, lower(replace(concat(p_name, p_brand, p_size, 'x_a/b.c', p_type), ' ', '')).replace('-', '') AS key FROM part"
+
+
 def txt_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = F.expr("concat('施工顺序：', p_name, ' → ', p_brand, ' -> / ⇒ ', p_type)")
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(tx.steps(chain)).alias("n", "step"), tx.short_cell(chain, 20).alias("cell"))
+    """Chains with labels, every arrow, a code, a title, an excluded term and steps too long, in cells cut short."""
+    chain = F.expr("concat('施工顺序安排： ', p_name, ' → ', p_brand, ' —> CN-', p_partkey, ' ⇒ ', p_type, '＞作业步骤：->目录编号 ', p_size, ' -> ', repeat('y', p_size * 4))")
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(tx.steps(chain)).alias("n", "step"), tx.short_cell(chain, 40).alias("cell"))
 
 
 TXT_STEPS = """
-SELECT p_partkey, unnest([0, 1, 2])::INT AS n, unnest([p_name, p_brand, p_type]) AS step, left(concat('施工顺序：', p_name, ' → ', p_brand, ' -> / ⇒ ', p_type), 20) || '…' AS cell FROM part
+WITH c AS (SELECT *, concat('施工顺序安排： ', p_name, ' → ', p_brand, ' —> CN-', p_partkey, ' ⇒ ', p_type, '＞作业步骤：->目录编号 ', p_size, ' -> ', repeat('y', p_size * 4)) AS x FROM part),
+s AS (SELECT p_partkey, x, [p_name, p_brand, p_type] || CASE WHEN p_size BETWEEN 1 AND 30 THEN [repeat('y', p_size * 4)] ELSE [] END AS steps FROM c)
+SELECT p_partkey, unnest(range(0, len(steps)))::INT AS n, unnest(steps) AS step, left(x, 20) || '[导出内容已截断，请在页面查看完整证据]' AS cell FROM s
 """
 
-QUERIES = {f.__name__: f for f in (txt_clean, txt_candidates, txt_sentences, txt_fixed_chunks, txt_heading_chunks, txt_citations, txt_verbatim, txt_keys, txt_hashes, txt_redact, txt_files, txt_dates, txt_steps)}
+QUERIES = {f.__name__: f for f in (txt_clean, txt_candidates, txt_sentences, txt_fixed_chunks, txt_heading_chunks, txt_citations, txt_verbatim, txt_keys, txt_hashes, txt_redact, txt_files, txt_dates, txt_match_keys, txt_steps)}
 SQL = {
     "txt_clean": TXT_CLEAN, "txt_candidates": TXT_CANDIDATES, "txt_sentences": TXT_SENTENCES, "txt_fixed_chunks": TXT_FIXED_CHUNKS, "txt_citations": TXT_CITATIONS, "txt_verbatim": TXT_VERBATIM,
-    "txt_keys": TXT_KEYS, "txt_hashes": TXT_HASHES, "txt_redact": TXT_REDACT, "txt_files": TXT_FILES, "txt_dates": TXT_DATES, "txt_steps": TXT_STEPS,
+    "txt_keys": TXT_KEYS, "txt_hashes": TXT_HASHES, "txt_redact": TXT_REDACT, "txt_files": TXT_FILES, "txt_dates": TXT_DATES, "txt_match_keys": TXT_MATCH_KEYS, "txt_steps": TXT_STEPS,
 }

@@ -49,8 +49,9 @@ def gold_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
 def gold_hash(spark: SparkSession, folder: str) -> DataFrame:
     """One hash of a folder's gold files: of their relative paths and the hashes of their bytes, in order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
-    each = files.select("path", F.sha2("content", 256).alias("h"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat_ws(":", F.element_at(F.split(x["path"], "/"), -1), x["h"]))
+    inside = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), r"^\Q" + "/" + folder.split(":", 1)[-1].strip("/") + r"\E/", "")
+    each = files.select(inside.alias("name"), F.sha2("content", 256).alias("h"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat_ws(":", x["name"], x["h"]))
     return each.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("gold_hash"), F.count("*").alias("n_files"))
 
 
