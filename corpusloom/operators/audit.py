@@ -144,11 +144,14 @@ def plain_value(value: Column) -> Column:
 
 def value_of_kind(value: Column, kind: Column) -> Column:
     """plain_value() without the endings of its kind, each cut once in their order."""
-    out = plain_value(value)
+    plain = plain_value(value)
+    out = F.when(F.lit(False), plain)
     for name, endings in ENDINGS.items():
+        cut = plain
         for e in endings:
-            out = F.when((kind == name) & F.endswith(out, F.lit(e)), F.left(out, F.length(out) - len(e))).otherwise(out)
-    return out
+            cut = F.regexp_replace(cut, e + "$", "")
+        out = out.when(kind == name, cut)
+    return out.otherwise(plain)
 
 
 def labelled_values(blocks: DataFrame, labels: DataFrame) -> DataFrame:

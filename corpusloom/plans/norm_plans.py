@@ -64,14 +64,14 @@ SELECT year, version_id, family_id, count(*) OVER (PARTITION BY year, family_id)
 def nrm_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of the families that customers ask for; versions sold in lines over forty are indexed."""
     asked = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 170).alias("family_id")).distinct()
-    v = shape(spark, sf_dir, "versions").where("metadata_confirmed and version_id % 3 = 0")
+    v = shape(spark, sf_dir, "versions").where("metadata_confirmed")
     indexed = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("version_id"))
     return norms.coverage(asked, v.select("family_id", "version_id"), indexed)
 
 
 NRM_COVERAGE = f"""
 WITH {cte('versions')}, a AS (SELECT DISTINCT c_custkey % 170 AS family_id FROM customer), i AS (SELECT DISTINCT l_partkey AS version_id FROM lineitem WHERE l_quantity > 48),
-c AS (SELECT family_id, count(*) AS n, count(i.version_id) AS k FROM versions v LEFT JOIN i ON i.version_id = v.version_id WHERE metadata_confirmed AND v.version_id % 3 = 0 GROUP BY family_id)
+c AS (SELECT family_id, count(*) AS n, count(i.version_id) AS k FROM versions v LEFT JOIN i ON i.version_id = v.version_id WHERE metadata_confirmed GROUP BY family_id)
 SELECT a.family_id, coalesce(n, 0) AS n_versions, coalesce(k, 0) AS n_indexed, CASE WHEN n IS NULL THEN 'uncovered' WHEN k = 0 THEN 'cited_but_unindexed' WHEN k < n THEN 'partial' ELSE 'covered' END AS coverage_status FROM a LEFT JOIN c ON c.family_id = a.family_id
 """
 
@@ -246,25 +246,30 @@ AUD_SECTIONS = f"""
 WITH {BLOCKS_SQL} SELECT document_id, ordinal::INT AS ordinal, block_type, coalesce(last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal), '') AS section FROM blocks
 """
 
-TASKS = [("T1", ["the", "la "], ""), ("T2", ["Über", "eaux"], ""), ("T3", ["zzzz"], "")]
+TASKS = [("T1", ["the", "la "], []), ("T2", ["Über", "eaux", "en"], ["an", "es"]), ("T3", ["zzzz"], []), ("T4", ["工序", "on"], ["er"]), ("T5", [], ["th"])]
 
 
 def _tasks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TASKS, "task_id string, locators array<string>, region string")
+    return spark.createDataFrame(TASKS, "task_id string, locators array<string>, regions array<string>")
 
 
 def aud_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.located(audit.sections(blocks(spark, sf_dir)), _tasks(spark))
-
-
-AUD_LOCATED = f"""
-WITH {BLOCKS_SQL}, s AS (SELECT *, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal) AS section FROM blocks),
-t AS (SELECT * FROM (VALUES {', '.join(f"('{i}', {x})" for i, x, _ in TASKS)}) t(task_id, locators)),
-m AS (SELECT document_id, task_id, ordinal, block_type = 'heading' AS heading, [x for x in locators if contains(lower(text), lower(x))] AS f, len([x for x in locators if contains(lower(text), lower(x))]) AS k, coalesce(section, 'block:' || ordinal) AS g FROM s, t WHERE block_type <> 'toc_entry' AND text <> ''),
-a AS (SELECT * FROM m WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY document_id, task_id, g ORDER BY heading DESC, k DESC, ordinal) = 1),
-c AS (SELECT *, round(least(0.42 + 0.32 + CASE WHEN heading THEN 0.16 ELSE 0.06 END + least(0.08, 0.02 * k), 0.99)::DOUBLE, 3) AS score FROM a),
-b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, f = lead(f) OVER w AS same, count(*) OVER (PARTITION BY document_id, task_id) AS n FROM c WINDOW w AS (PARTITION BY document_id, task_id ORDER BY score DESC, ordinal))
-SELECT d.document_id, d.task_id, b.ordinal::INT AS anchor, score, coalesce(n, 0) AS n_groups, CASE WHEN score IS NULL THEN 'not_located' WHEN coalesce(same AND round(score - nxt, 3) < 0.06, false) THEN 'ambiguous' ELSE 'located' END AS status
+    """Tasks located in pages: with and without regions, with weak locators, with a region alone."""
+    return audit.located(audit.sections(blocks(spark, sf_dir)), _tasks(spark), ("on",))
+
+
+_KEY = r"lower(regexp_replace({0}, '[\s\x{{3000}}，,。；;：:（）()【】\[\]《》<>‘’''\"、·—-]+', '', 'g'))"
+AUD_LOCATED = rf"""
+WITH {BLOCKS_SQL}, s0 AS (SELECT *, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal) AS section FROM blocks),
+s AS (SELECT *, {_KEY.format('text')} AS k, {_KEY.format("concat_ws(' ', coalesce(section, ''), text)")} AS pl FROM s0 WHERE block_type <> 'toc_entry'),
+t AS (SELECT * FROM (VALUES {', '.join(f"('{i}', {x}::VARCHAR[], {r}::VARCHAR[])" for i, x, r in TASKS)}) t(task_id, locators, regions)),
+m AS (SELECT document_id, task_id, ordinal, block_type = 'heading' AS heading, [x for x in locators if contains(k, {_KEY.format('x')})] AS f, len(regions) = 0 OR len([r for r in regions if contains(pl, {_KEY.format('r')})]) > 0 AS exact, coalesce(section, 'block:' || ordinal) AS g
+  FROM s, t WHERE k <> '' AND NOT regexp_full_match(k, '\d+')),
+v AS (SELECT * FROM m WHERE ((len(f) > 0 AND (exact OR heading)) OR (heading AND exact)) AND (len([x for x in f if x <> 'on']) > 0 OR heading)),
+n AS (SELECT document_id, task_id, g, list_sort(list_distinct(flatten(list(f)))) AS f, arg_min(ordinal, (NOT heading, -len(f), ordinal)) AS ordinal, arg_min(heading, (NOT heading, -len(f), ordinal)) AS heading, arg_min(exact, (NOT heading, -len(f), ordinal)) AS exact FROM v GROUP BY ALL),
+c AS (SELECT *, round(least(0.42 + CASE WHEN exact THEN 0.32 ELSE 0 END + CASE WHEN heading THEN 0.16 ELSE 0.06 END + least(0.08, 0.02 * len(f)), 0.99)::DOUBLE, 3) AS score FROM n),
+b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, NOT exact OR coalesce(f = lead(f) OVER w, false) AS close, count(*) OVER (PARTITION BY document_id, task_id) AS n FROM c WINDOW w AS (PARTITION BY document_id, task_id ORDER BY score DESC, ordinal))
+SELECT d.document_id, d.task_id, b.ordinal::INT AS anchor, score, coalesce(n, 0) AS n_groups, CASE WHEN score IS NULL THEN 'not_located' WHEN coalesce(close AND round(score - nxt, 3) < 0.06, false) THEN 'ambiguous' ELSE 'located' END AS status
 FROM (SELECT DISTINCT document_id, task_id FROM blocks, t) d LEFT JOIN b ON b.document_id = d.document_id AND b.task_id = d.task_id AND place = 1
 """
 
@@ -308,16 +313,16 @@ SELECT o_orderkey AS document_id, o_orderpriority AS task_id, 'advisories' AS ki
 def aud_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' orders as suggestions, some of them against the contract."""
     p = table(spark, sf_dir, "part").select(
-        F.element_at(F.array(*[F.lit(k) for k in (*audit.SUGGESTION_KINDS, "other")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("kind"), F.col("p_name").alias("step"), (F.col("p_size") % 12).alias("total"), (F.col("p_size") % 10).alias("returned"),
+        "p_partkey", F.element_at(F.array(*[F.lit(k) for k in (*audit.SUGGESTION_KINDS, "other")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("kind"), F.col("p_name").alias("step"), (F.col("p_size") % 12).alias("total"), (F.col("p_size") % 10).alias("returned"),
         F.array_repeat(F.lit("x"), F.col("p_size") % 10).alias("candidates"),
     )
-    return audit.advisories(p).groupBy("kind", "broken").agg(F.count("*").alias("n"), F.max("summary").alias("summary"))
+    return audit.advisories(p).select("p_partkey", "kind", "broken", "summary")
 
 
 AUD_ADVISORIES = """
-WITH p AS (SELECT (['missing_jsa_step', 'missing_hazard_group', 'missing_control_measure', 'other'])[p_partkey % 4 + 1] AS kind, p_name, p_size % 12 AS t, p_size % 10 AS r FROM part),
+WITH p AS (SELECT (['missing_jsa_step', 'missing_hazard_group', 'missing_control_measure', 'other'])[p_partkey % 4 + 1] AS kind, p_partkey, p_name, p_size % 12 AS t, p_size % 10 AS r FROM part),
 b AS (SELECT *, CASE WHEN kind = 'other' THEN 'unknown_kind' WHEN kind = 'missing_hazard_group' AND (r > 8 OR t < r) THEN 'invalid_group' END AS broken FROM p)
-SELECT kind, broken, count(*) AS n, max(CASE WHEN broken IS NULL THEN CASE kind WHEN 'missing_jsa_step' THEN 'step not covered: ' || p_name WHEN 'missing_hazard_group' THEN p_name || ': ' || t || ' candidates, ' || r || ' shown' ELSE 'control measure: ' || p_name END END) AS summary FROM b GROUP BY kind, broken
+SELECT p_partkey, kind, broken, CASE WHEN broken IS NULL THEN CASE kind WHEN 'missing_jsa_step' THEN 'step not covered: ' || p_name WHEN 'missing_hazard_group' THEN p_name || ': ' || t || ' candidates, ' || r || ' shown' ELSE 'control measure: ' || p_name END END AS summary FROM b
 """
 
 
@@ -325,13 +330,13 @@ def aud_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks from each page's heading to the next, within the limits of an evidence group."""
     b = blocks(spark, sf_dir)
     anchors = b.where("block_type = 'heading'").select("document_id", F.lit("T").alias("task_id"), F.col("ordinal").alias("anchor"), F.col("level").alias("anchor_level"))
-    return audit.region_rows(b, anchors).select("document_id", "anchor", "ordinal", "n", "so_far")
+    return audit.region_rows(b, anchors).select("document_id", "anchor", "ordinal", "n", "so_far", "truncated")
 
 
 AUD_REGIONS = f"""
 WITH {BLOCKS_SQL}, h AS (SELECT document_id, ordinal AS anchor, lead(ordinal) OVER (PARTITION BY document_id ORDER BY ordinal) AS e FROM blocks WHERE block_type = 'heading'),
 r AS (SELECT h.document_id, anchor, b.ordinal, row_number() OVER w AS n, sum(length(text)) OVER w AS so_far FROM h JOIN blocks b ON b.document_id = h.document_id AND b.ordinal >= anchor AND (e IS NULL OR b.ordinal < e) WINDOW w AS (PARTITION BY h.document_id, anchor ORDER BY b.ordinal))
-SELECT document_id, anchor::INT AS anchor, ordinal::INT AS ordinal, n::INT AS n, so_far::BIGINT AS so_far FROM r WHERE n <= 50 AND so_far <= 6000
+SELECT document_id, anchor::INT AS anchor, ordinal::INT AS ordinal, n::INT AS n, so_far::BIGINT AS so_far, truncated FROM (SELECT *, bool_or(n > 50 OR so_far > 6000) OVER (PARTITION BY document_id, anchor) AS truncated FROM r) WHERE n <= 50 AND so_far <= 6000
 """
 
 
@@ -383,65 +388,106 @@ SELECT doc_id, array_to_string([x for x in ['the', 'de la', 'und', 'zzz'] if NOT
 
 
 def aud_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled values of orders' notes that conflict within a customer."""
-    note = F.expr("concat('Priority: ', o_orderpriority, '\\nStatus： ', o_orderstatus, '; other: x')")
-    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("ordinal"), F.lit("paragraph").alias("block_type"), note.alias("text"))
-    labels = spark.createDataFrame([("priority",), ("status",)], "label string")
+    """Values of a customer's orders that conflict: said in a text, under and after a heading, and in a table's cell."""
+    o, none, no_rows = table(spark, sf_dir, "orders"), F.expr("cast(array() as array<string>)"), F.expr("cast(null as array<array<string>>)")
+    at = lambda k: (F.col("o_orderkey") * 4 + k).alias("ordinal")
+    made = [
+        ("paragraph", F.expr("concat('Priority: ', o_orderpriority, '\\nStatus： ', o_orderstatus, '平台; other: x')"), none, no_rows),
+        ("heading", F.lit("1.1 Mode"), F.array(F.lit("1.1 Mode")), no_rows),
+        ("paragraph", F.concat(F.lit("by "), F.substring("o_orderpriority", 1, 1)), F.array(F.lit("1.1 Mode")), no_rows),
+        ("table", F.lit(""), none, F.array(F.array(F.lit("工 Status"), F.concat("o_orderstatus", F.lit("井场")), F.lit("x")))),
+    ]
+    b = None
+    for k, (kind, text, section, rows) in enumerate(made):
+        one = o.select(F.col("o_custkey").alias("document_id"), at(k), F.lit(kind).alias("block_type"), text.alias("text"), section.alias("section"), rows.alias("rows"))
+        b = one if b is None else b.unionAll(one)
+    labels = spark.createDataFrame([("Priority", ""), ("Status", "location"), ("Mode", "project_name")], "label string, kind string")
     out = audit.conflicts(audit.labelled_values(b, labels), ["document_id", "label"])
     return out.select("document_id", "label", "value", F.size("places").alias("n_places"), "n_values")
 
 
 AUD_VALUES_SQL = """
-WITH v AS (SELECT o_custkey AS document_id, unnest(['priority', 'status']) AS label, unnest([replace(o_orderpriority, ' ', ''), o_orderstatus]) AS value, o_orderkey FROM orders),
-p AS (SELECT document_id, label, value, count(DISTINCT o_orderkey)::INT AS n_places FROM v GROUP BY ALL)
+WITH v AS (SELECT o_custkey AS document_id, unnest(['Priority', 'Status', 'Status', 'Mode']) AS label, unnest([replace(o_orderpriority, ' ', ''), o_orderstatus, o_orderstatus, 'by' || left(o_orderpriority, 1)]) AS value, unnest([0, 0, 3, 2]) + o_orderkey * 4 AS ordinal FROM orders),
+p AS (SELECT document_id, label, value, count(DISTINCT ordinal)::INT AS n_places FROM v GROUP BY ALL)
 SELECT *, count(*) OVER (PARTITION BY document_id, label) AS n_values FROM p QUALIFY n_values > 1
 """
 
 
 def aud_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned lines (open) of a supplier against present ones (finished): coverage by name within an order."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.concat(F.lit("part "), (F.col("l_partkey") % 12).cast("string")).alias("name"), F.col("l_quantity").cast("int").alias("quantity"), "l_linestatus")
+    """Planned lines (open) against present ones (finished) of an order: by name, or by the members named in brackets."""
+    k = F.col("l_partkey") % 12
+    name = F.when((k == 0) & (F.col("l_linestatus") == "O"), "kit（unit 3、unit 5，等）").when((k == 1) & (F.col("l_linestatus") == "O"), "set (unit 2)等").otherwise(F.concat(F.lit("unit "), k.cast("string")))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3000).alias("o"), name.alias("name"), F.col("l_quantity").cast("int").alias("quantity"), "l_linestatus")
     plan, present = (lines.where(F.col("l_linestatus") == s).groupBy("o", "name").agg(F.max("quantity").alias("quantity")) for s in ("O", "F"))
     return audit.coverage(plan, present, ["o"])
 
 
 AUD_EQUIPMENT = """
-WITH l AS (SELECT l_orderkey AS o, 'part ' || (l_partkey % 12) AS name, l_quantity::INT AS quantity, l_linestatus AS s FROM lineitem),
-p AS (SELECT o, name, max(quantity) AS quantity FROM l WHERE s = 'O' GROUP BY ALL), q AS (SELECT o, name, max(quantity) AS quantity FROM l WHERE s = 'F' GROUP BY ALL),
-j AS (SELECT p.o, p.name, p.quantity, count(q.name) AS n_matches, max(q.quantity) AS k FROM p LEFT JOIN q ON q.o = p.o AND (contains(replace(p.name, ' ', ''), replace(q.name, ' ', '')) OR contains(replace(q.name, ' ', ''), replace(p.name, ' ', ''))) GROUP BY ALL)
-SELECT o, name, quantity, n_matches, CASE WHEN n_matches = 0 THEN 'missing' WHEN n_matches = 1 AND k <> quantity THEN 'quantity_mismatch' ELSE 'covered' END AS status FROM j
+WITH l AS (SELECT l_orderkey % 3000 AS o, l_partkey % 12 AS k, l_quantity::INT AS quantity, l_linestatus AS s FROM lineitem),
+p AS (SELECT o, CASE k WHEN 0 THEN 'kit（unit 3、unit 5，等）' WHEN 1 THEN 'set (unit 2)等' ELSE 'unit ' || k END AS name, CASE k WHEN 0 THEN 'kitunit3unit5' WHEN 1 THEN 'setunit2' ELSE 'unit' || k END AS norm, max(quantity) AS quantity, any_value(k) AS k FROM l WHERE s = 'O' GROUP BY ALL),
+q AS (SELECT o, 'unit' || k AS norm, max(quantity) AS quantity FROM l WHERE s = 'F' GROUP BY ALL),
+j AS (SELECT p.o, p.name, p.quantity, any_value(p.k) AS k, count(q.norm) AS n_matches, max(q.quantity) AS x FROM p LEFT JOIN q ON q.o = p.o AND (contains(p.norm, q.norm) OR contains(q.norm, p.norm)) GROUP BY ALL),
+h AS (SELECT o, bool_or(contains(norm, 'unit2')) AS two, bool_or(contains(norm, 'unit3')) AND bool_or(contains(norm, 'unit5')) AS pair FROM q GROUP BY o)
+SELECT j.o, name, quantity, n_matches, CASE WHEN n_matches = 0 AND coalesce(CASE k WHEN 0 THEN pair WHEN 1 THEN two END, false) THEN 'covered' WHEN n_matches = 0 THEN 'missing' WHEN n_matches = 1 AND x <> quantity THEN 'quantity_mismatch' ELSE 'covered' END AS status FROM j LEFT JOIN h ON h.o = j.o
 """
 
 
 def aud_work_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes written in orders against a catalogue of parts: decision by order."""
-    texts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("work RW-"), (F.col("l_partkey") % 500).cast("string"), F.lit(" here")).alias("text"))
+    """Codes written in orders, partly in small letters, against a catalogue of parts: decision by order."""
+    texts = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("ordinal"), F.concat(F.lit("work "), F.when(F.col("l_linenumber") % 2 == 0, "rw-").otherwise("RW-"), (F.col("l_partkey") % 500).cast("string"), F.lit(" here")).alias("text"))
     catalogue = files.risk_catalogue([table(spark, sf_dir, "part").select(F.concat(F.lit("RW-"), F.col("p_partkey").cast("string")).alias("code"), F.when(F.col("p_size") > 5, "x").otherwise("/").alias("hot"), F.when(F.col("p_size") > 30, "1").alias("high"))])
-    codes = audit.work_codes(texts, catalogue.select("code", F.array_join("work_types", ",").alias("work_type")), r"RW-\d+")
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderstatus") == "O").alias("not_involved"))
-    return audit.code_decision(codes, docs)
+    codes = audit.work_codes(texts, catalogue.select("code", F.array_join("work_types", ",").alias("work_type")), r"(?i)RW-\d+")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderstatus") == "O").alias("not_involved"), (F.col("o_orderkey") % 4 == 0).alias("confirmed"))
+    first = codes.groupBy("document_id").agg(F.min(F.struct("ordinal", "code")).alias("f"))
+    return audit.code_decision(codes, docs).join(first, "document_id", "left").select("document_id", "not_involved", "confirmed", "n_codes", "n_unknown", "result", F.col("f.code").alias("first_code"))
 
 
 AUD_CODES = """
-WITH c AS (SELECT DISTINCT l_orderkey AS d, l_partkey % 500 AS p FROM lineitem), k AS (SELECT p_partkey AS p FROM part WHERE p_size > 5),
-n AS (SELECT d, count(*) AS n_codes, count(*) FILTER (p NOT IN (SELECT p FROM k)) AS n_unknown FROM c GROUP BY d)
-SELECT o_orderkey AS document_id, o_orderstatus = 'O' AS not_involved, coalesce(n_codes, 0) AS n_codes, coalesce(n_unknown, 0) AS n_unknown,
-  CASE WHEN (n_codes IS NULL AND o_orderstatus = 'O') OR (n_codes > 0 AND n_unknown = 0) THEN 'no_issue' ELSE 'manual' END AS result FROM orders LEFT JOIN n ON d = o_orderkey
+WITH c AS (SELECT l_orderkey AS d, l_partkey % 500 AS p, min(l_linenumber) AS l FROM lineitem WHERE l_quantity > 25 GROUP BY ALL), k AS (SELECT p_partkey AS p FROM part WHERE p_size > 5),
+n AS (SELECT d, count(*) AS n_codes, count(*) FILTER (p NOT IN (SELECT p FROM k)) AS n_unknown, 'RW-' || arg_min(p, (l, 'RW-' || p)) AS first_code FROM c GROUP BY d)
+SELECT o_orderkey AS document_id, o_orderstatus = 'O' AS not_involved, o_orderkey % 4 = 0 AS confirmed, coalesce(n_codes, 0) AS n_codes, coalesce(n_unknown, 0) AS n_unknown,
+  CASE WHEN n_codes IS NULL AND o_orderstatus = 'O' THEN 'no_issue' WHEN n_codes IS NULL THEN 'issue_found' WHEN n_unknown > 0 AND o_orderkey % 4 <> 0 THEN 'manual_review' ELSE 'no_issue' END AS result, first_code FROM orders LEFT JOIN n ON d = o_orderkey
+"""
+
+
+def aud_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of every page by handler: required fields, dates, one handler that nobody registered, offline and unselected ones."""
+    b = blocks(spark, sf_dir).where("block_type <> 'toc_entry'").select("document_id", "ordinal", "text")
+    lib = spark.createDataFrame(
+        [("F1", "deterministic", "fields", ["the或la", "e/zzz"]), ("F2", "deterministic", "fields", ["qqq"]), ("F3", "deterministic", "fields", ["专业"]), ("X1", "deterministic", "lost", []), ("O1", "offline", "", []), ("S1", "deterministic", "fields", [])],
+        "task_id string, route string, handler string, required array<string>",
+    )
+    tasks = audit.snapshot(table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id")), lib).drop("status")
+    evidence = b.join(tasks.where("handler = 'fields' and (task_id <> 'F3' or document_id % 2 = 0)").select("document_id", "task_id"), "document_id")
+    fields = audit.field_results(evidence, tasks.where("handler = 'fields'").select("document_id", "task_id", "required"))
+    selected = lib.where("task_id <> 'S1'").select("task_id")
+    out = audit.dispatched(tasks, {"fields": fields}, selected)
+    return out.join(fields.select("document_id", "task_id", F.array_join("missing", ",").alias("missing")), ["document_id", "task_id"], "left").select("document_id", "task_id", "result", "execution_status", "missing")
+
+
+AUD_DISPATCH = rf"""
+WITH {BLOCKS_SQL}, x AS (SELECT document_id, replace(string_agg(text, '' ORDER BY ordinal), ' ', '') AS t FROM blocks WHERE block_type <> 'toc_entry' GROUP BY document_id),
+k AS (SELECT page_id AS d, unnest(['F1', 'F2', 'F3', 'X1', 'O1', 'S1']) AS task_id FROM pages),
+e AS (SELECT d, task_id, CASE WHEN task_id IN ('F1', 'F2', 'S1') OR (task_id = 'F3' AND d % 2 = 0) THEN coalesce(t, '') ELSE '' END AS t FROM k LEFT JOIN x ON document_id = d),
+m AS (SELECT *, CASE task_id WHEN 'F1' THEN array_to_string([f for f in ['the或la', 'e/zzz'] if NOT (CASE f WHEN 'the或la' THEN contains(t, 'the') OR contains(t, 'la') ELSE contains(t, 'e') OR contains(t, 'zzz') END)], ',')
+  WHEN 'F2' THEN CASE WHEN contains(t, 'qqq') THEN '' ELSE 'qqq' END WHEN 'F3' THEN '' WHEN 'S1' THEN '' END AS missing FROM e)
+SELECT d AS document_id, task_id, CASE WHEN task_id IN ('F1', 'F2', 'F3') THEN CASE WHEN NOT regexp_matches(t, '\S') OR missing <> '' THEN 'issue_found' ELSE 'manual_review' END END AS result,
+  CASE task_id WHEN 'X1' THEN 'failed' WHEN 'O1' THEN 'offline' WHEN 'S1' THEN 'pending' ELSE 'completed' END AS execution_status, missing FROM m
 """
 
 
 def aud_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot of three tasks for every order, results dispatched, and the report; invalid results are counted."""
-    lib = spark.createDataFrame([("T1", "deterministic"), ("T2", "offline"), ("T3", "later")], "task_id string, route string")
+    lib = spark.createDataFrame([("T1", "deterministic", "status"), ("T2", "offline", ""), ("T3", "later", "")], "task_id string, route string, handler string")
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
     tasks = audit.snapshot(docs, lib)
-    results = docs.select("document_id", F.lit("T1").alias("task_id"), F.when(F.col("o_orderstatus") == "F", "issue").when(F.col("o_orderstatus") == "O", "no_issue").alias("result"))
-    done = audit.dispatched(tasks.drop("status"), results)
+    results = docs.select("document_id", F.lit("T1").alias("task_id"), F.when(F.col("o_orderstatus") == "F", "issue_found").when(F.col("o_orderstatus") == "O", "no_issue").alias("result"))
+    done = audit.dispatched(tasks.drop("status"), {"status": results})
     return audit.report(done).join(audit.violations(done).agg(F.count("*").alias("n_violations")))
 
 
 AUD_REPORT = """
-WITH t AS (SELECT o_orderkey AS d, CASE o_orderstatus WHEN 'F' THEN 'issue' WHEN 'O' THEN 'no_issue' ELSE 'pending' END AS status FROM orders UNION ALL SELECT o_orderkey, 'offline' FROM orders UNION ALL SELECT o_orderkey, 'pending' FROM orders)
+WITH t AS (SELECT o_orderkey AS d, CASE o_orderstatus WHEN 'F' THEN 'issue_found' WHEN 'O' THEN 'no_issue' ELSE 'pending' END AS status FROM orders UNION ALL SELECT o_orderkey, 'offline' FROM orders UNION ALL SELECT o_orderkey, 'pending' FROM orders)
 SELECT status, count(*) AS n_tasks, count(DISTINCT d) AS n_documents, 0::BIGINT AS n_violations FROM t GROUP BY status
 """
 
@@ -453,7 +499,7 @@ def aud_task_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUD_TASK = f"""
 WITH {BLOCKS_SQL}, e AS (SELECT document_id, CASE WHEN ordinal % 2 = 0 THEN 'even' ELSE 'odd' END AS task_id, count(*) AS n_blocks, string_agg(text, chr(10) ORDER BY ordinal) AS x FROM blocks WHERE block_type <> 'toc_entry' GROUP BY ALL)
-SELECT document_id, task_id, n_blocks, sha256(CASE WHEN length(x) > 32000 THEN left(x, 32000) || '…' ELSE x END) AS evidence_hash FROM e
+SELECT document_id, task_id, n_blocks, sha256(CASE WHEN length(x) > 32767 THEN left(x, 32747) || '[导出内容已截断，请在页面查看完整证据]' ELSE x END) AS evidence_hash FROM e
 """
 
 
@@ -515,7 +561,7 @@ _PAIRS = [
     (nrm_clauses, NRM_CLAUSES), (nrm_violations, NRM_VIOLATIONS), (nrm_cycles, NRM_CYCLES), (nrm_applicable, NRM_APPLICABLE), (nrm_coverage, NRM_COVERAGE), (nrm_segments, NRM_SEGMENTS), (nrm_costed_segments, None), (nrm_release, NRM_RELEASE),
     (nrm_clause_search, NRM_SEARCH), (nrm_search_windows, NRM_WINDOWS), (nrm_referenced, NRM_REFERENCED), (aln_scores, ALN_SCORES), (aln_deduplicated, ALN_DEDUPLICATED), (aln_pairs, None), (aln_groups, None), (aln_components, ALN_COMPONENTS), (aln_decisions, ALN_DECISIONS),
     (aln_known, ALN_KNOWN), (aud_sections, AUD_SECTIONS), (aud_located, AUD_LOCATED), (aud_regions, AUD_REGIONS), (aud_special_regions, AUD_SPECIAL), (aud_flat_results, AUD_FLAT), (aud_advisories, AUD_ADVISORIES), (aud_missing_columns, AUD_COLUMNS), (aud_missing_values, AUD_VALUES), (aud_headcounts, AUD_HEADCOUNTS),
-    (aud_missing_labels, AUD_LABELS), (aud_values, AUD_VALUES_SQL), (aud_equipment, AUD_EQUIPMENT), (aud_work_codes, AUD_CODES), (aud_report, AUD_REPORT), (aud_task_evidence, AUD_TASK), (aud_context, AUD_CONTEXT), (aud_steps, AUD_STEPS),
+    (aud_missing_labels, AUD_LABELS), (aud_values, AUD_VALUES_SQL), (aud_equipment, AUD_EQUIPMENT), (aud_work_codes, AUD_CODES), (aud_dispatch, AUD_DISPATCH), (aud_report, AUD_REPORT), (aud_task_evidence, AUD_TASK), (aud_context, AUD_CONTEXT), (aud_steps, AUD_STEPS),
     (src_catalogue, SRC_CATALOGUE), (src_task_library, SRC_LIBRARY),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}

@@ -273,19 +273,29 @@ def test_audit_tables_and_values(spark):
     assert (r["n_rows"], r["missing_名称"], r["missing_数量"]) == (2, 1, 1)
     assert audit.missing_columns(t, ["名称", "规格"]).first()["missing"] == ["规格"]
     assert [one(spark, v, audit.is_positive_headcount) for v in ("2", "2 名", "0", "二人", None)] == [True, True, False, False, False]
-    blocks = spark.createDataFrame([("d", 0, "heading", "2.2 location"), ("d", 1, "paragraph", "Plat A"), ("d", 2, "paragraph", "Location: Plat B;x")], "document_id string, ordinal int, block_type string, text string")
-    values = audit.labelled_values(blocks, spark.createDataFrame([("location",)], "label string"))
-    assert sorted((x["value"], x["ordinal"]) for x in values.collect()) == [("PlatA", 1), ("PlatB", 2)]
-    assert audit.conflicts(values, ["document_id", "label"]).count() == 2
+    blocks = spark.createDataFrame(
+        [
+            ("d", 0, "heading", "2.2 Location", ["2.2 Location"], None), ("d", 1, "paragraph", "Plat A", [], None), ("d", 2, "paragraph", "Location: Plat B平台;x", [], None),
+            ("d", 3, "paragraph", "C井场", ["2.2 Location"], None), ("d", 4, "table", "", [], [["the Location", "D", "E"]]),
+        ],
+        "document_id string, ordinal int, block_type string, text string, section array<string>, rows array<array<string>>",
+    )
+    values = audit.labelled_values(blocks, spark.createDataFrame([("Location", "location")], "label string, kind string"))
+    assert sorted((x["value"], x["ordinal"]) for x in values.collect()) == [("C", 3), ("D", 4), ("PlatA", 1), ("PlatB", 2)]
+    assert audit.conflicts(values, ["document_id", "label"]).count() == 4
+    plan = spark.createDataFrame([(1, "工具（锄头、铲子等）", 1), (1, "套件(泵、阀)", 1), (1, "吊车", 2), (1, "缺", 1)], "o int, name string, quantity int")
+    present = spark.createDataFrame([(1, "锄头", 1), (1, "小铲子", 1), (1, "水泵x", 3), (1, "吊 车", 3)], "o int, name string, quantity int")
+    got = {r["name"]: r["status"] for r in audit.coverage(plan, present, ["o"]).collect()}
+    assert got == {"工具（锄头、铲子等）": "covered", "套件(泵、阀)": "missing", "吊车": "quantity_mismatch", "缺": "missing"}
 
 
 def test_located_groups_can_be_ambiguous(spark):
     b = spark.createDataFrame(
-        [("d", 0, "toc_entry", None, "pump"), ("d", 1, "heading", 1, "pump A"), ("d", 2, "paragraph", None, "about a pump"), ("d", 3, "heading", 1, "pump B"), ("e", 0, "paragraph", None, "a pump here")], "document_id string, ordinal int, block_type string, level int, text string"
+        [("d", 0, "toc_entry", None, "pump"), ("d", 1, "heading", 1, "pump A"), ("d", 2, "paragraph", None, "about a pump"), ("d", 3, "heading", 1, "pump B"), ("e", 0, "paragraph", None, "a pump here"), ("f", 0, "paragraph", None, "工序 pump"), ("f", 1, "paragraph", None, "77")], "document_id string, ordinal int, block_type string, level int, text string"
     )
-    tasks = spark.createDataFrame([("T", ["pump"], ""), ("U", ["crane"], "")], "task_id string, locators array<string>, region string")
+    tasks = spark.createDataFrame([("T", ["pump"], []), ("U", ["crane", "工序"], []), ("V", ["about"], ["pump b"])], "task_id string, locators array<string>, regions array<string>")
     got = {(r["document_id"], r["task_id"]): (r["anchor"], r["status"]) for r in audit.located(audit.sections(b), tasks).collect()}
-    assert got == {("d", "T"): (1, "ambiguous"), ("e", "T"): (0, "located"), ("d", "U"): (None, "not_located"), ("e", "U"): (None, "not_located")}
+    assert got == {("d", "T"): (1, "ambiguous"), ("e", "T"): (0, "located"), ("f", "T"): (0, "located"), **{(d, "U"): (None, "not_located") for d in "def"}, ("d", "V"): (3, "located"), ("e", "V"): (None, "not_located"), ("f", "V"): (None, "not_located")}
 
 
 def test_files_gold_and_ontology(spark, tmp_path):
