@@ -17,12 +17,12 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first three words as its entities."""
-    words = F.slice(F.split("text", r"\s+"), 1, 3)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("entity")).where("length(entity) > 2").distinct()
+    """Each document's long words as its entities."""
+    words = F.filter(F.array_distinct(F.split("text", r"\s+")), lambda w: F.length(w) > 11)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("entity")).distinct()
 
 
-_ENTITIES = r"ents AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')[1:3]) AS entity FROM documents) WHERE length(entity) > 2)"
+_ENTITIES = r"ents AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS entity FROM documents) WHERE length(entity) > 11)"
 
 
 def ret_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,15 +270,15 @@ def trp_text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
             "context": F.when(F.col("triplet_id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("by "), "tail")),
         }
     )
-    known = t.where("triplet_id % 11 = 0").select("doc_id", F.col("tail").alias("name"), F.col("tail").alias("standard")).distinct().withColumn("type", F.lit("Device"))
-    return triplets.text_checked(rows, known).groupBy("reason").agg(F.count("*").alias("n"), F.sum("triplet_id").alias("ids"))
+    known = t.where("not is_valid").select("doc_id", F.col("tail").alias("name"), F.col("tail").alias("standard")).distinct().withColumn("type", F.lit("Device"))
+    return triplets.text_checked(rows, known).select("triplet_id", "tail_type", "reason")
 
 
 TRP_TEXT = f"""
-WITH {cte('triplets')}, known AS (SELECT DISTINCT document_id % 100 AS d, tail FROM triplets WHERE triplet_id % 11 = 0),
+WITH {cte('triplets')}, known AS (SELECT DISTINCT document_id % 100 AS d, tail FROM triplets WHERE NOT is_valid),
 r AS (SELECT t.*, CASE WHEN seq % 5 = 0 THEN 'other_head' WHEN length(t.tail) > 30 THEN 'long_tail' WHEN seq NOT IN (1, 2, 3, 4) THEN 'evidence_not_allowed' WHEN triplet_id % 3 = 0 THEN 'tail_not_in_evidence'
   WHEN triplet_id % 2 = 0 AND k.tail IS NULL THEN 'unknown_tail' END AS reason FROM triplets t LEFT JOIN known k ON k.d = document_id % 100 AND k.tail = t.tail)
-SELECT reason, count(*) AS n, sum(triplet_id)::BIGINT AS ids FROM r GROUP BY reason
+SELECT triplet_id, tail_type, reason FROM r
 """
 
 
@@ -319,8 +319,8 @@ def trp_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRP_PROFILES = f"""
-WITH {_ADMIT}, m AS (SELECT * FROM (VALUES {', '.join(f"('{p[0]}', {p[-1]})" for p in profiles.PROFILES)}) m(method_id, schema_check))
-SELECT method_id, run_id, count(*) AS n, count(DISTINCT document_id) AS n_documents FROM admitted, m WHERE NOT schema_check OR status <> 'rejected' GROUP BY ALL
+WITH {_ADMIT}, m AS (SELECT * FROM (VALUES {', '.join(f"('{p[0]}', {p[-1]})" for p in profiles.PROFILES)}) m(method_id, enable_schema_validation))
+SELECT method_id, run_id, count(*) AS n, count(DISTINCT document_id) AS n_documents FROM admitted, m WHERE NOT enable_schema_validation OR status <> 'rejected' GROUP BY ALL
 """
 
 # --- scores ---
@@ -376,9 +376,9 @@ SELECT kind, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FIL
 
 
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Triplets of two suppliers' runs as prediction and gold."""
+    """Triplets of the first runs as prediction and of the last as gold; the middle run is in both."""
     t = shape(spark, sf_dir, "triplets")
-    return t.where("run_id = 'run-1'"), t.where("run_id = 'run-2'")
+    return t.where("run_id <= 'run-3'"), t.where("run_id >= 'run-3'")
 
 
 def evl_triplet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +398,7 @@ def evl_triplet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _set_sql(name: str, columns: str, source: str) -> str:
     return f"""SELECT '{name}' AS metric, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM
-    (SELECT {columns}, bool_or(run_id = 'run-1') AS p, bool_or(run_id = 'run-2') AS g FROM {source} WHERE run_id IN ('run-1', 'run-2') GROUP BY ALL)"""
+    (SELECT {columns}, bool_or(run_id <= 'run-3') AS p, bool_or(run_id >= 'run-3') AS g FROM {source} GROUP BY ALL)"""
 
 
 EVL_SETS = f"""
@@ -461,7 +461,7 @@ def evl_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVL_MISSING = f"""
-WITH {cte('triplets')}, d AS (SELECT document_id, bool_or(run_id = 'run-1') AS p, bool_or(run_id = 'run-2') AS g FROM triplets WHERE run_id IN ('run-1', 'run-2') GROUP BY document_id)
+WITH {cte('triplets')}, d AS (SELECT document_id, bool_or(run_id <= 'run-3') AS p, bool_or(run_id >= 'run-3') AS g FROM triplets GROUP BY document_id)
 SELECT count(*) FILTER (p AND g) AS n_matched, count(*) FILTER (NOT g) AS n_missing_gold, count(*) FILTER (NOT p) AS n_extra_gold, count(*) FILTER (NOT g) > 0 OR count(*) FILTER (p AND g) = 0 AS calculation_blocked FROM d
 """
 
@@ -469,7 +469,7 @@ SELECT count(*) FILTER (p AND g) AS n_matched, count(*) FILTER (NOT g) AS n_miss
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = shape(spark, sf_dir, "triplets").withColumn("doc", F.col("document_id") % 200)
     mentions = evaluate.entities(t, ["doc"]).select("doc", F.col("name").alias("key"), "type")
-    lookup = t.where("triplet_id % 3 = 0").select("doc", F.col("tail").alias("key"), (F.col("triplet_id") % 8).alias("canonical_id"), F.col("tail_type").alias("canonical_type"))
+    lookup = t.where("is_valid").select("doc", F.col("tail").alias("key"), (F.col("triplet_id") % 8).alias("canonical_id"), F.col("tail_type").alias("canonical_type"))
     return evaluate.linked_entities(mentions, lookup)
 
 
@@ -478,7 +478,7 @@ def evl_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKS = f"""{cte('triplets')}, m AS (SELECT DISTINCT doc, key, type FROM (SELECT document_id % 200 AS doc, head AS key, head_type AS type FROM triplets UNION ALL SELECT document_id % 200, tail, tail_type FROM triplets)),
-l AS (SELECT DISTINCT document_id % 200 AS doc, tail AS key, triplet_id % 8 AS canonical_id, tail_type AS canonical_type FROM triplets WHERE triplet_id % 3 = 0),
+l AS (SELECT DISTINCT document_id % 200 AS doc, tail AS key, triplet_id % 8 AS canonical_id, tail_type AS canonical_type FROM triplets WHERE is_valid),
 c AS (SELECT m.doc, m.key, m.type, count(canonical_id) AS n, count(*) FILTER (type = canonical_type) AS s, max(canonical_id) FILTER (type = canonical_type) AS sid, max(canonical_id) AS aid FROM m LEFT JOIN l ON l.doc = m.doc AND l.key = m.key GROUP BY ALL),
 links AS (SELECT doc, key, type, CASE WHEN s = 1 THEN 'matched_type' WHEN n = 1 AND s = 0 THEN 'type_mismatch' WHEN n = 0 THEN 'unmapped' ELSE 'ambiguous' END AS status, CASE WHEN s = 1 THEN sid WHEN n = 1 AND s = 0 THEN aid END AS canonical_id FROM c)"""
 EVL_LINKING = f"WITH {_LINKS} SELECT * FROM links"
@@ -523,7 +523,7 @@ def evl_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVL_HEADS = f"""
-WITH {cte('triplets')}, p AS (SELECT DISTINCT head, head_type, relation, tail FROM triplets WHERE run_id = 'run-1'), g AS (SELECT DISTINCT head, head_type, relation, tail FROM triplets WHERE run_id = 'run-2'),
+WITH {cte('triplets')}, p AS (SELECT DISTINCT head, head_type, relation, tail FROM triplets WHERE run_id <= 'run-3'), g AS (SELECT DISTINCT head, head_type, relation, tail FROM triplets WHERE run_id >= 'run-3'),
 h AS (SELECT DISTINCT head, head_type FROM g), r AS (SELECT head_type, count(*) AS n_heads, count(*) FILTER (head IN (SELECT head FROM p)) AS n_with_output FROM h GROUP BY head_type),
 s AS (SELECT coalesce(p.head_type, g.head_type) AS head_type, count(*) FILTER (p.head IS NOT NULL AND g.head IS NOT NULL) AS tp, count(*) FILTER (g.head IS NULL) AS fp, count(*) FILTER (p.head IS NULL) AS fn
   FROM p FULL JOIN (SELECT * FROM g WHERE head IN (SELECT head FROM p)) g ON p.head = g.head AND p.head_type = g.head_type AND p.relation = g.relation AND p.tail = g.tail GROUP BY 1)

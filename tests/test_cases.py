@@ -4,6 +4,8 @@ import json
 import random
 from difflib import SequenceMatcher
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,10 @@ def test_keys_citations_dates_and_steps(spark):
     assert one(spark, "Ａ，b-（c）", tx.match_key) == "abc"
     assert one(spark, "《石油规范》 GB 50183-2015；《石油规范》 GB 50183-2015《a》", tx.citations) == ["《石油规范》 GB 50183-2015"]
     assert [str(d) for d in one(spark, "2024年2月30日 2024-3-1 2023/12/31", tx.dates)] == ["2024-03-01", "2023-12-31"]
-    assert one(spark, "施工顺序：准备→ / ->开挖⇒", tx.steps) == ["准备", "开挖"]
+    assert one(spark, "施工顺序：准备→ / ->开挖⇒", tx.steps) == ["准备", "/", "开挖"]  # the fixed rules know no placeholders
+    assert one(spark, "施工步骤：a  b—>cn-12 x ＞目录编号1⇒作业步骤： -> " + "y" * 120 + "->" + "z" * 121, tx.steps) == ["a b", "y" * 120]
+    assert one(spark, "【A】—B·c_d/e.f", tx.match_key) == "abc_d/e.f"
+    assert one(spark, "x" * 32_767, lambda c: F.length(tx.short_cell(c))) == 32_767 and one(spark, "x" * 40_000, tx.short_cell).endswith("x" + tx.CUT_NOTICE) and len(one(spark, "x" * 40_000, tx.short_cell)) == 32_767
     assert one(spark, "k=abc Bearer x.y-z end", lambda c: tx.redact(c, ["abc"])) == "k=[REDACTED] Bearer [REDACTED] end"
     assert [one(spark, n, tx.stem) for n in ("a.b.txt", ".x", "d/e")] == ["a.b", ".x", "d/e"]
     assert one(spark, "井《x》", lambda c: tx.source_type("auto", F.concat(c, F.lit("标准")))) == "spec"
@@ -295,7 +300,7 @@ def test_located_groups_can_be_ambiguous(spark):
     )
     tasks = spark.createDataFrame([("T", ["pump"], []), ("U", ["crane", "工序"], []), ("V", ["about"], ["pump b"])], "task_id string, locators array<string>, regions array<string>")
     got = {(r["document_id"], r["task_id"]): (r["anchor"], r["status"]) for r in audit.located(audit.sections(b), tasks).collect()}
-    assert got == {("d", "T"): (1, "ambiguous"), ("e", "T"): (0, "located"), ("f", "T"): (0, "located"), **{(d, "U"): (None, "not_located") for d in "def"}, ("d", "V"): (3, "located"), ("e", "V"): (None, "not_located"), ("f", "V"): (None, "not_located")}
+    assert got == {("d", "T"): (1, "ambiguous"), ("e", "T"): (0, "located"), ("f", "T"): (0, "located"), ("d", "U"): (1, "ambiguous"), **{(d, "U"): (None, "not_located") for d in "ef"}, ("d", "V"): (3, "located"), ("e", "V"): (None, "not_located"), ("f", "V"): (None, "not_located")}
 
 
 def test_files_gold_and_ontology(spark, tmp_path):
@@ -313,7 +318,14 @@ def test_files_gold_and_ontology(spark, tmp_path):
     rows, broken = files.gold_annotations(spark, str(tmp_path / "gold"))
     assert rows.count() == 2 and broken.count() == 1
     assert sorted(r["head"] for r in evaluate.normal_triplets(rows.select(F.explode("triplets").alias("t")).select("t.*")).collect()) == ["a", "c"]
-    assert files.gold_hash(spark, str(tmp_path / "gold")).first()["n_files"] == 3
+    first = files.gold_hash(spark, str(tmp_path / "gold")).first()
+    assert first["n_files"] == 3 and first == files.gold_hash(spark, (tmp_path / "gold").as_uri()).first()
+    shutil.copytree(tmp_path / "gold", tmp_path / "other")
+    assert first == files.gold_hash(spark, str(tmp_path / "other")).first()  # where the folder lies is no part of it
+    moved = next((tmp_path / "other").rglob("*.json"))
+    (moved.parent / "below").mkdir()
+    moved.rename(moved.parent / "below" / moved.name)
+    assert first["gold_hash"] != files.gold_hash(spark, str(tmp_path / "other")).first()["gold_hash"]
     (tmp_path / "o.json").write_text(json.dumps({"entity_types": ["A", {"name": "B"}], "relation_types": ["R", {"name": "S", "head_types": ["A"], "tail_types": ["B"]}]}))
     types, rules = files.ontology(spark, str(tmp_path / "o.json"))
     assert [r["type"] for r in types.collect()] == ["A", "B"] and [tuple(r) for r in rules.collect()] == [("R", [], []), ("S", ["A"], ["B"])]
