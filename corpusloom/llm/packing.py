@@ -44,8 +44,8 @@ LISTED = 1 << 12
 GOLDEN = 0.6180339887498949
 #: Rows of the table of places that are still broadcast.
 BROADCAST_ROWS = 500_000
-#: Distinct words that a worker remembers.
-CACHE = 400_000
+#: Words met or met again since the last change of generation; a worker remembers this generation and the one before.
+CACHE = 120_000
 END_ID = 0
 #: A tokenizer and the same vocabulary as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -61,7 +61,8 @@ class Encoder:
     Where no space stands beside other white space, a byte-level BPE pre-tokenizer always cuts before a space,
     so the words' ids, each with its space, are those of the text; other texts, and those that spell a special
     token, go to the tokenizer whole. With ranks (the same vocabulary as a tiktoken file) new words are encoded
-    several times faster; the ids are the tokenizer's own, which the tests hold them against.
+    several times faster; the ids are the tokenizer's own, which the tests hold them against. Words are remembered
+    in two generations: those that nobody met during one whole generation are forgotten, frequent ones stay.
     """
 
     def __init__(self, path: str, ranks: str | None = None) -> None:
@@ -71,6 +72,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd = (*_BESIDE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.rare = re.compile(_RARE)
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
@@ -111,7 +113,7 @@ class Encoder:
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text, then the end id; a null text has the end id alone."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         heads: list[bytes] = []
         bounds = [0]
         words: list[str] = []
@@ -126,7 +128,9 @@ class Encoder:
         found = list(map(self.known.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            self._learn(list({words[i] for i in missing}))
+            fresh = {words[i] for i in missing}
+            self.known.update({w: self.older[w] for w in fresh & self.older.keys()})
+            self._learn([w for w in fresh if w not in self.known])
             for i in missing:
                 found[i] = self.known[words[i]]
         return [b"".join([head, *found[a:b], self.end]) for head, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
