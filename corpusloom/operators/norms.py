@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -145,30 +146,43 @@ def segments(clauses_: DataFrame, most: int = 128, overlap: int = 8) -> DataFram
     return out.select(*clauses_.columns, F.posexplode("pieces").alias("segment_index", "segment")).withColumn("text_hash", F.sha2("segment", 256))
 
 
+def _spans(costs: np.ndarray, room: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words that cost at most room each, but hold one word at least; the next begins overlap words back."""
+    sums = np.concatenate(([0], np.cumsum(costs)))
+    starts = np.arange(len(costs))
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + room, side="right") - 1, starts + 1)
+    follows = np.maximum(ends - overlap, starts + 1)
+    at = 0
+    while at < len(costs):
+        yield at, int(ends[at])
+        at = int(follows[at])
+
+
 def costed_segments(clauses_: DataFrame, cost: Callable[[str], int], most: int = 128, overlap: int = 8) -> DataFrame:
-    """As segments(), for any tokenizer: cost gives the tokens of a text. Clauses (clause_id, prefix, raw_text) go in batches."""
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for clause, head, text in zip(rows["clause_id"], rows["prefix"], rows["raw_text"], strict=True):
-                if cost(f"{head}\n{text}") <= most:
-                    out.append((clause, 0, f"{head}\n{text}"))
-                    continue
-                words, costs, start, n = text.split(), None, 0, 0
-                costs = [cost(w) + 1 for w in words]
-                room = most - cost(head)
-                while start < len(words):
-                    end, left = start + 1, room - costs[start]
-                    while end < len(words) and left >= costs[end]:
-                        left -= costs[end]
-                        end += 1
-                    out.append((clause, n, f"{head}\n{' '.join(words[start:end])}"))
-                    start += max(1, end - start - overlap)
-                    n += 1
-            yield pd.DataFrame(out, columns=["clause_id", "segment_index", "segment"])
-
-    return clauses_.select("clause_id", "prefix", "raw_text").mapInPandas(run, "clause_id long, segment_index int, segment string")
+    """As segments(), for any tokenizer: cost gives the tokens of a text; a word costs one more, its space.
+
+    Clauses have clause_id, prefix and raw_text (null: empty); one that fits as it is stays whole. Arrow batches of costs come
+    back as ranges of words; Spark cuts the texts.
+    """
+
+    @F.pandas_udf("array<struct<start:int,length:int>>")
+    def ranges(head: pd.Series, text: pd.Series) -> pd.Series:
+        found = []
+        for h, t in zip(head, text, strict=True):
+            costs = np.array([cost(w) + 1 for w in t.split()], dtype=np.int64)
+            whole = cost(f"{h}\n{t}") <= most
+            found.append(None if whole else [{"start": a + 1, "length": b - a} for a, b in _spans(costs, most - cost(h), overlap)])
+        return pd.Series(found)
+
+    @F.pandas_udf("array<string>")
+    def words(text: pd.Series) -> pd.Series:
+        return text.map(str.split)
+
+    texts = clauses_.select("clause_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("prefix", "raw_text")])
+    cut = texts.select("clause_id", "prefix", "raw_text", ranges("prefix", "raw_text").alias("r"), words("raw_text").alias("w"))
+    joined = F.transform("r", lambda x: F.concat_ws(" ", F.slice("w", x["start"], x["length"])))
+    bodies = F.when(F.col("r").isNull(), F.array("raw_text")).otherwise(joined)
+    return cut.select("clause_id", "prefix", F.posexplode(bodies).alias("segment_index", "body")).select("clause_id", "segment_index", F.concat("prefix", F.lit("\n"), "body").alias("segment"))
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:

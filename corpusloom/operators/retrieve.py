@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,35 +97,61 @@ def deduplicated_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
 _BATCHES = "doc_id long, batch int, place int, entity string, context_chars long"
 
 
-def _grouped(max_entities: int, min_overlap: float | None, max_chars: int):
-    """Batches of each document's entities, which come in input order with sentence ids and lengths."""
-
-    def overlaps(a: dict, b: dict) -> bool:
-        return min(len(a), len(b)) > 0 and len(a.keys() & b.keys()) / min(len(a), len(b)) >= min_overlap
-
-    def batches_of(entities: list) -> Iterator[tuple[int, int, str, int]]:
-        ids = {e["entity"]: dict(zip(e["ids"], e["chars"], strict=True)) for e in entities}
-        waiting, number = list(ids), 0
-        while waiting:
-            group = [waiting.pop(0)]
-            context = dict(ids[group[0]])
-            for name in list(waiting):
-                if len(group) >= max_entities:
-                    break
-                wider = {**ids[name], **context}
-                if sum(wider.values()) <= max_chars and (min_overlap is None or all(overlaps(ids[name], ids[m]) for m in group)):
-                    group.append(name)
-                    waiting.remove(name)
-                    context = wider
-                elif min_overlap is None:
-                    break
-            total = int(sum(context.values()))
-            yield from ((number, place, name, total) for place, name in enumerate(group))
-            number += 1
+def _shared_batches(found: list[dict], most: int, least: float, limit: int) -> Iterator[list[int]]:
+    """Batches of entities (each a map from sentence to characters) around the first ones left, as lists of places.
 
+    With a positive overlap only entities that occur in a sentence of the first one can follow it, so these are
+    looked up by sentence, and no other pair is compared.
+    """
+    by_sentence: dict = {}
+    for place, sentences in enumerate(found):
+        for s in sentences:
+            by_sentence.setdefault(s, []).append(place)
+    free = [True] * len(found)
+    for first, sentences in enumerate(found):
+        if not free[first]:
+            continue
+        free[first] = False
+        near = {k for s in sentences for k in by_sentence[s]} if least > 0 else {k for k, x in enumerate(found) if x and sentences}
+        batch, context = [first], dict(sentences)
+        for k in sorted(k for k in near if free[k]):
+            if len(batch) == most:
+                break
+            alike = all(len(found[k].keys() & found[m].keys()) / min(len(found[k]), len(found[m])) >= least for m in batch)
+            added = {s: n for s, n in found[k].items() if s not in context}
+            if alike and sum(context.values()) + sum(added.values()) <= limit:
+                batch.append(k)
+                free[k] = False
+                context |= added
+        yield batch
+
+
+def _row_batches(found: list[dict], most: int, limit: int) -> Iterator[list[int]]:
+    """Batches in input order, closed where one more entity would break a limit; one that is too large stands alone."""
+    start, context = 0, {}
+    for place, sentences in enumerate(found):
+        together = {**sentences, **context}
+        if place > start and (place - start == most or sum(together.values()) > limit):
+            yield list(range(start, place))
+            start, together = place, dict(sentences)
+        context = together
+    if found:
+        yield list(range(start, len(found)))
+
+
+def _batched(most: int, least: float | None, limit: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            out = [(doc, *b) for doc, entities in zip(rows["doc_id"], rows["entities"], strict=True) for b in batches_of(entities)]
+            out = []
+            for doc, entities in zip(rows["doc_id"], rows["entities"], strict=True):
+                known = {e["entity"]: dict(zip(e["ids"], e["chars"], strict=True)) for e in entities}
+                names, found = list(known), list(known.values())
+                batches = _row_batches(found, most, limit) if least is None else _shared_batches(found, most, least, limit)
+                for number, batch in enumerate(batches):
+                    union: dict = {}
+                    for k in reversed(batch):
+                        union |= found[k]
+                    out += [(doc, number, place, names[k], int(sum(union.values()))) for place, k in enumerate(batch)]
             yield pd.DataFrame(out, columns=["doc_id", "batch", "place", "entity", "context_chars"])
 
     return run
@@ -139,7 +165,7 @@ def evidence_batches(evidence: DataFrame, max_entities: int = 3, min_overlap: fl
     sequential within a document, so one row holds a document's entities.
     """
     rows = evidence.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "entity", "ids", "chars"))).alias("entities"))
-    return rows.mapInPandas(_grouped(max_entities, min_overlap, max_chars), _BATCHES)
+    return rows.mapInPandas(_batched(max_entities, min_overlap, max_chars), _BATCHES)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
