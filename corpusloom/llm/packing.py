@@ -45,7 +45,7 @@ GOLDEN = 0.6180339887498949
 #: Rows of the table of places that are still broadcast.
 BROADCAST_ROWS = 500_000
 #: Words met or met again since the last change of generation; a worker remembers this generation and the one before.
-CACHE = 120_000
+CACHE = 200_000
 END_ID = 0
 #: A tokenizer and the same vocabulary as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
