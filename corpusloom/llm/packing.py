@@ -16,12 +16,14 @@ gives the same places without any table of queues in one process.
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
@@ -44,25 +46,30 @@ LISTED = 1 << 12
 GOLDEN = 0.6180339887498949
 #: Rows of the table of places that are still broadcast.
 BROADCAST_ROWS = 500_000
-#: Words met or met again since the last change of generation; a worker remembers this generation and the one before.
-CACHE = 200_000
 END_ID = 0
 #: A tokenizer and the same vocabulary as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
+#: Characters of texts whose words are encoded together.
+TOGETHER = 8 << 20
+#: Tokens of documents that are cut together.
+CUT = 1 << 20
+#: Words whose ids are gathered at once.
+GATHERED = 1 << 18
+
 #: White space beside a space, in the commonest forms, and all white space but these.
 _BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _RARE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class Encoder:
-    """Token ids of texts, remembering those of words, which here begin after a single space.
+    """Token ids of texts: each distinct word of a group of texts is encoded once, and its ids are gathered.
 
-    Where no space stands beside other white space, a byte-level BPE pre-tokenizer always cuts before a space,
-    so the words' ids, each with its space, are those of the text; other texts, and those that spell a special
-    token, go to the tokenizer whole. With ranks (the same vocabulary as a tiktoken file) new words are encoded
-    several times faster; the ids are the tokenizer's own, which the tests hold them against. Words are remembered
-    in two generations: those that nobody met during one whole generation are forgotten, frequent ones stay.
+    A word here begins after a single space. Where no space stands beside other white space, a byte-level BPE
+    pre-tokenizer always cuts before a space, so the words' ids, each with its space, are those of the text; other
+    texts, and those that spell a special token, go to the tokenizer whole. With ranks (the same vocabulary as a
+    tiktoken file) words are encoded several times faster; the ids are the tokenizer's own, which the tests hold
+    them against. Nothing is remembered from group to group.
     """
 
     def __init__(self, path: str, ranks: str | None = None) -> None:
@@ -71,11 +78,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.odd = (*_BESIDE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.rare = re.compile(_RARE)
-        self.end = np.array([END_ID], dtype=self.dtype).tobytes()
         self.fast = None
         if ranks:
             import tiktoken
@@ -83,79 +87,115 @@ class Encoder:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.lengths = np.zeros(max(table.values()) + 1, dtype=np.int64)
-            self.lengths[list(table.values())] = [len(token) for token in table]
+            self.spaced = np.zeros(max(table.values()) + 1, dtype=bool)
+            self.spaced[[rank for token, rank in table.items() if token.startswith(b" ")]] = True
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, text: str) -> bytes:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is None:
-            return self._whole([text])[0]
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+            return self._whole(texts)
+        return [self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype) for text in texts]
 
-    def _learn(self, words: list[str]) -> None:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each after a space, in a row, and the number of each word's ids."""
         if self.fast is None:
-            self.known.update(zip(words, self._whole([" " + w for w in words]), strict=True))
-            return
-        # words that end in a letter or sign may stand in a row: their ids are cut by their bytes
-        row = [w for w in words if w and not w[-1].isspace()]
-        if row:
-            ids = self.fast.encode_to_numpy(" " + " ".join(row), disallowed_special=())
-            data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in row])) + 1) * width).tolist()
-            self.known.update(zip(row, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-        self.known.update({w: self._ids(" " + w) for w in words if not w or w[-1].isspace()})
+            found = self._ids([" " + w for w in words.to_pylist()])
+            return np.concatenate([np.zeros(0, dtype=self.dtype), *found]), np.array([len(x) for x in found], dtype=np.int64)
+        # only a word's first id begins with a space, so the ids of all words in a row show where each begins
+        ids = self.fast.encode_to_numpy(" ".join(["", *words.to_pylist()]), disallowed_special=()) if len(words) else np.zeros(0, dtype=np.int64)
+        return ids.astype(self.dtype), np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
 
     def _is_odd(self, text: str) -> bool:
         return any(x in text for x in self.odd) or self.rare.search(text) is not None
 
-    def encode(self, texts: list) -> list[bytes]:
-        """Ids of each text, then the end id; a null text has the end id alone."""
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        heads: list[bytes] = []
-        bounds = [0]
-        words: list[str] = []
-        for text in texts:
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, each with the end id, one text after another, and the number of each text's ids; a null text has the end id alone.
+
+        White space that ends a text is cut off by a pre-tokenizer too, and is encoded with the end.
+        """
+        heads: list[np.ndarray] = []
+        tails: list[str | None] = []
+        behind: dict[int, np.ndarray] = {}
+        end = np.array([END_ID], dtype=self.dtype)
+        for i, text in enumerate(texts):
             if text and self._is_odd(text):
-                heads.append(self._whole([text])[0])
-            else:
-                first, *rest = (text or "").split(" ")
-                heads.append(self._ids(first) if first else b"")
-                words += rest
-            bounds.append(len(words))
-        found = list(map(self.known.get, words))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            fresh = {words[i] for i in missing}
-            self.known.update({w: self.older[w] for w in fresh & self.older.keys()})
-            self._learn([w for w in fresh if w not in self.known])
-            for i in missing:
-                found[i] = self.known[words[i]]
-        return [b"".join([head, *found[a:b], self.end]) for head, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
+                heads += self._whole([text])
+                tails.append(None)
+                continue
+            plain = (text or "").rstrip()
+            if text and len(plain) < len(text):
+                behind[i] = np.append(self._ids([text[len(plain) :]])[0], end)
+            head, space, tail = plain.partition(" ")
+            heads += self._ids([head])
+            tails.append(tail if space else None)
+        words = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        word_ids, per_word = self._words(coded.dictionary)
+        ids = np.concatenate([end, *heads, *behind.values(), word_ids])
+        size = np.concatenate([[1], [len(x) for x in heads], [len(x) for x in behind.values()], per_word]).astype(np.int64)
+        begin = np.cumsum(size) - size
+        # the units of a text: its head, its words, the end
+        stop = np.cumsum(n_words + 2)
+        unit = np.zeros(int(stop[-1]) if len(stop) else 0, dtype=np.int64)
+        is_word = np.ones(len(unit), dtype=bool)
+        is_word[stop - 1] = is_word[stop - n_words - 2] = False
+        unit[stop - n_words - 2] = 1 + np.arange(len(texts))
+        unit[stop[np.array(list(behind), dtype=np.int64)] - 1] = 1 + len(texts) + np.arange(len(behind))
+        unit[is_word] = 1 + len(texts) + len(behind) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = []
+        for a in range(0, len(unit), GATHERED):
+            some = unit[a : a + GATHERED]
+            n = size[some]
+            out.append(ids[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        return np.concatenate(out), np.add.reduceat(size[unit], stop - n_words - 2)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, ranks: str | None) -> Encoder:
+    """The encoder of a worker process, loaded once for all its tasks."""
+    return Encoder(path, ranks)
+
+
+def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of groups that end where their sizes reach a bound."""
+    a = total = 0
+    for i, size in enumerate(sizes, 1):
+        total += size
+        if total >= most or i == len(sizes):
+            yield a, i
+            a, total = i, 0
 
 
 def _tokenise(path: str, ranks: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path, ranks), TaskContext.get().partitionId()
+        own, part = encoder(path, ranks), TaskContext.get().partitionId()
         places: dict[str, int] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                piece = batch.slice(a, 256)
-                ids = encoder.encode(piece.column(1).to_pylist())
-                counts, before = [len(x) // encoder.dtype.itemsize for x in ids], []
-                for queue, n in zip(piece.column(2).to_pylist(), counts, strict=True):
+            texts = batch.column(1).to_pylist()
+            for a, b in _groups([len(t or "") for t in texts], TOGETHER):
+                piece = batch.slice(a, b - a)
+                ids, counts = own.encode(texts[a:b])
+                before = []
+                for queue, n in zip(piece.column(2).to_pylist(), counts.tolist(), strict=True):
                     before.append(places.get(queue, 0))
                     places[queue] = before[-1] + n
                 yield pa.record_batch(
-                    [piece.column(0), piece.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    [piece.column(0), piece.column(2), pa.array([part] * (b - a), pa.int32()), pa.array(before, pa.int64()), pa.array(counts), _binary(ids, counts)],
                     names=["doc_id", "queue", "part", "place", "doc_tokens", "ids"],
                 )
 
     return run
 
 
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary values of counts numbers each, one after another."""
+    offsets = np.append(0, np.cumsum(counts, dtype=np.int64)) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 class Dealing:
     """Where each grain of each queue goes. tokens: queue -> number of tokens; targets: queue -> share, or by size.
 
@@ -199,27 +239,35 @@ class Dealing:
             out[a : a + width] = start + n.sum(axis=1)
         return out
 
-    def grains_of(self, queue: str, place: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of the grains that hold n tokens from a place of the queue."""
-        sequence, at = np.divmod(self.grain(queue, np.arange(place // GRAIN, (place + n - 1) // GRAIN + 1)), SEQUENCE // GRAIN)
+    def grains_of(self, queue: str, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the grains with the given numbers in their queue."""
+        sequence, at = np.divmod(self.grain(queue, numbers), SEQUENCE // GRAIN)
         offset = at * GRAIN
-        for w in self.short.keys() & set(sequence.tolist()):
-            for behind, missing in self.short[w]:
-                offset[(sequence == w) & (at > behind)] -= missing
+        if self.short and len(hit := np.flatnonzero(np.isin(sequence, list(self.short)))):
+            for w in np.unique(sequence[hit]).tolist():
+                for behind, missing in self.short[w]:
+                    offset[hit[(sequence[hit] == w) & (at[hit] > behind)]] -= missing
         return sequence, offset
 
 
-def pieces(place: int, n: int, sequence: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
-    """start, length, sequence and offset of the pieces of n tokens from a place of their queue, given their grains'."""
-    numbers = np.arange(place // GRAIN, (place + n - 1) // GRAIN + 1)
-    start = np.maximum(numbers * GRAIN, place)
-    offset = offset + start - numbers * GRAIN
-    end = np.append(start[1:], place + n)
-    fresh = np.ones(len(numbers), dtype=bool)
-    fresh[1:] = (sequence[1:] != sequence[:-1]) | (offset[1:] != offset[:-1] + end[:-1] - start[:-1])
+def grain_numbers(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of n tokens from a place of their queues: document and number of every grain that holds some of them."""
+    first = place // GRAIN
+    k = (place + n - 1) // GRAIN + 1 - first
+    doc = np.repeat(np.arange(len(n)), k)
+    return doc, np.arange(len(doc)) + (first - (np.cumsum(k) - k))[doc]
+
+
+def pieces(place: np.ndarray, n: np.ndarray, doc: np.ndarray, number: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, start, length, sequence and offset of the documents' pieces, given the sequences and offsets of their grains."""
+    start = np.maximum(number * GRAIN, place[doc])
+    end = np.minimum((number + 1) * GRAIN, (place + n)[doc])
+    offset = offset + start - number * GRAIN
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (sequence[1:] != sequence[:-1]) | (offset[1:] != (offset + end - start)[:-1])
     heads = np.flatnonzero(fresh)
-    stop = np.append(start[heads[1:]], place + n)
-    return start[heads] - place, stop - start[heads], sequence[heads], offset[heads]
+    stop = end[np.append(heads[1:], len(doc)) - 1]
+    return doc[heads], start[heads] - place[doc[heads]], stop - start[heads], sequence[heads], offset[heads]
 
 
 def _cut(dealing: Broadcast | None, itemsize: int) -> Callable:
@@ -227,21 +275,26 @@ def _cut(dealing: Broadcast | None, itemsize: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Dealing | None = dealing.value if dealing else None
-        for batch in batches:
-            queues, places, counts, ids = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-            for a in range(0, len(ids), 1000):
-                rows, found, parts = [], [], []
-                for i in range(a, min(a + 1000, len(ids))):
-                    told = plan.grains_of(queues[i], places[i], counts[i]) if plan else tuple(batch.column(k)[i].values.to_numpy() for k in (5, 6))
-                    cut = pieces(places[i], counts[i], *told)
-                    values = np.frombuffer(ids[i], dtype=f"<u{itemsize}").astype("<u4").tobytes()
-                    parts += [values[4 * s : 4 * (s + n)] for s, n in zip(cut[0].tolist(), cut[1].tolist(), strict=True)]
-                    rows += [i] * len(cut[0])
-                    found.append(cut)
-                start, length, sequence, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-                at = pa.array(rows, pa.int64())
+        for whole in batches:
+            for a, b in _groups(whole.column(3).to_pylist(), CUT):
+                batch = whole.slice(a, b - a)
+                place, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                doc, number = grain_numbers(place, n)
+                if plan:
+                    sequence, offset = np.empty(len(doc), dtype=np.int64), np.empty(len(doc), dtype=np.int64)
+                    coded = batch.column(1).dictionary_encode()
+                    queue = coded.indices.to_numpy()[doc]
+                    for k, name in enumerate(coded.dictionary.to_pylist()):
+                        of = np.flatnonzero(queue == k)
+                        sequence[of], offset[of] = plan.grains_of(name, number[of])
+                else:
+                    sequence, offset = (batch.column(k).flatten().to_numpy() for k in (5, 6))
+                of, start, length, sequence, offset = pieces(place, n, doc, number, sequence, offset)
+                # a document's pieces follow one another in it, so the ids of all pieces in a row are those of the documents
+                ids = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=f"<u{itemsize}").astype("<u4")
+                at = pa.array(of)
                 yield pa.record_batch(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(length), pa.array(parts, pa.binary()), batch.column(3).take(at), pa.array(sequence), pa.array(offset)],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(length), _binary(ids, length), batch.column(3).take(at), pa.array(sequence), pa.array(offset)],
                     names=["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 

@@ -225,7 +225,9 @@ def test_very_many_sources_are_dealt_by_sorting_as_by_arithmetic(spark, monkeypa
 def test_chunked_encoding_equals_the_tokenizer(documents):
     encoder = packing.Encoder(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
     texts = [*documents.text[:80], "don't  stop", "a\tb c", "1 2  3", "x  y"]
-    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [ids_of(t) for t in texts]
+    texts += ["ends in a space ", "or a line\n", "a line\nand more\tof it", " ", "", None, "it's we'll", "é ü 漢字 🙂 x"]
+    ids, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
 
 
 def test_pipeline_stages_follow_brute_force(spark, sf_dir, documents):
