@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,13 +170,87 @@ def evidence_batches(evidence: DataFrame, max_entities: int = 3, min_overlap: fl
     return rows.mapInPandas(_batched(max_entities, min_overlap, max_chars), _BATCHES)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def _packed(rows: int) -> Callable:
+    """Rows of an id and a vector as blocks of so many: ids, width and a matrix of float64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(width: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(width)
+            matrix = np.array(vectors, dtype="<f8").tobytes()
+            return pa.record_batch([pa.array([ids], pa.list_(kind)), pa.array([width], pa.int32()), pa.array([matrix], pa.binary())], names=["ids", "width", "matrix"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for one, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, vectors = held.setdefault(len(vector), ([], []))
+                ids.append(one)
+                vectors.append(vector)
+                if len(ids) == rows:
+                    yield block(len(vector))
+        for width in list(held):
+            yield block(width)
+
+    return run
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row products, added from the first to the last: equal vectors have equal sums wherever they stand."""
+    return np.add.accumulate(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+def _best_pairs(k: int, margin: float = 1e-9) -> Callable:
+    """For each pair of blocks the k best vectors of every query: a matrix product chooses, exact cosines rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, width, matrix), (query_ids, query_width, query_matrix) = ([batch.column(c)[i] for c in cs] for cs in ((0, 1, 2), (3, 4, 5)))
+                if width.as_py() != query_width.as_py():
+                    continue
+                v, q = (np.frombuffer(m.as_py(), dtype="<f8").reshape(len(x), width.as_py()) for m, x in ((matrix, ids), (query_matrix, query_ids)))
+                v_norm, q_norm = np.sqrt(_in_order(v, v)), np.sqrt(_in_order(q, q))
+                scale = lambda n: np.where(n == 0, 1.0, n)
+                score = (q / scale(q_norm)[:, None]) @ (v / scale(v_norm)[:, None]).T
+                own, own_query = np.array(ids.as_py()), np.array(query_ids.as_py())
+                score[own_query[:, None] == own[None, :]] = -np.inf
+                top = min(k, score.shape[1])
+                least = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
+                at, of = np.nonzero((score >= least[:, None] - margin) & np.isfinite(score))
+                exact = np.empty(len(at))
+                for a in range(0, len(at), 1 << 16):
+                    x, y = at[a : a + (1 << 16)], of[a : a + (1 << 16)]
+                    norms = v_norm[y] * q_norm[x]
+                    exact[a : a + (1 << 16)] = np.where(norms == 0, 0.0, _in_order(v[y], q[x]) / scale(norms))
+                order = np.lexsort((own[of], -exact, at))
+                at, of, exact = at[order], of[order], exact[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                kept = place < k
+                columns = [query_ids.values.take(pa.array(at[kept])), ids.values.take(pa.array(of[kept])), pa.array(exact[kept])]
+                yield pa.record_batch(columns, names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, block: int = 2048) -> DataFrame:
     """The k most similar vectors (vec_id, embedding) of each query (query_id, query_vector), by cosine, then id.
 
-    allowed restricts the vectors first. Queries are the small side and go to the vectors in one broadcast only
-    where Spark's own size limit lets them; rows beyond k are dropped before the exchange.
+    allowed restricts the vectors first. Both sides are packed where they lie into blocks of rows; every block of
+    queries meets every block of vectors once, as a matrix product, and at most k rows a query leave a pair of
+    blocks. Rows with a null id, a null vector or one that holds a null or NaN are left out, and vectors of another width
+    than the query's; a zero vector has cosine 0.
     """
     if allowed is not None:
         vectors = vectors.join(allowed, "vec_id", "left_semi")
-    both = vectors.join(queries).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
-    return ranked(both, ["query_id"], [F.desc("score"), F.col("vec_id")]).where(F.col("rank") <= k)
+
+    def packed(df: DataFrame, row_id: str, vector: str, prefix: str) -> DataFrame:
+        kind = df.schema[row_id].dataType.simpleString()
+        whole = df.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
+        blocks = whole.select(row_id, F.col(vector).cast("array<double>")).mapInArrow(_packed(block), f"ids array<{kind}>, width int, matrix binary")
+        return blocks.toDF(*[prefix + c for c in blocks.columns])
+
+    pairs = packed(vectors, "vec_id", "embedding", "v_").crossJoin(packed(queries, "query_id", "query_vector", "q_"))  # of blocks, not of rows
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    return ranked(pairs.mapInArrow(_best_pairs(k), schema), ["query_id"], [F.desc("score"), F.col("vec_id")]).where(F.col("rank") <= k)

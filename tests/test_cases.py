@@ -362,3 +362,30 @@ def test_documents_arrive_once(spark, tmp_path):
     assert step() == 2
     (folder / "b.md").write_text("1) third sentence")
     assert step() == 3 and step() == 3
+
+
+def test_nearest_in_blocks_is_the_nearest_of_all(spark):
+    """Many equal vectors, zero ones, nulls, other widths and repeated ids, in blocks of three rows and in one."""
+    r = random.Random(4)
+    made = [(i, [r.choice([0.0, 0.5, 1.0, -1.0]) for _ in range(3)]) for i in range(60)] + [(60 + i, [0.3, 0.1, 0.2]) for i in range(30)]
+    made += [(90, [0.0, 0.0, 0.0]), (91, None), (None, [1.0, 1.0, 1.0]), (92, [1.0, None, 0.0]), (93, [1.0, 2.0]), (94, [2.0, 4.0]), (3, [0.9, 0.1, 0.0])]
+    vectors = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.where("vec_id % 3 = 0").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = [tuple(x) for x in queries.collect()]
+    good = [(i, v) for i, v in made if i is not None and v is not None and None not in v]
+
+    def cosine(a, b):
+        norms = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / norms if norms else 0.0
+
+    want = []
+    for q, v in asked:
+        if v is not None and None not in v:
+            scored = sorted((-cosine(x, v), i) for i, x in good if i != q and len(x) == len(v))
+            want += [(q, i, -s, n) for n, (s, i) in enumerate(scored[:4], 1)]
+    asked_rows = spark.createDataFrame(asked, queries.schema)
+    for block in (3, 2048):
+        got = retrieve.nearest(asked_rows, vectors, 4, block=block).select("query_id", "vec_id", "score", "rank").collect()
+        assert sorted((q, i, n) for q, i, _, n in got) == sorted((q, i, n) for q, i, _, n in want)
+        assert {(q, n): s for q, _, s, n in got} == pytest.approx({(q, n): s for q, _, s, n in want})
+    assert retrieve.nearest(asked_rows, vectors.limit(0), 4).count() == 0 == retrieve.nearest(asked_rows.limit(0), vectors, 4).count()
