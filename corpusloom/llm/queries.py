@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, jaccard_join, language_id, packing, pitman_yor, quotation, repetition, secret_scan, sharding, warc
+from corpusloom.llm import decontamination, jaccard_join, language_id, packing, periodic_runs, pitman_yor, quality_machine, quotation, repetition, secret_scan, sharding, warc, whitening
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_quotation": _over("conversations", quotation.op8_quotation),
         "op9_repetition": _over("documents", repetition.op9_repetition),
         "op10_secrets": _over("documents", secret_scan.op10_secrets),
+        "op11_factorisation_machine": lambda spark, sf_dir: quality_machine.op11_factorisation_machine(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op12_periodic_runs": _over("documents", periodic_runs.op12_periodic_runs),
+        "op13_bit_sliced_scatter": _over("embeddings", whitening.op13_bit_sliced_scatter),
     }
 
 
@@ -39,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quotation": quotation.OP8_SQL,
         "op9_repetition": repetition.OP9_SQL,
         "op10_secrets": secret_scan.OP10_SQL,
+        "op12_periodic_runs": periodic_runs.OP12_SQL,
     }
