@@ -79,6 +79,12 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def _message_key(*columns: str) -> Column:
+    """128 bits of the columns, each behind its length; a null is told from every value."""
+    told = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    return F.unhex(F.md5(F.concat(*[F.coalesce(told(F.col(c).cast("string")), F.lit("-")) for c in columns]).cast("binary")))
+
+
 def _keys(body: Column) -> Column:
     """Normalised passage, and its lines of LINE_CHARS or more, as structs of hash and length."""
     texts = F.array_distinct(F.concat(F.array(_normal(body)), F.filter(F.transform(F.split(body, r"\r?\n"), _normal), lambda x: F.length(x) >= LINE_CHARS)))
@@ -100,12 +106,12 @@ def linked(messages: DataFrame) -> DataFrame:
     clean = F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x: x["kept"]), lambda x: x["body"]), "\n"), r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "")
     parsed = parsed.withColumn("clean", F.when(F.col("quoting"), clean).otherwise(F.col("text")))
     parsed = parsed.withColumn("passages", F.when(F.col("quoting"), _passages(F.col("lines"))).otherwise(_plain_passages(F.col("text")))).drop("lines")
-    key = F.xxhash64("conv_id", "turn", "text")
+    parsed = parsed.withColumn("key", _message_key("conv_id", "turn", "text"))
 
     written_by = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.filter("passages", lambda p: p["level"] == 0)).alias("p"))
     origin = written_by.select("conv_id", "turn", F.explode(_keys(F.col("p.body"))).alias("k")).groupBy("conv_id", "k").agg(F.min("turn").alias("origin"))
 
-    quotes = parsed.where("quoting and conv_id is not null and turn is not null").select(key.alias("key"), "conv_id", "turn", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("n", "p"))
+    quotes = parsed.where("quoting and conv_id is not null and turn is not null").select("key", "conv_id", "turn", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("n", "p"))
     asked = quotes.dropDuplicates(["key", "n"]).select("key", "conv_id", "turn", "n", F.col("p.level").alias("level"), F.explode(_keys(F.col("p.body"))).alias("k"))
     hits = asked.join(origin, ["conv_id", "k"]).where("origin < turn")
     best = F.min(F.struct(F.col("level"), (-F.col("k.chars")).alias("chars"), F.col("origin")))
@@ -113,7 +119,7 @@ def linked(messages: DataFrame) -> DataFrame:
     roots = _roots(links.groupBy("conv_id", "turn").agg(F.min("best.origin").alias("up")))
 
     quoted = F.filter("passages", lambda p: p["level"] > 0)
-    out = parsed.select("conv_id", "turn", "role", "clean", key.alias("key"), F.size(quoted).alias("n_quoted"), F.coalesce(F.array_max(F.transform(quoted, lambda p: p["level"])), F.lit(0)).alias("max_level"))
+    out = parsed.select("conv_id", "turn", "role", "clean", "key", F.size(quoted).alias("n_quoted"), F.coalesce(F.array_max(F.transform(quoted, lambda p: p["level"])), F.lit(0)).alias("max_level"))
     out = out.dropDuplicates(["key", "role"]).join(links.select("key", F.col("best.origin").alias("reply_to"), "n_linked"), "key", "left").join(roots, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "n_quoted", "max_level", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to",

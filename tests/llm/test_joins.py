@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,19 @@ def test_passages_equal_a_plain_loop(spark):
                 level = x["level"]
                 want.append((level, x["body"]))
         assert [(p["level"], p["body"]) for p in row["p"]] == want
+
+
+def test_messages_with_swapped_nulls_are_told_apart_as_in_sql(spark):
+    """A null stands in its own column: neither it nor the digits of two numbers may run together."""
+    rows = [(None, 5, "user", "one text"), (5, None, "user", "one text"), (1, 11, "user", "a"), (11, 1, "user", "a"), (5, 6, None, None), (5, 6, None, ""), (None, None, None, None), (None, None, "user", None)]
+    rows += [(5, 7, "bot", "> one text\nyes"), (5, 8, "bot", "> yes\n> > one text\nno"), (5, 5, "user", "one text")] * 2
+    messages = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, key string")
+    assert {(r["conv_id"], r["turn"], r["role"]) for r in quotation.linked(messages).collect()} == {r[:3] for r in rows}
+    got = quotation.op8_quotation(messages).toPandas()
+    con = duckdb.connect()
+    con.register("held", messages.toPandas())
+    con.execute("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM held")
+    want = con.execute(quotation.OP8_SQL).df()[got.columns]
+    plain = lambda df: sorted(str([int(x) if isinstance(x, float) else x for x in row]) for row in df.fillna(-1).astype(object).values.tolist())
+    assert plain(got) == plain(want)
+    assert got.n_messages.sum() == len(set((*r[:3], r[3] or "") for r in rows))
