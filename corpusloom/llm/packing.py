@@ -5,7 +5,9 @@ where u in (0, 1) is the queue's own and keeps small queues from being owed all
 sequences in the order of these times. How many grains of any queue come before a time is arithmetic, and so is the
 sequence and place of any grain: no queue is ever a grain from what it is owed by then, however small its share, and
 deficits carry over from sequence to sequence and across partitions though no partition waits for another. When a
-queue runs empty the others go on at the same times, in the proportions of their shares.
+queue runs empty the others go on at the same times, in the proportions of their shares. A grain begins where the
+tokens of all grains before it end, and the row of all tokens is cut into sequences: only the last one is not full,
+however many queues end in a short grain.
 
 Documents are tokenised once and stored in the shared folder with their places among their queue's tokens of the
 same partition; sums by partition and queue give the places in the whole queue. Up to FEW queues, each task finds
@@ -32,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
-from corpusloom.operators.ordering import numbered
+from corpusloom.operators.ordering import numbered, running
 
 SEQUENCE = 1024
 #: Tokens dealt at once; a document is cut at grains, or where it starts or ends.
@@ -212,19 +214,15 @@ class Dealing:
         by_size = np.empty(len(self.grains), dtype=np.int64)
         by_size[np.argsort(-self.grains, kind="stable")] = np.arange(len(self.grains))
         self.first = (0.5 + by_size * GOLDEN) % 1  # spread evenly, also over queues of one size
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        for (q, n), grains in zip(self.tokens.items(), self.grains.tolist(), strict=True):
-            if n % GRAIN:
-                w, at = (int(x[0]) for x in divmod(self.grain(q, np.array([grains - 1])), SEQUENCE // GRAIN))
-                self.short.setdefault(w, []).append((at, GRAIN - n % GRAIN))
+        self.sizes = np.array(list(self.tokens.values()), dtype=np.int64)
 
-    def grain(self, queue: str, numbers: np.ndarray) -> np.ndarray:
-        """Places among all grains of those with the given numbers in their queue."""
+    def places(self, queue: str, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the grains with the given numbers in their queue: the numbers of grains and of tokens before them."""
         k = self.number[queue]
         peers = np.flatnonzero(self.late == self.late[k])
-        first, step, most, ahead = self.first[peers], self.step[peers], self.grains[peers], peers < k
-        start = int(self.grains[~self.late].sum()) if self.late[k] else 0
-        out = np.empty(len(numbers), dtype=np.int64)
+        first, step, most, ahead, size = self.first[peers], self.step[peers], self.grains[peers], peers < k, self.sizes[peers]
+        sooner = np.flatnonzero(~self.late) if self.late[k] else peers[:0]
+        out, tokens = np.empty(len(numbers), dtype=np.int64), np.empty(len(numbers), dtype=np.int64)
         width = max(1, COMPARED // len(peers))
         for a in range(0, len(numbers), width):
             time = ((numbers[a : a + width] + self.first[k]) * self.step[k])[:, None]
@@ -236,18 +234,13 @@ class Dealing:
             n = np.clip(np.ceil(time / step - first).astype(np.int64), 0, most)
             n -= (n > 0) & ~before(n - 1)  # the quotient may be rounded over a whole number
             n += (n < most) & before(n)
-            out[a : a + width] = start + n.sum(axis=1)
-        return out
+            out[a : a + width] = self.grains[sooner].sum() + n.sum(axis=1)
+            tokens[a : a + width] = self.sizes[sooner].sum() + np.minimum(n * GRAIN, size).sum(axis=1)
+        return out, tokens
 
-    def grains_of(self, queue: str, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of the grains with the given numbers in their queue."""
-        sequence, at = np.divmod(self.grain(queue, numbers), SEQUENCE // GRAIN)
-        offset = at * GRAIN
-        if self.short and len(hit := np.flatnonzero(np.isin(sequence, list(self.short)))):
-            for w in np.unique(sequence[hit]).tolist():
-                for behind, missing in self.short[w]:
-                    offset[hit[(sequence[hit] == w) & (at[hit] > behind)]] -= missing
-        return sequence, offset
+    def grain(self, queue: str, numbers: np.ndarray) -> np.ndarray:
+        """Places among all grains of those with the given numbers in their queue."""
+        return self.places(queue, numbers)[0]
 
 
 def grain_numbers(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,20 +251,24 @@ def grain_numbers(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc, np.arange(len(doc)) + (first - (np.cumsum(k) - k))[doc]
 
 
-def pieces(place: np.ndarray, n: np.ndarray, doc: np.ndarray, number: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document, start, length, sequence and offset of the documents' pieces, given the sequences and offsets of their grains."""
+def pieces(place: np.ndarray, n: np.ndarray, doc: np.ndarray, number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, start, length, sequence and offset of the documents' pieces, given where their grains begin among all tokens."""
     start = np.maximum(number * GRAIN, place[doc])
     end = np.minimum((number + 1) * GRAIN, (place + n)[doc])
-    offset = offset + start - number * GRAIN
+    at = at + start - number * GRAIN
     fresh = np.ones(len(doc), dtype=bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (sequence[1:] != sequence[:-1]) | (offset[1:] != (offset + end - start)[:-1])
+    fresh[1:] = (doc[1:] != doc[:-1]) | (at[1:] != (at + end - start)[:-1])
     heads = np.flatnonzero(fresh)
-    stop = end[np.append(heads[1:], len(doc)) - 1]
-    return doc[heads], start[heads] - place[doc[heads]], stop - start[heads], sequence[heads], offset[heads]
+    stop = end[np.append(heads[1:], len(doc)) - 1] - start[heads] + at[heads]  # what stands together, from at to stop
+    k = (stop - 1) // SEQUENCE + 1 - at[heads] // SEQUENCE
+    of = np.repeat(heads, k)
+    sequence = at[of] // SEQUENCE + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+    low, high = np.maximum(at[of], sequence * SEQUENCE), np.minimum(np.repeat(stop, k), (sequence + 1) * SEQUENCE)
+    return doc[of], start[of] - place[doc[of]] + low - at[of], high - low, sequence, low - sequence * SEQUENCE
 
 
 def _cut(dealing: Broadcast | None, itemsize: int) -> Callable:
-    """Cuts documents into pieces: by arithmetic, or by their grains' sequences and offsets, which come with them then."""
+    """Cuts documents into pieces: by arithmetic, or by where their grains begin, which comes with them then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Dealing | None = dealing.value if dealing else None
@@ -281,15 +278,15 @@ def _cut(dealing: Broadcast | None, itemsize: int) -> Callable:
                 place, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 doc, number = grain_numbers(place, n)
                 if plan:
-                    sequence, offset = np.empty(len(doc), dtype=np.int64), np.empty(len(doc), dtype=np.int64)
+                    begin = np.empty(len(doc), dtype=np.int64)
                     coded = batch.column(1).dictionary_encode()
                     queue = coded.indices.to_numpy()[doc]
                     for k, name in enumerate(coded.dictionary.to_pylist()):
-                        of = np.flatnonzero(queue == k)
-                        sequence[of], offset[of] = plan.grains_of(name, number[of])
+                        held = np.flatnonzero(queue == k)
+                        begin[held] = plan.places(name, number[held])[1]
                 else:
-                    sequence, offset = (batch.column(k).flatten().to_numpy() for k in (5, 6))
-                of, start, length, sequence, offset = pieces(place, n, doc, number, sequence, offset)
+                    begin = batch.column(5).flatten().to_numpy()
+                of, start, length, sequence, offset = pieces(place, n, doc, number, begin)
                 # a document's pieces follow one another in it, so the ids of all pieces in a row are those of the documents
                 ids = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=f"<u{itemsize}").astype("<u4")
                 at = pa.array(of)
@@ -302,7 +299,7 @@ def _cut(dealing: Broadcast | None, itemsize: int) -> Callable:
 
 
 def _sorted_grains(totals: DataFrame, targets: dict[str, float] | None) -> DataFrame:
-    """queue, number, sequence and at (its offset there) of every grain, by one sort of all grains by their times.
+    """queue, number and at (the tokens before it) of every grain, by one sort of all grains by their times.
 
     totals has queue and n. The times are those of Dealing, by the same operations on the same numbers.
     """
@@ -316,9 +313,7 @@ def _sorted_grains(totals: DataFrame, targets: dict[str, float] | None) -> DataF
     each = F.explode(F.sequence(F.col("block") * LISTED, F.least(F.col("block") * LISTED + LISTED, F.col("grains")) - 1)).alias("number")
     grains = blocks.select("queue", "n", "late", "step", "first", each)
     timed = grains.select("queue", "number", "late", ((F.col("number") + F.col("first")) * F.col("step")).alias("time"), F.least(F.lit(GRAIN), F.col("n") - F.col("number") * GRAIN).alias("length"))
-    placed = numbered(timed, ["late", "time", "queue"], "place").withColumn("sequence", F.floor((F.col("place") - 1) / (SEQUENCE // GRAIN)))
-    before = F.sum("length").over(W.partitionBy("sequence").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-    return placed.select("queue", "number", "sequence", F.coalesce(before, F.lit(0)).alias("at"))
+    return running(timed, ["late", "time", "queue"], "length", "at").select("queue", "number", "at")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -326,8 +321,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
 
     targets gives each source's share of every sequence; without it the shares are the sources' own, so that
     all queues last to the end. A null text is empty and holds the end id alone; a null source is the empty
-    one; repeated rows are packed each. Without documents there are no pieces. Only the last grain of a queue
-    may leave a gap, at the end of its sequence; extra columns are not read.
+    one; repeated rows are packed each. Without documents there are no pieces. Every sequence
+    but the last is full; extra columns are not read.
     """
     spark = docs.sparkSession
     path, ranks = (tokenizer, ranks) if tokenizer else (public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS))
@@ -349,9 +344,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
     grains = written(_sorted_grains(totals, targets), "grains")
     last = F.floor((F.col("place") + F.col("doc_tokens") - 1) / GRAIN)
     asked = placed.select("queue", "place", F.explode(F.sequence(F.floor(F.col("place") / GRAIN), last)).alias("number"))
-    answers = asked.join(grains, ["queue", "number"]).groupBy("queue", "place").agg(F.array_sort(F.collect_list(F.struct("number", "sequence", "at"))).alias("g"))
-    answers = answers.select("queue", "place", F.col("g.sequence").alias("sequences"), F.col("g.at").alias("offsets"))
-    return placed.join(answers, ["queue", "place"]).select("doc_id", "queue", "place", "doc_tokens", "ids", "sequences", "offsets").mapInArrow(_cut(None, itemsize), out)
+    answers = asked.join(grains, ["queue", "number"]).groupBy("queue", "place").agg(F.array_sort(F.collect_list(F.struct("number", "at"))).alias("g"))
+    answers = answers.select("queue", "place", F.col("g.at").alias("begins"))
+    return placed.join(answers, ["queue", "place"]).select("doc_id", "queue", "place", "doc_tokens", "ids", "begins").mapInArrow(_cut(None, itemsize), out)
 
 
 def op6_mixture_packing(docs: DataFrame) -> DataFrame:

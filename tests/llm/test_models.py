@@ -159,7 +159,7 @@ def test_packing_is_exact_and_mixed(spark, sf_dir, documents):
     assert set(got.doc_id) == set(documents.doc_id)
     check_packing(got, dict(zip(documents.doc_id, documents.text, strict=True)))
     n = got.length.sum()
-    assert got.sequence_id.nunique() <= -(-n // packing.SEQUENCE) + 2
+    assert got.sequence_id.nunique() == got.sequence_id.max() + 1 == -(-n // packing.SEQUENCE)
     shares = got.groupby("queue").length.sum() / n
     rows = got.groupby(["queue", "sequence_id"]).length.sum().unstack(fill_value=0).cumsum(axis=1)
     ahead = rows.sub(np.outer(shares, np.arange(1, rows.shape[1] + 1) * packing.SEQUENCE))
@@ -199,6 +199,23 @@ def test_small_sources_are_dealt_at_their_share_to_the_end():
                 assert np.abs(np.arange(n) + 0.5 - (places[q] + 0.5) * share).max() <= 2
 
 
+def test_tokens_before_a_grain_are_those_of_all_grains_before_it():
+    r = np.random.default_rng(2)
+    tokens = {f"q{i}": int(n) for i, n in enumerate(np.append(r.integers(1, 200, 300), [5000, 64, 128]))}
+    for targets in (None, {q: 1.0 for q in list(tokens)[::2]}):
+        plan = packing.Dealing(tokens, targets)
+        rows = sorted((int(g), int(t), min(packing.GRAIN, n - packing.GRAIN * i)) for q, n in tokens.items() for i, (g, t) in enumerate(zip(*plan.places(q, np.arange(-(-n // packing.GRAIN))), strict=True)))
+        assert [t for _, t, _ in rows] == np.cumsum([0, *[n for *_, n in rows]])[:-1].tolist()
+
+
+def test_many_small_sources_leave_no_padding(spark):
+    for n_sources, n_tokens in ((500, 70), (900, 5), (900, 1)):
+        docs = spark.createDataFrame([(i, " ".join(["a"] * (n_tokens - 1)), f"s{i}") for i in range(n_sources)], "doc_id long, text string, source string")
+        got = packing.op6_mixture_packing(docs).toPandas()
+        check_packing(got, {i: " ".join(["a"] * (n_tokens - 1)) for i in range(n_sources)})
+        assert got.sequence_id.nunique() == -(-got.length.sum() // packing.SEQUENCE)
+
+
 def test_very_many_sources_are_dealt_by_sorting_as_by_arithmetic(spark, monkeypatch):
     """2000 sources with targets for most of them: both ways give the same rows, and every source keeps its share in every window."""
     r = np.random.default_rng(5)
@@ -216,6 +233,7 @@ def test_very_many_sources_are_dealt_by_sorting_as_by_arithmetic(spark, monkeypa
         # places within a queue follow the partitions, so pieces are compared by what they hold of each queue
         key = lambda f: sorted(f.groupby(["sequence_id", "queue"]).length.sum().reset_index().itertuples(index=False))
         assert key(few) == key(many.toPandas())
+        assert few.sequence_id.nunique() == few.sequence_id.max() + 1 == -(-few.length.sum() // packing.SEQUENCE)  # no padding but in the last
     check_packing(few.assign(ids_crc32=few.ids.map(zlib.crc32)), texts)
     plan, dealt = packing.Dealing({q: int(x) * packing.GRAIN for q, x in targets.items()}, targets), sum(targets.values())
     for q, n in targets.items():  # every grain is within two of where its share owes it
