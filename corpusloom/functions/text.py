@@ -136,8 +136,13 @@ def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(unicodedata.normalize("NFKC", v).casefold().split()))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def nfkc(text: Column) -> Column:
-    return _normal_form("NFKC")(text)
+    """The compatibility form; plain ASCII, which has no other, is not sent to Python."""
+    return F.coalesce(_normal_form("NFKC")(F.when(~is_ascii(text), text)), text)
 
 
 def lookup_key(text: Column) -> Column:

@@ -20,18 +20,25 @@ NOTES = ("说明", "注：", "签字", "盖章", "日期", "示例")
 FIXED_ENTRIES = ("目录", "第一章", "第二章", "第三章", "第四章", "第五章", "附录A", "附录B", "附录C", "附录D", "附录E")
 
 
-def sections(blocks: DataFrame, deepest: int = 6) -> DataFrame:
-    """blocks (document_id, ordinal, block_type, level, text) with section: the headings above each, and their own.
+def section_paths(blocks: DataFrame, level: Column, title: Column, deepest: int = 6) -> DataFrame:
+    """blocks (document_id, ordinal) with section: the titles above each block and its own, where level tells a heading.
 
-    A heading of level k is live until a heading of a level up to k follows; TOC entries are no headings.
+    A heading of level k is live until one of a level up to k follows: the stack of headings as one segmented scan.
     """
     w = W.partitionBy("document_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
-    is_heading = F.col("block_type") == "heading"
-    out = blocks.withColumns({f"h{k}": F.last(F.when(is_heading & (F.col("level") == k), F.struct("ordinal", "text")), ignorenulls=True).over(w) for k in range(1, deepest + 1)})
+    out = blocks.withColumns({f"h{k}": F.last(F.when(level == k, F.struct("ordinal", title.alias("text"))), ignorenulls=True).over(w) for k in range(1, deepest + 1)})
     live = [F.when(F.col(f"h{k}.ordinal") > (F.greatest(*[F.coalesce(F.col(f"h{j}.ordinal"), F.lit(-1)) for j in range(1, k)], F.lit(-1)) if k > 1 else F.lit(-1)), F.col(f"h{k}.text")) for k in range(1, deepest + 1)]
     return out.withColumn("section", F.array_compact(F.array(*live))).drop(*[f"h{k}" for k in range(1, deepest + 1)])
 
 
+def sections(blocks: DataFrame, deepest: int = 6) -> DataFrame:
+    """blocks (document_id, ordinal, block_type, level, text) with section: the headings above each, and their own.
+
+    TOC entries are no headings.
+    """
+    return section_paths(blocks, F.when(F.col("block_type") == "heading", F.col("level")), F.col("text"), deepest)
+
+
 #: Locators too weak to stand in plain text, shares of a group's score and its ceiling.
 WEAK = ("施工方案", "工序", "控制措施", "→")
 BASE, IN_REGION, HEADING, OTHER, MATCH, MOST_MATCH, CEILING = 0.42, 0.32, 0.16, 0.06, 0.02, 0.08, 0.99
@@ -281,9 +288,10 @@ def report(results: DataFrame) -> DataFrame:
 
 
 def task_evidence(rows: DataFrame) -> DataFrame:
-    """One row per task with its evidence texts in order, cut for a sheet's cells."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("document_id", "task_id").agg(F.count("*").alias("n_blocks"), tx.short_cell(text).alias("evidence"))
+    """One row per task with its evidence texts in order, each block once, cut for a sheet's cells."""
+    blocks = F.array_sort(F.collect_set(F.struct("ordinal", "text")))
+    text = F.array_join(F.transform(blocks, lambda x: x["text"]), "\n")
+    return rows.groupBy("document_id", "task_id").agg(F.size(blocks).cast("long").alias("n_blocks"), tx.short_cell(text).alias("evidence"))
 
 
 def confirmed_against_detected(context: DataFrame) -> DataFrame:

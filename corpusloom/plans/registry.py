@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import evidence_plans, norm_plans, record_plans, run_plans, text_plans
+from corpusloom.plans import audit_plans, evidence_plans, norm_plans, record_plans, run_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (text_plans, run_plans, evidence_plans, norm_plans, record_plans)
+MODULES = (text_plans, run_plans, evidence_plans, norm_plans, record_plans, audit_plans)
 
 
 def queries() -> dict[str, Query]:
