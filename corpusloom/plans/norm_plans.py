@@ -196,6 +196,19 @@ def aln_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.candidate_pairs(_names(spark, sf_dir), ["doc_id"], 0.95).select("doc_id", "a", "b")
 
 
+def aln_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with vectors: pairs within documents and types of which one holds the other or whose vectors are alike."""
+    names = _names(spark, sf_dir).withColumn("type", F.expr("CASE WHEN entity_id % 3 = 0 THEN 'a' ELSE 'b' END")).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector")), "entity_id")
+    return align.candidate_pairs(names.withColumn("doc_id", F.floor(F.col("entity_id") / 700)), ["doc_id"], 2.0, 0.2).select("doc_id", "a", "b")
+
+
+ALN_SIMILAR = r"""
+WITH e AS (SELECT p_partkey AS id, p_partkey // 700 AS doc_id, p_partkey % 3 = 0 AS t, regexp_replace(lower(concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN ' (x)' ELSE '' END)), '[\s\-_()]', '', 'g') AS k, embedding AS v FROM part JOIN embeddings ON vec_id = p_partkey)
+SELECT x.doc_id, x.id AS a, y.id AS b FROM e AS x JOIN e AS y ON x.doc_id = y.doc_id AND x.t = y.t AND x.id < y.id
+WHERE contains(x.k, y.k) OR contains(y.k, x.k) OR (list_cosine_similarity(x.v::DOUBLE[], y.v::DOUBLE[]) >= 0.2 AND list_has_any(string_split(x.k, ''), string_split(y.k, '')))
+"""
+
+
 def aln_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of containing names within documents, in parts of at most five, with the decisions by rule."""
     names = _names(spark, sf_dir).withColumn("score", align.name_score(F.col("name"), F.col("source_type")))
@@ -560,7 +573,7 @@ UNION ALL SELECT 'unknown_handler', count(*) FROM l WHERE o % 3 <> 0 AND o % 7 =
 _PAIRS = [
     (nrm_clauses, NRM_CLAUSES), (nrm_violations, NRM_VIOLATIONS), (nrm_cycles, NRM_CYCLES), (nrm_applicable, NRM_APPLICABLE), (nrm_coverage, NRM_COVERAGE), (nrm_segments, NRM_SEGMENTS), (nrm_costed_segments, None), (nrm_release, NRM_RELEASE),
     (nrm_clause_search, NRM_SEARCH), (nrm_search_windows, NRM_WINDOWS), (nrm_referenced, NRM_REFERENCED), (aln_scores, ALN_SCORES), (aln_deduplicated, ALN_DEDUPLICATED), (aln_pairs, None), (aln_groups, None), (aln_components, ALN_COMPONENTS), (aln_decisions, ALN_DECISIONS),
-    (aln_known, ALN_KNOWN), (aud_sections, AUD_SECTIONS), (aud_located, AUD_LOCATED), (aud_regions, AUD_REGIONS), (aud_special_regions, AUD_SPECIAL), (aud_flat_results, AUD_FLAT), (aud_advisories, AUD_ADVISORIES), (aud_missing_columns, AUD_COLUMNS), (aud_missing_values, AUD_VALUES), (aud_headcounts, AUD_HEADCOUNTS),
+    (aln_known, ALN_KNOWN), (aln_similar, ALN_SIMILAR), (aud_sections, AUD_SECTIONS), (aud_located, AUD_LOCATED), (aud_regions, AUD_REGIONS), (aud_special_regions, AUD_SPECIAL), (aud_flat_results, AUD_FLAT), (aud_advisories, AUD_ADVISORIES), (aud_missing_columns, AUD_COLUMNS), (aud_missing_values, AUD_VALUES), (aud_headcounts, AUD_HEADCOUNTS),
     (aud_missing_labels, AUD_LABELS), (aud_values, AUD_VALUES_SQL), (aud_equipment, AUD_EQUIPMENT), (aud_work_codes, AUD_CODES), (aud_dispatch, AUD_DISPATCH), (aud_report, AUD_REPORT), (aud_task_evidence, AUD_TASK), (aud_context, AUD_CONTEXT), (aud_steps, AUD_STEPS),
     (src_catalogue, SRC_CATALOGUE), (src_task_library, SRC_LIBRARY),
 ]

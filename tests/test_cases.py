@@ -1,16 +1,18 @@
 """Small cases with known results."""
 
 import json
+import math
 import random
-from difflib import SequenceMatcher
-
+import re
 import shutil
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import align, audit, chunks, evaluate, graph, graph_paths, norms, ordering, retrieve, runs, triplets
+from corpusloom.operators import align, audit, audit_regions, chunks, evaluate, graph, graph_paths, norms, ordering, retrieve, runs, triplets
 from corpusloom.sources import files
 from corpusloom.streaming import progress
 
@@ -389,3 +391,54 @@ def test_nearest_in_blocks_is_the_nearest_of_all(spark):
         assert sorted((q, i, n) for q, i, _, n in got) == sorted((q, i, n) for q, i, _, n in want)
         assert {(q, n): s for q, _, s, n in got} == pytest.approx({(q, n): s for q, _, s, n in want})
     assert retrieve.nearest(asked_rows, vectors.limit(0), 4).count() == 0 == retrieve.nearest(asked_rows.limit(0), vectors, 4).count()
+
+
+@pytest.mark.parametrize("edit", [0.6, 0.72, 0.9, 0.95])
+def test_similar_pairs_are_those_of_all_pairs(spark, edit):
+    """Names of one to thirty letters, edited, contained, with one letter: no index loses a pair."""
+    r = np.random.default_rng(int(edit * 100))
+    names = ["".join(r.choice(list("abcdefgh中文字"), r.integers(1, 12))) for _ in range(25)] + ["".join(r.choice(list("abcdefghijkl"), r.integers(12, 30))) for _ in range(25)]
+    for name in list(names):
+        edited = list(name)
+        for _ in range(r.integers(1, 4)):
+            edited[r.integers(len(edited))] = str(r.choice(list("abxyz")))
+        names += ["".join(edited), name[: r.integers(1, len(name) + 1)] + "(" + str(r.choice(list("ab"))) + ")"]
+    names += ["a", "中", "()", "", "aaaaaaaaaaaa", "aaaaaaa"]
+    rows = [(i, i, i % 2, n, "t" if i % 3 else "u", [float(x) for x in r.standard_normal(3)] if i % 5 else None) for i, n in enumerate(names)]
+    e = spark.createDataFrame(rows, "entity_id long, seq long, doc_id long, name string, type string, vector array<double>")
+    key = lambda n: re.sub(r"[\s\-_（）()\[\]【】《》“”\"']", "", n.lower())
+    cosine = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in w)) if v and w else 0.0
+    for similar in (None, 0.82):
+        want = set()
+        for x in rows:
+            for y in rows:
+                a, b = key(x[3]), key(y[3])
+                if x[1] < y[1] and (x[2], x[4]) == (y[2], y[4]) and a and b:
+                    near = similar is not None and set(a) & set(b) and cosine(x[5], y[5]) >= similar
+                    if a in b or b in a or near or SequenceMatcher(None, a, b).ratio() >= edit:
+                        want.add((x[0], y[0]))
+        got = [(p["a"], p["b"]) for p in align.candidate_pairs(e, ["doc_id"], edit, similar).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_terms_meet_texts_by_their_first_letters_as_by_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["abcabc", "xaby", "", "b", "zz"])], "id long, key string")
+    terms = spark.createDataFrame([("ab",), ("abc",), ("b",), ("zzz",), ("y",)], "term string")
+    few = {tuple(r) for r in audit_regions.holding(texts, "key", terms, "term").collect()}
+    monkeypatch.setattr(audit_regions, "MOST_ROWS", 2)
+    many = audit_regions.holding(texts, "key", terms, "term").select("id", "key", "term").collect()
+    assert few == set(map(tuple, many)) and len(many) == len(few) == 7
+
+
+def test_intervals_are_merged_by_a_sweep(spark):
+    rows = [(1, "a", 1, 3), (1, "a", 2, 5), (1, "a", 6, 6), (1, "a", 9, 12), (1, "a", 10, 11), (1, "b", 2, 2), (2, "a", 4, 4)]
+    got = audit_regions.merged(spark.createDataFrame(rows, "document_id long, task_id string, low int, high int"), ["document_id", "task_id"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 1, 6), (1, "a", 9, 12), (1, "b", 2, 2), (2, "a", 4, 4)]
+
+
+def test_roles_end_at_the_limits_of_a_group(spark):
+    texts = [("1.1 设备", None)] + [("字" * 2500, None)] * 3 + [("1.2 其他", None)] + [("机具", [["机具", "x"]])] + [("一", None)] * 60
+    blocks = spark.createDataFrame([(1, i, "Normal", t, r, False) for i, (t, r) in enumerate(texts)], "document_id long, ordinal int, style string, text string, rows array<array<string>>, has_image boolean")
+    rules = spark.createDataFrame([("T", "role", "a", "设备"), ("T", "role", "b", "机具"), ("T", "role", "c", "没有")], "task_id string, profile string, role string, term string")
+    got = audit_regions.located_regions(audit_regions.levelled(blocks), rules).first()
+    assert (got["status"], got["anchor"], got["last"], got["n_blocks"], got["missing_roles"]) == ("located", 0, 54, 53, "c")
