@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunks, evaluate, graph, profiles, retrieve, triplets
+from corpusloom.operators import chunks, evaluate, full_evaluation, graph, profiles, retrieve, triplets
 from corpusloom.plans.shapes import RULES_SQL, cte, rules, shape, table
 from corpusloom.plans.text_plans import DELIMITERS, SENTENCES_SQL
 
@@ -544,6 +544,64 @@ WITH {cte('triplets')}, c AS (SELECT run_id, triplet_id % 7 <> 0 AND contains('s
 SELECT run_id, count(*) AS n, count(*) FILTER (covered) AS n_covered, round(avg((NOT covered)::INT), 6) AS absence_rate FROM c GROUP BY run_id
 """
 
+_DOC = "concat('doc-', CAST(floor(document_id / 30) AS BIGINT))"
+
+
+def evl_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation of the first runs' triplets against the last runs': every group and rate, overall and by document."""
+    t = shape(spark, sf_dir, "triplets").withColumn("document", F.expr(_DOC))
+    model, gold = t.where("run_id <= 'run-3'"), t.where("run_id >= 'run-3'").withColumn("document", F.expr("concat(document, CASE WHEN CAST(floor(document_id / 30) AS BIGINT) % 3 = 0 THEN '_gold' ELSE '' END)"))
+    found = evaluate.matched_documents(model.select(F.col("document").alias("left_name")).distinct(), gold.select(F.col("document").alias("right_name")).distinct(), "_gold$")
+    pairs = found.where("left_name <> 'doc-7'").select(F.col("left_name").alias("model_document"), F.col("right_name").alias("gold_document"))
+    heads = t.where("triplet_id % 3 = 0").select("document", F.col("head").alias("name"), F.col("head_type").alias("type"))
+    canonical = gold.where("is_valid").select("document", (F.col("triplet_id") % 8).alias("canonical_id"), F.col("tail_type").alias("type"), F.col("tail").alias("name"))
+    ends = gold.where("is_valid").select("document", (F.col("triplet_id") % 8).alias("head_id"), "relation", (F.col("document_id") % 8).alias("tail_id"))
+    said = F.when(F.col("triplet_id") % 3 == 0, F.col("tail")).otherwise(F.concat(F.lit("supplier "), (F.col("document_id") % 50).cast("string")))
+    evidence = model.where("triplet_id % 7 <> 0").select("document", *evaluate.TRIPLET, F.col("triplet_id").alias("evidence_order"), F.concat(F.lit("seen at "), said).alias("sentence"))
+    out = full_evaluation.evaluated(model.select("document", *evaluate.TRIPLET), gold.select("document", *evaluate.TRIPLET), pairs, heads, canonical, ends, rules(spark), evidence)
+    return out.withColumn("value", F.round("value", 6))
+
+
+def _group(name: str, item: str, model: str, gold: str, by_document: bool = False) -> str:
+    """Counts of one group: distinct items of both sides, overall and in each document."""
+    one = lambda scope: f"""SELECT '{name}' AS g, scope, count(*) FILTER (p AND q) AS tp, count(*) FILTER (p AND NOT q) AS fp, count(*) FILTER (q AND NOT p) AS fn FROM
+    (SELECT {scope} AS scope, {item}, bool_or(side = 1) AS p, bool_or(side = 2) AS q FROM (SELECT doc, {item}, 1 AS side FROM {model} UNION ALL SELECT doc, {item}, 2 FROM {gold}) GROUP BY ALL) GROUP BY scope"""
+    return one("NULL::VARCHAR") + (" UNION ALL " + one("doc") if by_document else "")
+
+
+_T5 = "head, head_type, relation, tail, tail_type"
+EVL_FULL = f"""
+WITH {cte('triplets')}, {RULES_SQL}, t AS (SELECT *, floor(document_id / 30)::BIGINT AS k, 'doc-' || floor(document_id / 30)::BIGINT AS doc FROM triplets),
+pr AS (SELECT doc FROM t GROUP BY doc HAVING bool_or(run_id <= 'run-3') AND bool_or(run_id >= 'run-3') AND doc <> 'doc-7'),
+m AS (SELECT * FROM t SEMI JOIN pr USING (doc) WHERE run_id <= 'run-3'), g AS (SELECT * FROM t SEMI JOIN pr USING (doc) WHERE run_id >= 'run-3'),
+hs AS (SELECT doc, name, type, bool_or(b = 1) AS al, bool_or(b = 2) AS ou FROM (SELECT doc, head AS name, head_type AS type, 1 AS b FROM t SEMI JOIN pr USING (doc) WHERE triplet_id % 3 = 0 UNION ALL SELECT doc, head, head_type, 2 FROM m) GROUP BY ALL),
+fu AS (SELECT doc, name AS head, type AS head_type FROM hs WHERE al AND ou),
+mf AS (SELECT * FROM m SEMI JOIN fu USING (doc, head, head_type)), gf AS (SELECT * FROM g SEMI JOIN fu USING (doc, head, head_type)),
+en AS (SELECT DISTINCT doc, name, type FROM (SELECT doc, head AS name, head_type AS type FROM m UNION ALL SELECT doc, tail, tail_type FROM m)), eg AS (SELECT doc, head AS name, head_type AS type FROM g UNION ALL SELECT doc, tail, tail_type FROM g),
+ca AS (SELECT DISTINCT doc, triplet_id % 8 AS id, tail_type AS ct, replace(tail, ' ', '') AS key FROM g WHERE is_valid),
+lc AS (SELECT en.doc, name, type, replace(name, ' ', '') AS key, count(id) AS n, count(id) FILTER (ct = type) AS s, max(id) FILTER (ct = type) AS sid, max(id) AS aid FROM en LEFT JOIN ca ON ca.doc = en.doc AND ca.key = replace(name, ' ', '') GROUP BY ALL),
+li AS (SELECT doc, name, type, key, CASE WHEN s = 1 THEN sid WHEN n = 1 AND s = 0 THEN aid END AS id FROM lc),
+ct AS (SELECT m.doc, a.id AS h, relation AS r, b.id AS k FROM m JOIN li a ON a.doc = m.doc AND a.name = head AND a.type = head_type JOIN li b ON b.doc = m.doc AND b.name = tail AND b.type = tail_type WHERE a.id IS NOT NULL AND b.id IS NOT NULL),
+cg AS (SELECT doc, triplet_id % 8 AS h, relation AS r, document_id % 8 AS k FROM g WHERE is_valid),
+ce AS (SELECT doc, doc AS d, id, CASE WHEN id IS NULL THEN key END AS key, CASE WHEN id IS NULL THEN type END AS type FROM li), ci AS (SELECT doc, doc AS d, id, NULL AS key, NULL AS type FROM ca),
+fi AS (SELECT DISTINCT li.doc, id AS h FROM li JOIN fu ON fu.doc = li.doc AND fu.head = li.name AND fu.head_type = li.type WHERE id IS NOT NULL),
+ctf AS (SELECT * FROM ct SEMI JOIN fi USING (doc, h)), cgf AS (SELECT * FROM cg SEMI JOIN fi USING (doc, h)),
+x AS ({_group('entity', 'name, type', 'en', 'eg')} UNION ALL {_group('relation', 'head, relation, tail', 'm', 'g')} UNION ALL {_group('triplet', _T5, 'm', 'g', True)} UNION ALL {_group('canonical_triplet', 'h, r, k', 'ct', 'cg', True)}
+  UNION ALL {_group('canonical_entity', 'd, id, key, type', 'ce', 'ci', True)} UNION ALL {_group('nonempty_head_triplet', _T5, 'mf', 'gf')} UNION ALL {_group('nonempty_head_entity', 'head, head_type', 'fu', 'g')}
+  UNION ALL {_group('nonempty_head_canonical_triplet', 'h, r, k', 'ctf', 'cgf')} UNION ALL {_group('nonempty_head_canonical_entity', 'h', 'fi', 'cg')}),
+z AS (SELECT s.g, s.scope, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM
+  (SELECT unnest(['triplet', 'canonical_triplet', 'canonical_entity']) AS g, doc AS scope FROM pr UNION ALL SELECT unnest(['entity', 'relation', 'triplet', 'canonical_triplet', 'canonical_entity', 'nonempty_head_triplet', 'nonempty_head_entity', 'nonempty_head_canonical_triplet', 'nonempty_head_canonical_entity']), NULL) s
+  LEFT JOIN x ON x.g = s.g AND x.scope IS NOT DISTINCT FROM s.scope),
+w AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS r FROM z),
+ev AS (SELECT doc, {_T5}, bool_or(contains('seen at ' || CASE WHEN triplet_id % 3 = 0 THEN tail ELSE 'supplier ' || (document_id % 50) END, tail)) AS c FROM m WHERE triplet_id % 7 <> 0 GROUP BY ALL),
+mc AS (SELECT coalesce(c, false) AS c, NOT coalesce((len(head_types) = 0 OR list_contains(head_types, m.head_type)) AND (len(tail_types) = 0 OR list_contains(tail_types, m.tail_type)), false) AS bad FROM m LEFT JOIN ev USING (doc, {_T5}) LEFT JOIN rules ON rules.relation = m.relation),
+ra AS (SELECT 'canonical_entity_mapping_rate' AS metric_name, count(*) FILTER (id IS NOT NULL) AS a, count(*) AS b FROM li UNION ALL SELECT 'nonempty_head_entity_rate', count(*) FILTER (ou), count(*) FROM hs WHERE al UNION ALL SELECT 'empty_head_entity_rate', count(*) FILTER (NOT ou), count(*) FROM hs WHERE al
+  UNION ALL SELECT 'output_head_outside_aligned_rate', count(*) FILTER (NOT al), count(*) FROM hs WHERE ou UNION ALL SELECT 'invalid_relation_rate', count(*) FILTER (bad), count(*) FROM mc
+  UNION ALL SELECT 'selected_evidence_coverage', count(*) FILTER (c), count(*) FROM mc UNION ALL SELECT 'selected_evidence_tail_absence_rate', count(*) FILTER (NOT c), count(*) FROM mc),
+o AS (SELECT scope, g || '_precision' AS metric_name, p AS value, tp AS numerator, tp + fp AS denominator FROM w UNION ALL SELECT scope, g || '_recall', r, tp, tp + fn FROM w UNION ALL SELECT scope, g || '_f1', CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, NULL, NULL FROM w UNION ALL SELECT NULL, metric_name, a / b, a, b FROM ra)
+SELECT CASE WHEN scope IS NULL THEN 'overall' ELSE 'document' END AS scope_type, scope AS scope_name, metric_name, round(value, 6) AS value, numerator, denominator FROM o
+"""
+
 
 def evl_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anonymous codes of documents and of their heads."""
@@ -655,7 +713,7 @@ _PAIRS = [
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
     (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),
-    (evl_linking, EVL_LINKING), (evl_canonical, EVL_CANONICAL), (evl_canonical_entities, EVL_CANONICAL_ENTITIES), (evl_heads, EVL_HEADS), (evl_coverage, EVL_COVERAGE), (evl_blind, EVL_BLIND),
+    (evl_linking, EVL_LINKING), (evl_canonical, EVL_CANONICAL), (evl_canonical_entities, EVL_CANONICAL_ENTITIES), (evl_heads, EVL_HEADS), (evl_coverage, EVL_COVERAGE), (evl_full, EVL_FULL), (evl_blind, EVL_BLIND),
     (grf_names, f"WITH {_NAMES} SELECT * FROM names"), (grf_assertions, f"WITH {_NAMES} SELECT assertion_id, head_type, head_name, relation, tail_type, tail_name, document_id FROM assertions"), (grf_edges, GRF_EDGES),
     (grf_edge_query, GRF_QUERY), (grf_merge, GRF_MERGE), (grf_repointed, GRF_REPOINTED), (grf_nodes, GRF_NODES), (grf_provenance, GRF_PROVENANCE),
 ]
