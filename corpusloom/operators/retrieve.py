@@ -34,10 +34,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
-def direct_hits(sentences: DataFrame, entities: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """The first top_n sentences of a document that hold an entity's name: doc_id, entity, index, score 1.0."""
+def direct_hits(sentences: DataFrame, entities: DataFrame, top_n: int | None = TOP_N) -> DataFrame:
+    """The first top_n sentences of a document that hold an entity's name (None: all): doc_id, entity, index, score 1.0."""
     both = sentences.join(entities, "doc_id").where((F.col("entity") != "") & F.contains("content", F.col("entity")))
-    return ranked(both, ["doc_id", "entity"], [F.col("index")]).where(F.col("rank") <= top_n).select("doc_id", "entity", "index", F.lit(1.0).alias("score"), F.lit("direct").alias("match_type"))
+    first = both if top_n is None else ranked(both, ["doc_id", "entity"], [F.col("index")]).where(F.col("rank") <= top_n)
+    return first.select("doc_id", "entity", "index", F.lit(1.0).alias("score"), F.lit("direct").alias("match_type"))
 
 
 def semantic_hits(sentences: DataFrame, entities: DataFrame, direct: DataFrame, top_n: int = TOP_N, least: float = LEAST_SCORE) -> DataFrame:
@@ -99,11 +100,12 @@ def deduplicated_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
 _BATCHES = "doc_id long, batch int, place int, entity string, context_chars long"
 
 
-def _shared_batches(found: list[dict], most: int, least: float, limit: int) -> Iterator[list[int]]:
+def _shared_batches(found: list[dict], most: int, least: float, limit: int, once: bool = True) -> Iterator[list[int]]:
     """Batches of entities (each a map from sentence to characters) around the first ones left, as lists of places.
 
     With a positive overlap only entities that occur in a sentence of the first one can follow it, so these are
-    looked up by sentence, and no other pair is compared.
+    looked up by sentence, and no other pair is compared. The overlap with an entity without sentences is 0. Shared
+    sentences count once towards the limit, or each time.
     """
     by_sentence: dict = {}
     for place, sentences in enumerate(found):
@@ -114,33 +116,45 @@ def _shared_batches(found: list[dict], most: int, least: float, limit: int) -> I
         if not free[first]:
             continue
         free[first] = False
-        near = {k for s in sentences for k in by_sentence[s]} if least > 0 else {k for k, x in enumerate(found) if x and sentences}
-        batch, context = [first], dict(sentences)
+        near = {k for s in sentences for k in by_sentence[s]} if least > 0 else set(range(len(found)))
+        batch, context, spent = [first], set(sentences), sum(sentences.values())
         for k in sorted(k for k in near if free[k]):
             if len(batch) == most:
                 break
-            alike = all(len(found[k].keys() & found[m].keys()) / min(len(found[k]), len(found[m])) >= least for m in batch)
-            added = {s: n for s, n in found[k].items() if s not in context}
-            if alike and sum(context.values()) + sum(added.values()) <= limit:
+            alike = all(len(found[k].keys() & found[m].keys()) / max(1, min(len(found[k]), len(found[m]))) >= least for m in batch)
+            added = sum(n for s, n in found[k].items() if not once or s not in context)
+            if alike and spent + added <= limit:
                 batch.append(k)
                 free[k] = False
-                context |= added
+                context |= found[k].keys()
+                spent += added
         yield batch
 
 
-def _row_batches(found: list[dict], most: int, limit: int) -> Iterator[list[int]]:
+def _row_batches(found: list[dict], most: int, limit: int, once: bool = True) -> Iterator[list[int]]:
     """Batches in input order, closed where one more entity would break a limit; one that is too large stands alone."""
-    start, context = 0, {}
+    start, context, spent = 0, set(), 0
     for place, sentences in enumerate(found):
-        together = {**sentences, **context}
-        if place > start and (place - start == most or sum(together.values()) > limit):
+        added = sum(n for s, n in sentences.items() if not once or s not in context)
+        if place > start and (place - start == most or spent + added > limit):
             yield list(range(start, place))
-            start, together = place, dict(sentences)
-        context = together
+            start, context, spent, added = place, set(), 0, sum(sentences.values())
+        context |= sentences.keys()
+        spent += added
     if found:
         yield list(range(start, len(found)))
 
 
+def context_chars(found: list[dict], batch: list[int], once: bool = True) -> int:
+    """Characters of a batch's sentences, shared ones once or each time."""
+    if not once:
+        return int(sum(sum(found[k].values()) for k in batch))
+    union: dict = {}
+    for k in reversed(batch):
+        union |= found[k]
+    return int(sum(union.values()))
+
+
 def _batched(most: int, least: float | None, limit: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
@@ -150,10 +164,8 @@ def _batched(most: int, least: float | None, limit: int) -> Callable:
                 names, found = list(known), list(known.values())
                 batches = _row_batches(found, most, limit) if least is None else _shared_batches(found, most, least, limit)
                 for number, batch in enumerate(batches):
-                    union: dict = {}
-                    for k in reversed(batch):
-                        union |= found[k]
-                    out += [(doc, number, place, names[k], int(sum(union.values()))) for place, k in enumerate(batch)]
+                    chars = context_chars(found, batch)
+                    out += [(doc, number, place, names[k], chars) for place, k in enumerate(batch)]
             yield pd.DataFrame(out, columns=["doc_id", "batch", "place", "entity", "context_chars"])
 
     return run

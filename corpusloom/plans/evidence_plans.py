@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunks, evaluate, full_evaluation, graph, profiles, retrieve, triplets
-from corpusloom.plans.shapes import RULES_SQL, cte, rules, shape, table
+from corpusloom.operators import chunks, evaluate, full_evaluation, graph, methods, profiles, retrieve, triplets
+from corpusloom.plans.shapes import LINE_ID, RULES_SQL, cte, rules, shape, table
 from corpusloom.plans.text_plans import DELIMITERS, SENTENCES_SQL
+from corpusloom.sources.shared import stored
 
 TOP = 10
 
@@ -94,7 +95,7 @@ SELECT * FROM c WHERE rank <= 3
 
 def ret_local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sentences(spark, sf_dir)
-    mentions = retrieve.direct_hits(s, _doc_entities(spark, sf_dir), 1_000_000).select("doc_id", "entity", "index")
+    mentions = retrieve.direct_hits(s, _doc_entities(spark, sf_dir), None).select("doc_id", "entity", "index")
     out = retrieve.local_context(s, mentions, 1, 600)
     return out.select("doc_id", "entity", "index", "so_far")
 
@@ -323,6 +324,61 @@ WITH {_ADMIT}, m AS (SELECT * FROM (VALUES {', '.join(f"('{p[0]}', {p[-1]})" for
 SELECT method_id, run_id, count(*) AS n, count(DISTINCT document_id) AS n_documents FROM admitted, m WHERE NOT enable_schema_validation OR status <> 'rejected' GROUP BY ALL
 """
 
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as recorded triplets whose heads are written in three ways, in chunks of three lines, one repeated."""
+    n = "l_partkey % 4"
+    head = f"CASE (l_linenumber + l_suppkey) % 3 WHEN 0 THEN concat('Part-', {n}) WHEN 1 THEN concat('part ', {n}) ELSE concat('part (', {n}, ')') END"
+    t = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS doc_id", f"{LINE_ID} AS line", f"{head} AS head", f"CASE ({n}) % 3 WHEN 0 THEN 'Device' WHEN 1 THEN 'Material' ELSE 'Site' END AS head_type",
+        "CASE l_suppkey % 4 WHEN 0 THEN 'USES' WHEN 1 THEN 'NEEDS' WHEN 2 THEN 'LOCATED_AT' ELSE 'bad relation' END AS relation", "concat('supplier ', l_suppkey % 3) AS tail",
+        "CASE l_suppkey % 3 WHEN 0 THEN 'Device' WHEN 1 THEN 'Person' ELSE 'Site' END AS tail_type",
+    )
+    return t.withColumn("index", F.expr("row_number() over (partition by doc_id order by line) - 1")).withColumns({"seq": F.col("index"), "chunk": F.floor(F.col("index") / 3)})
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recorded triplets, names and evidence: answers put all spellings of a number together, and number 3 with 0; rules the equal keys."""
+    rows = stored(_recorded(spark, sf_dir), "recorded")
+    entities = rows.select(F.col("line").alias("entity_id"), "doc_id", "seq", F.col("head").alias("name"), F.col("head_type").alias("type"), F.lit("case").alias("source_type"))
+    number = F.regexp_extract("head", r"(\d+)", 1)
+    answers = rows.select("doc_id", F.col("head").alias("name"), F.concat(F.lit("part "), F.when(number == "3", "0").otherwise(number)).alias("standard")).distinct()
+    sentences = rows.select("doc_id", "index", F.concat_ws(" ", "head", "relation", "tail").alias("content"))
+    names_ = stored(methods.names(entities, answers, 2.0, 1.0), "names")
+    return rows, names_, stored(methods.evidence(sentences, names_, 2, 1, 100), "evidence")
+
+
+def trp_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplets that each of the twelve methods ends with, by document."""
+    rows, names_, found = _methods(spark, sf_dir)
+    out = methods.results(rows, names_, found, rules(spark))
+    return out.groupBy("method_id", "doc_id").agg(F.count("*").alias("n_triplets"), F.count_distinct("head").alias("n_heads"), F.max("head").alias("last_head"), F.count_if(F.col("relation") == "USES").alias("n_uses"))
+
+
+def trp_method_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each method asks about together, by document and batch."""
+    _, names_, found = _methods(spark, sf_dir)
+    return methods.batches(names_, found, 2, 0.5, 120)
+
+
+_SWITCHES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in p) + ")" for p in profiles.PROFILES)
+TRP_METHODS = f"""
+WITH {RULES_SQL}, pm AS (SELECT method_id, CASE WHEN s = 'llm_direct' THEN NULL WHEN NOT ea THEN 'unaligned' WHEN la THEN 'answer' ELSE 'rule' END AS al, re, sv FROM (VALUES {_SWITCHES}) p(method_id, s, ea, la, re, sg, cd, sv)),
+l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ID}) - 1 AS i, l_partkey % 4 AS n, CASE (l_linenumber + l_suppkey) % 3 WHEN 0 THEN 'Part-' || (l_partkey % 4) WHEN 1 THEN 'part ' || (l_partkey % 4) ELSE 'part (' || (l_partkey % 4) || ')' END AS head,
+  CASE (l_partkey % 4) % 3 WHEN 0 THEN 'Device' WHEN 1 THEN 'Material' ELSE 'Site' END AS head_type, CASE l_suppkey % 4 WHEN 0 THEN 'USES' WHEN 1 THEN 'NEEDS' WHEN 2 THEN 'LOCATED_AT' ELSE 'bad relation' END AS relation,
+  'supplier ' || (l_suppkey % 3) AS tail, CASE l_suppkey % 3 WHEN 0 THEN 'Device' WHEN 1 THEN 'Person' ELSE 'Site' END AS tail_type FROM lineitem),
+e AS (SELECT doc_id, head, n, min(i) AS i FROM l GROUP BY ALL), b AS (SELECT doc_id, n, arg_max(head, (length(head), -i)) AS std FROM e GROUP BY ALL),
+a AS (SELECT 'unaligned' AS al, doc_id, head AS alias, head AS entity FROM e UNION ALL SELECT 'rule', e.doc_id, head, std FROM e JOIN b ON b.doc_id = e.doc_id AND b.n = e.n UNION ALL SELECT 'answer', doc_id, head, 'part ' || CASE n WHEN 3 THEN 0 ELSE n END FROM e),
+s AS (SELECT doc_id, i, length(head || ' ' || relation || ' ' || tail) AS c FROM l),
+h AS (SELECT DISTINCT al, l.doc_id, entity, l.i FROM l JOIN (SELECT * FROM a UNION SELECT DISTINCT al, doc_id, entity, entity FROM a) AS a ON a.doc_id = l.doc_id AND a.alias = l.head),
+r AS (SELECT al, doc_id, entity, i, true AS re FROM h QUALIFY row_number() OVER (PARTITION BY al, doc_id, entity ORDER BY i) <= 2
+  UNION ALL SELECT al, doc_id, entity, i, false FROM (SELECT o.*, sum(c) OVER w AS so_far, row_number() OVER w AS k FROM (SELECT DISTINCT al, doc_id, entity, i + d AS i FROM h, (VALUES (-1), (0), (1)) x(d)) o JOIN s ON s.doc_id = o.doc_id AND s.i = o.i WINDOW w AS (PARTITION BY al, o.doc_id, entity ORDER BY o.i)) WHERE so_far <= 100 OR k = 1),
+q AS (SELECT r.al, r.re, l.doc_id, r.entity AS head, head_type, l.relation, tail, tail_type FROM l JOIN a ON a.doc_id = l.doc_id AND a.alias = l.head JOIN r ON r.al = a.al AND r.doc_id = l.doc_id AND r.entity = a.entity AND r.i = l.i),
+k AS (SELECT DISTINCT q.* FROM q JOIN rules ON rules.relation = q.relation WHERE (len(head_types) = 0 OR list_contains(head_types, head_type)) AND (len(tail_types) = 0 OR list_contains(tail_types, tail_type))),
+o AS (SELECT method_id, doc_id, head, relation FROM pm JOIN q ON q.al = pm.al AND q.re = pm.re WHERE NOT sv UNION ALL SELECT method_id, doc_id, head, relation FROM pm JOIN k ON k.al = pm.al AND k.re = pm.re WHERE sv
+  UNION ALL SELECT method_id, doc_id, head, relation FROM pm, (SELECT DISTINCT doc_id, head, head_type, relation, tail, tail_type FROM l) WHERE pm.al IS NULL)
+SELECT method_id, doc_id, count(*) AS n_triplets, count(DISTINCT head) AS n_heads, max(head) AS last_head, count(*) FILTER (relation = 'USES') AS n_uses FROM o GROUP BY ALL
+"""
+
 # --- scores ---
 
 
@@ -711,7 +767,7 @@ _PAIRS = [
     (ret_direct, RET_DIRECT), (ret_benchmark_evidence, RET_BENCHMARK), (ret_semantic, RET_SEMANTIC), (ret_normalised, RET_NORMALISED), (ret_merged, RET_MERGED), (ret_local_context, RET_LOCAL), (ret_context_text, RET_CONTEXT),
     (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST),
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
-    (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES),
+    (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES), (trp_methods, TRP_METHODS), (trp_method_batches, None),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),
     (evl_linking, EVL_LINKING), (evl_canonical, EVL_CANONICAL), (evl_canonical_entities, EVL_CANONICAL_ENTITIES), (evl_heads, EVL_HEADS), (evl_coverage, EVL_COVERAGE), (evl_full, EVL_FULL), (evl_blind, EVL_BLIND),
     (grf_names, f"WITH {_NAMES} SELECT * FROM names"), (grf_assertions, f"WITH {_NAMES} SELECT assertion_id, head_type, head_name, relation, tail_type, tail_name, document_id FROM assertions"), (grf_edges, GRF_EDGES),
