@@ -18,16 +18,30 @@ def sentence_array(text: Column, delimiters: str = DELIMITERS, least: int = 6) -
     """
     cut = "".join("\\" + d if d in "\\]^-[" else d for d in delimiters)
     runs = F.regexp_extract_all(text, F.lit(f"[^{cut}]+|[{cut}]"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<content:string,start:int>>)").alias("done"))
+    none = F.expr("cast(array() as array<struct<index:int,content:string,start_offset:int,end_offset:int>>)")
+    return F.coalesce(F.element_at(F.transform(F.filter(F.array(runs), lambda r: F.size(r) > 0), lambda r: _kept(r, least)), 1), none)
 
-    def step(s: Column, run: Column) -> Column:
-        content = tx.strip(run)
-        lead = F.length(run) - F.length(F.regexp_replace(run, r"(?U)^\s+", ""))
-        kept = F.length(content) >= least
-        return F.struct((s["at"] + F.length(run)).alias("at"), F.when(kept, F.array_append(s["done"], F.struct(content.alias("content"), (s["at"] + lead).alias("start")))).otherwise(s["done"]).alias("done"))
 
-    found = F.aggregate(runs, zero, step, lambda s: s["done"])
-    return F.transform(found, lambda x, i: F.struct(i.alias("index"), x["content"].alias("content"), x["start"].alias("start_offset"), (x["start"] + F.length(x["content"])).alias("end_offset")))
+def _kept(runs: Column, least: int) -> Column:
+    """Runs of least characters or more, trimmed, with where they stand.
+
+    The characters before a run are those of the blocks of runs before its own, and those before it in its block, so
+    that no array is copied for each run, and a text of n runs takes n times the root of n additions at most.
+    """
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda n, x: n + x)
+    told = F.transform(F.array(runs), lambda r: F.struct(r.alias("runs"), F.transform(r, F.length).alias("lengths"), F.ceil(F.sqrt(F.size(r))).cast("int").alias("w")))
+    blocks = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.size(t["runs"]) - 1) / t["w"]).cast("int")), lambda b: total(F.slice(t["lengths"], b * t["w"] + 1, t["w"])))
+    told = F.transform(told, lambda t: F.struct(t["runs"].alias("runs"), t["lengths"].alias("lengths"), t["w"].alias("w"), blocks(t).alias("blocks")))
+    told = F.transform(told, lambda t: F.struct(t["runs"].alias("runs"), t["lengths"].alias("lengths"), t["w"].alias("w"), F.transform(t["blocks"], lambda x, b: total(F.slice(t["blocks"], 1, b))).alias("before")))
+
+    def sentences_of(t: Column) -> Column:
+        at = lambda i: F.get(t["before"], F.floor(i / t["w"]).cast("int")) + total(F.slice(t["lengths"], (F.floor(i / t["w"]) * t["w"] + 1).cast("int"), i % t["w"]))
+        long = F.transform(t["runs"], lambda r, i: F.when(F.length(r) >= least, F.struct(F.regexp_replace(r, r"(?U)^\s+", "").alias("tail"), F.length(r).alias("n"), i.alias("i"))))
+        trimmed = F.transform(F.filter(long, lambda x: x.isNotNull()), lambda x: F.struct(F.regexp_replace(x["tail"], r"(?U)\s+$", "").alias("content"), (x["n"] - F.length(x["tail"])).alias("lead"), x["i"].alias("i")))
+        kept = F.transform(F.filter(trimmed, lambda x: F.length(x["content"]) >= least), lambda x: F.struct(x["content"].alias("content"), (at(x["i"]) + x["lead"]).alias("start")))
+        return F.transform(kept, lambda x, k: F.struct(k.alias("index"), x["content"].alias("content"), x["start"].alias("start_offset"), (x["start"] + F.length(x["content"])).alias("end_offset")))
+
+    return F.element_at(F.transform(told, sentences_of), 1)
 
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", delimiters: str = DELIMITERS, least: int = 6) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import stored
+
 TOP_N, LEAST_SCORE = 10, 0.60
 
 
@@ -41,6 +45,21 @@ def direct_hits(sentences: DataFrame, entities: DataFrame, top_n: int | None = T
     return first.select("doc_id", "entity", "index", F.lit(1.0).alias("score"), F.lit("direct").alias("match_type"))
 
 
+def direct_hits_in(docs: DataFrame, sentences: str = "sentences", names: str = "names", top_n: int | None = TOP_N) -> DataFrame:
+    """direct_hits() of documents that hold their sentences and their entities' names in arrays: doc_id, entity, index, content, score.
+
+    Names are looked for in the document's row, and only hits leave it, so nothing is exchanged.
+    """
+
+    def hits(name: Column) -> Column:
+        found = F.filter(sentences, lambda s: F.contains(s["content"], name))
+        return found if top_n is None else F.slice(found, 1, top_n)
+
+    wanted = F.filter(F.array_distinct(F.col(names)), lambda n: n.isNotNull() & (n != ""))
+    each = docs.select("doc_id", F.explode(F.transform(wanted, lambda n: F.struct(n.alias("entity"), hits(n).alias("hits")))).alias("e"))
+    return each.select("doc_id", "e.entity", F.explode("e.hits").alias("h")).select("doc_id", "entity", "h.index", "h.content", F.lit(1.0).alias("score"), F.lit("direct").alias("match_type"))
+
+
 def semantic_hits(sentences: DataFrame, entities: DataFrame, direct: DataFrame, top_n: int = TOP_N, least: float = LEAST_SCORE) -> DataFrame:
     """Direct hits, then the best other sentences by cosine (score, then index), top_n in all.
 
@@ -183,15 +202,16 @@ def evidence_batches(evidence: DataFrame, max_entities: int = 3, min_overlap: fl
 
 
 def _packed(rows: int) -> Callable:
-    """Rows of an id and a vector as blocks of so many: ids, width and a matrix of float64."""
+    """Rows of an id and a vector as blocks of so many: ids, width, a matrix of float64 and the block's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def block(width: int) -> pa.RecordBatch:
             ids, vectors = held.pop(width)
             matrix = np.array(vectors, dtype="<f8").tobytes()
-            return pa.record_batch([pa.array([ids], pa.list_(kind)), pa.array([width], pa.int32()), pa.array([matrix], pa.binary())], names=["ids", "width", "matrix"])
+            return pa.record_batch([pa.array([ids], pa.list_(kind)), pa.array([width], pa.int32()), pa.array([matrix], pa.binary()), pa.array([next(numbers)], pa.int64())], names=["ids", "width", "matrix", "block"])
 
         kind = None
         for batch in batches:
@@ -249,9 +269,9 @@ def _best_pairs(k: int, margin: float = 1e-9) -> Callable:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, block: int = 2048) -> DataFrame:
     """The k most similar vectors (vec_id, embedding) of each query (query_id, query_vector), by cosine, then id.
 
-    allowed restricts the vectors first. Both sides are packed where they lie into blocks of rows; every block of
-    queries meets every block of vectors once, as a matrix product, and at most k rows a query leave a pair of
-    blocks. Rows with a null id, a null vector or one that holds a null or NaN are left out, and vectors of another width
+    allowed restricts the vectors first. Both sides are packed where they lie into blocks of rows, which are stored;
+    every block of queries meets every block of vectors once, by their numbers, as a matrix product, and at most k
+    rows a query leave a pair of blocks. Rows with a null id, a null vector or one that holds a null or NaN are left out, and vectors of another width
     than the query's; a zero vector has cosine 0.
     """
     if allowed is not None:
@@ -260,9 +280,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame |
     def packed(df: DataFrame, row_id: str, vector: str, prefix: str) -> DataFrame:
         kind = df.schema[row_id].dataType.simpleString()
         whole = df.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
-        blocks = whole.select(row_id, F.col(vector).cast("array<double>")).mapInArrow(_packed(block), f"ids array<{kind}>, width int, matrix binary")
-        return blocks.toDF(*[prefix + c for c in blocks.columns])
+        blocks = whole.select(row_id, F.col(vector).cast("array<double>")).mapInArrow(_packed(block), f"ids array<{kind}>, width int, matrix binary, block long")
+        return stored(blocks.toDF(*[prefix + c for c in blocks.columns]), "blocks")
 
-    pairs = packed(vectors, "vec_id", "embedding", "v_").crossJoin(packed(queries, "query_id", "query_vector", "q_"))  # of blocks, not of rows
+    v, q = packed(vectors, "vec_id", "embedding", "v_"), packed(queries, "query_id", "query_vector", "q_")
+    numbers = v.select("v_block", "v_width").join(q.select("q_block", "q_width"), F.col("v_width") == F.col("q_width")).select("v_block", "q_block")
+    pairs = numbers.join(v, "v_block").join(q, "q_block").select("v_ids", "v_width", "v_matrix", "q_ids", "q_width", "q_matrix")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
     return ranked(pairs.mapInArrow(_best_pairs(k), schema), ["query_id"], [F.desc("score"), F.col("vec_id")]).where(F.col("rank") <= k)

@@ -17,17 +17,17 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sentences(table(spark, sf_dir, "documents"), delimiters=DELIMITERS)
 
 
-def _doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's long words as its entities."""
-    words = F.filter(F.array_distinct(F.split("text", r"\s+")), lambda w: F.length(w) > 11)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("entity")).distinct()
+_ENTITIES = r"ents AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS entity FROM documents) WHERE length(entity) > 11)"
 
 
-_ENTITIES = r"ents AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS entity FROM documents) WHERE length(entity) > 11)"
+def _with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their sentences and their long words, in arrays."""
+    words = F.filter(F.array_distinct(F.split("text", r"\s+")), lambda w: F.length(w) > 11)
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.sentence_array(F.col("text"), DELIMITERS).alias("sentences"), words.alias("names"))
 
 
 def ret_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.direct_hits(_sentences(spark, sf_dir), _doc_entities(spark, sf_dir), TOP)
+    return retrieve.direct_hits_in(_with_names(spark, sf_dir), top_n=TOP).drop("content")
 
 
 RET_DIRECT = f"""
@@ -95,7 +95,7 @@ SELECT * FROM c WHERE rank <= 3
 
 def ret_local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sentences(spark, sf_dir)
-    mentions = retrieve.direct_hits(s, _doc_entities(spark, sf_dir), None).select("doc_id", "entity", "index")
+    mentions = retrieve.direct_hits_in(_with_names(spark, sf_dir), top_n=None).select("doc_id", "entity", "index")
     out = retrieve.local_context(s, mentions, 1, 600)
     return out.select("doc_id", "entity", "index", "so_far")
 
@@ -110,9 +110,7 @@ SELECT doc_id, entity, "index"::INT AS "index", so_far::BIGINT AS so_far FROM b
 
 
 def ret_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sentences(spark, sf_dir)
-    hits = retrieve.direct_hits(s, _doc_entities(spark, sf_dir), 5).join(s, ["doc_id", "index"])
-    return retrieve.evidence_text(hits, ["doc_id", "entity"])
+    return retrieve.evidence_text(retrieve.direct_hits_in(_with_names(spark, sf_dir), top_n=5), ["doc_id", "entity"])
 
 
 RET_CONTEXT = f"""
