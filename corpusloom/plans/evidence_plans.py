@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunks, evaluate, full_evaluation, graph, methods, profiles, retrieve, triplets
+from corpusloom.operators import chunks, evaluate, full_evaluation, graph, methods, profiles, retrieve, triplets, vector_index
 from corpusloom.plans.shapes import LINE_ID, RULES_SQL, cte, rules, shape, table
 from corpusloom.plans.text_plans import DELIMITERS, SENTENCES_SQL
 from corpusloom.sources.shared import stored
@@ -175,6 +175,34 @@ WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, coalesce(list_dot_product(q.em
 SELECT query_id, vec_id, round(s, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id))::INT AS rank FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 5
 """
 
+def _every_twentieth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def ret_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every twentieth one by the index, exactly; every vector is indexed."""
+    v, q = _every_twentieth(spark, sf_dir)
+    return vector_index.search(vector_index.built(v), q, 5).withColumn("score", F.round("score", 6))
+
+
+def ret_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the vectors of odd labels."""
+    v, q = _every_twentieth(spark, sf_dir)
+    return vector_index.search(vector_index.built(v), q, 5, v.where("label % 2 = 1").select("vec_id")).withColumn("score", F.round("score", 6))
+
+
+RET_INDEX_FILTERED = RET_NEAREST.replace("AND q.vec_id <> v.vec_id", "AND q.vec_id <> v.vec_id AND v.label % 2 = 1")
+
+
+def ret_index_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What probing a few cells finds, with how many of each query's hits are among the exact five."""
+    v, q = _every_twentieth(spark, sf_dir)
+    index = vector_index.built(v)
+    true = vector_index.search(index, q, 5).select("query_id", "vec_id", F.lit(True).alias("true"))
+    probed = vector_index.search(index, q, 5, exact=False)
+    return probed.join(true, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("true").alias("n_true"))
+
 # --- triplets ---
 
 
@@ -331,7 +359,8 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE l_suppkey % 4 WHEN 0 THEN 'USES' WHEN 1 THEN 'NEEDS' WHEN 2 THEN 'LOCATED_AT' ELSE 'bad relation' END AS relation", "concat('supplier ', l_suppkey % 3) AS tail",
         "CASE l_suppkey % 3 WHEN 0 THEN 'Device' WHEN 1 THEN 'Person' ELSE 'Site' END AS tail_type",
     )
-    return t.withColumn("index", F.expr("row_number() over (partition by doc_id order by line) - 1")).withColumns({"seq": F.col("index"), "chunk": F.floor(F.col("index") / 3)})
+    placed = t.withColumns({"index": F.expr("row_number() over (partition by doc_id order by line) - 1"), "next": F.expr("lead(head) over (partition by doc_id order by line)")})
+    return placed.withColumns({"seq": F.col("index"), "chunk": F.floor(F.col("index") / 3)})
 
 
 def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -340,7 +369,7 @@ def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     entities = rows.select(F.col("line").alias("entity_id"), "doc_id", "seq", F.col("head").alias("name"), F.col("head_type").alias("type"), F.lit("case").alias("source_type"))
     number = F.regexp_extract("head", r"(\d+)", 1)
     answers = rows.select("doc_id", F.col("head").alias("name"), F.concat(F.lit("part "), F.when(number == "3", "0").otherwise(number)).alias("standard")).distinct()
-    sentences = rows.select("doc_id", "index", F.concat_ws(" ", "head", "relation", "tail").alias("content"))
+    sentences = rows.select("doc_id", "index", F.concat_ws(" ", "head", "relation", "tail", "next").alias("content"))  # the next head is told too
     names_ = stored(methods.names(entities, answers, 2.0, 1.0), "names")
     return rows, names_, stored(methods.evidence(sentences, names_, 2, 1, 100), "evidence")
 
@@ -366,8 +395,8 @@ l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey OR
   'supplier ' || (l_suppkey % 3) AS tail, CASE l_suppkey % 3 WHEN 0 THEN 'Device' WHEN 1 THEN 'Person' ELSE 'Site' END AS tail_type FROM lineitem),
 e AS (SELECT doc_id, head, n, min(i) AS i FROM l GROUP BY ALL), b AS (SELECT doc_id, n, arg_max(head, (length(head), -i)) AS std FROM e GROUP BY ALL),
 a AS (SELECT 'unaligned' AS al, doc_id, head AS alias, head AS entity FROM e UNION ALL SELECT 'rule', e.doc_id, head, std FROM e JOIN b ON b.doc_id = e.doc_id AND b.n = e.n UNION ALL SELECT 'answer', doc_id, head, 'part ' || CASE n WHEN 3 THEN 0 ELSE n END FROM e),
-s AS (SELECT doc_id, i, length(head || ' ' || relation || ' ' || tail) AS c FROM l),
-h AS (SELECT DISTINCT al, l.doc_id, entity, l.i FROM l JOIN (SELECT * FROM a UNION SELECT DISTINCT al, doc_id, entity, entity FROM a) AS a ON a.doc_id = l.doc_id AND a.alias = l.head),
+s AS (SELECT doc_id, i, head, lead(head) OVER (PARTITION BY doc_id ORDER BY i) AS nx, length(concat_ws(' ', head, relation, tail, lead(head) OVER (PARTITION BY doc_id ORDER BY i))) AS c FROM l),
+h AS (SELECT DISTINCT al, s.doc_id, entity, s.i FROM s JOIN (SELECT * FROM a UNION SELECT DISTINCT al, doc_id, entity, entity FROM a) AS a ON a.doc_id = s.doc_id AND a.alias IN (s.head, s.nx)),
 r AS (SELECT al, doc_id, entity, i, true AS re FROM h QUALIFY row_number() OVER (PARTITION BY al, doc_id, entity ORDER BY i) <= 2
   UNION ALL SELECT al, doc_id, entity, i, false FROM (SELECT o.*, sum(c) OVER w AS so_far, row_number() OVER w AS k FROM (SELECT DISTINCT al, doc_id, entity, i + d AS i FROM h, (VALUES (-1), (0), (1)) x(d)) o JOIN s ON s.doc_id = o.doc_id AND s.i = o.i WINDOW w AS (PARTITION BY al, o.doc_id, entity ORDER BY o.i)) WHERE so_far <= 100 OR k = 1),
 q AS (SELECT r.al, r.re, l.doc_id, r.entity AS head, head_type, l.relation, tail, tail_type FROM l JOIN a ON a.doc_id = l.doc_id AND a.alias = l.head JOIN r ON r.al = a.al AND r.doc_id = l.doc_id AND r.entity = a.entity AND r.i = l.i),
@@ -763,7 +792,7 @@ GRF_PROVENANCE = f"WITH {_NAMES} SELECT assertion_id, head_name, relation, tail_
 
 _PAIRS = [
     (ret_direct, RET_DIRECT), (ret_benchmark_evidence, RET_BENCHMARK), (ret_semantic, RET_SEMANTIC), (ret_normalised, RET_NORMALISED), (ret_merged, RET_MERGED), (ret_local_context, RET_LOCAL), (ret_context_text, RET_CONTEXT),
-    (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST),
+    (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST), (ret_indexed, RET_NEAREST), (ret_index_filtered, RET_INDEX_FILTERED), (ret_index_probed, None),
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
     (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES), (trp_methods, TRP_METHODS), (trp_method_batches, None),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import align, audit, audit_regions, chunks, evaluate, graph, graph_paths, norms, ordering, retrieve, runs, triplets
+from corpusloom.operators import align, audit, audit_regions, chunks, evaluate, graph, graph_paths, norms, ordering, retrieve, runs, triplets, vector_index
+from corpusloom.plans import evidence_plans
 from corpusloom.sources import files
 from corpusloom.streaming import progress
 
@@ -442,3 +443,66 @@ def test_roles_end_at_the_limits_of_a_group(spark):
     rules = spark.createDataFrame([("T", "role", "a", "设备"), ("T", "role", "b", "机具"), ("T", "role", "c", "没有")], "task_id string, profile string, role string, term string")
     got = audit_regions.located_regions(audit_regions.levelled(blocks), rules).first()
     assert (got["status"], got["anchor"], got["last"], got["n_blocks"], got["missing_roles"]) == ("located", 0, 54, 53, "c")
+
+
+def test_index_finds_what_all_vectors_find(spark):
+    """Exact search with repeated, zero, odd and missing vectors, filters, and more hits wanted than there are; probing finds nine of ten."""
+    r = np.random.default_rng(6)
+    v = [(i, r.standard_normal(8).tolist()) for i in range(600)] + [(600, [0.0] * 8), (601, None), (602, [1.0, 2.0]), (None, [1.0] * 8), (603, [float("nan")] * 8)]
+    v += [(700 + i, v[i][1]) for i in range(30)]
+    vectors = spark.createDataFrame([(i, x, i is not None and i % 2 == 0) for i, x in v], "vec_id long, embedding array<double>, even boolean").repartition(5)
+    queries = spark.createDataFrame([(i, x) for i, x in v if i is not None and i % 7 == 0] + [(9000, [0.0] * 8), (9001, None), (9002, [1.0])], "query_id long, query_vector array<double>")
+    index = vector_index.built(vectors)
+    plain = lambda df: sorted((x["query_id"], x["rank"], x["vec_id"], round(x["score"], 9)) for x in df.collect())
+    for k, allowed in ((5, None), (5, vectors.where("even").select("vec_id")), (1000, None)):
+        want = retrieve.nearest(queries, vectors, k, allowed)
+        assert plain(vector_index.search(index, queries, k, allowed)) == plain(want.where("query_id <> 9002"))
+    true = {x[:3:2] for x in plain(retrieve.nearest(queries, vectors, 5))}
+    probed = {x[:3:2] for x in plain(vector_index.search(index, queries, 5, exact=False))}
+    assert len(true & probed) >= 0.9 * len({x for x in true if x[0] != 9000})
+    assert vector_index.built(vectors.limit(0)) is None
+
+
+def test_direct_triplets_keep_the_first_of_each(spark):
+    rows = [(1, 0, 1, " a ", "T", "r", "b", "T"), (1, 0, 0, "a", "T", "r", "b", "T"), (1, 1, 0, "a", "T", "r", "b", "T"), (1, 1, 1, "a", "U", "r", "b", "T"), (1, 1, 2, "", "T", "r", "b", "T"), (1, 1, 3, "a", "T", "", "b", "T"), (1, 1, 4, "12", "T", "r", "b", "T"), (2, 5, 0, "a", "T", "r", "b", None)]
+    got = triplets.direct(spark.createDataFrame(rows, "doc_id long, chunk int, seq int, head string, head_type string, relation string, tail string, tail_type string"), ["doc_id"]).collect()
+    assert sorted((x["doc_id"], x["head_type"], x["chunk"], x["seq"]) for x in got) == [(1, "T", 0, 0), (1, "U", 1, 1), (2, "T", 5, 0)]
+
+
+def brute_batches(found, most, least, limit, once):
+    """Batches by the rule's words: the first entity left, then all that overlap with every member, within the limits."""
+    chars = lambda b: sum(n for s, n in ({s: n for k in b for s, n in found[k].items()}.items() if once else [x for k in b for x in found[k].items()]))
+    share = lambda a, b: len(found[a].keys() & found[b].keys()) / min(len(found[a]), len(found[b])) if found[a] and found[b] else 0.0
+    left, out = list(range(len(found))), []
+    while left:
+        batch = [left.pop(0)]
+        for k in list(left):
+            if least is None and (len(batch) >= most or chars([*batch, k]) > limit):
+                break
+            if len(batch) < most and chars([*batch, k]) <= limit and (least is None or all(share(k, m) >= least for m in batch)):
+                batch.append(k)
+                left.remove(k)
+        out.append(batch)
+    return out
+
+
+def test_batches_are_those_of_the_rule():
+    r = random.Random(3)
+    for _ in range(300):
+        sizes = [r.randrange(1, 30) for _ in range(8)]
+        found = [{s: sizes[s] for s in r.sample(range(8), r.randrange(0, 5))} for _ in range(r.randrange(0, 9))]
+        for once in (True, False):
+            for least in (0.0, 0.4, 1.0):
+                assert list(retrieve._shared_batches(found, 3, least, 60, once)) == brute_batches(found, 3, least, 60, once)
+            assert list(retrieve._row_batches(found, 3, 60, once)) == brute_batches(found, 3, None, 60, once)
+
+
+def test_methods_of_equal_switches_agree_and_others_differ(spark, sf_dir):
+    got = evidence_plans.trp_methods(spark, sf_dir).toPandas()
+    rows = {m: g.drop(columns="method_id").sort_values("doc_id").values.tolist() for m, g in got.groupby("method_id")}
+    assert len(rows) == 12 and rows["D0"] == rows["R6"] and rows["D6"] == rows["R5"]
+    assert all(rows["D0"] != rows[m] for m in ("R2", "R5", "D1", "D2", "D3"))
+    asked = evidence_plans.trp_method_batches(spark, sf_dir).toPandas()
+    parts = {m: g.drop(columns="method_id").sort_values(["doc_id", "batch", "place"]).values.tolist() for m, g in asked.groupby("method_id")}
+    assert set(parts) == set(rows) - {"R2"} and parts["D0"] == parts["R6"] == parts["R5"]
+    assert all(parts["D0"] != parts[m] for m in ("R3", "R4", "D1", "D2", "D3", "D4", "D5")) and max(p[2] for p in parts["R3"]) == 0
