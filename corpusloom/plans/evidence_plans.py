@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators import chunks, evaluate, full_evaluation, graph, methods, profiles, retrieve, triplets, vector_index
 from corpusloom.plans.shapes import LINE_ID, RULES_SQL, cte, rules, shape, table
 from corpusloom.plans.text_plans import DELIMITERS, SENTENCES_SQL
-from corpusloom.sources.shared import stored
+from corpusloom.sources import vector_table
+from corpusloom.sources.shared import gone_at_exit, path, stored
+from corpusloom.streaming import ingest
 
 TOP = 10
 
@@ -203,6 +205,50 @@ def ret_index_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = vector_index.search(index, q, 5, exact=False)
     return probed.join(true, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("true").alias("n_true"))
 
+
+
+def str_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as files that arrive in two parts, taken in by three calls: every sentence and how often it came."""
+    folder, store = path(spark, "arriving"), path(spark, "taken-in")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def rows(spark: SparkSession, folder: str) -> DataFrame:
+        texts = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        return texts.select(name.alias("name"), F.inline(chunks.sentence_array(F.col("value"), DELIMITERS)))
+
+    for part in (0, 1):
+        items.where(F.col("item_id") % 2 == part).select("text").write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        ingest.ingest(spark, folder, store, rows)
+    ingest.ingest(spark, folder, store, rows)
+    for where in (folder, store):
+        gone_at_exit(spark, where)
+    return ingest.ingested(spark, store).groupBy("content", "start_offset").agg(F.count("*").alias("n"))
+
+
+STR_INGEST = f"""
+WITH {SENTENCES_SQL.replace('documents', 'benchmark').replace('doc_id', 'item_id')} SELECT content, start_offset, count(*) AS n FROM sentences GROUP BY ALL
+"""
+
+
+def ret_vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors put into a table, some of them again under another run, twice, and one run deleted."""
+    at = path(spark, "vector-table")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("run-"), F.col("label") % 4).alias("run_id"), "embedding")
+    vector_table.upsert(at, v.where("chunk_id % 3 <> 0"))
+    again = v.where("chunk_id % 2 = 0").withColumns({"run_id": F.concat("run_id", F.lit("b")), "embedding": F.reverse("embedding")})
+    vector_table.upsert(at, again)
+    vector_table.upsert(at, again)
+    vector_table.delete_run(at, spark, "run-1")
+    gone_at_exit(spark, at)
+    return vector_table.read(spark, at).select("chunk_id", "run_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+RET_VECTOR_TABLE = """
+SELECT vec_id AS chunk_id, 'run-' || (label % 4) || CASE WHEN vec_id % 2 = 0 THEN 'b' ELSE '' END AS run_id, round(CASE WHEN vec_id % 2 = 0 THEN embedding[-1] ELSE embedding[1] END::DOUBLE, 6) AS first
+FROM embeddings WHERE (vec_id % 3 <> 0 OR vec_id % 2 = 0) AND NOT (vec_id % 2 <> 0 AND label % 4 = 1)
+"""
+
 # --- triplets ---
 
 
@@ -792,7 +838,7 @@ GRF_PROVENANCE = f"WITH {_NAMES} SELECT assertion_id, head_name, relation, tail_
 
 _PAIRS = [
     (ret_direct, RET_DIRECT), (ret_benchmark_evidence, RET_BENCHMARK), (ret_semantic, RET_SEMANTIC), (ret_normalised, RET_NORMALISED), (ret_merged, RET_MERGED), (ret_local_context, RET_LOCAL), (ret_context_text, RET_CONTEXT),
-    (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST), (ret_indexed, RET_NEAREST), (ret_index_filtered, RET_INDEX_FILTERED), (ret_index_probed, None),
+    (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST), (ret_indexed, RET_NEAREST), (ret_index_filtered, RET_INDEX_FILTERED), (ret_index_probed, None), (ret_vector_table, RET_VECTOR_TABLE), (str_ingest, STR_INGEST),
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
     (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES), (trp_methods, TRP_METHODS), (trp_method_batches, None),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),

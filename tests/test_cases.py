@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import align, audit, audit_regions, chunks, evaluate, graph, graph_paths, norms, ordering, retrieve, runs, triplets, vector_index
 from corpusloom.plans import evidence_plans
-from corpusloom.sources import files
-from corpusloom.streaming import progress
+from corpusloom.sources import files, vector_table
+from corpusloom.streaming import ingest, progress
 
 
 def one(spark, value, function):
@@ -506,3 +506,39 @@ def test_methods_of_equal_switches_agree_and_others_differ(spark, sf_dir):
     parts = {m: g.drop(columns="method_id").sort_values(["doc_id", "batch", "place"]).values.tolist() for m, g in asked.groupby("method_id")}
     assert set(parts) == set(rows) - {"R2"} and parts["D0"] == parts["R6"] == parts["R5"]
     assert all(parts["D0"] != parts[m] for m in ("R3", "R4", "D1", "D2", "D3", "D4", "D5")) and max(p[2] for p in parts["R3"]) == 0
+
+
+def test_vector_table_replaces_adds_and_deletes(spark, tmp_path):
+    at = str(tmp_path / "vectors")
+    schema = "chunk_id string, run_id string, embedding array<double>"
+    vector_table.delete_run(at, spark, "r")
+    vector_table.upsert(at, spark.createDataFrame([(f"c{i}", "r" if i < 30 else "s", [float(i)]) for i in range(40)] + [(None, "r", [0.0])], schema), buckets=4)
+    vector_table.upsert(at, spark.createDataFrame([("c1", "s", [100.0]), ("c1", "s", [99.0]), ("new", None, [7.0])], schema), buckets=4)
+    got = {r["chunk_id"]: (r["run_id"], r["embedding"]) for r in vector_table.read(spark, at).collect()}
+    assert len(got) == 41 and got["c1"] == ("s", [100.0]) and got["c39"] == ("s", [39.0])
+    vector_table.delete_run(at, spark, "r")
+    assert {r["chunk_id"] for r in vector_table.read(spark, at).collect()} == {"c1", "new", *[f"c{i}" for i in range(30, 40)]}
+    vector_table.delete_run(at, spark, "s")
+    assert [r["chunk_id"] for r in vector_table.read(spark, at).collect()] == ["new"]
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
+    """The last batch's commit is lost, as if the driver had ended between its record and its commit."""
+    folder, store = tmp_path / "in", tmp_path / "store"
+    folder.mkdir()
+    (folder / "a.md").write_text("First sentence here. Second one here.\n")
+    assert ingest.processed(spark, str(store)).count() == 0
+    rows = lambda s, f: progress.arriving_sentences(s, f, ".\n")
+    ingest.ingest(spark, str(folder), str(store), rows)
+    (folder / "b.txt").write_text("Third sentence here.\n")
+    (folder / "c.pdf").write_text("Never read, this one.\n")
+    ingest.ingest(spark, str(folder), str(store), rows)
+    commits = sorted((store / "checkpoint" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    for _ in range(2):
+        ingest.ingest(spark, str(folder), str(store), rows)
+        assert sorted(r["content"] for r in ingest.ingested(spark, str(store)).collect()) == ["First sentence here", "Second one here", "Third sentence here"]
+        assert {r["name"] for r in ingest.processed(spark, str(store)).collect()} == {"a.md", "b.txt"}
+    left = files.documents(spark, str(folder), processed=ingest.processed(spark, str(store)))
+    assert left.count() == 0
