@@ -9,12 +9,12 @@ from corpusloom.sources.shared import stored
 
 
 def reaches_itself(chain: DataFrame) -> DataFrame:
-    """Nodes of a chain (node, next: one at most) from which a cycle is reached.
+    """Nodes of a chain (node, next) from which a cycle is reached; of several next ones of a node the least counts.
 
     Chains that end are peeled: a node whose next is not among those left goes. Pointers double in length each
     round, so rounds grow as the logarithm of the longest chain.
     """
-    at = stored(chain.select("node", "next").dropDuplicates(["node"]), "chain")
+    at = stored(chain.groupBy("node").agg(F.min("next").alias("next")), "chain")
     left = -1
     while True:
         n = at.count()

@@ -24,7 +24,7 @@ def _replaced(path: str, rows: DataFrame, touched: DataFrame) -> None:
     spark = rows.sparkSession
     kept = stored(rows, "buckets")
     empty = [r["bucket"] for r in touched.join(kept.select("bucket").distinct(), "bucket", "left_anti").collect()]  # at most a row for each bucket
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    kept.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for bucket in empty:
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
