@@ -130,3 +130,37 @@ def blind_codes(rows: DataFrame, document: str, head: str) -> DataFrame:
     sample = F.dense_rank().over(W.partitionBy(document).orderBy(head))
     out = rows.withColumn("_sample", sample).join(codes, document)
     return out.withColumns({"document_code": F.format_string("D%03d", "_document"), "sample_code": F.format_string("S%03d", "_sample")}).drop("_document", "_sample")
+
+
+#: What reviewers fill in, and what stands for evidence or context that was not saved.
+REVIEW_FIELDS = ("fact_correctness", "canonicalization_correctness", "relation_direction", "evidence_sufficiency", "final_decision", "error_type", "comment")
+NO_EVIDENCE, NO_CONTEXT = "（该三元组未保存模型选定证据）", "（无可用上下文）"
+
+
+def _once(rows: str, field: str) -> Column:
+    """Texts of rows in order, trimmed, blank ones gone, each where it first stands."""
+    texts = F.transform(rows, lambda r: F.trim(F.coalesce(r[field], F.lit(""))))
+    return F.filter(F.array_distinct(texts), lambda t: t != "")
+
+
+def review_package(records: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sheets for a blind review: the form, the contexts, and the key that joins both back to triplets.
+
+    records has triplet_id, seq (their order), file_name, the five parts, evidence_sentence and evidence_context, a row
+    for each evidence. Samples are numbered in the order of their first record, or with a seed in the order of a hash
+    of seed and triplet, which tells nothing of where they come from; documents by their names. Numbers are given
+    without sorting in one task. Form and contexts hold no name of a document and no triplet's id.
+    """
+    parts = ["file_name", *TRIPLET]
+    rows = F.array_sort(F.collect_list(F.struct("seq", "evidence_sentence", "evidence_context")))
+    each = records.groupBy("triplet_id").agg(F.min("seq").alias("_first"), F.min_by(F.struct(*parts), "seq").alias("p"), rows.alias("rows"))
+    order = F.col("_first") if seed is None else F.xxhash64(F.lit(seed), "triplet_id")
+    samples = numbered(each.select("triplet_id", order.alias("_order"), "p", "rows"), ["_order", "triplet_id"], "_sample")
+    codes = numbered(records.select("file_name").distinct(), ["file_name"], "_document")
+    evidence = F.array_join(F.transform(_once("rows", "evidence_sentence"), lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t)), "\n")
+    context = F.array_join(_once("rows", "evidence_context"), "\n\n")
+    told = samples.select("triplet_id", "_sample", "p.*", evidence.alias("evidence_text"), context.alias("context_text")).join(codes, "file_name")
+    told = told.withColumns({"sample_id": F.format_string("BR-%04d", "_sample"), "document_code": F.format_string("DOC-%03d", "_document")})
+    told = told.withColumns({"evidence_text": F.coalesce(F.nullif("evidence_text", F.lit("")), F.lit(NO_EVIDENCE)), "context_text": F.coalesce(F.nullif("context_text", F.lit("")), F.lit(NO_CONTEXT))})
+    form = told.select("sample_id", "document_code", *TRIPLET, "evidence_text", *[F.lit("").alias(f) for f in REVIEW_FIELDS])
+    return form, told.select("sample_id", "document_code", "evidence_text", "context_text"), told.select("sample_id", "triplet_id", "file_name")

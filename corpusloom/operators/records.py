@@ -32,6 +32,13 @@ def placed(rows: DataFrame, parts: list[str], order: list[Column | str], name: s
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*parts).orderBy(*order)))
 
 
+def evaluations(rows: DataFrame, gold_hash: str | None = None) -> DataFrame:
+    """Evaluations of each run, newest first, of one gold hash or of all, with the triplet F1 of their summary (malformed: none)."""
+    kept = rows if gold_hash is None else rows.where(F.col("gold_hash") == gold_hash)
+    f1 = F.get_json_object("summary", "$.overall.triplet_f1").try_cast("double")
+    return placed(kept.withColumn("triplet_f1", f1), ["run_id"], [F.desc("created_at"), F.desc("evaluation_id")])
+
+
 def evaluation_report(metrics: DataFrame, alignments: DataFrame) -> DataFrame:
     """The lines of each evaluation's report: metrics by scope and name, then alignments by document, name and type."""
     m = metrics.select("evaluation_id", F.lit("metric").alias("part"), F.struct("scope_type", F.col("scope_name").alias("name"), F.col("metric_name").alias("kind")).alias("line"), F.col("value").cast("string").alias("told"))

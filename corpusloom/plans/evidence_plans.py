@@ -740,6 +740,26 @@ def evl_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVL_BLIND = f"""WITH {cte('triplets')} SELECT triplet_id, printf('D%03d', dense_rank() OVER (ORDER BY document_id)) AS document_code, printf('S%03d', dense_rank() OVER (PARTITION BY document_id ORDER BY head)) AS sample_code FROM triplets"""
 
+
+
+def evl_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as triplets with three records each: the form with its contexts, joined back to triplets by the key."""
+    t = shape(spark, sf_dir, "triplets").select("triplet_id", F.concat(F.lit("doc "), "document_id").alias("file_name"), *evaluate.TRIPLET, F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"), "seq")
+    said = F.expr("CASE (triplet_id + k) % 4 WHEN 0 THEN '' WHEN 1 THEN ' seen ' ELSE concat('line ', seq) END")
+    context = F.expr("CASE WHEN triplet_id % 5 <> 0 THEN concat(file_name, CASE WHEN k = 2 THEN ' more' ELSE '' END) END")
+    form, contexts, key = evaluate.review_package(t.withColumns({"evidence_sentence": said, "evidence_context": context, "seq": F.col("triplet_id") * 3 + F.col("k")}))
+    both = form.join(contexts.select("sample_id", "context_text"), "sample_id").join(key, "sample_id")
+    return both.select("triplet_id", "sample_id", "document_code", "head", "tail", "evidence_text", "context_text")
+
+
+EVL_REVIEW = f"""
+WITH {cte('triplets')}, r AS (SELECT *, 'doc ' || document_id AS f, trim(CASE (triplet_id + k) % 4 WHEN 0 THEN '' WHEN 1 THEN ' seen ' ELSE 'line ' || seq END) AS s, CASE WHEN triplet_id % 5 <> 0 THEN 'doc ' || document_id || CASE WHEN k = 2 THEN ' more' ELSE '' END END AS c FROM triplets, (VALUES (0), (1), (2)) v(k)),
+e AS (SELECT triplet_id, s, row_number() OVER (PARTITION BY triplet_id ORDER BY min(k)) AS n FROM r WHERE s <> '' GROUP BY triplet_id, s), x AS (SELECT triplet_id, string_agg('[' || n || '] ' || s, chr(10) ORDER BY n) AS evidence_text FROM e GROUP BY ALL),
+b AS (SELECT triplet_id, c, min(k) AS k FROM r WHERE c IS NOT NULL GROUP BY triplet_id, c), y AS (SELECT triplet_id, string_agg(c, chr(10) || chr(10) ORDER BY k) AS context_text FROM b GROUP BY ALL)
+SELECT t.triplet_id, printf('BR-%04d', row_number() OVER (ORDER BY t.triplet_id)) AS sample_id, printf('DOC-%03d', dense_rank() OVER (ORDER BY 'doc ' || document_id)) AS document_code, head, tail,
+  coalesce(evidence_text, '{evaluate.NO_EVIDENCE}') AS evidence_text, coalesce(context_text, '{evaluate.NO_CONTEXT}') AS context_text FROM triplets t LEFT JOIN x ON x.triplet_id = t.triplet_id LEFT JOIN y ON y.triplet_id = t.triplet_id
+"""
+
 # --- graph ---
 
 PREFIXES = ("temp ",)
@@ -842,7 +862,7 @@ _PAIRS = [
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
     (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES), (trp_methods, TRP_METHODS), (trp_method_batches, None),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),
-    (evl_linking, EVL_LINKING), (evl_canonical, EVL_CANONICAL), (evl_canonical_entities, EVL_CANONICAL_ENTITIES), (evl_heads, EVL_HEADS), (evl_coverage, EVL_COVERAGE), (evl_full, EVL_FULL), (evl_blind, EVL_BLIND),
+    (evl_linking, EVL_LINKING), (evl_canonical, EVL_CANONICAL), (evl_canonical_entities, EVL_CANONICAL_ENTITIES), (evl_heads, EVL_HEADS), (evl_coverage, EVL_COVERAGE), (evl_full, EVL_FULL), (evl_blind, EVL_BLIND), (evl_review, EVL_REVIEW),
     (grf_names, f"WITH {_NAMES} SELECT * FROM names"), (grf_assertions, f"WITH {_NAMES} SELECT assertion_id, head_type, head_name, relation, tail_type, tail_name, document_id FROM assertions"), (grf_edges, GRF_EDGES),
     (grf_edge_query, GRF_QUERY), (grf_merge, GRF_MERGE), (grf_repointed, GRF_REPOINTED), (grf_nodes, GRF_NODES), (grf_provenance, GRF_PROVENANCE),
 ]

@@ -52,6 +52,19 @@ UNION ALL SELECT 'hits', document_id, row_number() OVER (PARTITION BY document_i
 """
 
 
+def rel_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as evaluations of their users' runs against one gold, newest first; some summaries are cut short."""
+    e = table(spark, sf_dir, "events")
+    summary = F.concat(F.lit('{"overall": {"triplet_f1": '), F.col("value").cast("string"), F.when(F.col("event_id") % 5 == 0, "").otherwise("}}"))
+    rows = e.select(F.col("event_id").alias("evaluation_id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("gold_hash"), F.col("ts").alias("created_at"), summary.alias("summary"))
+    return records.evaluations(rows, "click").select("evaluation_id", "run_id", "place", F.round("triplet_f1", 4).alias("triplet_f1"))
+
+
+REL_EVALUATIONS = """
+SELECT event_id AS evaluation_id, user_id AS run_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::INT AS place, CASE WHEN event_id % 5 <> 0 THEN round(value, 4) END AS triplet_f1 FROM events WHERE event_type = 'click'
+"""
+
+
 def rel_evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations as evaluations: counts of their customers as metrics, their suppliers as alignments."""
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("evaluation_id"), "c_mktsegment").agg(F.count("*").alias("value"))
@@ -194,7 +207,7 @@ UNION ALL SELECT 'calls', count(*) FROM t UNION ALL SELECT 'evaluations', count(
 """
 
 _PAIRS = [
-    (snk_appended, SNK_APPENDED), (run_records, RUN_RECORDS), (rel_listings, REL_LISTINGS), (rel_evaluation_report, REL_EVALUATION), (rel_audit_runs, REL_AUDIT), (aud_persisted, AUD_PERSISTED), (aud_task_sets, AUD_TASK_SETS),
+    (snk_appended, SNK_APPENDED), (run_records, RUN_RECORDS), (rel_listings, REL_LISTINGS), (rel_evaluation_report, REL_EVALUATION), (rel_evaluations, REL_EVALUATIONS), (rel_audit_runs, REL_AUDIT), (aud_persisted, AUD_PERSISTED), (aud_task_sets, AUD_TASK_SETS),
     (evl_gold_by_id, EVL_GOLD), (nrm_registered, NRM_REGISTERED), (nrm_index_builds, NRM_BUILDS), (snk_run_package, SNK_RUN_PACKAGE),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
