@@ -156,6 +156,18 @@ def ret_fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.evidence_batches(_evidence(spark, sf_dir), 3, None, 4000)
 
 
+#: Entities one after another: one that would break a limit opens the next batch; a sentence counts as its first entity told it.
+RET_FIXED = f"""
+WITH RECURSIVE {cte('hits')}, g AS (SELECT document_id AS doc_id, entity, "index" AS i, min(seq) AS s, max(trunc(score * 1000)::INT) AS c FROM hits GROUP BY ALL),
+o AS (SELECT doc_id, entity, list(struct_pack(i := i, c := c) ORDER BY i) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY min(s), entity) AS k FROM g GROUP BY doc_id, entity),
+r AS (SELECT doc_id, k, entity, 0 AS batch, 0 AS place, x AS held FROM o WHERE k = 1
+  UNION ALL SELECT doc_id, k, entity, CASE WHEN full_ THEN batch + 1 ELSE batch END, CASE WHEN full_ THEN 0 ELSE place + 1 END, CASE WHEN full_ THEN x ELSE list_concat(held, added) END
+  FROM (SELECT *, place = 2 OR list_sum([y.c FOR y IN held]) + coalesce(list_sum([y.c FOR y IN added]), 0) > 4000 AS full_
+    FROM (SELECT o.*, r.batch, r.place, r.held, [y FOR y IN o.x IF NOT list_contains([z.i FOR z IN r.held], y.i)] AS added FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)))
+SELECT doc_id, batch, place, entity, max(list_sum([y.c FOR y IN held])) OVER (PARTITION BY doc_id, batch)::BIGINT AS context_chars FROM r
+"""
+
+
 def ret_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = shape(spark, sf_dir, "hits")
     return retrieve.ranked(h, ["document_id", "entity", "alias"], [F.desc("score"), F.col("retrieval_id")], "hit_rank").select("retrieval_id", "document_id", "entity", "alias", "hit_rank")
@@ -858,7 +870,7 @@ GRF_PROVENANCE = f"WITH {_NAMES} SELECT assertion_id, head_name, relation, tail_
 
 _PAIRS = [
     (ret_direct, RET_DIRECT), (ret_benchmark_evidence, RET_BENCHMARK), (ret_semantic, RET_SEMANTIC), (ret_normalised, RET_NORMALISED), (ret_merged, RET_MERGED), (ret_local_context, RET_LOCAL), (ret_context_text, RET_CONTEXT),
-    (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, None), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST), (ret_indexed, RET_NEAREST), (ret_index_filtered, RET_INDEX_FILTERED), (ret_index_probed, None), (ret_vector_table, RET_VECTOR_TABLE), (str_ingest, STR_INGEST),
+    (ret_overlap, RET_OVERLAP), (ret_best_hits, RET_BEST), (ret_batches, None), (ret_fixed_batches, RET_FIXED), (ret_ranks, RET_RANKS), (ret_nearest, RET_NEAREST), (ret_indexed, RET_NEAREST), (ret_index_filtered, RET_INDEX_FILTERED), (ret_index_probed, None), (ret_vector_table, RET_VECTOR_TABLE), (str_ingest, STR_INGEST),
     (trp_parse, TRP_PARSE), (trp_lines, TRP_LINES), (trp_entities, TRP_ENTITIES), (trp_types, TRP_TYPES), (trp_admission, TRP_ADMISSION), (trp_allowed_tails, TRP_ALLOWED), (trp_text_check, TRP_TEXT), (trp_corrected, TRP_CORRECTED),
     (trp_first_in_document, TRP_FIRST), (trp_completed, TRP_COMPLETED), (trp_profiles, TRP_PROFILES), (trp_methods, TRP_METHODS), (trp_method_batches, None),
     (evl_prf, EVL_PRF), (evl_prf_by_source, EVL_PRF_SOURCE), (evl_errors, EVL_ERRORS), (evl_triplet_sets, EVL_SETS), (evl_scopes, EVL_SCOPES), (evl_long, EVL_LONG), (evl_wide, EVL_WIDE), (evl_match, EVL_MATCH), (evl_missing, EVL_MISSING),
