@@ -78,6 +78,19 @@ def txt_heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("page_id", "chunk_index", F.length("content").alias("chars"), F.sha2("content", 256).alias("content_hash"))
 
 
+#: Sections one after another: one that does not fit closes what is open; a longer one is cut, and its tail stays open.
+TXT_HEADING_CHUNKS = r"""
+WITH RECURSIVE t AS (SELECT page_id, regexp_replace(replace(replace(html, '<h1>', chr(10) || '# '), '<p>', chr(10) || chr(10) || '## part' || chr(10)), '<[^>]*>', '', 'g') AS m FROM pages),
+h AS (SELECT *, regexp_matches(m, '(?m)^#{1,6}\s+') AS headed, [x FOR x IN [regexp_replace(p, '^\s+|\s+$', '', 'g') FOR p IN string_split(regexp_replace(m, '(?m)^(#{1,6}\s+)', chr(1) || '\1', 'g'), chr(1))] IF x <> ''] AS s FROM t),
+r AS (SELECT page_id, s, 0 AS k, []::VARCHAR[] AS done, '' AS open FROM h WHERE headed
+  UNION ALL SELECT page_id, s, k + 1, CASE WHEN fits THEN done ELSE list_concat(CASE WHEN open <> '' THEN list_append(done, trim(open, chr(10) || ' ')) ELSE done END, p[: len(p) - 1]) END, CASE WHEN NOT fits THEN p[-1] WHEN open = '' THEN x ELSE open || chr(10) || x END
+  FROM (SELECT *, length(open) + length(x) <= 800 AS fits, [substr(x, i * 800 + 1, 800) FOR i IN range(greatest(ceil(length(x) / 800)::BIGINT, 1))] AS p FROM (SELECT *, s[k + 1] AS x FROM r WHERE k < len(s)))),
+c AS (SELECT page_id, CASE WHEN open <> '' THEN list_append(done, regexp_replace(open, '^\s+|\s+$', '', 'g')) ELSE done END AS c FROM r WHERE k = len(s)
+  UNION ALL SELECT page_id, CASE WHEN length(m) <= 800 THEN [m] ELSE [substr(m, i * 800 + 1, 800) FOR i IN range(ceil(length(m) / 800)::BIGINT)] END FROM h WHERE NOT headed)
+SELECT page_id, (i - 1)::INT AS chunk_index, length(x)::INT AS chars, sha256(x) AS content_hash FROM (SELECT page_id, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM c)
+"""
+
+
 def txt_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat('see 《', p_name, '》 GB ', p_partkey, '-2020; 《', p_type, '》。and 《', p_name, '》 GB ', p_partkey, '-2020')")
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(tx.citations(text)).alias("n", "citation"))
@@ -189,6 +202,6 @@ SELECT p_partkey, unnest(range(0, len(steps)))::INT AS n, unnest(steps) AS step,
 
 QUERIES = {f.__name__: f for f in (txt_clean, txt_candidates, txt_sentences, txt_fixed_chunks, txt_heading_chunks, txt_citations, txt_verbatim, txt_keys, txt_hashes, txt_redact, txt_files, txt_dates, txt_match_keys, txt_steps)}
 SQL = {
-    "txt_clean": TXT_CLEAN, "txt_candidates": TXT_CANDIDATES, "txt_sentences": TXT_SENTENCES, "txt_fixed_chunks": TXT_FIXED_CHUNKS, "txt_citations": TXT_CITATIONS, "txt_verbatim": TXT_VERBATIM,
+    "txt_clean": TXT_CLEAN, "txt_heading_chunks": TXT_HEADING_CHUNKS, "txt_candidates": TXT_CANDIDATES, "txt_sentences": TXT_SENTENCES, "txt_fixed_chunks": TXT_FIXED_CHUNKS, "txt_citations": TXT_CITATIONS, "txt_verbatim": TXT_VERBATIM,
     "txt_keys": TXT_KEYS, "txt_hashes": TXT_HASHES, "txt_redact": TXT_REDACT, "txt_files": TXT_FILES, "txt_dates": TXT_DATES, "txt_match_keys": TXT_MATCH_KEYS, "txt_steps": TXT_STEPS,
 }
