@@ -170,14 +170,19 @@ def labelled_values(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """
     labels = small(labels.select("label", "kind", plain_value(F.col("label")).alias("_label")))
     quoted = F.concat(F.lit(r"\Q"), F.col("label"), F.lit(r"\E\s*[：:]\s*([^\n|；;]{2,80})"))
+    # what is compared is made plain once a block, before it meets the labels
+    blocks = blocks.select("document_id", "ordinal", "block_type", "text", "section", "rows")
     told = blocks.join(labels, F.contains("text", F.col("label"))).select("document_id", "label", "kind", F.call_function("regexp_extract", F.col("text"), quoted, F.lit(1)).alias("value"), "ordinal")
     heading = F.col("block_type") == "heading"
-    under = blocks.where(~heading).join(labels, F.exists("section", lambda s: F.contains(plain_value(s), F.col("_label")))).select("document_id", "label", "kind", F.col("text").alias("value"), "ordinal")
+    sections_ = blocks.where(~heading & (F.size("section") > 0)).select("document_id", "ordinal", "text", F.transform("section", plain_value).alias("_sections"))
+    under = sections_.join(labels, F.exists("_sections", lambda s: F.contains(s, F.col("_label")))).select("document_id", "label", "kind", F.col("text").alias("value"), "ordinal")
     w = W.partitionBy("document_id").orderBy("ordinal")
     lead = blocks.where(heading | F.col("text").rlike(r"(?U)\S")).withColumns({"_type": F.lead("block_type").over(w), "_text": F.lead("text").over(w), "_at": F.lead("ordinal").over(w)})
-    below = lead.where(heading & (F.col("_type") != "heading")).join(labels, F.contains(plain_value(F.col("text")), F.col("label"))).select("document_id", "label", "kind", F.col("_text").alias("value"), F.col("_at").alias("ordinal"))
+    heads = lead.where(heading & (F.col("_type") != "heading")).select("document_id", "_text", "_at", plain_value(F.col("text")).alias("_plain"))
+    below = heads.join(labels, F.contains("_plain", F.col("label"))).select("document_id", "label", "kind", F.col("_text").alias("value"), F.col("_at").alias("ordinal"))
     cells = blocks.where("rows is not null").select("document_id", "ordinal", F.explode("rows").alias("row")).select("document_id", "ordinal", "row", F.posexplode("row").alias("i", "cell")).where(F.col("i") + 1 < F.size("row"))
-    beside = cells.join(labels, F.contains(plain_value(F.col("cell")), F.col("_label"))).select("document_id", "label", "kind", F.get("row", F.col("i") + 1).alias("value"), "ordinal")
+    cells = cells.select("document_id", "ordinal", F.get("row", F.col("i") + 1).alias("value"), plain_value(F.col("cell")).alias("_plain"))
+    beside = cells.join(labels, F.contains("_plain", F.col("_label"))).select("document_id", "label", "kind", "value", "ordinal")
     every = told.union(under).union(below).union(beside).withColumn("value", value_of_kind(F.col("value"), F.col("kind")))
     return every.where("value <> ''").select("document_id", "label", "value", "ordinal").distinct()
 
