@@ -55,40 +55,56 @@ def _record(kind: str, record_id: Column, uri: Column, headers: list[tuple[str,
     return F.concat(F.array_join(F.array(*lines), CRLF), F.lit(CRLF * 2), block)
 
 
-def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with payload, payload_digest, row_id and original: the row it revisits, or null.
+def _keyed(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) stored once with payload, payload_digest, row_id and size_class.
 
-    Of equal payloads of at least least_bytes the row with the smallest (page_id, url) is the original; null ids
-    come last. Only digests that stand more than once are joined, so a payload that most pages share costs one row
-    on the right side; that side is broadcast where it is small, and else Spark may split the left.
+    A row's number exists only in the stored table, so that every later reading of it finds the same ids, whatever
+    order the source gives its rows in when a stage is run again. Classes of sizes are partitions of the table.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(
-        "page_id", "url", payload.alias("payload"), digest(payload).alias("payload_digest"), F.monotonically_increasing_id().alias("place")
-    ).withColumn("row_id", F.concat_ws("-", F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit("")), F.lower(F.col("payload_digest")), F.col("place").cast("string")))
+    rows = pages.select("page_id", "url", payload.alias("payload"), digest(payload).alias("payload_digest"), F.monotonically_increasing_id().alias("place"))
+    row_id = F.concat_ws("-", F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit("")), F.lower(F.col("payload_digest")), F.col("place").cast("string"))
+    size = F.octet_length("payload")
+    class_of = F.size(F.filter(F.array(*[F.lit(c) for c in SIZE_CLASSES]), lambda c: c < size))
+    rows = rows.select("page_id", "url", "payload", "payload_digest", row_id.alias("row_id"), size.alias("size"), class_of.alias("size_class"))
+    path = shared_path(spark, "keyed")
+    rows.write.partitionBy("size_class").option("compression", "zstd").parquet(path)
+    gone_at_exit(spark, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _repeated(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """d, first_id and size_class: the original of each payload of at least least_bytes that stands more than once.
+
+    That is the row with the smallest (page_id, url); null ids come last. No payload is read.
+    """
     rank = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.coalesce("url", F.lit("")), F.col("row_id"))
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("d", F.col("m.row_id").alias("first_id")), "repeated")
-    if first.count() <= BROADCAST_ROWS:
-        first = F.broadcast(first)
-    joined = rows.join(first, rows["payload_digest"] == first["d"], "left")
-    return joined.withColumn("original", F.when(F.col("first_id") != F.col("row_id"), F.col("first_id"))).drop("d", "first_id", "place")
+    first = rows.where(F.col("size") >= least_bytes).groupBy(F.col("payload_digest").alias("d"), "size_class").agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1")
+    return written(first.select("d", F.col("m.row_id").alias("first_id"), "size_class"), "repeated")
 
 
 def write_captures(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes three records for each page (page_id, url, html) to gzipped archives under path.
 
-    Equal payloads are of one size, so each class of sizes is written by itself; its largest payload says how many
-    captures a file may have.
+    The source is read once and its keyed rows are read once more. Equal payloads are of one size, so each class of
+    sizes is written by itself; its largest payload says how many captures a file may have. A payload that most
+    pages share costs one row of originals, which are broadcast where they are few; else Spark may split the pages.
     """
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    class_of = F.size(F.filter(F.array(*[F.lit(c) for c in SIZE_CLASSES]), lambda c: c < size))
-    for (k,) in sorted(tuple(r) for r in pages.select(class_of.alias("k")).distinct().collect()):  # at most len(SIZE_CLASSES) rows
-        _write_class(pages.where(class_of == k), f"{path}/size-{k}", least_bytes, max(1, FILE_BYTES // SIZE_CLASSES[k]))
-
-
-def _write_class(pages: DataFrame, path: str, least_bytes: int, captures: int) -> None:
-    rows = with_originals(pages, least_bytes)
+    rows = _keyed(pages)
+    first = _repeated(rows, least_bytes)
+    n_first = {r["size_class"]: r["count"] for r in first.groupBy("size_class").count().collect()}  # as the next
+    for (k,) in sorted(tuple(r) for r in rows.select("size_class").distinct().collect()):  # at most len(SIZE_CLASSES) + 1 rows
+        own = first.where(F.col("size_class") == k).drop("size_class")
+        own = F.broadcast(own) if n_first.get(k, 0) <= BROADCAST_ROWS else own
+        part = rows.where(F.col("size_class") == k)
+        joined = part.join(own, part["payload_digest"] == own["d"], "left")
+        original = F.when(F.col("first_id") != F.col("row_id"), F.col("first_id"))
+        _write_class(joined.withColumn("original", original), f"{path}/size-{k}", max(1, FILE_BYTES // SIZE_CLASSES[min(k, len(SIZE_CLASSES) - 1)]))
+
+
+def _write_class(rows: DataFrame, path: str, captures: int) -> None:
+    """rows of _keyed() with original: the row that a revisit refers to, or null."""
     # A URI or id must not break out of its header line.
     uri = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "")
     rid = lambda part, row="row_id": F.concat(F.lit(f"urn:capture:{part}:"), F.col(row))

@@ -154,6 +154,24 @@ def test_warc_of_null_repeated_and_text_ids_equals_its_sql(spark):
     assert {r["page_id"] for r in texts} == {None, *(f"id {p}-<x>\r\n" for p in (7, 9, 4, -3, 8))} and {r["refers_to"] for r in texts} == {None, *(f"id {p}-<x>\r\n" for p in (7, 4, -3))}
 
 
+def test_warc_of_rows_in_another_order_at_each_evaluation(spark):
+    """A source that deals its rows in a new order whenever it is read still has one response for each payload."""
+
+    def anyhow(batches):
+        for batch in batches:
+            yield batch.sample(frac=1)
+
+    pages = [(i % 90, f"http://x/{i % 3}", ["", "a", "b" * 20_000, "c" * 300_000][i % 4]) for i in range(400)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = warc.op4_warc(rows.mapInPandas(anyhow, rows.schema)).collect()
+    least = {}
+    for p, _, h in pages:
+        least[len(h)] = min(p, least.get(len(h), p))
+    assert len(got) == len(pages) and all(r["digest_matches"] for r in got)
+    assert sorted((r["payload_bytes"], r["page_id"]) for r in got if r["record_type"] == "response") == sorted(least.items())
+    assert all(r["refers_to"] == least[r["payload_bytes"]] for r in got if r["record_type"] == "revisit")
+
+
 def test_warc_files_are_cut_by_bytes_and_members_are_streamed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
     pages = [(i, "u", ("abcdefgh" * 40_000 if i % 4 == 0 else f"small {i} ") + str(i)) for i in range(40)]
