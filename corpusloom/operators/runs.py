@@ -45,28 +45,35 @@ def run_status(documents: DataFrame) -> DataFrame:
     return c.withColumn("status", F.when(F.col("n_failed") == F.col("n_documents"), "failed").when(F.col("n_failed") > 0, "completed_with_errors").otherwise("completed"))
 
 
-def event_state(events: DataFrame) -> DataFrame:
-    """State of each run from its events (run_id, ts, seq, event_type, stage, document_name, completed, total, metrics).
-
-    Latest stage and document, stages in first-seen order, summed metrics, progress, final status.
-    """
+def event_folds() -> list[Column]:
+    """Latest stage and document, progress, status and count of events (ts, seq, event_type, stage, document_name, completed, total)."""
     at = F.struct("ts", "seq")
     done = F.col("event_type").isin("document_completed", "document_failed")
     final = F.when(F.col("event_type").isin(*FINAL_EVENTS), F.col("event_type")).when(F.col("event_type") == "started", F.lit("running"))
     last = lambda value, keep: F.max_by(value, F.when(keep, at))
-    base = events.groupBy("run_id").agg(
+    return [
         F.max_by("stage", at).alias("stage"),
         last(F.col("document_name"), F.col("document_name").isNotNull()).alias("document_name"),
         F.coalesce(last(F.col("completed"), done & F.col("completed").isNotNull()), F.lit(0)).alias("document_completed"),
         F.coalesce(last(F.col("total"), (done | (F.col("event_type") == "started")) & F.col("total").isNotNull()), F.lit(0)).alias("document_total"),
         F.coalesce(last(final, final.isNotNull()), F.lit("idle")).alias("status"),
         F.count("*").alias("n_events"),
-    )
-    stages = events.groupBy("run_id", "stage").agg(F.min(at).alias("first"))
+    ]
+
+
+def event_state(events: DataFrame) -> DataFrame:
+    """State of each run from its events (run_id, ts, seq, event_type, stage, document_name, completed, total, metrics).
+
+    Latest stage and document, stages in first-seen order, summed metrics, progress, final status.
+    """
+    base = events.groupBy("run_id").agg(*event_folds())
+    stages = events.groupBy("run_id", "stage").agg(F.min(F.struct("ts", "seq")).alias("first"))
     stages = stages.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "stage"))), lambda x: x["stage"]).alias("seen_stages"))
     sums = events.select("run_id", F.explode("metrics").alias("name", "value")).groupBy("run_id", "name").agg(F.sum("value").alias("value"))
     sums = sums.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("metrics"))
-    return base.join(stages, "run_id").join(sums, "run_id", "left")
+    of = lambda df: df.withColumnRenamed("run_id", "_run")
+    same = F.col("run_id").eqNullSafe(F.col("_run"))  # a null run is a run
+    return base.join(of(stages), same).drop("_run").join(of(sums), same, "left").drop("_run")
 
 
 def last_events(events: DataFrame, n: int = LAST_EVENTS) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import runs
 from corpusloom.operators.norms import latest
 from corpusloom.plans.shapes import cte, shape, table
+from corpusloom.sources import shared
+from corpusloom.streaming import progress
 from corpusloom.streaming.progress import run_progress
 
 
@@ -267,11 +271,38 @@ STR_PROGRESS = """
 SELECT user_id % 50 AS run_id, arg_max(event_type, (ts, event_id)) AS last_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_errors, round(sum(value), 4) AS total FROM events GROUP BY 1
 """
 
+def _streamed(events: DataFrame, updates: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """What a stream tells last of all events, which arrive in two lots of files, the second after a restart."""
+    spark = events.sparkSession
+    store = shared.path(spark, "stream")
+    shared.gone_at_exit(spark, store)
+    for lot in (0, 1):
+        events.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == lot).write.mode("append").parquet(f"{store}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{store}/in")
+        progress.follow(updates(stream), f"{store}/out")
+    return progress.followed(spark, f"{store}/out", keys)
+
+
+def str_run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_events() from a stream."""
+    metric = F.create_map(F.concat(F.lit("k"), (F.col("seq") % 3).cast("string")), F.col("seq") % 10)
+    events = shape(spark, sf_dir, "run_events").withColumn("metrics", metric)
+    out = progress.run_states(_streamed(events, progress.run_facts, ["run_id", "kind", "name"]))
+    return out.select("run_id", "stage", "document_name", F.col("document_completed").cast("long"), F.col("document_total").cast("long"), "status", "n_events", F.array_join("seen_stages", ",").alias("seen_stages"), F.element_at("metrics", "k1").cast("long").alias("k1"))
+
+
+def str_last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_last_events() from a stream."""
+    events = shape(spark, sf_dir, "run_events").withColumn("run_id", F.col("run_id") % 10)
+    parts = _streamed(events, progress.last_events, ["run_id", "part"])
+    return progress.newest_events(parts, events.schema).select("run_id", "seq", "place")
+
+
 _PAIRS = [
     (rel_overview, REL_OVERVIEW), (rel_status_counts, REL_STATUS), (rel_recent_runs, REL_RECENT), (rel_run_detail, REL_DETAIL), (rel_stages, REL_STAGES), (rel_calls, REL_CALLS), (rel_document_listing, REL_LISTING), (rel_run_graph, REL_GRAPH),
     (rel_evidence, REL_EVIDENCE), (rel_blind_source, REL_BLIND), (rel_sync_source, REL_SYNC), (rel_first_retrieval, REL_FIRST), (rel_evidence_links, REL_LINKS), (rel_json_metric, REL_JSON), (rel_members, REL_MEMBERS),
     (rel_publishable, REL_PUBLISHABLE), (run_status, RUN_STATUS), (run_events, RUN_EVENTS), (run_last_events, RUN_LAST), (run_cascade_delete, RUN_CASCADE), (run_deletions, RUN_DELETIONS), (snk_package, SNK_PACKAGE),
-    (snk_upsert, SNK_UPSERT), (snk_report_versions, SNK_REPORTS), (str_progress, STR_PROGRESS),
+    (snk_upsert, SNK_UPSERT), (snk_report_versions, SNK_REPORTS), (str_progress, STR_PROGRESS), (str_run_states, RUN_EVENTS), (str_last_events, RUN_LAST),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 SQL = {f.__name__: s for f, s in _PAIRS}

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import shutil
+from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -352,6 +353,29 @@ def test_progress_stream_equals_the_batch(spark, sf_dir, tmp_path):
     assert plain(spark.table("progress_test")) == plain(progress.run_progress(events))
 
 
+def test_run_streams_equal_the_batch_over_late_and_null_events(spark, tmp_path):
+    schema = "run_id string, ts timestamp, seq long, event_type string, stage string, document_name string, completed long, total long, metrics map<string,long>"
+    types = ["started", "progress", "document_completed", "document_failed", "completed", None]
+    at = lambda i: None if i % 29 == 0 else datetime(2024, 1, 1) + timedelta(microseconds=(i * 7919) % 500)
+    rows = [("hot" if i % 3 else [None, "b", "c"][i % 7 % 3], at(i), i, types[i % 6], [None, "read", "write"][i % 4 % 3], f"d{i % 5}" if i % 2 else None, i % 9 if i % 5 else None, 9, {"a": i, "b": 1} if i % 4 else None) for i in range(600)]
+    events = spark.createDataFrame(rows, schema)
+    spark.createDataFrame(rows[300:], schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    for updates, store in ((progress.run_facts, "facts"), (lambda e: progress.last_events(e, 40, 3), "last")):
+        progress.follow(updates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))), str(tmp_path / store))
+    spark.createDataFrame(rows[:300], schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))  # mostly late ones
+    for updates, store in ((progress.run_facts, "facts"), (lambda e: progress.last_events(e, 40, 3), "last")):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        progress.follow(updates(stream), str(tmp_path / store))
+        progress.follow(updates(stream), str(tmp_path / store))  # nothing has arrived
+    columns = ["run_id", "stage", "document_name", "document_completed", "document_total", "status", "n_events", "seen_stages"]
+    plain = lambda df: sorted((*[str(r[c]) for c in columns], str({k: int(v) for k, v in sorted((r["metrics"] or {}).items())})) for r in df.collect())
+    assert plain(progress.run_states(progress.followed(spark, str(tmp_path / "facts"), ["run_id", "kind", "name"]))) == plain(runs.event_state(events))
+    parts = progress.followed(spark, str(tmp_path / "last"), ["run_id", "part"])
+    assert parts.where(F.size("events") > 40).count() == 0 and parts.where("run_id = 'hot'").count() == 3
+    got, want = (sorted(map(str, df.select(events.columns + ["place"]).collect())) for df in (progress.newest_events(parts, events.schema, 40), runs.last_events(events, 40)))
+    assert got == want and len(got) > 100
+
+
 def test_documents_arrive_once(spark, tmp_path):
     folder, out = tmp_path / "docs", tmp_path / "out"
     folder.mkdir()
