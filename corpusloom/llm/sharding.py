@@ -7,8 +7,9 @@ partitions, of which at most 256 rows for each splitter reach the driver), until
 within tolerance of each splitter's target. Then rows are exchanged once.
 
 A shard goes to tasks in pieces, which are key ranges too: their splitters come from the same counts at a loose
-tolerance. A row's slot is its place in its piece and the rows of the pieces before, so slots follow the key through
-the whole shard, however many pieces it has.
+tolerance. Where the rows ask for more pieces than the driver should count, each is cut further into cells of even
+width, whose rows are counted by Spark alone. A row's slot is its place in its cell and the rows of the cells before,
+so slots follow the key through the whole shard, however many cells it has.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from corpusloom.llm.common import written
 KEY_BITS, ID_BITS, FIRST_BITS, ROUND_BITS = 63, 23, 12, 8
 #: Of the mean shard: how far a splitter may lie from its target. Of the mean piece: how far a piece's may.
 TOLERANCE, PIECE_TOLERANCE = 0.0005, 0.25
-#: Rows that one task sorts, and most pieces of a shard: beyond these a piece has more rows and its sort may spill.
-SLOT_ROWS, MOST_PIECES = 50_000, 256
+#: Rows that one task sorts, most pieces of a shard, beyond which pieces have cells, and most cells that are broadcast.
+SLOT_ROWS, MOST_PIECES, BROADCAST_CELLS = 50_000, 256, 100_000
 
 RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
@@ -69,21 +70,30 @@ def splitters(keys: DataFrame, n_ranges: int, slack: list[float] | None = None)
     return sorted(f for f in found if f is not None)
 
 
-def _range_of(rows: DataFrame, cuts: list[int]) -> DataFrame:
-    """rows with their range among cuts, found by the first bits of the key and then by the few cuts inside that cell.
+def _range_of(rows: DataFrame, cuts: list[int], n_cells: int = 1) -> DataFrame:
+    """rows with their range among cuts and their cell in it, one of n_cells of even width.
 
-    The table of first bits has 4096 rows at any size of input, so it is broadcast.
+    The range is found by the first bits of the key and then by the few cuts that begin with the same. The table of
+    first bits has 4096 rows at any size of input, so it is broadcast.
     """
     spark: SparkSession = rows.sparkSession
-    shift = KEY_BITS - FIRST_BITS
+    shift, last = KEY_BITS - FIRST_BITS, (1 << KEY_BITS) - 1
     inside: dict[int, list[int]] = {}
     for c in cuts:
         if c & (1 << shift) - 1:
             inside.setdefault(c >> shift, []).append(c)
-    cells = [(cell, bisect_left(cuts, (cell << shift) + 1), inside.get(cell, [])) for cell in range(1 << FIRST_BITS)]
-    table = spark.createDataFrame(cells, "cell long, first int, cuts array<long>")
-    placed = rows.join(F.broadcast(table), F.shiftright(rows["key"], shift) == table["cell"])
-    return placed.withColumn("range", F.col("first") + F.size(F.filter("cuts", lambda c: c <= F.col("key")))).drop("cell", "first", "cuts")
+    table = []
+    for start in range(1 << FIRST_BITS):
+        first, own = bisect_left(cuts, (start << shift) + 1), inside.get(start, [])
+        after = first + len(own)
+        table.append((start, first, own, cuts[first - 1] if first else 0, cuts[after] if after < len(cuts) else last))
+    table = spark.createDataFrame(table, "start long, first int, cuts array<long>, low long, high long")
+    placed = rows.join(F.broadcast(table), F.shiftright(rows["key"], shift) == table["start"])
+    low = F.coalesce(F.array_max(F.filter("cuts", lambda c: c <= F.col("key"))), F.col("low"))
+    high = F.coalesce(F.array_min(F.filter("cuts", lambda c: c > F.col("key"))), F.col("high"))
+    part = (F.col("key") - low).cast("double") * n_cells / F.greatest(high - low, F.lit(1)).cast("double")  # never falls as the key grows
+    cell = F.least(F.floor(part), F.lit(n_cells - 1)).cast("int") if n_cells > 1 else F.lit(0)
+    return placed.withColumns({"range": F.col("first") + F.size(F.filter("cuts", lambda c: c <= F.col("key"))), "cell": cell}).drop("start", "first", "cuts", "low", "high")
 
 
 def _bits(value: Column, digits: int) -> Column:
@@ -107,15 +117,18 @@ def sharded(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_id: str
     keys = written(rows.select("key", "size"), "shard-keys")
     totals = keys.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n_pieces = min(max(1, -(-totals["n"] // (n_shards * SLOT_ROWS))), MOST_PIECES)
+    n_cells = max(1, -(-totals["n"] // (n_shards * n_pieces * SLOT_ROWS)))
     mean = (totals["bytes"] or 0) / n_shards
     slack = [mean * tolerance if i % n_pieces == 0 else mean / n_pieces * PIECE_TOLERANCE for i in range(1, n_shards * n_pieces)]
     cuts = splitters(keys, n_shards * n_pieces, slack)
-    counted = _range_of(keys, cuts).groupBy("range").agg(F.count("*").alias("n"))  # a row for each piece
+    counted = _range_of(keys, cuts, n_cells).groupBy("range", "cell").agg(F.count("*").alias("n"))
     shard_of = lambda r: F.floor(r / n_pieces).cast("int")
-    before = F.expr("coalesce(sum(n) over (partition by shard order by range rows between unbounded preceding and 1 preceding), 0)")
-    offsets = counted.withColumn("shard", shard_of(F.col("range"))).select("range", before.alias("offset"))
-    placed = _range_of(rows, cuts).withColumn("place", F.expr("row_number() over (partition by range order by key, own, tie)") - 1)
-    out = placed.join(F.broadcast(offsets), "range")  # at most n_shards * MOST_PIECES rows
+    before = F.expr("coalesce(sum(n) over (partition by shard order by range, cell rows between unbounded preceding and 1 preceding), 0)")
+    offsets = counted.withColumn("shard", shard_of(F.col("range"))).select("range", "cell", before.alias("offset"))
+    if n_shards * n_pieces * n_cells <= BROADCAST_CELLS:
+        offsets = F.broadcast(offsets)  # else the rows stay where their cells were sorted, and the offsets come to them
+    placed = _range_of(rows, cuts, n_cells).withColumn("place", F.expr("row_number() over (partition by range, cell order by key, own, tie)") - 1)
+    out = placed.join(offsets, ["range", "cell"])
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in names],
         "size", "text_crc32", F.lit("bytes").alias("law"), shard_of(F.col("range")).alias("shard"), (F.col("place") + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

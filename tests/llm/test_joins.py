@@ -138,10 +138,13 @@ def test_warc_round_trip_of_odd_pages(spark):
     assert warc.op4_warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_warc_of_null_repeated_and_text_ids_equals_its_sql(spark):
+@pytest.mark.parametrize("most", [warc.BROADCAST_ROWS, 0])
+def test_warc_of_null_repeated_and_text_ids_equals_its_sql(spark, monkeypatch, most):
     import duckdb
     import pandas as pd
 
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+
     pages = [(None, "a", "same"), (7, "b", "same"), (9, "c", "same"), (7, "b", "same"), (None, "d", None), (4, "e", ""), (None, "f", "only"), (None, "f", "only"), (-3, "g", "own" * 9000), (8, "h", "own" * 9000)]
     con = duckdb.connect()
     con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))

@@ -197,7 +197,8 @@ def test_sharding_equals_brute_force_in_any_number_of_pieces(spark, monkeypatch)
     rows = [(i, "copy " * 50 if i % 3 == 0 else None if i % 50 == 1 else f"text {i} " * (i % 40)) for i in range(3000)] + [(7, "again")] * 5 + [(None, "again"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(brute_shards(rows, 16), key=str)
-    for slot_rows in (50_000, 20, 7):
-        monkeypatch.setattr(sharding, "SLOT_ROWS", slot_rows)
+    for slot_rows, most_pieces, broadcast_cells in ((50_000, 256, 100_000), (20, 256, 100_000), (7, 2, 100_000), (7, 3, 0), (1, 1, 0)):
+        for name, value in (("SLOT_ROWS", slot_rows), ("MOST_PIECES", most_pieces), ("BROADCAST_CELLS", broadcast_cells)):
+            monkeypatch.setattr(sharding, name, value)
         got = [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.sharded(docs).collect()]
         assert sorted(got, key=str) == want
