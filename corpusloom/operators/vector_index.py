@@ -51,7 +51,7 @@ def fitted_centres(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
     r = np.random.default_rng(seed)
     centres = unit[r.choice(len(unit), size=min(cells, len(unit)), replace=False)]
     for _ in range(ROUNDS):
-        own = (unit @ centres.T).argmax(axis=1)
+        own = np.concatenate([(unit[a : a + BLOCK] @ centres.T).argmax(axis=1) for a in range(0, len(unit), BLOCK)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, unit)
         kept = np.bincount(own, minlength=len(centres)) > 0
@@ -81,6 +81,23 @@ def _placed(centres: Broadcast) -> Callable:
     return run
 
 
+def _drawn(rows: DataFrame, n: int) -> np.ndarray:
+    """The SAMPLE vectors of n with the lowest hashes of their ids.
+
+    Each task would hand its own SAMPLE lowest rows to the driver, which is every row of a large table. So only rows
+    below a hash that about SAMPLE of them are below are sorted; where ids repeat so much that fewer are, the hash is
+    raised, and where more are, each task's hand is no larger than before.
+    """
+    hashed = rows.select("embedding", F.xxhash64(F.col("vec_id").cast("string")).alias("h"))
+    share = min(1.0, 1.1 * SAMPLE / max(n, 1))
+    while True:
+        low = hashed if share >= 1 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+        found = low.orderBy("h", "embedding").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+        if share >= 1 or len(found) >= SAMPLE:
+            return found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1) if len(found) else np.empty((0, 0))
+        share = min(1.0, 4 * share)
+
+
 def built(vectors: DataFrame, cells: int | None = None) -> Index | None:
     """The index of vectors (vec_id, embedding and any others); None without usable vectors.
 
@@ -92,12 +109,12 @@ def built(vectors: DataFrame, cells: int | None = None) -> Index | None:
     if not widths or not widths[0]["w"]:
         return None
     rows = _usable(vectors, "vec_id", "embedding", widths[0]["w"])
-    drawn = rows.select("embedding", F.xxhash64(F.col("vec_id").cast("string")).alias("h")).orderBy("h", "embedding").limit(SAMPLE).collect()
-    if not drawn:
+    drawn = _drawn(rows, widths[0]["n"])
+    if not len(drawn):
         return None
     n = cells or max(1, min(MOST_CELLS, round(widths[0]["n"] ** 0.5)))
     spark = vectors.sparkSession
-    centres = fitted_centres(np.array([r["embedding"] for r in drawn]), n)
+    centres = fitted_centres(drawn, n)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", cell int, angle double"
     lists = stored(rows.mapInArrow(_placed(spark.sparkContext.broadcast(centres)), schema), "lists")
     found = {r["cell"]: r["a"] for r in lists.groupBy("cell").agg(F.max("angle").alias("a")).collect()}  # a row for each cell
