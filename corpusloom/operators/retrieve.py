@@ -60,15 +60,61 @@ def direct_hits_in(docs: DataFrame, sentences: str = "sentences", names: str = "
     return each.select("doc_id", "e.entity", F.explode("e.hits").alias("h")).select("doc_id", "entity", "h.index", "h.content", F.lit(1.0).alias("score"), F.lit("direct").alias("match_type"))
 
 
+#: Sentences and entities of one tile: a pair of tiles is one product.
+SENTENCE_TILE, ENTITY_TILE = 4096, 1024
+
+
+def _tiled(rows: DataFrame, item: str, vector: str, most: int, prefix: str) -> DataFrame:
+    """Whole vectors of each document in tiles of about so many: doc_id, tile, the document's number of tiles, width and rows."""
+    v = F.col(vector)
+    whole = rows.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))).select("doc_id", F.col(item).alias("item"), v.cast("array<double>").alias("v"))
+    n = whole.groupBy("doc_id").agg(F.ceil(F.count("*") / most).alias("n_tiles"))
+    placed = whole.join(n, "doc_id").withColumn("tile", F.pmod(F.xxhash64("item", "v"), F.col("n_tiles")))
+    tiles = placed.groupBy("doc_id", "tile", "n_tiles", F.size("v").alias("width")).agg(F.collect_list(F.struct("item", "v")).alias("rows"))
+    return tiles.select("doc_id", *[F.col(c).alias(prefix + c) for c in ("tile", "n_tiles", "width", "rows")])
+
+
+def _best_in_tiles(k: int, least: float, margin: float = 1e-9) -> Callable:
+    """For each pair of tiles (doc_id, sentences, entities) the k best sentences of every entity that reach least: a product chooses, exact cosines rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (own, v), (names, q) = ((side.field("item"), side.field("v")) for side in (batch.column(c)[i].values for c in (1, 2)))
+                v, q = (m.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for m, x in ((v, own), (q, names)))
+                v_norm, q_norm = np.sqrt(_in_order(v, v)), np.sqrt(_in_order(q, q))
+                scale = lambda n: np.where(n == 0, 1.0, n)
+                score = (q / scale(q_norm)[:, None]) @ (v / scale(v_norm)[:, None]).T
+                top = min(k, score.shape[1])
+                worst = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
+                at, of = np.nonzero(score >= np.maximum(worst, least)[:, None] - margin)
+                norms = v_norm[of] * q_norm[at]
+                exact = np.where(norms == 0, 0.0, _in_order(v[of], q[at]) / scale(norms))
+                order = np.lexsort((own.to_numpy(zero_copy_only=False)[of], -exact, at))
+                at, of, exact = at[order], of[order], exact[order]
+                kept = (np.arange(len(at)) - np.searchsorted(at, at) < k) & (exact >= least)
+                at, of, exact = at[kept], of[kept], exact[kept]
+                doc = batch.column(0).take(pa.array(np.full(len(at), i)))
+                yield pa.record_batch([doc, names.take(pa.array(at)), own.take(pa.array(of)), pa.array(exact)], names=["doc_id", "entity", "index", "score"])
+
+    return run
+
+
 def semantic_hits(sentences: DataFrame, entities: DataFrame, direct: DataFrame, top_n: int = TOP_N, least: float = LEAST_SCORE) -> DataFrame:
     """Direct hits, then the best other sentences by cosine (score, then index), top_n in all.
 
-    Entities whose direct hits fill top_n need no vectors and are left out of the similarity join.
+    Entities whose direct hits fill top_n need no vectors and are left out of the similarity join. The others meet
+    their document's sentences in pairs of tiles, spread over tasks by the sentences' tile, as matrix products; of
+    each pair twice top_n sentences are enough, since fewer than top_n of them are direct hits. Vectors that are null
+    or hold null or NaN, or of another width, have no score.
     """
     counts = direct.groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
     open_ = entities.join(counts.where(F.col("n") >= top_n), ["doc_id", "entity"], "left_anti")
-    scored = sentences.join(open_, "doc_id").select("doc_id", "entity", "index", cosine(F.col("sentence_vector"), F.col("entity_vector")).alias("score"))
-    scored = scored.where(F.col("score") >= least).join(direct, ["doc_id", "entity", "index"], "left_anti")
+    s, e = _tiled(sentences, "index", "sentence_vector", SENTENCE_TILE, "s_"), _tiled(open_, "entity", "entity_vector", ENTITY_TILE, "e_")
+    places = s.select("doc_id", "s_tile", F.col("s_width").alias("e_width")).join(e.select("doc_id", "e_tile", "e_width"), ["doc_id", "e_width"])
+    pairs = places.join(e, ["doc_id", "e_tile", "e_width"]).withColumnRenamed("e_width", "s_width").join(s, ["doc_id", "s_tile", "s_width"]).select("doc_id", "s_rows", "e_rows")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((sentences, "doc_id"), (entities, "entity"), (sentences, "index"))) + ", score double"
+    scored = pairs.mapInArrow(_best_in_tiles(2 * top_n, least), schema).join(direct, ["doc_id", "entity", "index"], "left_anti")
     both = direct.unionByName(scored.withColumn("match_type", F.lit("semantic")))
     order = [F.col("match_type"), F.when(F.col("match_type") == "direct", F.col("index")), F.desc("score"), F.col("index")]
     return ranked(both, ["doc_id", "entity"], order).where(F.col("rank") <= top_n)
