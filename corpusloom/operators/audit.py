@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,15 +185,17 @@ def labelled_values(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     cells = blocks.where("rows is not null").select("document_id", "ordinal", F.explode("rows").alias("row")).select("document_id", "ordinal", "row", F.posexplode("row").alias("i", "cell")).where(F.col("i") + 1 < F.size("row"))
     cells = cells.select("document_id", "ordinal", F.get("row", F.col("i") + 1).alias("value"), plain_value(F.col("cell")).alias("_plain"))
     beside = cells.join(labels, F.contains("_plain", F.col("_label"))).select("document_id", "label", "kind", "value", "ordinal")
-    every = told.union(under).union(below).union(beside).withColumn("value", value_of_kind(F.col("value"), F.col("kind")))
-    return every.where("value <> ''").select("document_id", "label", "value", "ordinal").distinct()
+    # a generator: a filter below it would find each value again for every expression that reads it
+    plain = F.filter(F.transform(F.array("value"), lambda v: value_of_kind(v, F.col("kind"))), lambda v: v != "")
+    parts = [rows.select("document_id", "label", F.explode(plain).alias("value"), "ordinal") for rows in (told, under, below, beside)]
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def conflicts(values: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than one distinct value, with the places of each."""
     per = values.groupBy(*keys, "value").agg(F.array_sort(F.collect_set("ordinal")).alias("places"))
-    n = per.groupBy(*keys).agg(F.count("*").alias("n_values")).where("n_values > 1")
-    return per.join(n, keys)
+    told = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return per.where(told).withColumn("n_values", F.count("*").over(W.partitionBy(*keys))).where("n_values > 1").select(*keys, "value", "places", "n_values")
 
 
 def item_key(name: Column) -> Column:
