@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import runs
 from corpusloom.operators.norms import latest
-from corpusloom.plans.shapes import cte, shape, table
+from corpusloom.operators.sizes import dealt
+from corpusloom.plans.shapes import LINES_EACH, cte, shape, table
 from corpusloom.sources import shared
 from corpusloom.streaming import progress
 from corpusloom.streaming.progress import run_progress
@@ -108,7 +109,8 @@ WITH {cte('runs', 'run_documents', 'triplets')} SELECT d.document_id, d.run_id,
 def rel_sync_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets with their document's and run's facts, for the graph."""
     d, r = shape(spark, sf_dir, "run_documents").withColumnRenamed("run_id", "owner"), shape(spark, sf_dir, "runs").select(F.col("run_id").alias("owner"), "segment")
-    return shape(spark, sf_dir, "triplets").join(d, "document_id").join(r, "owner", "left").groupBy("run_id", "segment").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("n_documents"))
+    t = dealt(shape(spark, sf_dir, "triplets").select("run_id", "document_id"), "document_id", each=LINES_EACH)
+    return t.join(d, "document_id").join(r, "owner", "left").groupBy("run_id", "segment").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("n_documents"))
 
 
 REL_SYNC = f"WITH {cte('runs', 'run_documents', 'triplets')} SELECT t.run_id, segment, count(*) AS n, count(DISTINCT t.document_id) AS n_documents FROM triplets t JOIN run_documents d USING (document_id) LEFT JOIN runs r ON r.run_id = d.run_id GROUP BY ALL"

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sizes import dealt
+
+#: Documents, parts and lines of one task where they are dealt.
+DOCUMENTS_EACH, PARTS_EACH, LINES_EACH = 5_000, 20_000, 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt: their file may be one task's, and what is made of a text costs more than to move it."""
+    return dealt(table(spark, sf_dir, "documents"), "doc_id", each=DOCUMENTS_EACH)
+
+
 #: One number for every line: order and place alone are not unique.
 LINE_ID = "(l_orderkey * 10 + l_linenumber) * 1000000 + (l_partkey * 31 + l_suppkey * 7 + CAST(floor(l_extendedprice) AS BIGINT) * 1009) % 1000000"
 
