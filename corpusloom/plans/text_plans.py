@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunks
-from corpusloom.plans.shapes import table
+from corpusloom.operators.sizes import dealt
+from corpusloom.plans.shapes import PARTS_EACH, documents, table
 
 DELIMITERS = ".!?\n"
 
@@ -47,7 +48,7 @@ SELECT lang, count(*) AS n, count(*) FILTER (ok) AS n_valid, count(*) FILTER (ok
 
 
 def txt_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.sentences(table(spark, sf_dir, "documents"), delimiters=DELIMITERS)
+    return chunks.sentences(documents(spark, sf_dir), delimiters=DELIMITERS)
 
 
 SENTENCES_SQL = r"""r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+|[.!?\n]')) AS run, unnest(range(1, len(regexp_extract_all(text, '[^.!?\n]+|[.!?\n]')) + 1)) AS k FROM documents),
@@ -191,7 +192,7 @@ TXT_MATCH_KEYS = "SELECT p_partkey, lower(replace(concat(p_name, p_brand, p_size
 def txt_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains with labels, every arrow, a code, a title, an excluded term and steps too long, in cells cut short."""
     chain = F.expr("concat('施工顺序安排： ', p_name, ' → ', p_brand, ' —> CN-', p_partkey, ' ⇒ ', p_type, '＞作业步骤：->目录编号 ', p_size, ' -> ', repeat('y', p_size * 4))")
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(tx.steps(chain)).alias("n", "step"), tx.short_cell(chain, 40).alias("cell"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey", each=PARTS_EACH).select("p_partkey", F.posexplode(tx.steps(chain)).alias("n", "step"), tx.short_cell(chain, 40).alias("cell"))
 
 
 TXT_STEPS = """
