@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import records
-from corpusloom.plans.shapes import cte, shape, table
+from corpusloom.operators.sizes import dealt
+from corpusloom.plans.shapes import LINES_EACH, cte, shape, table
 from corpusloom.sources.shared import gone_at_exit, path
 
 
@@ -95,7 +96,8 @@ SELECT o_orderkey AS run_id, o_custkey AS document_id, o_orderstatus AS status,
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each place of an order as the result of a task; returned ones have no result yet."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("T"), F.col("l_linenumber") % 3).alias("task_id")).agg(F.min("l_returnflag").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("T"), F.col("l_linenumber") % 3).alias("task_id"), "l_returnflag")
+    lines = dealt(lines, "run_id", "task_id", each=LINES_EACH).groupBy("run_id", "task_id").agg(F.min("l_returnflag").alias("flag"))
     return lines.select("run_id", "task_id", F.when(F.col("flag") == "R", "pending").otherwise("completed").alias("execution_status"), F.when(F.col("flag") == "A", "issue_found").when(F.col("flag") == "N", "no_issue").alias("result"))
 
 
