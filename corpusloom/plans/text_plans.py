@@ -107,8 +107,8 @@ SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1)::I
 
 def txt_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document's neighbour as its extracted entities: those that its own text holds stay."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.posexplode(F.split("text", r"\s+")).alias("seq", "name"), F.col("lang").alias("type")).where("name <> ''")
+    docs = documents(spark, sf_dir)
+    words = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.posexplode(F.array_distinct(F.split("text", r"\s+"))).alias("seq", "name"), F.col("lang").alias("type")).where("name <> ''")
     return chunks.verbatim_entities(words, docs)
 
 
