@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -158,31 +158,38 @@ def _spans(costs: np.ndarray, room: int, overlap: int) -> Iterator[tuple[int, in
         at = int(follows[at])
 
 
+#: Clauses whose segments leave Python together.
+COSTED_CLAUSES = 64
+
+
 def costed_segments(clauses_: DataFrame, cost: Callable[[str], int], most: int = 128, overlap: int = 8) -> DataFrame:
     """As segments(), for any tokenizer: cost gives the tokens of a text; a word costs one more, its space.
 
-    Clauses have clause_id, prefix and raw_text (null: empty); one that fits as it is stays whole. Arrow batches of costs come
-    back as ranges of words; Spark cuts the texts.
+    Clauses have clause_id, prefix and raw_text (null: empty); one that fits as it is stays whole. Of an Arrow batch
+    only the words of one clause, and the segments of COSTED_CLAUSES, are in Python's memory at once.
     """
 
-    @F.pandas_udf("array<struct<start:int,length:int>>")
-    def ranges(head: pd.Series, text: pd.Series) -> pd.Series:
-        found = []
-        for h, t in zip(head, text, strict=True):
-            costs = np.array([cost(w) + 1 for w in t.split()], dtype=np.int64)
-            whole = cost(f"{h}\n{t}") <= most
-            found.append(None if whole else [{"start": a + 1, "length": b - a} for a, b in _spans(costs, most - cost(h), overlap)])
-        return pd.Series(found)
-
-    @F.pandas_udf("array<string>")
-    def words(text: pd.Series) -> pd.Series:
-        return text.map(str.split)
+    def segments_of(head: str, text: str) -> list[str]:
+        if cost(f"{head}\n{text}") <= most:
+            return [f"{head}\n{text}"]
+        words = text.split()
+        costs = np.array([cost(w) + 1 for w in words], dtype=np.int64)
+        return [f"{head}\n{' '.join(words[a:b])}" for a, b in _spans(costs, most - cost(head), overlap)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COSTED_CLAUSES):
+                ids, heads, texts = batch.slice(at, COSTED_CLAUSES).columns
+                found = [segments_of(h, t) for h, t in zip(heads.to_pylist(), texts.to_pylist(), strict=True)]
+                owner = pa.array([k for k, one in enumerate(found) for _ in one], pa.int64())
+                yield pa.record_batch(
+                    [ids.take(owner), pa.array([n for one in found for n in range(len(one))], pa.int32()), pa.array([s for one in found for s in one], pa.string())],
+                    names=["clause_id", "segment_index", "segment"],
+                )
 
     texts = clauses_.select("clause_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("prefix", "raw_text")])
-    cut = texts.select("clause_id", "prefix", "raw_text", ranges("prefix", "raw_text").alias("r"), words("raw_text").alias("w"))
-    joined = F.transform("r", lambda x: F.concat_ws(" ", F.slice("w", x["start"], x["length"])))
-    bodies = F.when(F.col("r").isNull(), F.array("raw_text")).otherwise(joined)
-    return cut.select("clause_id", "prefix", F.posexplode(bodies).alias("segment_index", "body")).select("clause_id", "segment_index", F.concat("prefix", F.lit("\n"), "body").alias("segment"))
+    kind = texts.schema["clause_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"clause_id {kind}, segment_index int, segment string")
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import align, audit, graph_paths, norms, retrieve
-from corpusloom.plans.shapes import BLOCKS_SQL, blocks, cte, shape, table
+from corpusloom.operators.sizes import dealt
+from corpusloom.plans.shapes import BLOCKS_SQL, LINES_EACH, blocks, cte, documents, shape, table
 from corpusloom.sources import files
 
 #: In the documents' prose a clause starts at a line whose first word ends in a full stop.
@@ -78,7 +79,7 @@ SELECT a.family_id, coalesce(n, 0) AS n_versions, coalesce(k, 0) AS n_indexed, C
 
 def _clause_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = norms.prefix(F.col("source"), F.array("lang"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clause_id"), head.alias("prefix"), F.col("text").alias("raw_text"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("clause_id"), head.alias("prefix"), F.col("text").alias("raw_text"))
 
 
 def nrm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
