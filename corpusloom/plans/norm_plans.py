@@ -533,7 +533,8 @@ SELECT run_id, array_to_string(list_sort([x for x in c if NOT list_contains(d, x
 def aud_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of job tables, each once: brands of parts chained in a supplier's table."""
     row = F.array(F.concat(F.lit("step "), (F.col("l_partkey") % 4).cast("string"), F.lit(" → step "), (F.col("l_partkey") % 5).cast("string")), F.lit("fall"))
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", each=LINES_EACH)
+    t = lines.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
     return audit.step_rows(t.withColumn("header", F.array(F.lit("作业步骤"), F.lit("危害"))), "步骤", "危害").select("table_id", "place", "step", "hazard")
 
 
