@@ -1,22 +1,25 @@
 """LM scoring with a hierarchical Pitman-Yor bigram model.
 
-Every context (the word before, hashed to CONTEXTS restaurants) is a Chinese restaurant whose new tables send a
-customer to one shared parent, the unigram restaurant, whose base measure is uniform over the known words and one
-unknown. Gibbs sampling draws the tables of each dish in each restaurant; predictive probabilities are averaged
-over several samples.
-
-The corpus is read once: each task turns its documents into chunks, each chunk's pairs of context and word are
-counted, and the counts go out by the word's hash, packed in byte blocks. A part then holds all customers of its
-words in all restaurants, so pairs of one frequent word are counts, never rows of occurrences. Tables of one dish
-depend on the rest of their restaurant through its number of tables alone: after each sweep these numbers, and the
-parent's, are summed over all parts and handed to the next, so the number of parts is no part of the law. The sums
-of the samples' own sweeps give the predictive probabilities, which therefore add up to one. The answers return to
-the chunks by the chunk's number, so a word that is a third of the corpus weighs no more on any task than its
-number of contexts.
+Every context (the word before) is a Chinese restaurant of its own whose new tables send a customer to one shared
+parent, the unigram restaurant, whose base measure is uniform over the known words and one unknown. Gibbs sampling
+draws the tables of each dish in each restaurant; predictive probabilities are averaged over several samples.
+
+The corpus is read once: each task turns its documents into chunks. The chunks' words go to parts by their hash, where
+each gets a number of its own; then the chunks' pairs of word and context go, as numbers, to the part of the word, packed
+in byte blocks. A part holds all customers of its words, so pairs of one frequent word are counts, never rows of
+occurrences; the pairs of a word of more than HOT occurrences are dealt to several parts by their contexts.
+
+Each token of a document is followed by one, the end by the first, so a context has as many customers as its word has
+occurrences. Its tables are its customers less those of each dish beyond the dish's tables, which only dishes of two or more
+customers can have. Parts draw those dishes alone, and after each sweep send what they lack to the part that owns the
+context's word, which sums it and sends each the tables of its contexts; the parent's totals are summed over all parts. So the
+number of parts is no part of the law. The sums of the samples' own sweeps give the predictive probabilities, which
+therefore add up to one. The answers return to the chunks by the chunk's number.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_remainder, written
 from corpusloom.llm.words import SPACED, encode, hashes, mix
+from corpusloom.sources.shared import removed
 
-CONTEXTS = 1 << 13
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
@@ -39,6 +42,10 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SAMPLES = 2, 3
 #: Characters and documents of one chunk; characters of the corpus to one part.
 CHUNK_CHARS, CHUNK_DOCS, PART_CHARS = 12 << 20, 50_000, 12 << 20
+#: Occurrences of a word for each part that holds its pairs.
+HOT = 1 << 20
+#: Parts whose words' contexts are summed together, so that parts send one another fewer messages.
+OWNERS = 32
 #: Dishes of so many customers at most are drawn from the exact law of their number of tables.
 EXACT = 128
 
@@ -46,24 +53,62 @@ _END = np.uint64(0xE7037ED1A0B428DB)  # the hash of the end token, which no word
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, byte planes apart: the high bytes of small numbers take no room then."""
-    return zlib.compress(b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays), 3)
+    """Arrays as compressed bytes, byte planes apart and empty ones left out: small numbers take no more room in a wide type."""
+    out = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T
+        some = planes.any(axis=1)
+        out += [some.tobytes(), *(planes[i].tobytes() for i in np.flatnonzero(some))]
+    return zlib.compress(b"".join(out), 3)
 
 
 def _unpack(data: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     raw, out, at = np.frombuffer(zlib.decompress(data), np.uint8), [], 0
     for kind, n in kinds:
         width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
-        at += n * width
+        held = np.zeros((n, width), dtype=np.uint8)
+        some = np.flatnonzero(raw[at : at + width])
+        at += width
+        for i in some:
+            held[:, i] = raw[at : at + n]
+            at += n
+        out.append(held.view(kind).ravel())
     return out
 
 
+def _steps(ranked: np.ndarray, each: np.ndarray | None = None) -> np.ndarray:
+    """Differences of ranked numbers, begun anew in each group of so many."""
+    out = np.diff(ranked, prepend=0)
+    if each is not None and len(ranked):
+        first = (np.cumsum(each) - each)[each > 0]
+        out[first] = ranked[first]
+    return out
+
+
+def _from_steps(steps: np.ndarray, each: np.ndarray | None = None) -> np.ndarray:
+    out = np.cumsum(steps, dtype=np.int64)
+    if each is not None and len(steps):
+        first = (np.cumsum(each, dtype=np.int64) - each)[each > 0]
+        out -= np.repeat(out[first] - steps[first].astype(np.int64), each[each > 0])
+    return out
+
+
+def _runs(ranked: np.ndarray) -> np.ndarray:
+    """How often each of the ranked numbers is there."""
+    return np.diff(np.append(np.flatnonzero(np.diff(ranked, prepend=-1)), len(ranked)))
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+
+#: Parts below 0 are a chunk's own rows: what its documents hold, and which pairs it has.
+_DOCUMENTS, _PAIRS = -1, -2
 _CHUNK_SCHEMA = "chunk long, part int, n_words int, n_pairs int, block binary, doc_ids array<string>, n_tokens array<long>"
 
 
 def _chunked(n_parts: int) -> Callable:
-    """Rows for each chunk: one of part -1 with its documents' tokens and pairs, one for each part with words and counts."""
+    """Rows for each chunk: its documents' tokens, its pairs by place of word and context, and words with counts for each part."""
 
     def chunk_rows(number: int, ids: list, trained: list[bool], texts: list) -> pa.RecordBatch:
         encoded = encode(texts, SPACED)
@@ -74,31 +119,36 @@ def _chunked(n_parts: int) -> Callable:
         is_end = np.zeros(len(token), dtype=bool)
         is_end[stop - 1] = True
         token[is_end], token[~is_end] = _END, h
-        before = np.roll(token, 1)
-        before[stop - n] = _END
-        context = (mix(before) >> np.uint64(64 - CONTEXTS.bit_length() + 1)).astype(np.int64)
-        doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        del encoded, h, is_end
         words, word = np.unique(token, return_inverse=True)
+        del token
         part = (mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_parts)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
         words, part = words[by_part], part[by_part]
         rank = np.empty(len(words), dtype=np.int64)
         rank[by_part] = np.arange(len(words))
-        key = rank[word] * CONTEXTS + context
+        word = rank[word]
+        context = np.roll(word, 1)
+        context[stop - n] = word[stop - 1]  # the end stands before the first
+        doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        learn = np.array(trained)[doc]
+        came = np.bincount(word[learn], minlength=len(words))
+        key = word * len(words) + context
+        del word, context
         order = np.argsort(key, kind="stable")
-        ranked = key[order]
+        ranked, doc, learn = key[order], doc[order], learn[order]
+        del key, order
         first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        seen = np.diff(np.append(first, len(ranked))).astype(np.uint32)
-        learnt = np.add.reduceat(np.array(trained)[doc[order]].astype(np.uint32), first, dtype=np.uint32)
-        pairs = ranked[first]
-        pair_word, pair_context = pairs // CONTEXTS, (pairs % CONTEXTS).astype(np.uint16)
-        per_word = np.bincount(pair_word, minlength=len(words)).astype(np.uint16)
-        word_bounds = np.searchsorted(part, np.arange(n_parts + 1))
-        pair_bounds = np.append(0, np.cumsum(per_word, dtype=np.int64))[word_bounds]
-        rows = [(number, -1, len(words), len(pairs), _pack(seen, doc[order], per_word, pair_context), ids, n.tolist())]
-        for p in np.flatnonzero(np.diff(word_bounds)).tolist():
-            (a, b), (c, d) = word_bounds[p : p + 2], pair_bounds[p : p + 2]
-            rows.append((number, p, int(b - a), int(d - c), _pack(words[a:b], learnt[c:d], per_word[a:b], pair_context[c:d]), None, None))
+        seen = np.diff(np.append(first, len(ranked)))
+        learnt = np.add.reduceat(learn.astype(np.int64), first)
+        pair_word, pair_context = np.divmod(ranked[first], len(words))
+        per_word = np.bincount(pair_word, minlength=len(words))
+        kept = (number, _PAIRS, len(words), len(first), _pack(per_word, _steps(pair_context, per_word), learnt), None, None)
+        rows = [(number, _DOCUMENTS, len(words), len(first), _pack(seen, doc), ids, n.tolist()), kept]
+        bounds = np.searchsorted(part, np.arange(n_parts + 1))
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            here = slice(*bounds[p : p + 2])
+            rows.append((number, p, here.stop - here.start, 0, _pack(np.diff(words[here], prepend=np.uint64(0)), came[here]), None, None))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
         names = [x.split()[0] for x in _CHUNK_SCHEMA.split(", ")]
         return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -178,154 +228,334 @@ class _Seating:
         return out
 
 
-_MERGED_SCHEMA = "part int, chunk array<long>, n_words array<int>, n_pairs array<int>, places array<binary>, known int, pairs int, customers binary"
+_WORDS_SCHEMA = "part int, known int, learnt long, trained int, totals binary, chunk array<long>, n_words array<int>, places array<binary>"
 
 
-def _merged(blocks: pd.DataFrame) -> pd.DataFrame:
-    """One part's customers by word and context, and for each chunk the places of its words and pairs among them."""
+def _numbered(blocks: pd.DataFrame) -> pd.DataFrame:
+    """One part's words with their occurrences in the training texts, and for each chunk the places of its words among them."""
     blocks = blocks.sort_values("chunk")
-    found = [_unpack(b, ("<u8", w), ("<u4", p), ("<u2", w), ("<u2", p)) for w, p, b in zip(blocks["n_words"], blocks["n_pairs"], blocks["block"], strict=True)]
-    known, word_of = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-    words = np.split(word_of, np.cumsum([len(f[0]) for f in found])[:-1])
-    pairs, pair_of = np.unique(np.concatenate([np.repeat(w, f[2]) * CONTEXTS + f[3] for w, f in zip(words, found, strict=True)]), return_inverse=True)
-    customers = np.bincount(pair_of, weights=np.concatenate([f[1] for f in found]), minlength=len(pairs))
-    per_word = np.bincount(pairs // CONTEXTS, minlength=len(known))
-    places = np.split(pair_of, np.cumsum([len(f[1]) for f in found])[:-1])
-    steps = [_pack(np.diff(w, prepend=0).astype("<u4"), np.diff(p, prepend=0).astype("<u4")) for w, p in zip(words, places, strict=True)]
-    row = (int(blocks["part"].iloc[0]), blocks["chunk"].tolist(), blocks["n_words"].tolist(), blocks["n_pairs"].tolist(), steps, len(known), len(pairs))
-    return pd.DataFrame([(*row, _pack(per_word.astype("<u2"), (pairs % CONTEXTS).astype("<u2"), customers.astype("<u8")))], columns=[x.split()[0] for x in _MERGED_SCHEMA.split(", ")])
-
-
-class _Part:
-    """One part's customers, seated by sweeps that know the whole corpus' totals at the end of the sweep before."""
-
-    def __init__(self, part: int, known: int, pairs: int, customers: bytes) -> None:
-        per_word, context, came = _unpack(customers, ("<u2", known), ("<u2", pairs), ("<u8", pairs))
-        self.part, self.known = part, known
-        self.word, self.context, self.customers = np.repeat(np.arange(known), per_word), context.astype(np.int64), came.astype(np.int64)
-        self.total = self.by_word(self.customers)
-
-    def by_word(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, weights=values, minlength=self.known).astype(np.int64)
-
-    def by_context(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, weights=values, minlength=CONTEXTS).astype(np.int64)
-
-    def seatings(self, seed: int, totals: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables by pair, customers and tables of the parent by word: at first, and after a sweep for each of the totals."""
-        random = np.random.default_rng([seed, self.part])
-        leaf, root = _Seating(DISCOUNT, STRENGTH, random), _Seating(ROOT_DISCOUNT, ROOT_STRENGTH, random)
-        tables, parent = np.minimum(self.customers, 1), np.minimum(self.total, 1)
-        sent = self.by_word(tables)
-        yield tables, sent, parent
-        for whole in totals:
-            uniform = np.full(self.known, 1 / (whole["known"] + 1))
-            base = np.maximum(sent - ROOT_DISCOUNT * parent, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * whole["parents"]) * uniform
-            base = base / (ROOT_STRENGTH + whole["tables"].sum())
-            tables = leaf.draw(self.customers, tables, whole["tables"][self.context] - tables, base[self.word])
-            sent = self.by_word(tables)
-            parent = root.draw(sent, parent, whole["parents"] - parent, uniform)
-            yield tables, sent, parent
+    found = [_unpack(b, ("<u8", n), ("<i8", n)) for n, b in zip(blocks["n_words"], blocks["block"], strict=True)]
+    known, place = np.unique(np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found]), return_inverse=True)
+    totals = np.zeros(len(known), dtype=np.int64)
+    np.add.at(totals, place, np.concatenate([f[1] for f in found]))
+    places = [_pack(_steps(x)) for x in np.split(place, np.cumsum(blocks["n_words"])[:-1])]
+    return _frame([(int(blocks["part"].iloc[0]), len(known), int(totals.sum()), int((totals > 0).sum()), _pack(totals), blocks["chunk"].tolist(), blocks["n_words"].tolist(), places)], _WORDS_SCHEMA)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Part, pa.RecordBatch]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            yield _Part(*(row.column(c)[0].as_py() for c in ("part", "known", "pairs", "customers"))), row
+_NUMBERS_SCHEMA = "chunk long, part int, n_words int, block binary"
 
 
-_TOTALS_SCHEMA = "context int, customers long, tables long"
+def _slices(totals: np.ndarray, hot: int, n_parts: int) -> np.ndarray:
+    """How many parts share the pairs of words of so many occurrences."""
+    return np.minimum(1 + totals // hot, n_parts)
 
 
-def _counted(seed: int, totals: list[dict]) -> Callable:
-    """Customers and tables of each restaurant in a part after the last sweep; of context -1 the known words and the parent's tables."""
+def _told(hot: int, n_parts: int) -> Callable:
+    """Tells each chunk the places of its words in their part, and how many parts share their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in _parts(batches):
-            *_, (tables, _, parent) = part.seatings(seed, totals)
-            came, here = part.by_context(part.customers), part.by_context(tables)
-            used = np.flatnonzero(came)
-            yield pa.record_batch(
-                [pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(came[used], (part.total > 0).sum()), pa.int64()), pa.array(np.append(here[used], parent.sum()), pa.int64())],
-                names=["context", "customers", "tables"],
-            )
+        for batch in batches:
+            for row in batch.to_pylist():
+                (totals,) = _unpack(row["totals"], ("<i8", row["known"]))
+                slices, blocks = _slices(totals, hot, n_parts), []
+                for n, places in zip(row["n_words"], row["places"], strict=True):
+                    (steps,) = _unpack(places, ("<i8", n))
+                    blocks.append(_pack(steps, slices[np.cumsum(steps)]))
+                m = len(blocks)
+                yield pa.record_batch([pa.array(row["chunk"], pa.int64()), pa.array([row["part"]] * m, pa.int32()), pa.array(row["n_words"], pa.int32()), pa.array(blocks, pa.binary())], names=["chunk", "part", "n_words", "block"])
 
     return run
 
 
-_SAMPLE_SCHEMA = "chunk long, part int, n_words int, n_pairs int, block binary, context int, " + ", ".join(f"tables_{s} long" for s in range(SAMPLES))
+def _homes(part: np.ndarray, slices: np.ndarray, word: np.ndarray, context: np.ndarray, n_parts: int) -> np.ndarray:
+    """The parts of pairs: the word's own, or those after it by the context's own."""
+    return (part[word] + part[context] % slices[word]) % n_parts
 
 
-def _sampled(seed: int, totals: list[dict]) -> Callable:
-    """Answers every chunk of a part by the last samples, and tells the restaurants' tables of each sample."""
-    names = [x.split()[0] for x in _SAMPLE_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * SAMPLES]
+_BLOCK_SCHEMA = "chunk long, part int, n_words int, n_pairs int, block binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row in _parts(batches):
-            taken = list(part.seatings(seed, totals))[-SAMPLES:]
-            for chunk, n_words, n_pairs, places in zip(*(row.column(c)[0].as_py() for c in ("chunk", "n_words", "n_pairs", "places")), strict=True):
-                w, p = (np.cumsum(x, dtype=np.int64) for x in _unpack(places, ("<u4", n_words), ("<u4", n_pairs)))
-                block = _pack(part.total[w].astype("<u8"), *[x[w].astype("<u4") for t in taken for x in t[1:]], *[t[0][p].astype("<u4") for t in taken], part.customers[p].astype("<u4"))
-                yield pa.record_batch([pa.array([x], k) for x, k in zip((chunk, part.part, n_words, n_pairs, block, None, *[None] * SAMPLES), kinds, strict=True)], names=names)
-            used = np.flatnonzero(part.by_context(part.customers))
-            per = [np.append(part.by_context(t[0])[used], t[2].sum()) for t in taken]
-            n = len(used) + 1
-            own = [pa.nulls(n, kinds[0]), pa.array([part.part] * n, kinds[1]), *(pa.nulls(n, k) for k in kinds[2:5]), pa.array(np.append(used, -1), kinds[5])]
-            yield pa.record_batch([*own, *(pa.array(x, pa.int64()) for x in per)], names=names)
+
+def _paired(offsets: np.ndarray) -> Callable:
+    """A chunk's pairs as numbers of word and context, for each part."""
+    n_parts = len(offsets)
+
+    def run(kept: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        (own,) = kept.itertuples(index=False)
+        told = told.sort_values("part")
+        found = [_unpack(b, ("<i8", n), ("<i8", n)) for n, b in zip(told["n_words"], told["block"], strict=True)]
+        part = np.repeat(told["part"].to_numpy(np.int64), told["n_words"])
+        number = offsets[part] + np.concatenate([np.cumsum(f[0]) for f in found])
+        per_word, steps, learnt = _unpack(own.block, ("<i8", own.n_words), ("<i8", own.n_pairs), ("<i8", own.n_pairs))
+        word, context = np.repeat(np.arange(own.n_words), per_word), _from_steps(steps, per_word)
+        home = _homes(part, np.concatenate([f[1] for f in found]), word, context, n_parts)
+        order = np.argsort(home, kind="stable")
+        bounds = np.searchsorted(home[order], np.arange(n_parts + 1))
+        w, c, learnt = number[word[order]], number[context[order]], learnt[order]
+        rows = []
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            here = slice(*bounds[p : p + 2])
+            names, each = np.unique(w[here], return_counts=True)
+            rows.append((own.chunk, p, len(names), len(w[here]), _pack(_steps(names), each, _steps(c[here], each), learnt[here])))
+        return _frame(rows, _BLOCK_SCHEMA)
 
     return run
 
 
-def _summed(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
-    """Sums by context, of context -1 last."""
-    out = {c: np.zeros(CONTEXTS + 1, dtype=np.int64) for c in columns}
-    for r in df.groupBy("context").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # at most CONTEXTS + 1 rows
-        for c in columns:
-            out[c][r["context"]] = r[c]
-    return out
+#: What a part keeps for its answers, and the seats that its sweeps draw: dishes of two or more customers.
+_MERGED_SCHEMA = "part int, known int, totals binary, chunk array<long>, n_words array<int>, places array<binary>, in_chunk array<long>, n_pairs array<int>, pair_places array<binary>, pairs int, customers binary, seats int, state binary"
+
+
+def _merged(n_numbers: int) -> Callable:
+    """One part's customers by word and context, and for each chunk the places of its pairs among them."""
+
+    def run(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        blocks, keys, learnt = blocks.sort_values("chunk"), [], []
+        for n, m, b in zip(blocks["n_words"], blocks["n_pairs"], blocks["block"], strict=True):
+            names, each, steps, came = _unpack(b, ("<i8", n), ("<i8", n), ("<i8", m), ("<i8", m))
+            keys.append(np.repeat(np.cumsum(names), each) * n_numbers + _from_steps(steps, each))
+            learnt.append(came)
+        none = [np.zeros(0, dtype=np.int64)]
+        pairs, place = np.unique(np.concatenate(keys or none), return_inverse=True)
+        customers = np.zeros(len(pairs), dtype=np.int64)
+        np.add.at(customers, place, np.concatenate(learnt or none))
+        places = [_pack(_steps(x)) for x in np.split(place, np.cumsum(blocks["n_pairs"])[:-1])] if len(blocks) else []
+        w, c = np.divmod(pairs[customers > 1], n_numbers)
+        if len(words):
+            part, known, totals = int(words["part"].iloc[0]), int(words["known"].iloc[0]), words["totals"].iloc[0]
+            told = [list(words[x].iloc[0]) for x in ("chunk", "n_words", "places")]
+        else:
+            part, known, totals, told = int(blocks["part"].iloc[0]), 0, _pack(none[0]), [[], [], []]
+        (total,) = _unpack(totals, ("<i8", known))
+        state = _Seats(part, w, c, customers[customers > 1], np.ones(len(w), dtype=np.int64), total, np.minimum(total, 1)).packed()
+        return _frame([(part, known, totals, *told, blocks["chunk"].tolist(), blocks["n_pairs"].tolist(), places, len(pairs), _pack(customers), len(w), state)], _MERGED_SCHEMA)
+
+    return run
+
+
+class _Seats:
+    """The dishes of two or more customers in one part, and its own words."""
+
+    def __init__(self, part: int, word: np.ndarray, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, total: np.ndarray, parent: np.ndarray) -> None:
+        self.part, self.word, self.context, self.customers, self.tables, self.total, self.parent = part, word, context, customers, tables, total, parent
+
+    def packed(self) -> bytes:
+        return _pack(_steps(self.word), _steps(self.context, _runs(self.word)), self.customers, self.tables, self.total, self.parent)
+
+    @classmethod
+    def unpacked(cls, part: int, known: int, seats: int, state: bytes) -> _Seats:
+        names, steps, *rest = _unpack(state, *[("<i8", seats)] * 4, *[("<i8", known)] * 2)
+        word = np.cumsum(names)
+        return cls(part, word, _from_steps(steps, _runs(word)), *rest)
 
+    def sent(self, whole: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Customers of the parent by own word; which own words are hot, whose customers and tables the whole knows; and places of the seats' words."""
+        own = self.word - whole["offsets"][self.part]
+        inside = (own >= 0) & (own < len(self.total))
+        lack = np.zeros(len(self.total), dtype=np.int64)
+        np.add.at(lack, own[inside], (self.customers - self.tables)[inside])
+        return self.total - lack, _slices(self.total, whole["hot"], len(whole["offsets"])) > 1, np.where(inside, own, -1)
 
-def _scored(totals: dict) -> Callable:
+    def swept(self, whole: dict, tables_of: np.ndarray, seed: list[int]) -> None:
+        """Draws the tables anew, given the tables of the seats' contexts and the whole corpus' totals at the end of the sweep before."""
+        random = np.random.default_rng([*seed, self.part])
+        leaf, root = _Seating(DISCOUNT, STRENGTH, random), _Seating(ROOT_DISCOUNT, ROOT_STRENGTH, random)
+        sent, hot, own = self.sent(whole)
+        rate = lambda sent, parent: _base(sent, parent, whole)
+        at = np.searchsorted(whole["hot_words"], self.word)
+        at = np.where(at < len(whole["hot_words"]), at, 0)
+        base = np.append(rate(sent, self.parent), 0.0)[own]
+        if len(whole["hot_words"]):
+            base = np.where(whole["hot_words"][at] == self.word, rate(whole["hot_sent"], whole["hot_parent"])[at], base)
+        self.tables = leaf.draw(self.customers, self.tables, tables_of - self.tables, base)
+        sent, hot, _ = self.sent(whole)
+        drawn = root.draw(sent, self.parent, whole["parents"] - self.parent, np.full(len(sent), 1 / (whole["known"] + 1)))
+        self.parent = np.where(hot, 0, drawn)  # those of hot words are drawn once all parts' customers are summed
+
+
+def _base(sent: np.ndarray, parent: np.ndarray, whole: dict) -> np.ndarray:
+    """The parent's probabilities of words."""
+    return (np.maximum(sent - ROOT_DISCOUNT * parent, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * whole["parents"]) / (whole["known"] + 1)) / (ROOT_STRENGTH + whole["tables"])
+
+
+#: of: the part that sent a row; below 0 the part's own state, the tables of a sample, its totals, or what its words' contexts lack.
+_STATE, _SAMPLE, _TOTAL, _LACK = -1, -2, -3, -4
+_SWEEP_SCHEMA = "part int, of int, n int, known int, block binary, words array<long>, sums array<long>"
+
+
+def _outcome(seats: _Seats, whole: dict) -> list[tuple]:
+    """A part's state, its sample, its totals, and what its dishes lack of tables for the owners of its contexts."""
+    n, known, offsets = len(seats.word), len(seats.total), whole["offsets"]
+    sent, hot, _ = seats.sent(whole)
+    lack = seats.customers - seats.tables
+    shared = np.flatnonzero(np.isin(seats.word, whole["hot_words"]))
+    words, place = np.unique(seats.word[shared], return_inverse=True)
+    lacking = np.bincount(place, weights=lack[shared], minlength=len(words)).astype(np.int64)
+    sums = [int(sent[~hot].sum()), int(seats.parent[~hot].sum()), *lacking.tolist()]
+    rows = [
+        (seats.part, _STATE, n, known, seats.packed(), None, None),
+        (seats.part, _SAMPLE, n, known, _pack(seats.tables, sent, seats.parent), None, None),
+        (seats.part, _TOTAL, 0, 0, None, words.tolist(), sums),
+    ]
+    contexts, place = np.unique(seats.context, return_inverse=True)
+    lacks = np.bincount(place, weights=lack, minlength=len(contexts)).astype(np.int64)
+    owners = offsets[::OWNERS]
+    bounds = np.searchsorted(contexts, np.append(owners, np.iinfo(np.int64).max))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        here = slice(*bounds[p : p + 2])
+        rows.append((p, seats.part, here.stop - here.start, 0, _pack(_steps(contexts[here] - owners[p]), lacks[here]), None, None))
+    return rows
+
+
+def _begun(whole: dict) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield _frame(_outcome(_Seats.unpacked(row.part, row.known, row.seats, row.state), whole), _SWEEP_SCHEMA)
+
+    return run
+
+
+def _swept(whole: dict, seed: list[int]) -> Callable:
+    """One sweep of a part, from its state and what the owners of its contexts told."""
+
+    def run(state: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        (own,) = state.itertuples(index=False)
+        seats = _Seats.unpacked(own.part, own.known, own.n, own.block)
+        told = told.sort_values("of")
+        tables = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(b, ("<i8", n))[0] for n, b in zip(told["n"], told["block"], strict=True))])
+        seats.swept(whole, tables[np.unique(seats.context, return_inverse=True)[1]], seed)
+        return _frame(_outcome(seats, whole), _SWEEP_SCHEMA)
+
+    return run
+
+
+_TOLD_SCHEMA = "part int, of int, n int, block binary"
+
+
+def _owned(words: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+    """Sums what the contexts of some parts' words lack, and tells each part the tables of its contexts."""
+    words = words.sort_values("part")
+    total = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(t, ("<i8", n))[0] for n, t in zip(words["known"], words["totals"], strict=True))])
+    lack, asked = np.zeros(len(total), dtype=np.int64), []
+    for of, n, b in zip(sent["of"], sent["n"], sent["block"], strict=True):
+        steps, lacks = _unpack(b, ("<i8", n), ("<i8", n))
+        at = np.cumsum(steps)
+        asked.append((of, at))
+        lack[at] += lacks
+    rows = [(of, int(words["part"].iloc[0]) // OWNERS, len(at), _pack((total - lack)[at])) for of, at in asked]
+    own = np.split(lack, np.cumsum(words["known"])[:-1])
+    return _frame(rows + [(p, _LACK, len(x), _pack(x)) for p, x in zip(words["part"], own, strict=True)], _TOLD_SCHEMA)
+
+
+_ANSWER_SCHEMA = "chunk long, part int, n_words int, n_pairs int, n_seats int, block binary"
+
+
+def _sampled(samples: list[dict]) -> Callable:
+    """Answers every chunk of a part by the samples: for words, for their contexts, and for pairs."""
+
+    def run(merged: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        (own,) = merged.itertuples(index=False)
+        (total,), (customers,) = _unpack(own.totals, ("<i8", own.known)), _unpack(own.customers, ("<i8", own.pairs))
+        number = samples[0]["offsets"][own.part] + np.arange(own.known)
+        seat = np.cumsum(customers > 1) - 1
+        by_word, tables = [total], []
+        for s, whole in enumerate(samples):
+            (here,) = drawn[(drawn["sample"] == s) & (drawn["of"] == _SAMPLE)]["block"]
+            seated, sent, parent = _unpack(here, ("<i8", own.seats), ("<i8", own.known), ("<i8", own.known))
+            at = np.flatnonzero(np.isin(number, whole["hot_words"]))
+            if len(at):
+                place = np.searchsorted(whole["hot_words"], number[at])
+                sent[at], parent[at] = whole["hot_sent"][place], whole["hot_parent"][place]
+            lack = [_unpack(b, ("<i8", own.known))[0] for b in drawn[(drawn["sample"] == s) & (drawn["of"] == _LACK)]["block"]]
+            by_word += [sent, parent, *(lack or [np.zeros(own.known, dtype=np.int64)])]
+            tables.append(seated)
+        answers = {chunk: [0, 0, 0, [], []] for chunk in [*own.chunk, *own.in_chunk]}
+        for chunk, n, places in zip(own.chunk, own.n_words, own.places, strict=True):
+            w = np.cumsum(_unpack(places, ("<i8", n))[0])
+            answers[chunk][0], answers[chunk][3] = n, [x[w] for x in by_word]
+        for chunk, n, places in zip(own.in_chunk, own.n_pairs, own.pair_places, strict=True):
+            p = np.cumsum(_unpack(places, ("<i8", n))[0])
+            more = seat[p[customers[p] > 1]]
+            answers[chunk][1:3], answers[chunk][4] = (n, len(more)), [customers[p], *(t[more] for t in tables)]
+        none = np.zeros(0, dtype=np.int64)
+        return _frame([(k, own.part, n, m, more, _pack(*(w or [none] * len(by_word)), *(p or [none] * (1 + SAMPLES)))) for k, (n, m, more, w, p) in answers.items()], _ANSWER_SCHEMA)
+
+    return run
+
+
+_SCORE_SCHEMA = "doc_id string, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(samples: list[dict], n_train: int) -> Callable:
     """Scores of a chunk's documents from its tokens and the parts' answers."""
-    came, tables, known = totals["customers"], totals["tables"], totals["known"]  # CONTEXTS; SAMPLES x CONTEXTS; words
-    sent, parents, n_train = tables.sum(axis=1), totals["parents"], totals["n_train"]
-
-    def run(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(tokens):
-            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-        (own,) = tokens.itertuples(index=False)
-        n_docs, n_tokens = len(own.doc_ids), int(sum(own.n_tokens))
-        seen, doc, all_words, all_contexts = _unpack(own.block, ("<u4", own.n_pairs), ("<u2", n_tokens), ("<u2", own.n_words), ("<u2", own.n_pairs))
-        log_base, log_p, learnt = [], [], []
-        at_word = at_pair = 0  # parts follow one another in the chunk's order of words and pairs
-        for row in answers.sort_values("by").itertuples(index=False):
-            n_words, n_pairs = int(row.words), int(row.pairs)
-            kinds = [("<u8", n_words)] + [("<u4", n_words)] * (2 * SAMPLES) + [("<u4", n_pairs)] * (SAMPLES + 1)
-            total, *rest = _unpack(row.answer, *kinds)
-            per_word, context = all_words[at_word : at_word + n_words], all_contexts[at_pair : at_pair + n_pairs]
-            at_word, at_pair = at_word + n_words, at_pair + n_pairs
-            customers = rest[-1].astype(np.float64)
-            p = np.zeros(n_pairs)
-            for s in range(SAMPLES):
-                up, at = rest[2 * s].astype(np.float64), rest[2 * s + 1].astype(np.float64)
-                base = (up - ROOT_DISCOUNT * at + (ROOT_STRENGTH + ROOT_DISCOUNT * parents[s]) / (known + 1)) / (ROOT_STRENGTH + sent[s])
-                here = rest[2 * SAMPLES + s].astype(np.float64)
-                below = STRENGTH + came[context]
-                p += (customers - DISCOUNT * here + (STRENGTH + DISCOUNT * tables[s][context]) * np.repeat(base, per_word)) / below
-            log_p.append(np.log10(p / SAMPLES))
-            log_base.append(np.repeat(np.log10(total + 0.1), per_word))
-            learnt.append(np.repeat(total > 0, per_word))
-        add = lambda x: np.bincount(doc, weights=np.repeat(np.concatenate(x).astype(np.float64), seen), minlength=n_docs)
-        n = np.array(own.n_tokens)
+    hot, known, n_parts = samples[0]["hot"], samples[0]["known"], len(samples[0]["offsets"])
+
+    def run(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return _frame([], _SCORE_SCHEMA)
+        rows = {r.part: r for r in own.itertuples(index=False)}
+        tokens, kept = rows[_DOCUMENTS], rows[_PAIRS]
+        n_docs, n_pairs = len(tokens.doc_ids), kept.n_pairs
+        by_word, part, by_pair = [], [], []
+        for r in answers.sort_values("by").itertuples(index=False):
+            found = _unpack(r.answer, *[("<i8", r.words)] * (1 + 3 * SAMPLES), ("<i8", r.pairs), *[("<i8", r.seats)] * SAMPLES)
+            by_word.append(found[: 1 + 3 * SAMPLES])
+            by_pair.append(found[1 + 3 * SAMPLES :])
+            part.append(np.full(r.words, r.by))
+        total, *of_word = (np.concatenate(x) for x in zip(*by_word, strict=True))
+        came, *drawn = (np.concatenate(x) for x in zip(*by_pair, strict=True))  # in the order of the parts
+        part = np.concatenate(part)
+        del by_word, by_pair, found
+        per_word, steps = _unpack(kept.block, ("<i8", kept.n_words), ("<i8", n_pairs))
+        word, context = np.repeat(np.arange(kept.n_words, dtype=np.int32), per_word), _from_steps(steps, per_word).astype(np.int32)
+        order = np.argsort(_homes(part, _slices(total, hot, n_parts), word, context, n_parts), kind="stable")
+        p, seats, more = np.empty(n_pairs), np.empty(n_pairs), order[came > 1]
+        p[order] = SAMPLES * came
+        seats[order] = np.minimum(came, 1)
+        del steps, order, came
+        for s, whole in enumerate(samples):
+            sent, parent, lack = of_word[3 * s : 3 * s + 3]
+            seats[more] = drawn[s]
+            p -= DISCOUNT * seats
+            p += (STRENGTH + DISCOUNT * (total - lack))[context] * _base(sent, parent, whole)[word]
+        p /= SAMPLES * (STRENGTH + total)[context]
+        del seats, more, drawn, context
+        seen, doc = _unpack(tokens.block, ("<i8", n_pairs), ("<u2", int(sum(tokens.n_tokens))))
+        add = lambda x: np.bincount(doc, weights=np.repeat(x, seen), minlength=n_docs)
+        n, log_base = np.array(tokens.n_tokens), np.log10(total + 0.1)
         return pd.DataFrame(
-            {"doc_id": list(own.doc_ids), "n_tokens": n, "n_known": add(learnt).astype(np.int64), "base_score": add(log_base) - n * math.log10(n_train + 0.1 * (known + 1)), "score": add(log_p)}
+            {"doc_id": list(tokens.doc_ids), "n_tokens": n, "n_known": add((total > 0)[word].astype(float)).astype(np.int64), "base_score": add(log_base[word]) - n * math.log10(n_train + 0.1 * (known + 1)), "score": add(np.log10(p))}
         )
 
     return run
 
 
+def _summed(rows: DataFrame, whole: dict, random: np.random.Generator | None) -> dict:
+    """The whole corpus' totals after a sweep: the parts' sums, and the tables of hot words, drawn here since they are few."""
+    pairs = rows.select("words", F.slice("sums", F.lit(3), F.size("words")).alias("lacks")).select(F.explode(F.arrays_zip("words", "lacks")).alias("x"))
+    lack = pairs.groupBy("x.words").agg(F.sum("x.lacks").alias("lack"))
+    lacks = {r["words"]: r["lack"] for r in lack.collect()}  # at most a word for every HOT tokens
+    sums = rows.agg(F.sum(F.element_at("sums", 1)).alias("tables"), F.sum(F.element_at("sums", 2)).alias("parents")).first()
+    sent = whole["hot_total"] - np.array([lacks.get(w, 0) for w in whole["hot_words"].tolist()], dtype=np.int64)
+    parent = np.minimum(sent, 1)
+    if random is not None:
+        parent = _Seating(ROOT_DISCOUNT, ROOT_STRENGTH, random).draw(sent, parent, whole["parents"] - whole["hot_parent"], np.full(len(sent), 1 / (whole["known"] + 1)))
+    return whole | {"hot_sent": sent, "hot_parent": parent, "tables": (sums["tables"] or 0) + int(sent.sum()), "parents": (sums["parents"] or 0) + int(parent.sum())}
+
+
+def _hot_words(hot: int, n_parts: int) -> Callable:
+    """The words of a part whose pairs several parts share, by place, with their occurrences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                (total,) = _unpack(r.totals, ("<i8", r.known))
+                at = np.flatnonzero(_slices(total, hot, n_parts) > 1)
+                yield pd.DataFrame({"part": np.full(len(at), r.part), "place": at, "total": total[at]})
+
+    return run
+
+
 def scored(docs: DataFrame, trained: Column, text: str = "text", doc_id: str = "doc_id", seed: int = 0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every document.
 
@@ -336,22 +566,48 @@ def scored(docs: DataFrame, trained: Column, text: str = "text", doc_id: str = "
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(f"`{text}`").cast("string").alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n_parts = max(4, -(-size // PART_CHARS))
+    n_parts, hot = max(4, -(-size // PART_CHARS)), HOT
     chunks = written(rows.select("doc_id", "trained", "text").mapInArrow(_chunked(n_parts), _CHUNK_SCHEMA), "chunks")
-    tokens, blocks = chunks.where("part < 0"), chunks.where("part >= 0").select("chunk", "part", "n_words", "n_pairs", "block")
-    merged = written(blocks.groupBy("part").applyInPandas(_merged, _MERGED_SCHEMA), "customers")
-    swept: list[dict] = []
-    for _ in range(BURN_IN + SAMPLES):
-        # parts are seated again from the start, by the same random numbers, so that no seating need be stored
-        n = _summed(merged.select("part", "known", "pairs", "customers").mapInArrow(_counted(seed, swept), _TOTALS_SCHEMA), ["customers", "tables"])
-        swept.append({"tables": n["tables"][:-1], "parents": int(n["tables"][-1]), "known": int(n["customers"][-1])})
-    sampled = written(merged.mapInArrow(_sampled(seed, swept), _SAMPLE_SCHEMA), "seating")
-    drawn = _summed(sampled.where("chunk is null"), [f"tables_{s}" for s in range(SAMPLES)])
-    tables = np.array(list(drawn.values()), dtype=float)
-    totals = {"customers": n["customers"][:-1].astype(float), "tables": tables[:, :-1], "parents": tables[:, -1], "known": swept[0]["known"], "n_train": int(n["customers"][:-1].sum())}
-    answers = sampled.where("chunk is not null").select(F.col("chunk").alias("of"), F.col("part").alias("by"), F.col("n_words").alias("words"), F.col("n_pairs").alias("pairs"), F.col("block").alias("answer"))
-    result = tokens.groupBy("chunk").cogroup(answers.groupBy("of")).applyInPandas(_scored(totals), "doc_id string, n_tokens long, n_known long, base_score double, score double")
-    return result.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(totals["n_train"]).cast("long").alias("train_tokens"), "base_score", "score")
+    blocks = chunks.where("part >= 0").select("chunk", "part", "n_words", "block")
+    words = written(blocks.groupBy("part").applyInPandas(_numbered, _WORDS_SCHEMA), "words")
+    sizes = words.select("part", "known", "learnt", "trained").collect()  # a row for each part
+    each = np.zeros(n_parts + 1, dtype=np.int64)
+    for r in sizes:
+        each[r["part"] + 1] = r["known"]
+    offsets, n_numbers = np.cumsum(each)[:-1], int(each.sum())
+    hottest = sorted((int(offsets[r["part"]]) + r["place"], r["total"]) for r in words.select("part", "known", "totals").mapInPandas(_hot_words(hot, n_parts), "part int, place long, total long").collect())
+    n_train, none = sum(r["learnt"] for r in sizes), np.zeros(0, dtype=np.int64)
+    whole = {"offsets": offsets, "hot": hot, "known": sum(r["trained"] for r in sizes), "hot_words": np.array([w for w, _ in hottest], dtype=np.int64), "hot_total": np.array([n for _, n in hottest], dtype=np.int64)}
+    told = words.select("part", "known", "totals", "chunk", "n_words", "places").mapInArrow(_told(hot, n_parts), _NUMBERS_SCHEMA)
+    pairs = chunks.where(F.col("part") == _PAIRS).select("chunk", "n_words", "n_pairs", "block").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_paired(offsets), _BLOCK_SCHEMA)
+    merged = written(pairs.groupBy("part").cogroup(words.groupBy("part")).applyInPandas(_merged(n_numbers), _MERGED_SCHEMA), "customers")
+    swept = written(merged.select("part", "known", "seats", "state").mapInPandas(_begun(whole), _SWEEP_SCHEMA), "seating")
+    whole = _summed(swept.where(F.col("of") == _TOTAL), whole, None)
+    samples, drawn, read = [], [], [words, merged]
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        sent = swept.where("of >= 0").select("part", "of", "n", "block")
+        answered = words.select("part", "known", "totals").groupBy(F.floor(F.col("part") / OWNERS).cast("int")).cogroup(sent.groupBy("part")).applyInPandas(_owned, _TOLD_SCHEMA)
+        if sweep > BURN_IN:
+            answered = written(answered, "told")
+            samples.append(whole)
+            read += [swept, answered]
+            drawn += [x.where(F.col("of") == k).select("part", F.lit(sweep - BURN_IN - 1).alias("sample"), "of", "block") for x, k in ((swept, _SAMPLE), (answered, _LACK))]
+        if sweep == BURN_IN + SAMPLES:
+            break
+        state = swept.where(F.col("of") == _STATE).select("part", "known", "n", "block")
+        before = swept
+        swept = written(state.groupBy("part").cogroup(answered.where("of >= 0").groupBy("part")).applyInPandas(_swept(whole, [seed, sweep]), _SWEEP_SCHEMA), "seating")
+        whole = _summed(swept.where(F.col("of") == _TOTAL), whole, np.random.default_rng([seed, sweep, n_parts]))
+        if sweep <= BURN_IN:
+            removed(before)
+    drawn = functools.reduce(DataFrame.unionByName, drawn)
+    answers = written(merged.drop("state").groupBy("part").cogroup(drawn.groupBy("part")).applyInPandas(_sampled(samples), _ANSWER_SCHEMA), "answers")
+    for table in read:
+        removed(table)
+    answers = answers.select(F.col("chunk").alias("of"), F.col("part").alias("by"), F.col("n_words").alias("words"), F.col("n_pairs").alias("pairs"), F.col("n_seats").alias("seats"), F.col("block").alias("answer"))
+    own = chunks.where("part < 0")
+    result = own.groupBy("chunk").cogroup(answers.groupBy("of")).applyInPandas(_scored(samples, n_train), _SCORE_SCHEMA)
+    return result.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(doc_id: Column) -> Column:

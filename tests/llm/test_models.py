@@ -289,3 +289,28 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd):
             if name == "n-gram Jaccard join" and start is rows:
                 assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["7", "None"]
         assert (docs.count() > 0) == (start is rows)
+
+
+def test_every_context_has_a_restaurant_of_its_own(spark):
+    """More contexts than any fixed number of restaurants held before: texts alike in all but their words score alike."""
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("concat('c', id, ' w', id)").alias("text"))
+    score = np.array([r["score"] for r in pitman_yor.scored(docs, F.lit(True)).collect()])
+    assert len(score) == n and np.ptp(score) < 1e-9
+    # a context of one customer and table: (1 - d + (s + d) * base) / (s + 1); a word's base is its discounted customer and its share of the rest, together 1
+    base = 1 / (10 + 3 * n)
+    two = (0.25 + (2 + 0.75 * n) * base) / (2 + n) * (0.25 + 2.75 * base) / 3
+    low, high = (math.log10(two * (0.25 + 2.75 * end) / 3) for end in (0.28, 0.34))  # the end is a third of the parent's customers
+    assert low < score[0] < high
+
+
+
+def test_hot_words_are_dealt_to_several_parts(spark, sf_dir, monkeypatch):
+    """Scores by the same law whether the pairs of frequent words lie in one part or in several."""
+    docs, found = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for hot in (1 << 40, 100):
+        monkeypatch.setattr(pitman_yor, "HOT", hot)
+        found.append(pitman_yor.scored(docs, F.lit(True)).toPandas().sort_values("doc_id"))
+    one, several = (f.score.values / f.n_tokens.values for f in found)
+    assert (found[0].base_score.values == found[1].base_score.values).all()
+    assert abs((one - several).mean()) < 0.002 and np.abs(one - several).max() < 0.1
