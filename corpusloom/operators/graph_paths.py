@@ -28,14 +28,17 @@ def reaches_itself(chain: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its lowest node) of undirected edges (a, b)."""
+    """node and component (its lowest node) of undirected edges (a, b).
+
+    Joins exchange both sides: labels are as many as nodes, and each broadcast of them goes through the driver.
+    """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = stored(labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = stored(lower.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        moved = stored(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
         labels = moved.select("node", "label")
         if not moved.where("old <> label").limit(1).count():
             return labels.withColumnRenamed("label", "component")
