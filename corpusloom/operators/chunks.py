@@ -14,12 +14,13 @@ DELIMITERS = "。！？；\n"
 def sentence_array(text: Column, delimiters: str = DELIMITERS, least: int = 6) -> Column:
     """Sentences of a text as structs of index, content, start_offset and end_offset (code points).
 
-    Runs between delimiters are trimmed and kept from least characters on; indices count what is kept.
+    Runs between delimiters are trimmed and kept from least characters on; indices count what is kept. A null or empty
+    text has none.
     """
     cut = "".join("\\" + d if d in "\\]^-[" else d for d in delimiters)
     runs = F.regexp_extract_all(text, F.lit(f"[^{cut}]+|[{cut}]"), F.lit(0))
     none = F.expr("cast(array() as array<struct<index:int,content:string,start_offset:int,end_offset:int>>)")
-    return F.coalesce(F.element_at(F.transform(F.filter(F.array(runs), lambda r: F.size(r) > 0), lambda r: _kept(r, least)), 1), none)
+    return F.coalesce(F.get(F.transform(F.filter(F.array(runs), lambda r: F.size(r) > 0), lambda r: _kept(r, least)), 0), none)
 
 
 def _kept(runs: Column, least: int) -> Column:
