@@ -27,6 +27,8 @@ ROUNDS = 12
 PROBES, PROBED = 8, 2 / 3
 #: Vectors that meet queries as one product.
 BLOCK = 1024
+#: Queries that meet all centres at once, and bytes of vectors that go out in one batch: each query goes out once for every cell that it asks.
+ASKING, OUT_BYTES = 256, 16 << 20
 #: Slack of a bound, for rounding.
 SLACK = 1e-9
 
@@ -65,13 +67,18 @@ def _usable(df: DataFrame, row_id: str, vector: str, width: int) -> DataFrame:
     return df.where(F.col(row_id).isNotNull() & v.isNotNull() & (F.size(v) == width) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))).withColumn(vector, v.cast("array<double>"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _placed(centres: Broadcast) -> Callable:
     """Adds each vector's cell and its angle to the centre; a zero vector is at a right angle to every centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches, BLOCK):
             v = _unit(batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy().reshape(batch.num_rows, -1))
             near = v @ centres.value.T
             cell = near.argmax(axis=1)
@@ -126,9 +133,7 @@ def _cells_of(index: Broadcast, probes: int, rest: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, widest = index.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches, ASKING):
             q = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             zero = ~q.any(axis=1)
             angle = np.arccos(np.clip(_unit(q) @ centres.T, -1, 1))
@@ -142,7 +147,10 @@ def _cells_of(index: Broadcast, probes: int, rest: bool) -> Callable:
                 worst = batch.column(2).to_numpy(zero_copy_only=False)
                 asked = ~asked & (np.isnan(worst)[:, None] | (best >= worst[:, None] - SLACK))
             at, cell = np.nonzero(asked & (widest >= 0)[None, :])
-            yield pa.record_batch([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["query_id", "query_vector", "cell"])
+            most = max(1, OUT_BYTES // (8 * q.shape[1]))
+            for a in range(0, len(at), most):
+                asking = pa.array(at[a : a + most])
+                yield pa.record_batch([batch.column(0).take(asking), batch.column(1).take(asking), pa.array(cell[a : a + most].astype(np.int32))], names=["query_id", "query_vector", "cell"])
 
     return run
 
